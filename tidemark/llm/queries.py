@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .line_dedup import OP9_SQL, op9_line_dedup
+from .media import op3_interleaved_media
 from .packing import op10_power_of_two_packing
 from .token_files import op4_repair_token_files
 
-_QUERIES = [op4_repair_token_files, op10_power_of_two_packing]
+_QUERIES = [op3_interleaved_media, op4_repair_token_files, op9_line_dedup, op10_power_of_two_packing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,4 +19,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_line_dedup": OP9_SQL}
