@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .media import op3_interleaved_media
 from .packing import op10_power_of_two_packing
+from .pii import op7_bilstm_crf_pii
 from .token_files import op4_repair_token_files
 
-_QUERIES = [op3_interleaved_media, op4_repair_token_files, op9_line_dedup, op10_power_of_two_packing]
+_QUERIES = [op3_interleaved_media, op4_repair_token_files, op7_bilstm_crf_pii, op9_line_dedup, op10_power_of_two_packing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
