@@ -73,3 +73,7 @@ def partition_offsets(totals: DataFrame, part: str, size: str, out: str, by: lis
 
 def utf8_length(text: Column) -> Column:
     return F.octet_length(text).cast("long")
+
+
+def column_texts(batch: pa.RecordBatch, name: str) -> list[str]:
+    return batch.column(name).to_pylist()

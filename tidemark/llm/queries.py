@@ -11,8 +11,9 @@ from .media import op3_interleaved_media
 from .packing import op10_power_of_two_packing
 from .pii import op7_bilstm_crf_pii
 from .token_files import op4_repair_token_files
+from .toxicity import op1_noisy_channel_toxicity
 
-_QUERIES = [op3_interleaved_media, op4_repair_token_files, op7_bilstm_crf_pii, op9_line_dedup, op10_power_of_two_packing]
+_QUERIES = [op1_noisy_channel_toxicity, op3_interleaved_media, op4_repair_token_files, op7_bilstm_crf_pii, op9_line_dedup, op10_power_of_two_packing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
