@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import op5_latent_decontamination
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .media import op3_interleaved_media
 from .packing import op10_power_of_two_packing
@@ -13,7 +14,7 @@ from .pii import op7_bilstm_crf_pii
 from .token_files import op4_repair_token_files
 from .toxicity import op1_noisy_channel_toxicity
 
-_QUERIES = [op1_noisy_channel_toxicity, op3_interleaved_media, op4_repair_token_files, op7_bilstm_crf_pii, op9_line_dedup, op10_power_of_two_packing]
+_QUERIES = [op1_noisy_channel_toxicity, op3_interleaved_media, op4_repair_token_files, op5_latent_decontamination, op7_bilstm_crf_pii, op9_line_dedup, op10_power_of_two_packing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

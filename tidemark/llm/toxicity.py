@@ -38,7 +38,7 @@ LOOKALIKES = {
 }
 SEPARATORS = " ._*-~^'"
 #: Channel costs (negative natural logarithms): a look-alike, a dropped repeat in a run of three or more and of two, a dropped separator.
-SIGN, REPEAT, DOUBLE, SEPARATOR = 1.0, 0.5, 3.0, 0.3
+SIGN, REPEAT, DOUBLE, SEPARATOR = 1.0, 0.5, 6.0, 0.3
 
 LETTERS = 28  # 0: outside of a word, 1-26: a-z, 27: any other letter
 _SIGNS = re.escape("".join(LOOKALIKES))
@@ -93,7 +93,7 @@ class Model:
         return self.memo[written]
 
 
-def language_costs(counts: np.ndarray, words: list[str] = (), share: float = 0.002) -> np.ndarray:
+def language_costs(counts: np.ndarray, words: list[str] = (), share: float = 0.01) -> np.ndarray:
     """Negative log probabilities of trigrams, backing off to bigrams and letters; each given word adds a share of all counts."""
     n = counts.astype(np.float64).reshape(LETTERS, LETTERS, LETTERS) + 0.0
     extra = max(50.0, share * n.sum() / max(1, len(words)))
