@@ -77,3 +77,11 @@ def utf8_length(text: Column) -> Column:
 
 def column_texts(batch: pa.RecordBatch, name: str) -> list[str]:
     return batch.column(name).to_pylist()
+
+
+def settle(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of jobs that are over; their results are in tables."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
