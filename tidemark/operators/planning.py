@@ -91,7 +91,7 @@ def fold_feedback(log: DataFrame, key: str = "clip_id") -> DataFrame:
 
 def feedback_stats(log: DataFrame, by: Keys) -> DataFrame:
     k = F.col("feedback_type")
-    return log.groupBy(*by).agg(F.count_distinct("clip_id").alias("clips"), F.count_if(k == "accept").alias("accepted"), F.count_if(k == "reject").alias("rejected"), F.count_if(k.startswith("modify_")).alias("modified"), r4(F.avg(F.when(k == "modify_start", F.col("value")))).alias("mean_start_shift"))
+    return log.groupBy(*by).agg(F.count_distinct("clip_id").alias("clips"), F.count_if(k == "accept").alias("accepted"), F.count_if(k == "reject").alias("rejected"), F.count_if(k.startswith("modify_")).alias("modified"), r4(F.sum(F.when(k == "modify_start", F.round(F.col("value") * 100).cast("long"))) / (100 * F.count_if(k == "modify_start"))).alias("mean_start_shift"))
 
 
 def transition_audit(clips: DataFrame, plan: Keys) -> DataFrame:

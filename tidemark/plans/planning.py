@@ -123,7 +123,7 @@ def apply_feedback(spark, sf):
     return pl.fold_feedback(feedback(spark, sf))
 
 
-@query(f"WITH {FEEDBACK} SELECT user_id, count(DISTINCT clip_id) AS clips, count_if(feedback_type = 'accept')::BIGINT AS accepted, count_if(feedback_type = 'reject')::BIGINT AS rejected, count_if(starts_with(feedback_type, 'modify_'))::BIGINT AS modified, round(avg(value) FILTER (feedback_type = 'modify_start'), 4) AS mean_start_shift FROM fb GROUP BY user_id")
+@query(f"WITH {FEEDBACK} SELECT user_id, count(DISTINCT clip_id) AS clips, count_if(feedback_type = 'accept')::BIGINT AS accepted, count_if(feedback_type = 'reject')::BIGINT AS rejected, count_if(starts_with(feedback_type, 'modify_'))::BIGINT AS modified, round(sum(CAST(round(value * 100) AS BIGINT)) FILTER (feedback_type = 'modify_start') / (100 * count_if(feedback_type = 'modify_start')), 4) AS mean_start_shift FROM fb GROUP BY user_id")
 def feedback_stats(spark, sf):
     return pl.feedback_stats(feedback(spark, sf), ["user_id"])
 
