@@ -42,18 +42,26 @@ def grammar(ids: np.ndarray, base: int, rounds: int = ROUNDS, pairs: int = PAIRS
         h = (seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA77)) >> np.uint32(12)
         counts = np.bincount(h, minlength=_BUCKETS)
         limit = max(least, int(np.partition(counts, -pairs)[-pairs]))
-        at = np.flatnonzero((counts >= limit)[h])
-        if not len(at):
+        slots = np.flatnonzero(counts >= limit)
+        if not len(slots):
             break
-        keys, inverse, n = np.unique(seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1], return_inverse=True, return_counts=True)
-        best = np.lexsort((keys, -n))[:pairs]
-        best = best[n[best] >= least]
+        # each full bucket stands for the pair that it met last; other pairs of the bucket wait for a later round
+        slot = np.full(_BUCKETS, -1, dtype=np.int32)
+        slot[slots] = np.arange(len(slots))
+        slot = slot[h]
+        at = np.flatnonzero(slot >= 0)
+        pair, rule = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1], slot[at].astype(np.int64)
+        keys = np.zeros(len(slots), dtype=np.uint64)
+        keys[rule] = pair
+        same = keys[rule] == pair
+        at, rule = at[same], rule[same]
+        n = np.bincount(rule, minlength=len(slots))
+        rank = np.where(n >= least, np.cumsum(n >= least) - 1, -1)
+        best = np.flatnonzero(n >= least)
         if not len(best):
             break
-        rank = np.full(len(keys), -1, dtype=np.int64)
-        rank[best] = np.arange(len(best))
-        use = rank[inverse] >= 0
-        at, rule = at[use], rank[inverse][use]
+        use = rank[rule] >= 0
+        at, rule = at[use], rank[rule[use]]
         # of overlapping occurrences every second one, from the left
         run = np.cumsum(np.append(True, np.diff(at) > 1)) - 1
         start = np.append(0, np.flatnonzero(np.diff(run)) + 1)
