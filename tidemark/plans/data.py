@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
-from ..fixtures import AI, BLOCKS, HUMAN, TE, merged_sql
+from ..fixtures import AI, BLOCKS, HUMAN, TE
 from ..functions.scalar import f1, r4, share
 from ..functions.udf import score_with
 from ..operators import intervals as iv
@@ -20,8 +20,8 @@ from ..operators import series as se
 from ..sources import io
 from ..streaming import jobs
 from .intervals import METRICS
-from .rules import CATEGORY
-from .sequence import WINDOWS, clusters
+from .rules import CATEGORY, _rank_sql
+from .sequence import expand_ctes, expanded
 
 BY = ["asset_id"]
 QUERIES, SQL = {}, {}
@@ -299,16 +299,24 @@ def effect_critique(spark, sf):
     return fx.blocks(spark, sf).where("speed = 2").groupBy("asset_id").agg(F.count("*").alias("zooms")).where("zooms > 10")
 
 
-@query(f"""WITH {TE}, {WINDOWS}, {merged_sql('win', 'mw', 0)}, sp AS (SELECT m.asset_id, m.start_us, m.end_us, sum(least(m.end_us, t.end_us) - greatest(m.start_us, t.start_us)) FILTER (t.event_type = 'speech') AS speech, count_if(t.event_type = 'face_reaction')::BIGINT AS reactions FROM mw m JOIN te t ON t.asset_id = m.asset_id AND m.start_us < t.end_us AND t.start_us < m.end_us GROUP BY ALL)
- SELECT asset_id, start_us, end_us, round(coalesce(speech, 0) / greatest(end_us - start_us, 100000), 4) AS speech_density, reactions, CASE WHEN reactions > 0 THEN 'interesting' WHEN coalesce(speech, 0) > 0 THEN 'uncertain' ELSE 'low_signal' END AS label FROM sp""")
+_SAME = "2 * (least(f.e, m.end_us) - m.start_us) > least(f.e - f.s, m.end_us - m.start_us)"
+
+
+@query(f"""WITH RECURSIVE {TE}, {expand_ctes(False)}, m AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY start_us, end_us, cluster) AS rn FROM expanded),
+ f AS (SELECT asset_id, rn, start_us AS s, end_us AS e, 1 AS grp FROM m WHERE rn = 1 UNION ALL SELECT m.asset_id, m.rn, CASE WHEN {_SAME} THEN f.s ELSE m.start_us END, CASE WHEN {_SAME} THEN greatest(f.e, m.end_us) ELSE m.end_us END, f.grp + CASE WHEN {_SAME} THEN 0 ELSE 1 END FROM f JOIN m ON m.asset_id = f.asset_id AND m.rn = f.rn + 1),
+ c AS MATERIALIZED (SELECT asset_id, min(s) AS start_us, max(e) AS end_us FROM f GROUP BY asset_id, grp), j AS (SELECT c.asset_id, c.start_us, c.end_us, coalesce(sum(least(c.end_us, t.end_us) - greatest(c.start_us, t.start_us)) FILTER (t.event_type = 'speech'), 0) AS speech, count_if(t.event_type = 'face_reaction')::BIGINT AS reactions FROM c LEFT JOIN te t ON t.asset_id = c.asset_id AND c.start_us < t.end_us AND t.start_us < c.end_us GROUP BY ALL),
+ s AS (SELECT *, 0.5::DOUBLE AS importance, 0.5::DOUBLE AS novelty, 0.5::DOUBLE AS emotional_intensity, 0.5::DOUBLE AS story_value, 0.5::DOUBLE AS repetition, CASE WHEN reactions > 0 THEN 0.75 ELSE 0.5 END::DOUBLE AS humor, CASE WHEN reactions > 0 THEN 0.75 ELSE 0.5 END::DOUBLE AS reaction, CASE WHEN reactions > 0 THEN least(1, greatest(0.5, 0.60::DOUBLE + 0.15::DOUBLE * reactions)) ELSE 0.5 END::DOUBLE AS visual_interest FROM j), k AS (SELECT *, {_rank_sql('balanced')} AS rank FROM s)
+ SELECT asset_id, start_us, end_us, round(speech / greatest(end_us - start_us, 100000), 4) AS speech_density, reactions, rank, CASE WHEN rank >= 0.7 THEN 'interesting' WHEN rank >= 0.4 THEN 'uncertain' ELSE 'low_signal' END AS label, sha256(concat_ws('|', CAST(asset_id AS VARCHAR), CAST(start_us AS VARCHAR), CAST(end_us AS VARCHAR))) AS signature FROM k""")
 def generate_candidates(spark, sf):
-    """Events to relational clusters, windows, merged candidates, their features and labels, in one plan."""
+    """Events to relational clusters, windows, expanded and merged candidates, features, elevated scores, rank, label and signature, in one plan."""
     e = fx.timeline_events(spark, sf)
-    w = iv.merge_intervals(sq.build_windows(clusters(spark, sf), BY), BY, 0)
-    f = sq.window_features(w.withColumn("candidate", F.col("start_us")), e, BY, ["candidate"])
-    label = F.when(F.col("reactions") > 0, "interesting").when(F.col("speech_us") > 0, "uncertain").otherwise("low_signal")
-    touched = iv.overlap_join(w, e.select("asset_id", "start_us", "end_us"), BY).select("asset_id", "start_us").distinct()
-    return f.join(touched, ["asset_id", "start_us"], "left_semi").select("asset_id", "start_us", "end_us", "speech_density", "reactions", label.alias("label"))
+    w = sq.merge_overlapping(expanded(spark, sf, False), BY, order="cluster")
+    f = sq.window_features(w.withColumn("candidate", F.col("start_us")), e, BY, ["candidate"]).withColumn("reaction_n", F.col("reactions"))
+    for name in ru.SCORES:
+        f = f.withColumn(name, F.lit(0.5) if name != "chat_relevance" else F.lit(None).cast("double"))
+    f = ru.elevate_scores(f).withColumn("rank", ru.weighted_rank()).withColumn("rule_confidence", F.lit(0.5))
+    f = ru.triage(f, "rank", "rule_confidence")
+    return f.select("asset_id", "start_us", "end_us", "speech_density", "reactions", "rank", "label", ru.signature(F.col("asset_id"), F.col("start_us"), F.col("end_us")).alias("signature"))
 
 
 @query(f"""WITH {TE}, {BLOCKS}, d AS (SELECT *, edit_start_us - lag(edit_start_us) OVER w AS de, source_start_us - lag(source_start_us) OVER w AS ds FROM blocks WHERE block_id % 3 <> 0 WINDOW w AS (PARTITION BY asset_id ORDER BY edit_start_us, block_id)), q AS (SELECT *, sum(CASE WHEN de > 0 AND 2 * ds >= de AND 2 * ds <= 3 * de THEN 0 ELSE 1 END) OVER (PARTITION BY asset_id ORDER BY edit_start_us, block_id ROWS UNBOUNDED PRECEDING) AS sq FROM d), a AS (SELECT * FROM q QUALIFY count(*) OVER (PARTITION BY asset_id, sq) >= 2),

@@ -186,6 +186,11 @@ def overlap_metrics(spark, sf):
     return mt.overlap_metrics(fx.ai_intervals(spark, sf), fx.human_intervals(spark, sf), BY)
 
 
+@query(f"WITH {TE}, {AI}, {HUMAN}, {METRICS} SELECT asset_id, ai_us AS a_us, inter_us FROM om WHERE tol_us = 1000000 AND ai_us > 0")
+def intersection_duration(spark, sf):
+    return iv.intersection_duration(fx.ai_intervals(spark, sf), fx.human_intervals(spark, sf), BY, 1_000_000)
+
+
 @query(f"""WITH {TE}, {AI}, {HUMAN}, {METRICS}, mm AS (SELECT tol_us, round(avg(precision), 4) AS macro_precision, round(avg(recall), 4) AS macro_recall, round(avg(f1), 4) AS macro_f1, round(least(sum(inter_us) / sum(ai_us), 1), 4) AS micro_precision, round(least(sum(inter_us) / sum(human_us), 1), 4) AS micro_recall FROM om GROUP BY tol_us)
  SELECT *, round(2 * micro_precision * micro_recall / (micro_precision + micro_recall), 4) AS micro_f1 FROM mm""")
 def macro_micro(spark, sf):

@@ -51,7 +51,7 @@ def build_windows(spark, sf):
     return sq.build_windows(clusters(spark, sf), BY)
 
 
-def _expand_sql(legacy: bool) -> str:
+def expand_ctes(legacy: bool) -> str:
     pad = 1500000 if legacy else 3000000
     seg = "FROM te g WHERE g.asset_id = w.asset_id AND g.event_type = 'speech'"
     x0 = f"""x0 AS (SELECT *, coalesce((SELECT arg_min(start_us, (start_us, end_us)) {seg} AND start_us <= w.start_us AND w.start_us <= end_us), w.start_us) AS a, coalesce((SELECT arg_min(end_us, (start_us, end_us)) {seg} AND start_us <= w.end_us AND w.end_us <= end_us), w.end_us) AS b,
@@ -64,13 +64,20 @@ def _expand_sql(legacy: bool) -> str:
         x2 = f"x2 AS (SELECT *, greatest(a1, greatest(0, start_us - {pad})) AS a2, least(coalesce((SELECT arg_min(end_us, (start_us, end_us)) {seg1} AND end_us >= x1.end_us AND end_us - x1.end_us <= {pad} AND end_us > x1.b AND start_us <= x1.end_us + {pad}), b), end_us + {pad}) AS b2 FROM x1)"
     fw = "b2" if legacy else "coalesce((SELECT min(s) FROM sc WHERE sc.asset_id = x2.asset_id AND s >= x2.end_us AND s < x2.b2), b2)"
     x3 = f"x3 AS (SELECT asset_id, cluster, coalesce((SELECT max(s) FROM sc WHERE sc.asset_id = x2.asset_id AND s > x2.a2 AND s <= x2.start_us), a2) AS a3, {fw} AS b3 FROM x2)"
-    return f"WITH {TE}, {WINDOWS}, w AS (SELECT asset_id, cluster, start_us, end_us FROM win), {x0}, {x1}, {x2}, {x3} SELECT asset_id, cluster, a3 AS core_start_us, greatest(a3, b3) AS core_end_us, greatest(0, a3 - 5000000) AS start_us, greatest(a3, b3) + 5000000 AS end_us FROM x3"
+    return f"{WINDOWS}, w AS (SELECT asset_id, cluster, start_us, end_us FROM win), {x0}, {x1}, {x2}, {x3}, expanded AS (SELECT asset_id, cluster, a3 AS core_start_us, greatest(a3, b3) AS core_end_us, greatest(0, a3 - 5000000) AS start_us, greatest(a3, b3) + 5000000 AS end_us FROM x3)"
 
 
-def _expand(spark, sf, legacy):
+def _expand_sql(legacy: bool) -> str:
+    return f"WITH {TE}, {expand_ctes(legacy)} SELECT * FROM expanded"
+
+
+def expanded(spark, sf, legacy):
     e = fx.timeline_events(spark, sf)
-    x = sq.expand_context(sq.build_windows(clusters(spark, sf), BY), fx.of_types(e, "speech"), fx.of_types(e, "silence"), BY, ["cluster"], legacy=legacy)
-    return x.select("asset_id", "cluster", "core_start_us", "core_end_us", "start_us", "end_us")
+    return sq.expand_context(sq.build_windows(clusters(spark, sf), BY), fx.of_types(e, "speech"), fx.of_types(e, "silence"), BY, ["cluster"], legacy=legacy)
+
+
+def _expand(spark, sf, legacy):
+    return expanded(spark, sf, legacy).select("asset_id", "cluster", "core_start_us", "core_end_us", "start_us", "end_us")
 
 
 @query(_expand_sql(False))
