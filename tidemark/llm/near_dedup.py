@@ -1,17 +1,18 @@
 """MinHash near-duplicates with tensored banding.
 
 A document's set has its distinct shingles of `shingle` words. Two small collections of GROUPS minhash tuples of
-ROWS hashes each are computed; a table's key combines one tuple of the first collection with one of the second,
-so GROUPS ** 2 tables need only 2 * GROUPS * ROWS minhashes, about the square root of what as many independent
-tables would take. Two sets of similarity 0.8 share no table with probability 2 * (1 - 0.8 ** ROWS) ** GROUPS,
-under 0.0001.
+ROWS hashes are computed; a table's key combines one tuple of the first collection with one of the second, so 120
+tables of 5 hashes need only 56 minhashes, about the square root of what as many independent tables would take.
+Two sets of similarity 0.8 share no table with probability (1 - 0.8 ** 3) ** 12 + (1 - 0.8 ** 2) ** 10, about
+0.0002; sets of 0.85 with 0.00002.
 
 Documents with equal sets are one class. Among classes, links are confirmed on the full sets, in rounds that never
 pair all members of a table's group:
 
 1. every member with the group's smallest document;
 2. members of other components than a group's random member with that member (another one in each table);
-3. whatever pairs of different components are left in a group.
+3. each member with its nearest of other components in its groups, and again with the components found meanwhile;
+   once that finds no link, with 32 times as many, until no pair of different components is left.
 
 Candidates of all rounds pass two exact bounds (the sizes, and the number of differing parity bits, which cannot
 exceed the number of differing shingles). Components are found by label propagation after each round.
@@ -27,15 +28,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._base import materialize, read_documents, settle, small_batches, texts
 from .tokens import ragged
 from .words import SOLID, mix, words
 
-GROUPS, ROWS, PARITY = 10, 2, 16
-_SEEDS = np.random.default_rng(99).integers(1, 1 << 62, 2 * GROUPS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Tuples and hashes in a tuple of both collections; parity words, of which those for comparisons inside groups.
+GROUPS, ROWS, PARITY, SHORT = (12, 10), (3, 2), 16, 8
+#: Members outside of a group's largest component in a block.
+BLOCK = 256
+HASHES = GROUPS[0] * ROWS[0] + GROUPS[1] * ROWS[1]
+_SEEDS = np.random.default_rng(99).integers(1, 1 << 62, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SIGNED = "doc_id long, n long, s1 long, s2 long, left array<long>, right array<long>, parity array<long>"
 
 
@@ -73,10 +78,15 @@ def signed(docs: DataFrame, shingle: int) -> DataFrame:
                     for k, seed in enumerate(_SEEDS):
                         v = key * seed
                         mins[k, some] = np.minimum.reduceat(v ^ (v >> np.uint64(31)), rows)
-                    tuples = mix(mins.reshape(2, GROUPS, ROWS, -1)[:, :, 0] * np.uint64(0x9E3779B97F4A7C15) + mins.reshape(2, GROUPS, ROWS, -1)[:, :, 1])
                 np.add.at(parity, (doc, (mix(key) >> np.uint64(54)).astype(np.int64) % (PARITY * 64)), 1)
-            else:
-                tuples = np.zeros((2, GROUPS, len(n)), np.uint64)
+            with np.errstate(over="ignore"):
+                tuples, at = [], 0
+                for groups, rows_of in zip(GROUPS, ROWS, strict=True):
+                    part, t = mins[at : at + groups * rows_of].reshape(groups, rows_of, -1), np.zeros((groups, len(n)), np.uint64)
+                    for k in range(rows_of):
+                        t = mix(t * np.uint64(0x9E3779B97F4A7C15) + part[:, k])
+                    tuples.append(t)
+                    at += groups * rows_of
             bits = np.packbits((parity & 1).astype(np.uint8), axis=1).view("<i8") if len(n) else np.zeros((0, PARITY), np.int64)
             listed = lambda x: pa.array(list(np.ascontiguousarray(x.T).view(np.int64)), pa.list_(pa.int64()))
             yield pa.record_batch([batch.column("doc_id"), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), listed(tuples[0]), listed(tuples[1]), pa.array(list(bits), pa.list_(pa.int64()))], names=["doc_id", "n", "s1", "s2", "left", "right", "parity"])
@@ -89,36 +99,36 @@ def components(links: DataFrame) -> DataFrame:
     both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     label = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("component")).withColumnRenamed("a", "node"), "labels")
     while True:
-        near = both.join(label.hint("merge"), both.b == label.node).select(F.col("a").alias("node"), "component")
-        best = near.unionByName(label).groupBy("node").agg(F.min("component").alias("component"))
+        near = both.join(label.hint("merge"), both.b == label.node).select(F.col("a").alias("node"), "component", F.lit(None).cast("long").alias("old"))
+        best = near.unionByName(label.withColumn("old", F.col("component"))).groupBy("node").agg(F.min("component").alias("component"), F.max("old").alias("old"))
         best = materialize(best, "labels")
         jump = best.select(F.col("node").alias("component"), F.col("component").alias("next"))  # a label's own label
-        new = materialize(best.join(jump.hint("merge"), "component", "left").select("node", F.coalesce("next", "component").alias("component")), "labels")
-        moved = new.join(label.withColumnRenamed("component", "old").hint("merge"), "node").where("component <> old").limit(1).count()
-        if not moved:
-            return new
-        label = new
+        new = materialize(best.join(jump.hint("merge"), "component", "left").select("node", F.coalesce("next", "component").alias("component"), "old"), "labels")
+        label = new.select("node", "component")
+        if not new.where("component <> old").limit(1).count():
+            return label
 
 
-def _tables(signs: DataFrame) -> DataFrame:
-    """key, node, n, bits, component: a row for each table of each class."""
-    pairs = [(i, j) for i in range(GROUPS) for j in range(GROUPS)]
-    keys = F.array(*[F.xxhash64(F.col("left")[i], F.col("right")[j], F.lit(i * GROUPS + j)) for i, j in pairs])
-    return signs.select(F.explode(keys).alias("key"), "node", "n", F.col("parity")[0].alias("bits"), "component")
+def _tables(classes: DataFrame) -> DataFrame:
+    """key, node, n, bits: a row for each table of each class."""
+    keys = F.array(*[F.xxhash64(F.col("left")[i], F.col("right")[j], F.lit(i * GROUPS[1] + j)) for i in range(GROUPS[0]) for j in range(GROUPS[1])])
+    return classes.select(F.explode(keys).alias("key"), "node", "n", F.col("parity")[0].alias("bits"))
 
 
-def _may(a: str, b: str, bits: str = "bits") -> Column:
+def _bound(a: str, b: str, bits: str) -> str:
     """The exact bounds: sizes, and differing parity bits against the largest symmetric difference."""
-    return F.expr(f"100 * least({a}.n, {b}.n) >= 80 * greatest({a}.n, {b}.n) and 9 * bit_count({a}.{bits} ^ {b}.{bits}) <= {a}.n + {b}.n")
+    return f"100 * least({a}n, {b}n) >= 80 * greatest({a}n, {b}n) and 9 * ({bits}) <= {a}n + {b}n"
+
+
+def _differ(a: str, b: str, n: int) -> str:
+    return " + ".join(f"bit_count({a}parity[{k}] ^ {b}parity[{k}])" for k in range(n))
 
 
 def similar(pairs: DataFrame, docs: DataFrame, signs: DataFrame, shingle: int) -> DataFrame:
     """The pairs a, b whose full sets link, after the exact bounds on all parity bits."""
-    side = signs.select("node", "n", "parity")
-    x = pairs.join(side.select(F.col("node").alias("a"), F.struct("n", "parity").alias("x")).hint("merge"), "a")
-    x = x.join(side.select(F.col("node").alias("b"), F.struct("n", "parity").alias("y")).hint("merge"), "b")
-    differ = " + ".join(f"bit_count(x.parity[{k}] ^ y.parity[{k}])" for k in range(PARITY))
-    kept = materialize(x.where(f"9 * ({differ}) <= x.n + y.n").select("a", "b"), "candidates")
+    side = signs.select("node", F.struct("n", "parity").alias("x"))
+    x = pairs.join(side.select(F.col("node").alias("a"), "x").hint("merge"), "a").join(side.select(F.col("node").alias("b"), F.col("x").alias("y")).hint("merge"), "b")
+    kept = materialize(x.where(_bound("x.", "y.", _differ("x.", "y.", PARITY))).select("a", "b"), "candidates")
     sides = kept.select(F.col("a").alias("doc_id"), "a", "b").unionByName(kept.select(F.col("b").alias("doc_id"), "a", "b"))
     found = materialize(texts(docs).join(sides.hint("merge"), "doc_id"), "candidate-texts")
     left = found.where("doc_id = a").select("a", "b", F.col("text").alias("x"))
@@ -139,37 +149,66 @@ def similar(pairs: DataFrame, docs: DataFrame, signs: DataFrame, shingle: int) -
     return left.join(right.hint("merge"), ["a", "b"]).select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long").distinct()
 
 
+def _across(members: DataFrame, classes: DataFrame, label: DataFrame, most: int) -> DataFrame:
+    """a, b, more: pairs of different components within a group that pass the bounds.
+
+    most 0: each member with one member of its group, another one in each table. Else the members outside of a
+    group's largest component are packed into blocks, each member meets each block once, and its `most` nearest
+    that pass leave the comparison; `more` says whether others stayed behind.
+    """
+    now = classes.join(label.hint("merge"), "node", "left").select("node", F.coalesce("component", "node").alias("component"), "n", F.slice("parity", 1, SHORT).alias("parity"))
+    split = members.join(now.select("node", "component").hint("merge"), "node")
+    counts = split.groupBy("key", "component").agg(F.count("*").alias("c"))
+    mixed = counts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("m"), F.sum("c").alias("all")).where("all > m.c").select("key", F.col("m.component").alias("main"), (F.col("all") - F.col("m.c")).alias("out"))
+    mixed = materialize(mixed, "mixed-groups")
+    left = materialize(split.join(mixed.hint("merge"), "key").join(now.drop("component").hint("merge"), "node"), "mixed-members")
+    if not most:
+        pivot = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node", "component", "n", "parity")).alias("p"))
+        pairs = left.join(materialize(pivot, "pivots").hint("merge"), "key").where("component <> p.component").where(_bound("p.", "", _differ("p.", "", SHORT)))
+        pairs = pairs.select(F.col("p.node").alias("x"), F.col("node").alias("y"), F.lit(False).alias("more"))
+    else:
+        block = F.pmod(F.xxhash64("node"), F.ceil(F.col("out") / BLOCK))
+        blocks = left.where("component <> main").groupBy("key", block.alias("block")).agg(F.collect_list(F.struct("node", "component", "n", "parity")).alias("outs"))
+        near = F.expr(f"array_sort(transform(filter(outs, o -> o.component <> component and {_bound('o.', '', _differ('o.', '', SHORT))}), o -> named_struct('differ', {_differ('o.', '', SHORT)}, 'x', o.node)))")
+        met = left.join(materialize(blocks, "outsiders").hint("merge"), "key").select(F.col("node").alias("y"), near.alias("near")).where("size(near) > 0")
+        pairs = met.select("y", (F.size("near") > most).alias("more"), F.explode(F.slice("near", 1, most)).alias("o")).select(F.col("o.x").alias("x"), "y", "more")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "more").groupBy("a", "b").agg(F.max("more").alias("more"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each document."""
     spark = docs.sparkSession
     signs = materialize(signed(docs, shingle), "signatures")
     classes = materialize(signs.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "left", "right", "parity")).alias("m")).select("n", "s1", "s2", F.col("m.doc_id").alias("node"), "m.left", "m.right", "m.parity"), "classes")
     settle(spark)
-    links, label = None, None
-    for step in ("smallest", "random", "rest"):
-        now = classes.withColumn("component", F.col("node")) if label is None else classes.join(label.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        now = materialize(now, "classes-now")
-        rows = _tables(now)
-        pick = F.struct("node", "n", "bits", "component") if step == "smallest" else F.struct(F.xxhash64("node", "key").alias("h"), "node", "n", "bits", "component")
-        groups = rows.groupBy("key").agg(F.min(pick).alias("p"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-        groups = materialize(groups.select("key", "p.*") if step != "rest" else groups.select("key"), "groups")
-        settle(spark)
-        r = rows.alias("r")
-        if step == "rest":
-            left = materialize(r.join(groups.hint("merge"), "key", "left_semi"), "rest")
-            pairs = left.alias("p").join(left.alias("r").hint("merge"), F.expr("p.key = r.key and p.component < r.component") & _may("p", "r"))
-        else:
-            pairs = groups.alias("p").hint("merge").join(r, F.expr("p.key = r.key and p.component <> r.component") & _may("p", "r"))
-        pairs = pairs.select(F.least("p.node", "r.node").alias("a"), F.greatest("p.node", "r.node").alias("b")).distinct()
-        pairs = materialize(pairs, "pairs")
+    rows = _tables(classes)
+    groups = rows.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("high"), F.count("*").alias("c")).where("pivot <> high").drop("high")
+    groups = materialize(groups, "groups")
+    settle(spark)
+    ends = classes.select(F.col("node").alias("pivot"), F.struct("n", F.col("parity")[0].alias("bits")).alias("p"))
+    members = materialize(rows.join(groups.join(ends.hint("merge"), "pivot").hint("merge"), "key"), "members")
+    settle(spark)
+    star = members.where("node <> pivot").where(_bound("p.", "", "bit_count(p.bits ^ bits)")).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    tested = materialize(star, "pairs")
+    links = materialize(similar(tested, docs, classes, shingle), "new-links")
+    settle(spark)
+    label = components(links)
+    members, most = members.where("c > 2").select("key", "node"), 0
+    while True:
+        found = materialize(_across(members, classes, label, most), "pairs")
+        some = materialize(found.select("a", "b").join(tested.hint("merge"), ["a", "b"], "left_anti"), "pairs")
         settle(spark)
-        new = materialize(similar(pairs, docs, classes, shingle), "new-links")
+        new = materialize(similar(some, docs, classes, shingle), "new-links")
         settle(spark)
-        links = new if links is None else links.unionByName(new)
-        if not new.limit(1).count():
-            if label is not None or step == "rest":
-                continue
-        label = components(links)
+        tested = tested.unionByName(some)
+        if new.limit(1).count():
+            links = links.unionByName(new)
+            label = components(links)
+            most = max(most, 4)
+        elif most and not found.where("more").limit(1).count():
+            break  # every pair of different components that passes the bounds is confirmed to be none
+        else:
+            most = 32 * most or 4
     ids = classes.join(label.hint("merge"), "node", "left").select("n", "s1", "s2", F.coalesce("component", "node").alias("component_id"))
     ids = materialize(ids, "components")
     out = signs.select("doc_id", "n", "s1", "s2").join(ids.hint("merge"), ["n", "s1", "s2"], "left")
