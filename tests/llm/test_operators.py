@@ -198,6 +198,37 @@ def test_decontamination(spark):
     assert decontamination.contaminated(docs_of(spark, texts[:3]), bench.limit(0)).count() == 0
 
 
+def test_decontamination_at_the_thresholds(spark):
+    """Items of 12 to 2,000 words, their words replaced or spread out down to the checker's least shares, against a search of all regions."""
+    r = random.Random(8)
+    vocab = sorted({w for t in prose(40, seed=9) for w in t.split()})
+    items = [" ".join(r.choice(vocab) for _ in range(n - 4)) + ". " + " ".join(r.choice(vocab) for _ in range(4)) + "." for n in [12, 18, 22, 26, 30, 45, 46, 65, 90] * 5 + [300, 4000, 4000]]
+    texts, planted = prose(120, seed=10), []
+    for d, i in enumerate(list(range(len(items))) * 2):
+        w = items[i].split()
+        m, keep = len(w) - len(decontamination.answer_of(items[i]).split()), 0.78 if d % 3 else 0.66
+        gone = set(r.sample(range(len(w) if keep > 0.75 or m < 4 else m), int(len(w) * (1 - keep))))
+        w = [x if k not in gone else " ".join(r.choices(vocab, k=1 + d % 2)) for k, x in enumerate(w)]
+        own = texts[d].split()
+        at = r.randrange(len(own))
+        texts[d] = " ".join(own[:at] + w + own[at:])
+        planted.append((d, i))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontamination.contaminated(docs_of(spark, texts), bench).collect()}
+    brute = set()
+    for d, i in planted:
+        item, answer = items[i].lower().replace(".", "").split(), decontamination.answer_of(items[i]).lower().rstrip(".").split()
+        words = texts[d].lower().replace(".", "").split()
+        for at in range(0, max(1, len(words) - len(item)), max(1, len(item) // 8)):
+            region = words[at : at + 2 * len(item)]
+            share = decontamination.lcs(item, region) / len(item)
+            if share >= 0.75 or share >= 0.6 and decontamination.lcs(answer, region) >= 0.8 * len(answer):
+                brute.add((d, i))
+    assert len(brute) >= 80 and len(brute & got) >= 0.9 * len(brute)
+    assert {p for p in brute if len(items[p[1]].split()) > 1024} <= got
+    assert all(decontamination.scales_to(n)[-1] >= n for n in (1, 920, 921, 5000))
+
+
 def test_lcs():
     assert decontamination.lcs([1, 2, 3, 4], [9, 2, 3, 9, 4]) == 3 and decontamination.lcs([1, 1, 2], [1, 2, 1]) == 2
 
