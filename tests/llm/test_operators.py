@@ -176,6 +176,22 @@ def test_near_dedup_empty(spark):
     assert near_dedup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_every_line_dedup_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    from tidemark.llm import queries
+
+    name, texts = "op9_every_line_dedup", ["Les.\nown words\n長い行です長い行です", "les. \n\n\u3000\nOWN\u00a0 words", None, "", "長い行です長い行です\n\u3000\n \nLes.", "a\x1cb\na b"]
+    docs_of(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in queries.queries()[name](spark, str(tmp_path)).collect())
+    assert got == [(1, 0, 5, 0, 0), (1, 9, 19, 0, 5), (4, 0, 10, 0, 15), (4, 15, 19, 0, 0), (5, 4, 7, 5, 0)]
+    for path in (f"{tmp_path}/documents.parquet/*.parquet", "/root/testdata/sf0.001/documents.parquet"):
+        duck = duckdb.connect()
+        duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{path}'")
+        rows = queries.queries()[name](spark, path.split("/documents")[0]).collect()
+        assert sorted(tuple(r) for r in rows) == sorted(duck.sql(queries.oracle_sql()[name]).fetchall()) and rows
+
+
 def test_decontamination(spark):
     items = prose(30, seed=5) + ["", None, "one two three"]
     texts = prose(150, seed=6) + ODD

@@ -5,7 +5,7 @@ grouped globally, and the occurrence with the smallest (doc_id, start) stays. Of
 original text, end exclusive, without the line end.
 
 Defined cases: null and empty texts have no lines to remove. Lines of fewer than `min_words` words are never
-removed. Rows that repeat doc_id and text rank as one: a line stays in both or goes from both. An empty table
+removed; with 1, as in op9_every_line_dedup, every line with a word counts. Rows that repeat doc_id and text rank as one: a line stays in both or goes from both. An empty table
 gives an empty result. Other columns are not read.
 """
 
@@ -77,6 +77,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines(read_documents(spark, sf_dir))
 
 
+def op9_every_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_lines(read_documents(spark, sf_dir), min_words=1)
+
+
 OP9_SQL = r"""
 WITH cut AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
@@ -93,3 +97,19 @@ WITH cut AS (
 )
 SELECT doc_id, start, "end", first_doc_id, first_start FROM ranked WHERE doc_id <> first_doc_id OR start <> first_start
 """
+
+#: Of every line with a word, whatever its length; white space as Python takes it.
+OP9_EVERY_SQL = r"""
+WITH cut AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), numbered AS (
+  SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS n FROM cut
+), placed AS (
+  SELECT doc_id, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM numbered
+), units AS (
+  SELECT doc_id, start, start + length(line) AS "end", trim(regexp_replace(lower(line), '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+', ' ', 'g')) AS unit FROM placed
+), ranked AS (
+  SELECT *, first_value(doc_id) OVER w AS first_doc_id, first_value(start) OVER w AS first_start FROM units WHERE unit <> '' WINDOW w AS (PARTITION BY unit ORDER BY doc_id, start)
+)
+SELECT doc_id, start, "end", first_doc_id, first_start FROM ranked WHERE doc_id <> first_doc_id OR start <> first_start
+"""
