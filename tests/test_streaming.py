@@ -6,8 +6,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidemark.operators.series import best_lag
-from tidemark.plans.data import _run, _stream
+from tidemark.operators.series import best_lag, chunks_of
+from tidemark.plans.data import QUERIES, _run, _stream
 from tidemark.sources import io
 from tidemark.streaming import jobs
 
@@ -55,3 +55,28 @@ def test_best_lag_finds_its_place(spark):
     chunks = spark.createDataFrame([(1, 0, y[20:35]), (1, 1, y[50:62])], "k long, chunk_id long, levels array<double>")
     got = best_lag(chunks, spark.createDataFrame([(1, y)], "k long, levels array<double>"), ["k"])
     assert sorted((x.chunk_id, x.lag, x.speed) for x in got.collect()) == [(0, 20, 1.0), (1, 50, 1.0)]
+
+
+def test_best_lag_covers_the_whole_series(spark):
+    sf = "/root/testdata/sf0.001"
+    want = {(r.user_id, c) for r in spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id").count().collect() for c in range((r["count"] - 12) // 6 + 1)}
+    got = {(r.asset_id, r.chunk_id): r for r in QUERIES["best_lag"](spark, sf).collect()}
+    assert set(got) == want and all(r.score > 0.99 for r in got.values())
+    rows = spark.createDataFrame([(1, [float(i * i % 7) for i in range(n)]) if n == 9 else (n, [float(i * i % 11) for i in range(n)]) for n in (9, 12, 17, 18, 140)], "k long, levels array<double>")
+    cut = {(r.k, r.chunk_id): (len(r.levels), len(r.context), r.context_at) for r in chunks_of(rows, ["k"]).collect()}
+    assert cut[1, 0] == (9, 9, 0) and cut[12, 0] == (12, 12, 0) and (17, 1) not in cut and cut[18, 1] == (12, 18, 6)
+    assert len([x for x in cut if x[0] == 140]) == 22 and cut[140, 12] == (12, 120, 60) and cut[140, 21] == (12, 74, 60)
+
+
+def test_best_lag_tries_ambiguous_chunks_with_context(spark):
+    r = random.Random(11)
+    y = [r.random() for _ in range(1500)]
+    noise = [r.random() for _ in range(1500)]
+    faint = [0.5 * a + 0.9 * b for a, b in zip(y[700:800], noise, strict=False)]
+    rows = [(1, 0, faint, y[400:1000], 300), (1, 1, faint, noise[100:700], 300), (1, 2, faint, y[650:850], 50)]
+    kind = "k long, chunk_id long, levels array<double>, context array<double>, context_at int"
+    chunks, source = spark.createDataFrame(rows, kind), spark.createDataFrame([(1, y)], "k long, levels array<double>")
+    alone = best_lag(chunks.drop("context", "context_at"), source, ["k"], (1.0,)).collect()
+    assert len(alone) == 3 and all(0.35 < x.score < 0.45 and x.lag == 700 for x in alone)
+    got = {x.chunk_id: (x.lag, round(x.score, 2)) for x in best_lag(chunks, source, ["k"], (1.0,)).collect()}
+    assert got == {0: (700, 1.0), 2: (700, round(alone[0].score, 2))}  # confirmed, refused, too little context

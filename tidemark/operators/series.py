@@ -52,11 +52,38 @@ def envelope(samples: DataFrame, by: Keys, rate_us: int = SECOND // 10, width: i
     return b.select(*by, "bin", r4("level").alias("level"), r4(F.avg("level").over(w)).alias("smooth"))
 
 
-def best_lag(chunks: DataFrame, source: DataFrame, by: Keys, speeds: tuple[float, ...] = (0.5, 1.0, 1.5, 2.0), accept: float = 0.35) -> DataFrame:
+def _slide(x: np.ndarray, y: np.ndarray, speed: float) -> tuple[float, int]:
+    """The highest normalised correlation of x, stretched by speed, with a part of y, and where; (-1, 0) if it is too long."""
+    n = max(2, round(len(x) * speed))
+    if n > len(y):
+        return -1.0, 0
+    z = np.interp(np.linspace(0, len(x) - 1, n), np.arange(len(x)), x)
+    z = z - z.mean()
+    windows = np.lib.stride_tricks.sliding_window_view(y, n)
+    dev = np.sqrt(np.maximum(windows.var(axis=1) * n, 1e-12) * max((z * z).sum(), 1e-12))
+    score = (windows @ z) / dev
+    at = int(score.argmax())
+    return round(float(score[at]), 4), at
+
+
+def chunks_of(series: DataFrame, by: Keys, size: int = 12, stride: int = 6) -> DataFrame:
+    """Chunks (chunk_id, levels) of each series (levels) from start to end, with ten times as much around them (context, context_at).
+
+    A series shorter than a chunk is one chunk. context_at is the chunk's place in its context.
+    """
+    first = F.expr(f"sequence(0, greatest(0, size(levels) - {size}), {stride})")
+    c = series.where("size(levels) > 0").select(*by, "levels", F.posexplode(first).alias("chunk_id", "_at")).withColumn("_from", F.greatest(F.lit(0), F.col("_at") - 5 * size))
+    return c.select(*by, F.col("chunk_id").cast("long").alias("chunk_id"), F.expr(f"slice(levels, _at + 1, {size})").alias("levels"), F.expr(f"slice(levels, _from + 1, {10 * size})").alias("context"), (F.col("_at") - F.col("_from")).alias("context_at"))
+
+
+def best_lag(chunks: DataFrame, source: DataFrame, by: Keys, speeds: tuple[float, ...] = (0.5, 1.0, 1.5, 2.0), accept: float = 0.35, ambiguous: tuple[float, float] = (0.25, 0.45)) -> DataFrame:
     """For each chunk (chunk_id, levels) the place and speed in its key's source (levels) of highest normalised correlation.
 
-    The join brings a key's source envelope, at 10 values a second, to its chunks; numpy slides over it.
+    The join brings a key's source envelope, at 10 values a second, to its chunks; numpy slides over it. Where chunks
+    have a context (see chunks_of), an ambiguous score is tried again with the context near the first place, if it has
+    over five times the chunk's length: the context's score and place count if it is accepted, else there is no match.
     """
+    wide = ["context", "context_at"] if "context" in chunks.columns else []
     pairs = chunks.join(source.withColumnRenamed("levels", "long"), by)
     kinds = dict(pairs.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", chunk_id long, lag long, speed double, score double"
@@ -68,21 +95,21 @@ def best_lag(chunks: DataFrame, source: DataFrame, by: Keys, speeds: tuple[float
                 x, y = np.asarray(r.levels, float), np.asarray(r.long, float)
                 best = (-1.0, 0, 1.0)
                 for speed in speeds:
-                    n = max(2, round(len(x) * speed))
-                    if n > len(y):
-                        continue
-                    z = np.interp(np.linspace(0, len(x) - 1, n), np.arange(len(x)), x)
-                    z = z - z.mean()
-                    windows = np.lib.stride_tricks.sliding_window_view(y, n)
-                    dev = np.sqrt(np.maximum(windows.var(axis=1) * n, 1e-12) * max((z * z).sum(), 1e-12))
-                    score = (windows @ z) / dev
-                    at = int(score.argmax())
-                    best = max(best, (round(float(score[at]), 4), -at, speed))
+                    score, at = _slide(x, y, speed)
+                    best = max(best, (score, -at, speed))
+                if wide and ambiguous[0] <= best[0] < ambiguous[1] and len(r.context) > 5 * len(x):
+                    speed, before = best[2], round(r.context_at * best[2])
+                    low = max(0, -best[1] - before - 5 * len(x))
+                    score, at = _slide(np.asarray(r.context, float), y[low : low + round(len(r.context) * speed) + 10 * len(x)], speed)
+                    if score >= accept:
+                        best = (score, -(low + at + before), speed)
+                    elif score > -1.0:  # the source holds so much
+                        best = (0.0, 0, speed)
                 if best[0] > accept:
                     rows.append([*(getattr(r, c) for c in by), r.chunk_id, -best[1], best[2], best[0]])
             yield pd.DataFrame(rows, columns=[*by, "chunk_id", "lag", "speed", "score"])
 
-    return pairs.select(*by, "chunk_id", "levels", "long").mapInPandas(slide, schema)
+    return pairs.select(*by, "chunk_id", "levels", *wide, "long").mapInPandas(slide, schema)
 
 
 def fingerprint_match(edit: DataFrame, source: DataFrame, by: Keys, limit: float = 40.0) -> DataFrame:

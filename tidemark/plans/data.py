@@ -163,10 +163,9 @@ def envelope(spark, sf):
 
 @query()
 def best_lag(spark, sf):
-    """Parts of each recording's level series, found again in the whole series."""
+    """Overlapping chunks over each recording's whole level series, found again in the series."""
     s = series(spark, sf).groupBy("asset_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("t_us", "value"))), lambda x: x["value"]).alias("levels"))
-    parts = s.where("size(levels) >= 30").select("asset_id", F.explode(F.expr("array(0L, 1L, 2L)")).alias("chunk_id"), "levels")
-    return se.best_lag(parts.withColumn("levels", F.expr("slice(levels, cast(chunk_id * 7 + 1 as int), 12)")), s, BY)
+    return se.best_lag(se.chunks_of(s, BY), s, BY)
 
 
 @query("""WITH e AS (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id % 5 = 0), s AS (SELECT vec_id AS source_id, label, embedding AS g FROM embeddings WHERE vec_id % 5 <> 0), p AS (SELECT e.label, vec_id AS frame_id, source_id, round(list_sum(list_transform(range(1, 65), lambda i: abs(embedding[i]::DOUBLE - g[i]::DOUBLE))) / 64, 4) AS difference FROM e JOIN s USING (label))
