@@ -151,3 +151,16 @@ def test_align_words_keeps_order(spark):
     edit = spark.createDataFrame([(1, i, w) for i, w in enumerate(words[2:])], "k long, position int, word string")
     got = sorted((r.source_position, r.edit_position) for r in sm.align_words(src, edit, ["k"]).collect())
     assert got and all(s - e == 2 for s, e in got)
+
+
+def test_every_block_and_user_counts(spark):
+    from tidemark import fixtures as fx
+    from tidemark import plans
+
+    sf, q = "/root/testdata/sf0.001", plans.queries()
+    blocks = [(r.block_id, r.edit_start_us, r.edit_end_us) for r in fx.blocks(spark, sf).collect()]
+    assert {r.time_id for r in q["asof_every_block"](spark, sf).collect()} == {b for b, _, _ in blocks}
+    at = lambda step: sum(len(range(-(-s // step) * step, e, step)) for _, s, e in blocks)
+    assert sum(r.samples for r in q["alignment_accuracy_10ms"](spark, sf).collect()) == at(10_000) > 40 * at(500_000)
+    users = {r.event_id: r.user_id for r in spark.read.parquet(f"{sf}/events.parquet").collect()}
+    assert {users[r.event_id] % 2 for r in q["recent_feedback_all"](spark, sf).collect()} == {0, 1}

@@ -236,10 +236,20 @@ def retention_by_region(spark, sf):
  g AS (SELECT asset_id, count(*) AS samples, count_if(abs(truth - pred) < 500000)::BIGINT AS hits, count_if(pred IS NOT NULL AND abs(truth - pred) >= 500000)::BIGINT AS wrong, sum(abs(truth - pred))::BIGINT AS error_us FROM x GROUP BY 1) SELECT *, round(hits / samples, 4) AS recall FROM g""")
 def alignment_accuracy(spark, sf):
     """The edit clock sampled every half second: where the predicted source time is within 0.5 s of the true one."""
+    return _accuracy(spark, sf, 500_000)
+
+
+@query(SQL["alignment_accuracy"].replace("(edit_start_us + 499999) // 500000 * 500000, edit_end_us, 500000)", "(edit_start_us + 9999) // 10000 * 10000, edit_end_us, 10000)"))
+def alignment_accuracy_10ms(spark, sf):
+    """The same sampled every 10 ms, so that short blocks count too."""
+    return _accuracy(spark, sf, 10_000)
+
+
+def _accuracy(spark, sf, step):
     b = fx.blocks(spark, sf)
     pred = b.where("block_id % 10 <> 0").withColumn("source_start_us", F.col("source_start_us") + F.expr("case when block_id % 9 = 0 then 700000 else 100000 end"))
-    at = F.expr("(edit_start_us + 499999) div 500000 * 500000")
-    t = b.where(at < F.col("edit_end_us")).withColumn("t_us", F.explode(F.sequence(at, F.col("edit_end_us") - 1, F.lit(500_000))))
+    at = F.expr(f"(edit_start_us + {step - 1}) div {step} * {step}")
+    t = b.where(at < F.col("edit_end_us")).withColumn("t_us", F.explode(F.sequence(at, F.col("edit_end_us") - 1, F.lit(step))))
     t = t.withColumn("truth", F.expr("source_start_us + (t_us - edit_start_us) * speed")).select("asset_id", "t_us", "truth", F.col("t_us").alias("start_us"), F.col("t_us").alias("end_us"))
     p = pred.select("asset_id", F.col("edit_start_us").alias("start_us"), F.col("edit_end_us").alias("end_us"), "source_start_us", "speed")
     hit = iv.overlap_join(t, p, BY, kind="touch").where("t_us < r_end_us").select("asset_id", "t_us", F.expr("r_source_start_us + (t_us - r_start_us) * r_speed").alias("pred"))

@@ -94,6 +94,13 @@ def asof_block(spark, sf):
     return iv.asof_block(t, b, BY)
 
 
+@query(SQL["asof_block"].replace(" FROM blocks WHERE block_id % 5 = 0)", " FROM blocks)"))
+def asof_every_block(spark, sf):
+    """A time of every block."""
+    b = fx.blocks(spark, sf)
+    return iv.asof_block(b.select("asset_id", F.col("block_id").alias("time_id"), (F.col("edit_start_us") + 700_000).alias("t_us")), b, BY)
+
+
 BEST = """best AS (SELECT * FROM (SELECT h.asset_id, h.event_id, h.start_us, h.end_us, a.event_id AS r_event_id, a.start_us AS r_start_us, a.end_us AS r_end_us,
  least(h.end_us, a.end_us) - greatest(h.start_us, a.start_us) AS overlap_us,
  row_number() OVER (PARTITION BY h.asset_id, h.event_id ORDER BY least(h.end_us, a.end_us) - greatest(h.start_us, a.start_us) DESC, a.start_us, a.event_id) AS k

@@ -134,6 +134,12 @@ def recent_feedback(spark, sf):
     return feedback(spark, sf).where("user_id % 2 = 0 and feedback_type <> 'lock'").orderBy(F.desc("ts"), F.desc("event_id")).limit(100).select("event_id", "clip_id", "feedback_type")
 
 
+@query(SQL["recent_feedback"].replace("user_id % 2 = 0 AND ", ""))
+def recent_feedback_all(spark, sf):
+    """The newest 100 rows of all users."""
+    return feedback(spark, sf).where("feedback_type <> 'lock'").orderBy(F.desc("ts"), F.desc("event_id")).limit(100).select("event_id", "clip_id", "feedback_type")
+
+
 @query(f"WITH {TE} SELECT asset_id, event_id, confidence FROM te WHERE confidence >= 0.5 AND event_type = 'speech' ORDER BY confidence DESC, event_id LIMIT 50 OFFSET 100")
 def list_candidates(spark, sf):
     """One page of a filtered and sorted listing."""
