@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 
 import pytest
@@ -164,3 +165,37 @@ def test_every_block_and_user_counts(spark):
     assert sum(r.samples for r in q["alignment_accuracy_10ms"](spark, sf).collect()) == at(10_000) > 40 * at(500_000)
     users = {r.event_id: r.user_id for r in spark.read.parquet(f"{sf}/events.parquet").collect()}
     assert {users[r.event_id] % 2 for r in q["recent_feedback_all"](spark, sf).collect()} == {0, 1}
+
+
+def test_align_words_keeps_the_longest_chain(spark):
+    r = random.Random(5)
+    words = [f"w{k}" for k in range(60)]
+    pieces = [words[a : a + 6] for a in range(0, 60, 6)]
+    for _ in range(3):
+        r.shuffle(pieces)
+        moved = [w for p in pieces for w in p]
+        src = spark.createDataFrame([(1, i, w) for i, w in enumerate(words)], "k long, position long, word string")
+        edit = spark.createDataFrame([(1, i, w) for i, w in enumerate(moved)], "k long, position long, word string")
+        got = sorted((x.edit_position, x.source_position) for x in sm.align_words(src, edit, ["k"]).collect())
+        at = {tuple(words[i : i + 3]): i for i in range(58)}
+        anchors = [at[g] for i in range(58) if (g := tuple(moved[i : i + 3])) in at]
+        best = [1] * len(anchors)
+        for i, x in enumerate(anchors):
+            best[i] = 1 + max((best[j] for j in range(i) if anchors[j] < x), default=0)
+        assert len(got) == max(best) and [s for _, s in got] == sorted(s for _, s in got)
+
+
+def test_readers_keep_every_record(spark, tmp_path):
+    from tidemark.sources import io
+
+    (tmp_path / "w").mkdir()
+    for name, first in (("a", 0), ("b", 5)):
+        (tmp_path / "w" / f"{name}.json").write_text(json.dumps([{"text": f"x{k}", "start": k + 0.5, "end": k + 1} for k in range(first, first + 3)], indent=1))
+    got = sorted((r.position, r.text, r.start_us) for r in io.read_words(spark, f"file://{tmp_path}/w").collect())
+    assert got == [(0, "x0", 500_000), (0, "x5", 5_500_000), (1, "x1", 1_500_000), (1, "x6", 6_500_000), (2, "x2", 2_500_000), (2, "x7", 7_500_000)]
+    (tmp_path / "t").mkdir()
+    block = {"source_start": 1, "source_end": 3, "edit_start": 0, "edit_end": 2, "speed_ratio": 1.0}
+    for k, record in enumerate(({"blocks": [block, block]}, [block], {"retained_intervals": [{"source_start": 4, "source_end": 5}]}, {})):
+        (tmp_path / "t" / f"{k}.json").write_text(json.dumps(record, indent=1))
+    rows = io.truth_blocks(io.read_truth(spark, f"file://{tmp_path}/t")).collect()
+    assert sorted((r.source_start or 0, r.edit_end or 0) for r in rows) == [(0, 0), (1, 2), (1, 2), (1, 2), (4, 0)]

@@ -35,7 +35,7 @@ def test_query(spark, duck, name):
     rows = sorted((tuple(norm(r[c]) for c in cols) for r in df.collect()), key=str)
     sql = plans.oracle_sql().get(name)
     if sql is None:
-        assert df.columns
+        assert rows and df.columns
         return
     rel = duck.sql(sql)
     assert sorted(rel.columns) == cols

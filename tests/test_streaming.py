@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.series import best_lag, chunks_of
 from tidemark.plans.data import QUERIES, _run, _stream
-from tidemark.sources import io
+from tidemark.sources import io, shared
 from tidemark.streaming import jobs
 
 SCHEMA = "asset_id long, t_us long, value double"
@@ -16,8 +16,9 @@ SCHEMA = "asset_id long, t_us long, value double"
 
 def test_bursts_match_a_loop(spark):
     r = random.Random(1)
-    rows = [(a, t * 100_000, round(r.random(), 2)) for a in range(3) for t in range(60)]
-    got = sorted(tuple(x) for x in _run(jobs.stream_bursts(_stream(spark, spark.createDataFrame(rows, SCHEMA), "s"), 0.6), spark, "b").collect())
+    rows = [(a, (t + 1) * 100_000, round(r.random(), 2)) for a in range(3) for t in range(60)]
+    s = spark.createDataFrame([*rows, (-1, 10**13, 0.0)], SCHEMA).withColumn("t", F.timestamp_micros("t_us"))  # the marker of key -1 ends all runs
+    got = sorted(tuple(x) for x in _run(jobs.stream_bursts(_stream(spark, s, "s"), 0.6), spark, "b").collect())
     want = []
     for a in range(3):
         own = [x for x in rows if x[0] == a]
@@ -28,15 +29,27 @@ def test_bursts_match_a_loop(spark):
             elif run:
                 want.append((a, own[max(0, run[0] - 1)][1], t, len(run), max(own[k][2] for k in run)))
                 run = []
+        if run:
+            want.append((a, own[max(0, run[0] - 1)][1], own[-1][1], len(run), max(own[k][2] for k in run)))
     assert got == sorted(want)
 
 
+def test_feedback_keeps_the_newest_over_batches(spark):
+    path = shared.new_table(spark, "f")
+    for number, rows in enumerate(([(1, 1, "accept"), (2, 2, "lock"), (1, 3, "reject")], [(2, 4, "accept"), (3, 1, "lock")])):
+        log = spark.createDataFrame(rows, "clip_id long, event_id long, feedback_type string").coalesce(1)
+        log.write.mode("append").parquet(f"{path}-log")
+        jobs.stream_feedback(spark.readStream.schema(log.schema).parquet(f"{path}-log"), path, f"{path}-checkpoint")
+        assert len(jobs.read_feedback(spark, path).collect()) == 2 + number
+    assert sorted(tuple(r) for r in jobs.read_feedback(spark, path).collect()) == [(1, 3, "reject"), (2, 4, "accept"), (3, 1, "lock")]
+
+
 def test_clusters_close_at_the_gap(spark):
     us = lambda c: F.timestamp_micros(F.col(c) * 1_000_000)
-    rows = [(1, 0, 2), (1, 4, 5), (1, 9, 10), (2, 0, 1), (-1, 10**6, 10**6)]
+    rows = [(1, 0, 2), (1, 5, 6), (1, 10, 11), (2, 0, 1), (-1, 10**6, 10**6)]
     e = spark.createDataFrame(rows, "asset_id long, a long, b long").select("asset_id", us("a").alias("start"), us("b").alias("end"))
     got = _run(jobs.stream_clusters(_stream(spark, e, "e")), spark, "c").where("asset_id > 0").select("asset_id", "n", F.expr("unix_micros(first) div 1000000").alias("s"), F.expr("unix_micros(last) div 1000000").alias("e"))
-    assert sorted(tuple(r) for r in got.collect()) == [(1, 1, 9, 10), (1, 2, 0, 5), (2, 1, 0, 1)]
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 1, 10, 11), (1, 2, 0, 6), (2, 1, 0, 1)]
 
 
 def test_append_twice_and_replace(spark, tmp_path):

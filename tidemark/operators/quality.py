@@ -18,10 +18,10 @@ def _rows(df: DataFrame, keys: Keys, checks: dict) -> DataFrame:
 
 
 def clip_violations(clips: DataFrame, plan: Keys, slack: int = 1000) -> DataFrame:
-    """Bad bounds, ends beyond the original, source order against output order, overlap with the clip before."""
+    """Bad bounds, ends beyond the original, source order against output order, overlap with the clip before, each by itself."""
     w = Window.partitionBy(*plan).orderBy("output_position", "clip_id")
     c = clips.withColumn("_p", F.lag("start_us").over(w)).withColumn("_e", F.lag("end_us").over(w))
-    return _rows(c, [*plan, "clip_id"], {"negative_start": F.col("start_us") < 0, "empty": F.col("end_us") <= F.col("start_us"), "beyond_end": F.col("end_us") > F.col("original_us") + slack, "order": F.col("start_us") < F.col("_p"), "overlap": (F.col("start_us") >= F.col("_p")) & (F.col("_e") - F.col("start_us") > slack)})
+    return _rows(c, [*plan, "clip_id"], {"negative_start": F.col("start_us") < 0, "empty": F.col("end_us") <= F.col("start_us"), "beyond_end": F.col("end_us") > F.col("original_us") + slack, "order": F.col("start_us") < F.col("_p"), "overlap": F.col("_e") - F.col("start_us") > slack})
 
 
 def output_overlap(clips: DataFrame, plan: Keys, slack: int = 1000) -> DataFrame:

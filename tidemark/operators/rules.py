@@ -123,9 +123,15 @@ def confidence_ramp(n: Column, base: Column, low: int = 5, high: int = 50) -> Co
     return F.when(n < low, 0.0).when(n >= high, base).otherwise(base * (n - low) / (high - low))
 
 
+#: Rows of a rule table that is sent to every task.
+MOST_SIGNALS = 10_000
+
+
 def style_influence(candidates: DataFrame, signals: DataFrame) -> DataFrame:
-    """Candidates (duration_us, reaction) under policy signals of stages M3 and M5; signals is a small rule table."""
-    few = signals.where(F.col("stage").isin("M3", "M5")).limit(1000)
+    """Candidates (duration_us, reaction) under policy signals of stages M3 and M5; signals is a rule table of at most MOST_SIGNALS rows, and a larger one is refused."""
+    few = signals.where(F.col("stage").isin("M3", "M5"))
+    if few.limit(MOST_SIGNALS + 1).count() > MOST_SIGNALS:
+        raise ValueError(f"more than {MOST_SIGNALS} policy signals")
     p = candidates.crossJoin(F.broadcast(few))
     fast, slow = (F.col("duration_us") < 3 * SECOND) & (F.col("direction") == "increase"), (F.col("duration_us") > 10 * SECOND) & (F.col("direction") == "decrease")
     keep = (F.col("reaction") > 0.5) & (F.col("direction") == "increase")

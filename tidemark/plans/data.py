@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
-from ..fixtures import AI, BLOCKS, HUMAN, TE
+from ..fixtures import AI, BLOCKS, HUMAN, SEGMENTS, TE
 from ..functions.scalar import f1, r4, share
 from ..functions.udf import score_with
 from ..operators import intervals as iv
@@ -18,9 +16,13 @@ from ..operators import rules as ru
 from ..operators import sequence as sq
 from ..operators import series as se
 from ..sources import io
+from ..sources.shared import new_table as scratch
 from ..streaming import jobs
 from .intervals import METRICS
+from .intervals import SQL as INTERVALS_SQL
+from .planning import FEEDBACK, feedback
 from .rules import CATEGORY, _rank_sql
+from .sequence import SQL as SEQUENCE_SQL
 from .sequence import expand_ctes, expanded
 
 BY = ["asset_id"]
@@ -37,42 +39,33 @@ def query(sql: str | None = None):  # noqa: ANN201
     return register
 
 
-def scratch(spark, name):
-    """A new place in the shared folder; an own temporary folder only where none is set."""
-    import tempfile
-
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # Sources and sinks
 
 
-@query()
+@query(f"WITH {SEGMENTS} SELECT speaker AS text, count(*) AS n, min(start_us) AS first_us, max(end_us) AS last_us FROM segments GROUP BY 1")
 def src_words(spark, sf):
     """Words of conversations written as JSON arrays, one a line, and read back."""
     path = scratch(spark, "words")
     c = fx.transcript_segments(spark, sf)
     words = c.select("asset_id", F.col("speaker").alias("text"), (F.col("start_us") / 1_000_000).alias("start"), (F.col("end_us") / 1_000_000).alias("end"))
     words.groupBy("asset_id").agg(F.to_json(F.collect_list(F.struct("text", "start", "end"))).alias("value")).select("value").write.text(path)
-    return io.read_words(spark, path).groupBy("text").agg(F.count("*").alias("n"), F.min("start_us").alias("first_us"), F.max("end_us").alias("last_us"))
+    return io.read_words(spark, path, lines=True).groupBy("text").agg(F.count("*").alias("n"), F.min("start_us").alias("first_us"), F.max("end_us").alias("last_us"))
 
 
-@query()
+@query(f"WITH {TE}, {BLOCKS} SELECT count(*) AS n, count_if(asset_id % 3 <> 0)::BIGINT AS with_edit, sum(source_end_us - source_start_us)::BIGINT AS source_us FROM blocks")
 def src_blocks(spark, sf):
-    """Ground truth records, some with blocks and some with retained intervals alone."""
+    """Ground truth records, some with blocks, some a bare list of blocks and some with retained intervals alone."""
     path = scratch(spark, "truth")
     b = fx.blocks(spark, sf)
     s = lambda c: (F.col(c) / 1_000_000).alias(c[:-3])
     g = b.groupBy("asset_id").agg(F.collect_list(F.struct(s("source_start_us"), s("source_end_us"), s("edit_start_us"), s("edit_end_us"), F.col("speed").cast("double").alias("speed_ratio"))).alias("all"))
     kept = F.expr("case when asset_id % 3 <> 0 then all end")
     bare = F.expr("case when asset_id % 3 = 0 then transform(all, x -> named_struct('source_start', x.source_start, 'source_end', x.source_end)) end")
-    g.select(F.to_json(F.struct(kept.alias("blocks"), bare.alias("retained_intervals"))).alias("value")).write.text(path)
-    t = io.truth_blocks(io.read_truth(spark, path))
-    return t.agg(F.count("*").alias("n"), F.count("edit_start").alias("with_edit"), F.round(F.sum(F.col("source_end") - F.col("source_start")), 3).alias("source_s"))
+    record = F.to_json(F.struct(kept.alias("blocks"), bare.alias("retained_intervals")))
+    g.select(F.when(F.expr("asset_id % 3 = 1"), F.to_json("all")).otherwise(record).alias("value")).write.text(path)
+    t = io.truth_blocks(io.read_truth(spark, path, lines=True))
+    us = lambda c: F.round(F.col(c) * 1_000_000).cast("long")
+    return t.agg(F.count("*").alias("n"), F.count("edit_start").alias("with_edit"), F.sum(us("source_end") - us("source_start")).alias("source_us"))
 
 
 @query(f"WITH {TE} SELECT event_id, event_type, start_us, end_us FROM te WHERE asset_id = 7")
@@ -91,7 +84,7 @@ def idempotent_append(spark, sf):
     return io.write_idempotent(rows, path, "signature")
 
 
-@query()
+@query(f"WITH {TE}, r AS (SELECT DISTINCT asset_id FROM te WHERE asset_id % 2 = 1 AND event_id % 2 = 0) SELECT asset_id, event_id, CASE WHEN r.asset_id IS NULL THEN 1 ELSE 2 END AS version FROM te LEFT JOIN r USING (asset_id) WHERE r.asset_id IS NULL OR event_id % 2 = 0")
 def replace_asset(spark, sf):
     """New rows for odd recordings replace theirs and leave the others."""
     path = scratch(spark, "assets")
@@ -109,7 +102,7 @@ def upsert_latest(spark, sf):
     return io.upsert_latest(old, new, ["k"], "v")
 
 
-@query()
+@query(f"SELECT asset_id, n, cuts_per_min FROM ({INTERVALS_SQL['pacing_metrics']})")
 def report_json(spark, sf):
     """A nested report for each recording, written as JSON and read back."""
     path = scratch(spark, "report")
@@ -343,11 +336,11 @@ def alignment_build(spark, sf):
 # Streams
 
 
-def _stream(spark, df, name):
-    """df written to the shared folder and read as a stream of files."""
+def _stream(spark, df, name, files=1000):
+    """df written to the shared folder and read as a stream of so many files at a time."""
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.readStream.schema(df.schema).parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _run(stream, spark, name, mode="append"):
@@ -356,7 +349,7 @@ def _run(stream, spark, name, mode="append"):
     return spark.read.schema(stream.schema).parquet(out)
 
 
-@query()
+@query(SEQUENCE_SQL["cluster_by_gap"])
 def stream_clusters(spark, sf):
     """Clusters of live events; a late marker event of its own key closes the sessions."""
     e = fx.timeline_events(spark, sf).select("asset_id", F.timestamp_micros("start_us").alias("start"), F.timestamp_micros("end_us").alias("end"))
@@ -364,19 +357,23 @@ def stream_clusters(spark, sf):
     return _run(jobs.stream_clusters(_stream(spark, e.unionByName(end), "events")), spark, "clusters").where("asset_id >= 0").select("asset_id", F.expr("unix_micros(first)").alias("start_us"), F.expr("unix_micros(last)").alias("end_us"), "n")
 
 
-@query()
+@query(f"""WITH {TE}, {SERIES}, s AS (SELECT *, value >= 0.6 AS hot, coalesce(lag(t_us) OVER w, t_us) AS before, coalesce(lead(t_us) OVER w, t_us) AS after FROM ser WINDOW w AS (PARTITION BY asset_id ORDER BY t_us, value)),
+ c AS (SELECT *, CASE WHEN lag(hot) OVER (PARTITION BY asset_id ORDER BY t_us, value) = hot THEN 0 ELSE 1 END AS ch FROM s), r AS (SELECT *, sum(ch) OVER (PARTITION BY asset_id ORDER BY t_us, value ROWS UNBOUNDED PRECEDING) AS run FROM c)
+ SELECT asset_id, min(before) AS start_us, max(after) AS end_us, count(*) AS n, max(value) AS peak FROM r WHERE hot GROUP BY asset_id, run""")
 def stream_bursts(spark, sf):
-    return _run(jobs.stream_bursts(_stream(spark, series(spark, sf), "series"), 0.6), spark, "bursts")
+    """Runs of a live series; a late marker of its own key ends the open ones."""
+    s = series(spark, sf).withColumn("t", F.timestamp_micros("t_us"))
+    end = spark.range(1).select(F.lit(-1).cast("long").alias("asset_id"), F.lit(10**13).cast("long").alias("t_us"), F.lit(0.0).alias("value"), F.timestamp_micros(F.lit(10**13)).alias("t"))
+    return _run(jobs.stream_bursts(_stream(spark, s.unionByName(end), "series"), 0.6), spark, "bursts").where("asset_id >= 0")
 
 
-@query()
+@query(f"WITH {FEEDBACK} SELECT clip_id, max(event_id) AS event_id, arg_max(feedback_type, event_id) AS feedback_type FROM fb GROUP BY clip_id")
 def stream_feedback(spark, sf):
     """The newest change of each clip, kept by micro-batches."""
-    from .planning import feedback
-
     path = scratch(spark, "feedback")
-    jobs.stream_feedback(_stream(spark, feedback(spark, sf).select("clip_id", "event_id", "feedback_type"), "log"), path, scratch(spark, "feedback-checkpoint"))
-    return spark.read.parquet(f"{path}/v0")
+    log = _stream(spark, feedback(spark, sf).select("clip_id", "event_id", "feedback_type").repartition(3, "event_id"), "log", files=1)
+    jobs.stream_feedback(log, path, scratch(spark, "feedback-checkpoint"))
+    return jobs.read_feedback(spark, path)
 
 
 @query("SELECT conv_id, turn, length(text) AS size, length(text) > 400 AS long FROM conversations")

@@ -177,7 +177,13 @@ def repetition_prefix(spark, sf):
     return sm.repetition_prefix(fx.table(spark, sf, "conversations"), ["conv_id"], "turn")
 
 
-@query()
+_GRAMS = "SELECT conv_id, position, concat_ws(' ', word, lead(word, 1) OVER w, lead(word, 2) OVER w) AS gram, lead(word, 2) OVER w AS last FROM p {} WINDOW w AS (PARTITION BY conv_id ORDER BY position)"
+
+
+#: The words that stay keep their order, so the longest chain has every anchor.
+@query(f"""WITH c AS (SELECT conv_id, turn, string_split(text, ' ') AS ws FROM conversations), x AS (SELECT conv_id, turn, unnest(ws) AS word, unnest(range(len(ws))) AS n FROM c), p AS (SELECT conv_id, turn, turn * 100000 + n AS position, lower(word) AS word FROM x),
+ s AS ({_GRAMS.format("")}), e AS ({_GRAMS.format("WHERE turn % 5 <> 2")}), su AS (SELECT conv_id, gram, min(position) AS source_position FROM s WHERE last IS NOT NULL GROUP BY 1, 2 HAVING count(*) = 1),
+ eu AS (SELECT conv_id, gram, min(position) AS edit_position FROM e WHERE last IS NOT NULL GROUP BY 1, 2 HAVING count(*) = 1) SELECT * FROM su JOIN eu USING (conv_id, gram)""")
 def align_words(spark, sf):
     """Each conversation's words against the same words without every fifth turn."""
     c = fx.table(spark, sf, "conversations")

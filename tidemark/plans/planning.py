@@ -214,7 +214,7 @@ def ai_timeline(spark, sf):
     return a.withColumn("position", F.row_number().over(Window.partitionBy("asset_id").orderBy("start_us", "event_id"))).join(total, BY).select("asset_id", "event_id", "position", "total_us")
 
 
-@query()
+@query(f"WITH {CLIPS} SELECT plan_id, clip_id, substr(md5(concat_ws('|', CAST(clip_id AS VARCHAR), '7')), 1, 1) >= '8' AS swapped FROM clips")
 def blind_assign(spark, sf):
     return pl.blind_assign(fx.clips(spark, sf).select("plan_id", "clip_id"), "clip_id", 7)
 

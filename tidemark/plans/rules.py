@@ -178,7 +178,7 @@ _BAD = """v AS (SELECT plan_id, clip_id, CASE WHEN clip_id % 50 = 0 THEN -start_
 
 
 @query(f"""WITH {CLIPS}, {_BAD}, c AS (SELECT *, lag(start_us) OVER w AS p, lag(end_us) OVER w AS e FROM v WINDOW w AS (PARTITION BY plan_id ORDER BY output_position, clip_id)),
- x AS (SELECT plan_id, clip_id, 'negative_start' AS violation FROM c WHERE start_us < 0 UNION ALL SELECT plan_id, clip_id, 'empty' FROM c WHERE end_us <= start_us UNION ALL SELECT plan_id, clip_id, 'beyond_end' FROM c WHERE end_us > original_us + 1000 UNION ALL SELECT plan_id, clip_id, 'order' FROM c WHERE start_us < p UNION ALL SELECT plan_id, clip_id, 'overlap' FROM c WHERE start_us >= p AND e - start_us > 1000)
+ x AS (SELECT plan_id, clip_id, 'negative_start' AS violation FROM c WHERE start_us < 0 UNION ALL SELECT plan_id, clip_id, 'empty' FROM c WHERE end_us <= start_us UNION ALL SELECT plan_id, clip_id, 'beyond_end' FROM c WHERE end_us > original_us + 1000 UNION ALL SELECT plan_id, clip_id, 'order' FROM c WHERE start_us < p UNION ALL SELECT plan_id, clip_id, 'overlap' FROM c WHERE e - start_us > 1000)
  SELECT * FROM x""")
 def clip_violations(spark, sf):
     v = fx.clips(spark, sf).selectExpr("plan_id", "clip_id", "case when clip_id % 50 = 0 then -start_us else start_us end as start_us", "case when clip_id % 31 = 0 then start_us - 5 else end_us + case when clip_id % 13 = 0 then 90000000 else 0 end end as end_us", "case when clip_id % 23 = 0 then position - 2 else position end as output_position", "1500000000L as original_us")

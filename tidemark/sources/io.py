@@ -2,26 +2,32 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-from ..schemas import TRUTH, WORD
+from ..schemas import BLOCK, TRUTH, WORD
 
 Keys = list[str]
 
 
-def read_words(spark: SparkSession, path: str) -> DataFrame:
-    """file, position, text, start_us, end_us out of JSON arrays of words."""
-    df = spark.read.schema(WORD).json(path, multiLine=True).withColumn("file", F.input_file_name())
-    w = Window.partitionBy("file").orderBy("start", "end", "text")
-    us = lambda c: F.round(F.col(c) * 1_000_000).cast("long").alias(f"{c}_us")
-    return df.select("file", F.row_number().over(w).alias("position"), "text", us("start"), us("end"))
+def _documents(spark: SparkSession, path: str, lines: bool) -> DataFrame:
+    """file, value: the text of each file, or of each line."""
+    return spark.read.text(path, wholetext=not lines).select(F.input_file_name().alias("file"), "value")
 
 
-def read_truth(spark: SparkSession, path: str) -> DataFrame:
-    """The nested record of each file; effect types under either of two names."""
-    df = spark.read.schema(TRUTH).json(path, multiLine=True).withColumn("file", F.input_file_name())
+def read_words(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """file, position, text, start_us, end_us out of JSON arrays of words, one a file or (lines) one a line; position is the place in the array."""
+    words = F.from_json("value", f"array<struct<{WORD.replace(' ', ':').replace(',:', ',')}>>")
+    us = lambda c: F.round(F.col(f"w.{c}") * 1_000_000).cast("long").alias(f"{c}_us")
+    return _documents(spark, path, lines).select("file", F.posexplode(words).alias("position", "w")).select("file", "position", "w.text", us("start"), us("end"))
+
+
+def read_truth(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """The nested record of each file or line; a bare list stands for its blocks, and effect types for either of two names."""
+    bare = F.when(F.ltrim("value").startswith("["), F.from_json("value", f"array<struct<{BLOCK.replace(' ', ':').replace(',:', ',')}>>"))
+    df = _documents(spark, path, lines).select("file", F.from_json("value", TRUTH).alias("t"), bare.alias("bare")).select("file", "bare", "t.*")
+    df = df.withColumn("blocks", F.coalesce("bare", "blocks")).drop("bare")
     return df.withColumn("effects", F.expr("transform(effects, e -> named_struct('effect_type', coalesce(e.effect_type, e.type), 'source_start', e.source_start, 'source_end', e.source_end, 'is_false_positive', coalesce(e.is_false_positive, false)))"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -13,47 +13,62 @@ from ..sources.io import upsert_latest
 
 
 def stream_clusters(events: DataFrame, gap_s: int = 3, watermark: str = "1 hour") -> DataFrame:
-    """Clusters of events by a gap from the end of the event before, as session windows with a gap for each row.
+    """Clusters of events by a gap from the end of the events before, as session windows with a gap for each row.
 
-    events: asset_id, start and end timestamps. The same as the batch clusters but at gaps of exactly the limit.
+    events: asset_id, start and end timestamps. A session ends before its limit, so a microsecond more takes in gaps
+    of exactly the limit, as the batch clusters do.
     """
-    length = F.expr("unix_micros(end) - unix_micros(start)") + gap_s * 1_000_000
+    length = F.expr("unix_micros(end) - unix_micros(start)") + gap_s * 1_000_000 + 1
     gap = F.concat(length.cast("string"), F.lit(" microseconds"))
     return events.withWatermark("start", watermark).groupBy("asset_id", F.session_window("start", gap).alias("w")).agg(F.count("*").alias("n"), F.min("start").alias("first"), F.max("end").alias("last")).drop("w")
 
 
-def stream_bursts(series: DataFrame, threshold: float, by: str = "asset_id") -> DataFrame:
+def stream_bursts(series: DataFrame, threshold: float, by: str = "asset_id", watermark: str = "1 hour") -> DataFrame:
     """Runs of samples at or over a fixed threshold; the state is the open run and the sample before it.
 
-    series: by, t (timestamp), t_us, value, with samples of a key in time order.
+    series: by, t (timestamp), t_us, value, with samples of a key in time order. A key that the watermark has passed
+    gives its open run, ending at its last sample, and its state goes.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         before, start, n, peak = state.get if state.exists else (None, None, 0, 0.0)
         rows = []
-        for t, v in pd.concat(list(batches)).sort_values("t_us")[["t_us", "value"]].itertuples(index=False):
-            if v >= threshold:
-                if not n:
-                    start = t if before is None else before
-                n, peak = n + 1, max(peak, v)
-            elif n:
-                rows.append((key[0], start, t, n, peak))
-                n, peak = 0, 0.0
-            before = int(t)
-        state.update((before, None if start is None else int(start), n, float(peak)))
+        if state.hasTimedOut:
+            if n:
+                rows.append((key[0], start, before, n, peak))
+            state.remove()
+        else:
+            for t, v in pd.concat(list(batches)).sort_values(["t_us", "value"])[["t_us", "value"]].itertuples(index=False):
+                if v >= threshold:
+                    if not n:
+                        start = t if before is None else before
+                    n, peak = n + 1, max(peak, v)
+                elif n:
+                    rows.append((key[0], start, t, n, peak))
+                    n, peak = 0, 0.0
+                before = int(t)
+            state.update((before, None if start is None else int(start), n, float(peak)))
+            state.setTimeoutTimestamp(max(before // 1000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(rows, columns=[by, "start_us", "end_us", "n", "peak"])
 
-    return series.groupBy(by).applyInPandasWithState(step, f"{by} long, start_us long, end_us long, n long, peak double", "before long, start long, n long, peak double", "append", GroupStateTimeout.NoTimeout)
+    keyed = series.withWatermark("t", watermark).groupBy(by)
+    return keyed.applyInPandasWithState(step, f"{by} long, start_us long, end_us long, n long, peak double", "before long, start long, n long, peak double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_feedback(log: DataFrame, path: str, checkpoint: str) -> None:
-    """Keep the newest change of each clip in a table, micro-batch by micro-batch; a batch that runs again changes nothing."""
+    """Keep the newest change of each clip, micro-batch by micro-batch.
+
+    Each batch writes only its own newest rows, into its own folder; a batch that runs again writes the same again.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = f"{path}/v{number - 1}"
         rows = batch.select("clip_id", "event_id", "feedback_type")
-        base = spark.read.parquet(old) if number else rows.limit(0)
-        upsert_latest(base, rows, ["clip_id"], "event_id").write.mode("overwrite").parquet(f"{path}/v{number}")
+        upsert_latest(rows.limit(0), rows, ["clip_id"], "event_id").write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     log.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def read_feedback(spark: SparkSession, path: str) -> DataFrame:
+    """The newest change of each clip over all batches."""
+    rows = spark.read.parquet(path).select("clip_id", "event_id", "feedback_type")
+    return upsert_latest(rows.limit(0), rows, ["clip_id"], "event_id")
