@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,29 +10,37 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_table
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (as in tests), an own temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
 
-
-def new_table(spark: SparkSession, name: str) -> str:
-    """A path for a new table in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+#: Spark's own switch for dropping a query's shuffle files when the query has ended.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors, and fixes row placement."""
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors, and fixes row placement.
+
+    The shuffle files of the job are of no use after it and go at once.
+    """
     spark = df.sparkSession
-    path = new_table(spark, name)
-    df.write.parquet(path)
+    path, before = new_table(spark, name), spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Empty tables that materialize has written; nothing may read them afterwards."""
+    for table in tables:
+        files = table.inputFiles()
+        if files:
+            path = files[0].rpartition("/")[0]
+            table.sparkSession.createDataFrame([], table.schema).write.mode("overwrite").parquet(path)
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text (null: empty); other columns, whatever their names, are left out."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -49,7 +55,7 @@ def partition_id() -> int:
     return context.partitionId() if context else 0
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of about `limit` bytes of a string column, so that a task's memory does not follow the batch size."""
     for batch in batches:
         if not batch.num_rows:
@@ -77,11 +83,3 @@ def utf8_length(text: Column) -> Column:
 
 def column_texts(batch: pa.RecordBatch, name: str) -> list[str]:
     return batch.column(name).to_pylist()
-
-
-def settle(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of jobs that are over; their results are in tables."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

@@ -6,20 +6,25 @@ tables of 5 hashes need only 56 minhashes, about the square root of what as many
 Two sets of similarity 0.8 share no table with probability (1 - 0.8 ** 3) ** 12 + (1 - 0.8 ** 2) ** 10, about
 0.0002; sets of 0.85 with 0.00002.
 
-Documents with equal sets are one class. Among classes, links are confirmed on the full sets, in rounds that never
-pair all members of a table's group:
+Documents with equal sets are one class. Among classes, links are confirmed on the full sets:
 
-1. every member with the group's smallest document;
-2. members of other components than a group's random member with that member (another one in each table);
-3. each member with its nearest of other components in its groups, and again with the components found meanwhile;
-   once that finds no link, with 32 times as many, until no pair of different components is left.
+1. In a table's group of at most SMALL members all pairs are candidates, in a larger one each member with the group's
+   smallest, its pivot. Candidates pass two exact bounds (the sizes, and the number of differing parity bits, which
+   cannot exceed the number of differing shingles). Each document's nearest candidate is compared first, the rest
+   only if the components still differ.
+2. A larger group that still holds several components is divided exactly, without meeting all its pairs: each member
+   becomes its difference from a reference document, and members that link must share one of the first shingles of
+   their differences, rarest first. Those shingles are the keys of new groups, whose members are paired where their
+   differences can still share enough shingles; of a group beyond LARGE again each member with a pivot, and so on.
 
-Candidates of all rounds pass two exact bounds (the sizes, and the number of differing parity bits, which cannot
-exceed the number of differing shingles). Components are found by label propagation after each round.
+No pair of a group is lost on the way, only pairs that share no table are not seen. Components are found by large
+and small stars over the links of components, so that later turns see only what is new.
 
 Defined cases: null and empty texts and texts of white space have empty sets and link with nothing, equal ones
-neither. Texts with fewer words than `shingle` have their whole sequence as one shingle. Repeated rows are one
-class. An empty table gives an empty result. Other columns are not read.
+neither. Texts with fewer words than `shingle` have their whole sequence as one shingle; very long texts are taken
+whole. Repeated rows are one class, and rows of other texts under one doc_id share its component. Equally near
+candidates go by the smaller doc_id. A row without a doc_id joins the component of its set and is kept only if there is
+none. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,17 +33,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._base import materialize, read_documents, settle, small_batches, texts
+from ._base import discard, materialize, read_documents, small_batches, texts
 from .tokens import ragged
 from .words import SOLID, mix, words
 
-#: Tuples and hashes in a tuple of both collections; parity words, of which those for comparisons inside groups.
-GROUPS, ROWS, PARITY, SHORT = (12, 10), (3, 2), 16, 8
-#: Members outside of a group's largest component in a block.
-BLOCK = 256
+#: Tuples and hashes in a tuple of both collections; parity words; members of a small table group and of a new group
+#: that are paired within; seconds of a first in a part.
+GROUPS, ROWS, PARITY, SMALL, LARGE, PART = (12, 10), (3, 2), 16, 16, 1024, 256
 HASHES = GROUPS[0] * ROWS[0] + GROUPS[1] * ROWS[1]
 _SEEDS = np.random.default_rng(99).integers(1, 1 << 62, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SIGNED = "doc_id long, n long, s1 long, s2 long, left array<long>, right array<long>, parity array<long>"
@@ -95,24 +99,63 @@ def signed(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, component (its smallest node) of the nodes of undirected links a, b."""
-    both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    label = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("component")).withColumnRenamed("a", "node"), "labels")
+    """node, component (its smallest node) of all nodes but the smallest ones, of links a, b between different nodes.
+
+    Large and small stars in turn: each node's neighbours are tied to the least of them, until all edges lead to a
+    component's smallest node. The edges shrink with each turn.
+    """
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     while True:
-        near = both.join(label.hint("merge"), both.b == label.node).select(F.col("a").alias("node"), "component", F.lit(None).cast("long").alias("old"))
-        best = near.unionByName(label.withColumn("old", F.col("component"))).groupBy("node").agg(F.min("component").alias("component"), F.max("old").alias("old"))
-        best = materialize(best, "labels")
-        jump = best.select(F.col("node").alias("component"), F.col("component").alias("next"))  # a label's own label
-        new = materialize(best.join(jump.hint("merge"), "component", "left").select("node", F.coalesce("next", "component").alias("component"), "old"), "labels")
-        label = new.select("node", "component")
-        if not new.where("component <> old").limit(1).count():
-            return label
+        both = materialize(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), "edges")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = materialize(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-stars")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        tied = large.join(least, "u")
+        small = tied.select("u", F.col("m").alias("v")).unionByName(tied.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        edges = materialize(small.distinct(), "small-stars")
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if not ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").limit(1).count():
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def _labelled(df: DataFrame, label: DataFrame | None, node: str, name: str) -> DataFrame:
+    """df with the component of the column `node`; a node without a label is a component of its own."""
+    if label is None:
+        return df.withColumn(name, F.col(node))
+    found = label.select(F.col("node").alias(node), F.col("component").alias("_c"))
+    return df.join(found, node, "left").withColumn(name, F.coalesce("_c", node)).drop("_c")
+
+
+def _relabelled(label: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """The labels after new links: only the links' components are looked at again."""
+    ends = _labelled(_labelled(links.select("a", "b"), label, "a", "x"), label, "b", "y").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    ends = materialize(ends.distinct(), "links")
+    if not ends.limit(1).count():
+        return label
+    new = components(ends)
+    if label is None:
+        return new
+    moved = label.join(new.select(F.col("node").alias("component"), F.col("component").alias("_n")), "component", "left").select("node", F.coalesce("_n", "component").alias("component"))
+    return materialize(moved.unionByName(new), "labels")
 
 
 def _tables(classes: DataFrame) -> DataFrame:
-    """key, node, n, bits: a row for each table of each class."""
+    """key, node: a row for each table of each class."""
     keys = F.array(*[F.xxhash64(F.col("left")[i], F.col("right")[j], F.lit(i * GROUPS[1] + j)) for i in range(GROUPS[0]) for j in range(GROUPS[1])])
-    return classes.select(F.explode(keys).alias("key"), "node", "n", F.col("parity")[0].alias("bits"))
+    return classes.select(F.explode(keys).alias("key"), "node")
+
+
+def _grouped(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """key, c, node, n, bits and the group's smallest member p of the groups of two members and more.
+
+    Nearly all keys occur once, so only keys and nodes are shuffled before those are gone.
+    """
+    groups = materialize(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "groups")
+    members = materialize(rows.join(groups, "key").join(classes.select("node", "n", F.col("parity")[0].alias("bits")), "node"), "members")
+    pivots = materialize(members.groupBy("key").agg(F.min(F.struct("node", "n", "bits")).alias("p")), "pivots")
+    out = materialize(members.join(pivots, "key"), "members")
+    discard(groups, members)
+    return out
 
 
 def _bound(a: str, b: str, bits: str) -> str:
@@ -120,99 +163,157 @@ def _bound(a: str, b: str, bits: str) -> str:
     return f"100 * least({a}n, {b}n) >= 80 * greatest({a}n, {b}n) and 9 * ({bits}) <= {a}n + {b}n"
 
 
-def _differ(a: str, b: str, n: int) -> str:
-    return " + ".join(f"bit_count({a}parity[{k}] ^ {b}parity[{k}])" for k in range(n))
+def _apart(pairs: DataFrame, label: DataFrame | None) -> DataFrame:
+    """The pairs of different components."""
+    return materialize(_labelled(_labelled(pairs, label, "a", "ca"), label, "b", "cb").where("ca <> cb").select("a", "b"), "pairs")
 
 
-def similar(pairs: DataFrame, docs: DataFrame, signs: DataFrame, shingle: int) -> DataFrame:
-    """The pairs a, b whose full sets link, after the exact bounds on all parity bits."""
-    side = signs.select("node", F.struct("n", "parity").alias("x"))
-    x = pairs.join(side.select(F.col("node").alias("a"), "x").hint("merge"), "a").join(side.select(F.col("node").alias("b"), F.col("x").alias("y")).hint("merge"), "b")
-    kept = materialize(x.where(_bound("x.", "y.", _differ("x.", "y.", PARITY))).select("a", "b"), "candidates")
-    sides = kept.select(F.col("a").alias("doc_id"), "a", "b").unionByName(kept.select(F.col("b").alias("doc_id"), "a", "b"))
-    found = materialize(texts(docs).join(sides.hint("merge"), "doc_id"), "candidate-texts")
-    left = found.where("doc_id = a").select("a", "b", F.col("text").alias("x"))
-    right = found.where("doc_id = b").select("a", "b", F.col("text").alias("y"))
+def _mixed(now: DataFrame) -> DataFrame:
+    """a, b: the members b of groups with several components; a is the root of the group's largest component, or what is given as a."""
+    counts = now.groupBy("key", "component").agg(F.count("*").alias("c"))
+    groups = counts.groupBy("key").agg(F.max(F.struct("c", -F.col("component"))).alias("m"), F.count("*").alias("k")).where("k > 1").select("key", (-F.col("m.col2")).alias("root"))
+    reference = "a" if "a" in now.columns else "root"
+    return materialize(now.join(groups, "key").select(F.col(reference).alias("a"), F.col("node").alias("b")).where("a <> b").distinct(), "families")
 
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 64):
-                batch = whole.slice(at, 64)
-                (u, nu), (v, nv) = (shingle_sets(batch.column(c), shingle) for c in "xy")
-                row = np.arange(batch.num_rows)
-                key, owner = np.concatenate([u, v]), np.concatenate([np.repeat(row, nu), np.repeat(row, nv)])
-                order = np.lexsort((key, owner))
-                key, owner = key[order], owner[order]
-                both = np.bincount(owner[1:][(key[1:] == key[:-1]) & (owner[1:] == owner[:-1])], minlength=len(row))
-                yield batch.filter(pa.array((100 * both >= 80 * (nu + nv - both)) & (both > 0))).select(["a", "b"])
 
-    return left.join(right.hint("merge"), ["a", "b"]).select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long").distinct()
+def _sketched(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b, far: the pairs that pass the exact bounds with all parity bits."""
+    side = classes.select("node", F.struct("n", "parity").alias("x"))
+    found = pairs.join(side.select(F.col("node").alias("a"), "x"), "a").join(side.select(F.col("node").alias("b"), F.col("x").alias("y")), "b")
+    differ = " + ".join(f"bit_count(x.parity[{k}] ^ y.parity[{k}])" for k in range(PARITY))
+    return found.where(_bound("x.", "y.", differ)).select("a", "b", (F.expr(differ) / F.expr("x.n + y.n")).alias("far"))
 
 
-def _across(members: DataFrame, classes: DataFrame, label: DataFrame, most: int) -> DataFrame:
-    """a, b, more: pairs of different components within a group that pass the bounds.
+def candidates(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b, far: pairs a < b that pass the bounds; of a group of at most SMALL members all, of a larger one each member with the pivot."""
+    small = members.where(F.col("c") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("node", "n", "bits"))).alias("g"))
+    pairs = f"flatten(transform(g, (x, i) -> transform(filter(slice(g, i + 2, {SMALL}), y -> y.node <> x.node and {_bound('x.', 'y.', 'bit_count(x.bits ^ y.bits)')}), y -> struct(x.node as a, y.node as b))))"
+    near = small.select(F.explode(F.expr(pairs)).alias("x")).select("x.a", "x.b")
+    star = members.where(F.col("c") > SMALL).where("node <> p.node").where(_bound("p.", "", "bit_count(p.bits ^ bits)")).select(F.col("p.node").alias("a"), F.col("node").alias("b"))
+    return _sketched(near.unionByName(star).distinct(), classes)
 
-    most 0: each member with one member of its group, another one in each table. Else the members outside of a
-    group's largest component are packed into blocks, each member meets each block once, and its `most` nearest
-    that pass leave the comparison; `more` says whether others stayed behind.
+
+def compared(pairs: DataFrame, partners: DataFrame, shingle: int, deltas: bool = False) -> DataFrame:
+    """a, b, linked, n_a, n_b of the pairs, from the full sets; with deltas also the shingles that only one of them has.
+
+    The texts are sorted by the first of a pair, so its set is made once; a first with many seconds is dealt out.
     """
-    now = classes.join(label.hint("merge"), "node", "left").select("node", F.coalesce("component", "node").alias("component"), "n", F.slice("parity", 1, SHORT).alias("parity"))
-    split = members.join(now.select("node", "component").hint("merge"), "node")
-    counts = split.groupBy("key", "component").agg(F.count("*").alias("c"))
-    mixed = counts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("m"), F.sum("c").alias("all")).where("all > m.c").select("key", F.col("m.component").alias("main"), (F.col("all") - F.col("m.c")).alias("out"))
-    mixed = materialize(mixed, "mixed-groups")
-    left = materialize(split.join(mixed.hint("merge"), "key").join(now.drop("component").hint("merge"), "node"), "mixed-members")
-    if not most:
-        pivot = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node", "component", "n", "parity")).alias("p"))
-        pairs = left.join(materialize(pivot, "pivots").hint("merge"), "key").where("component <> p.component").where(_bound("p.", "", _differ("p.", "", SHORT)))
-        pairs = pairs.select(F.col("p.node").alias("x"), F.col("node").alias("y"), F.lit(False).alias("more"))
-    else:
-        block = F.pmod(F.xxhash64("node"), F.ceil(F.col("out") / BLOCK))
-        blocks = left.where("component <> main").groupBy("key", block.alias("block")).agg(F.collect_list(F.struct("node", "component", "n", "parity")).alias("outs"))
-        near = F.expr(f"array_sort(transform(filter(outs, o -> o.component <> component and {_bound('o.', '', _differ('o.', '', SHORT))}), o -> named_struct('differ', {_differ('o.', '', SHORT)}, 'x', o.node)))")
-        met = left.join(materialize(blocks, "outsiders").hint("merge"), "key").select(F.col("node").alias("y"), near.alias("near")).where("size(near) > 0")
-        pairs = met.select("y", (F.size("near") > most).alias("more"), F.explode(F.slice("near", 1, most)).alias("o")).select(F.col("o.x").alias("x"), "y", "more")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "more").groupBy("a", "b").agg(F.max("more").alias("more"))
+    heads = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    seconds = pairs.join(heads, "a").select(F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"))
+    firsts = heads.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
+    rows = materialize(seconds.unionByName(firsts), "sides").join(partners, "node")
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(n, "a", "part").sortWithinPartitions("a", "part", "role").select("a", "part", "role", "node", "text")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, sets = None, []
+        for batch in small_batches(batches, "text"):
+            key, n = shingle_sets(batch.column("text"), shingle)
+            end, out = np.cumsum(n).tolist(), []
+            for a, part, role, node, lo, hi in zip(*(batch.column(c).to_pylist() for c in ("a", "part", "role", "node")), [0, *end], end, strict=False):
+                own = key[lo:hi]
+                if (a, part) != of:
+                    of, sets = (a, part), []
+                if not role:
+                    sets.append(own.copy())  # several if rows with other texts repeat its doc_id
+                    continue
+                for head in sets:
+                    at = np.searchsorted(head, own)
+                    at[at == len(head)] = 0
+                    both = int((head[at] == own).sum()) if len(head) else 0
+                    linked = both > 0 and 100 * both >= 80 * (len(head) + len(own) - both)
+                    out.append((a, node, linked, len(head), len(own), np.setxor1d(head, own, assume_unique=True).view(np.int64) if deltas else None))
+            yield pa.record_batch([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["a", "b", "linked", "n_a", "n_b", "delta"])
+
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    return rows.mapInArrow(compare, "a long, b long, linked boolean, n_a long, n_b long, delta array<long>")
+
+
+def _links(pairs: DataFrame, partners: DataFrame, shingle: int) -> DataFrame:
+    return compared(pairs, partners, shingle).where("linked").select("a", "b")
+
+
+def divided(family: DataFrame, classes: DataFrame, partners: DataFrame, label: DataFrame | None, shingle: int) -> tuple[DataFrame, DataFrame | None]:
+    """New groups of the members b of families about a reference a, and the labels after links to the references.
+
+    A member is taken as its difference from the reference, d shingles that only one of both has. If x and y link,
+    their differences share (d of x + d of y - (|x| + |y|) / 9) / 2 shingles at least; so a shingle stands among the
+    first ones of both, in any one order, rarest first here (prefix filtering). The member with the smaller
+    difference needs few first ones (short), the other more (long); members of the reference's component (near) need
+    no partners of their own kind. Each such shingle makes a group. Shingles that occur once in a family, or in near
+    members only, take the first places and make no group, which leaves few of a family of copies with changes of
+    their own.
+    """
+    found = compared(family, partners, shingle, deltas=True).withColumn("v", F.xxhash64("delta"))
+    found = materialize(found.dropDuplicates(["a", "b", "v"]), "differences")  # v tells rows of one doc_id apart
+    label = _relabelled(label, found.where("linked").select("a", "b"))
+    found = _labelled(_labelled(found.where("size(delta) > 0"), label, "a", "ca"), label, "b", "cb").withColumn("near", F.col("ca") == F.col("cb"))
+    d = F.size("delta")
+    # 18 times the least overlap with a partner outside the reference's component (so further from it than a link),
+    # with any partner, and with one whose difference is no smaller
+    outside, any_of, longer = 9 * d + F.col("n_a") - F.col("n_b") + 1, 9 * d + 8 - F.col("n_a") - F.col("n_b"), 18 * d - F.expr("n_b * 18 div 8")
+    rest = lambda x: d - F.greatest(F.lit(1), F.ceil(x / 18))
+    found = found.withColumn("long", rest(F.when(F.col("near"), outside).otherwise(F.least(any_of, outside)))).withColumn("short", rest(F.when(F.col("near"), F.greatest(longer, outside)).otherwise(longer)))
+    found = materialize(found.select("a", "b", "v", "near", "long", "short", d.alias("d"), F.explode("delta").alias("e")), "difference-shingles")
+    often = found.groupBy("a", "e").agg(F.count("*").alias("f"), F.sum((~F.col("near")).cast("int")).alias("out")).where("f > 1 and out > 0")
+    order = Window.partitionBy("a", "b", "v").orderBy("f", "e")
+    of = Window.partitionBy("a", "b", "v")
+    placed = found.join(often, ["a", "e"]).withColumn("place", F.row_number().over(order) - 1 + F.col("d") - F.count("*").over(of))
+    kept = placed.where("place <= greatest(long, short)").select(F.xxhash64("a", "e").alias("key"), F.col("b").alias("node"), "d", "place", "near", F.expr("place <= long").alias("long"), F.expr("place <= short").alias("short"))
+    kept = materialize(kept, "placed")
+    discard(found)
+    open_ = kept.groupBy("key").agg(F.expr("count_if(short)").alias("s"), F.expr("count_if(long)").alias("l"), F.expr("count_if(not near)").alias("o"), F.count("*").alias("c"), F.min("node").alias("pivot"), F.max("node").alias("high")).where("s > 0 and l > 0 and o > 0 and pivot <> high").select("key", "pivot", "c")
+    kept = kept.join(open_, "key").join(classes.select("node", "n", F.col("parity")[0].alias("bits")), "node")
+    return materialize(kept, "divided"), label
+
+
+def shared_pairs(rows: DataFrame) -> DataFrame:
+    """a, b of members of a new group of at most LARGE whose differences can share enough shingles from this place on; of a larger one each member with the pivot."""
+    small = rows.where(F.col("c") <= LARGE)
+    cols = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("node", "n", "bits", "d", "place", "near")]
+    both = small.where("short").select("key", *cols("y")).join(small.where("long").select("key", *cols("x")), "key")
+    both = both.where("y_node <> x_node and (y_d < x_d or y_d = x_d and y_node < x_node) and not (y_near and x_near)").where(_bound("y_", "x_", "bit_count(y_bits ^ x_bits)"))
+    both = both.where("18 * least(x_d - x_place, y_d - y_place) >= 9 * (x_d + y_d) - x_n - y_n").select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
+    star = rows.where(F.col("c") > LARGE).where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    return both.unionByName(star).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each document."""
     spark = docs.sparkSession
     signs = materialize(signed(docs, shingle), "signatures")
-    classes = materialize(signs.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "left", "right", "parity")).alias("m")).select("n", "s1", "s2", F.col("m.doc_id").alias("node"), "m.left", "m.right", "m.parity"), "classes")
-    settle(spark)
-    rows = _tables(classes)
-    groups = rows.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("high"), F.count("*").alias("c")).where("pivot <> high").drop("high")
-    groups = materialize(groups, "groups")
-    settle(spark)
-    ends = classes.select(F.col("node").alias("pivot"), F.struct("n", F.col("parity")[0].alias("bits")).alias("p"))
-    members = materialize(rows.join(groups.join(ends.hint("merge"), "pivot").hint("merge"), "key"), "members")
-    settle(spark)
-    star = members.where("node <> pivot").where(_bound("p.", "", "bit_count(p.bits ^ bits)")).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    tested = materialize(star, "pairs")
-    links = materialize(similar(tested, docs, classes, shingle), "new-links")
-    settle(spark)
-    label = components(links)
-    members, most = members.where("c > 2").select("key", "node"), 0
-    while True:
-        found = materialize(_across(members, classes, label, most), "pairs")
-        some = materialize(found.select("a", "b").join(tested.hint("merge"), ["a", "b"], "left_anti"), "pairs")
-        settle(spark)
-        new = materialize(similar(some, docs, classes, shingle), "new-links")
-        settle(spark)
-        tested = tested.unionByName(some)
-        if new.limit(1).count():
-            links = links.unionByName(new)
-            label = components(links)
-            most = max(most, 4)
-        elif most and not found.where("more").limit(1).count():
-            break  # every pair of different components that passes the bounds is confirmed to be none
-        else:
-            most = 32 * most or 4
-    ids = classes.join(label.hint("merge"), "node", "left").select("n", "s1", "s2", F.coalesce("component", "node").alias("component_id"))
-    ids = materialize(ids, "components")
-    out = signs.select("doc_id", "n", "s1", "s2").join(ids.hint("merge"), ["n", "s1", "s2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), (F.coalesce("component_id", "doc_id") == F.col("doc_id")).alias("kept"))
+    best = signs.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "left", "right", "parity")).alias("m"))
+    classes = materialize(best.select("n", "s1", "s2", F.col("m.doc_id").alias("node"), "m.left", "m.right", "m.parity"), "classes")
+    slim = materialize(signs.select("doc_id", "n", "s1", "s2"), "sets")
+    discard(signs)
+    # each class becomes many rows: dealt out, a task sorts few of them
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    members = _grouped(_tables(classes.repartition(n, "node")), classes)
+    found = materialize(candidates(members, classes), "candidates")
+    large = materialize(members.where(F.col("c") > SMALL).select("key", "node"), "large-groups")
+    discard(members)
+    nodes = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).unionByName(large.select("node")).distinct()
+    partners = materialize(texts(docs).withColumnRenamed("doc_id", "node").join(nodes, "node"), "partners")
+    # first each document's nearest candidate: the links found make most of the others needless
+    first = materialize(found.groupBy("b").agg(F.min(F.struct("far", "a")).alias("m")).select("b", F.col("m.a").alias("first")), "nearest")
+    label = _relabelled(None, _links(first.select(F.col("first").alias("a"), "b"), partners, shingle))
+    label = _relabelled(label, _links(_apart(found.join(first, "b").where("a <> first").select("a", "b"), label), partners, shingle))
+    # each large group that holds several components, about the root of its largest one
+    family = _mixed(_labelled(large, label, "node", "component"))
+    while family.limit(1).count():
+        rows, label = divided(family, classes, partners, label, shingle)
+        pairs = _apart(_sketched(shared_pairs(rows), classes).select("a", "b"), label)
+        label = _relabelled(label, _links(pairs, partners, shingle))
+        left = rows.where(F.col("c") > LARGE).where("node <> pivot").select("key", F.col("pivot").alias("a"), "node")
+        family = _mixed(_labelled(left, label, "node", "component"))
+        discard(rows)
+    discard(partners)
+    ids = _labelled(classes.select("n", "s1", "s2", "node"), label, "node", "component_id").drop("node")
+    ids = materialize(ids.groupBy("n", "s1", "s2").agg(F.min("component_id").alias("component_id")), "components")
+    discard(classes)
+    out = slim.join(ids, ["n", "s1", "s2"], "left")
+    found = F.coalesce("component_id", "doc_id")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), found.alias("component_id"), F.coalesce(found == F.col("doc_id"), found.isNull()).alias("kept"))
 
 
 def op8_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
