@@ -2,11 +2,11 @@
 
 Documents are encoded in ascending doc_id order and cut into shards of a bounded number of ids. In each shard
 the most frequent pairs of neighbouring ids are replaced by new ids (nonterminals), and again among the new
-ids, in rounds. A shard stores its rules, the length of each rule's expansion, and the shortened sequence, so
+ids, until no pair is frequent. A shard stores its rules, the length of each rule's expansion, and the shortened sequence, so
 that a reader finds any range of ids by its running expansion lengths and expands only what it needs.
 
-A round replaces many pairs at once (the counts are taken anew in each round) where Re-Pair in its first form
-replaces one; the grammar and what it decodes to are of the same kind.
+A round replaces many pairs that do not overlap (the counts are taken anew in each round) where Re-Pair in its first
+form replaces one; the grammar and what it decodes to are of the same kind.
 
 Defined cases: a null or empty text has only the end id. Rows with equal doc_ids are kept, in the order of their
 texts. An empty table gives no shards and an empty result. Other columns are not read.
@@ -25,54 +25,57 @@ from pyspark.sql import functions as F
 from ._base import new_table, partition_id, partition_offsets, read_documents, small_batches, texts
 from .tokens import default_tokenizer, encoder, ragged
 
-#: Ids in a shard at most (one longer document is a shard of its own), rounds, pairs replaced in a round, least count.
-SHARD_IDS, ROUNDS, PAIRS, LEAST = 1 << 20, 5, 512, 8
+#: Ids in a shard at most (one longer document is a shard of its own), least count of a replaced pair, bits of a bucket.
+SHARD_IDS, LEAST, BUCKETS = 1 << 20, 8, 20
 _SHARDS = "part int, shard int, base long, rounds array<int>, rules binary, expansion binary, sequence binary, width int, doc_ids array<long>, lengths array<long>, before long, n_ids long"
-_BUCKETS = 1 << 20
 
 
-def grammar(ids: np.ndarray, base: int, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
-    """The shortened sequence, rules (two ids each; rule k is the id base + k), expansion lengths, rules of each round."""
+def grammar(ids: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """The shortened sequence, rules (two ids each; rule k is the id base + k), expansion lengths, rules of each round.
+
+    It ends when no pair of neighbours occurs `least` times. A round replaces every frequent pair wherever no more
+    frequent one overlaps it, so the most frequent pair goes wherever it stands (in a run of one id, every second time).
+    """
     seq = ids.astype(np.uint32)
     rules, lengths, made = np.zeros((0, 2), dtype=np.uint32), np.zeros(0, dtype=np.int64), []
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        # counts by hash first: only pairs in full buckets are sorted
-        h = (seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA77)) >> np.uint32(12)
-        counts = np.bincount(h, minlength=_BUCKETS)
-        limit = max(least, int(np.partition(counts, -pairs)[-pairs]))
-        slots = np.flatnonzero(counts >= limit)
-        if not len(slots):
-            break
-        # each full bucket stands for the pair that it met last; other pairs of the bucket wait for a later round
-        slot = np.full(_BUCKETS, -1, dtype=np.int32)
-        slot[slots] = np.arange(len(slots))
-        slot = slot[h]
-        at = np.flatnonzero(slot >= 0)
-        pair, rule = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1], slot[at].astype(np.int64)
-        keys = np.zeros(len(slots), dtype=np.uint64)
-        keys[rule] = pair
-        same = keys[rule] == pair
-        at, rule = at[same], rule[same]
-        n = np.bincount(rule, minlength=len(slots))
-        rank = np.where(n >= least, np.cumsum(n >= least) - 1, -1)
-        best = np.flatnonzero(n >= least)
-        if not len(best):
+    while len(seq) > 1:
+        # a pair in a bucket of too few is too rare itself; a bucket counts for one of its pairs, others are sorted
+        h = (seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA77)) >> np.uint32(32 - BUCKETS)
+        at = np.flatnonzero((np.bincount(h, minlength=1 << BUCKETS) >= least)[h])
+        bucket, value = h[at], seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
+        pairs = np.zeros(1 << BUCKETS, dtype=np.uint64)
+        pairs[bucket] = value
+        same = pairs[bucket] == value
+        others, other, n_other = np.unique(value[~same], return_inverse=True, return_counts=True)
+        pair = bucket.astype(np.int64)
+        pair[~same] = len(pairs) + other
+        pairs, n = np.append(pairs, others), np.append(np.bincount(bucket[same], minlength=len(pairs)), n_other)
+        often = n[pair] >= least
+        at, pair = at[often], pair[often]
+        if not len(at):
             break
-        use = rank[rule] >= 0
-        at, rule = at[use], rank[rule[use]]
-        # of overlapping occurrences every second one, from the left
-        run = np.cumsum(np.append(True, np.diff(at) > 1)) - 1
-        start = np.append(0, np.flatnonzero(np.diff(run)) + 1)
-        use = (np.arange(len(at)) - start[run]) % 2 == 0
-        at, rule = at[use], rule[use]
-        new = np.stack([keys[best] >> np.uint64(32), keys[best] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
-        size = lambda x, old=lengths: np.where(x < base, 1, old[np.maximum(x.astype(np.int64) - base, 0)] if len(old) else 1)
-        seq[at] = base + len(rules) + rule
-        seq = np.delete(seq, at + 1)
-        lengths = np.append(lengths, size(new[:, 0]) + size(new[:, 1]))
-        rules = np.concatenate([rules, new])
+        frequent = np.flatnonzero(n >= least)
+        rank = np.zeros(len(n), dtype=np.int32)
+        rank[frequent[np.argsort(n[frequent], kind="stable")]] = np.arange(1, len(frequent) + 1)
+        r = rank[pair]
+        follows = np.append(False, (np.diff(at) == 1) & (r[1:] == r[:-1]))
+        run = np.flatnonzero(~follows)
+        even = (np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0
+        at, pair, r = at[even], pair[even], r[even]
+        around = np.zeros(len(seq) + 2, dtype=np.int32)
+        around[at + 1] = r
+        best = (r > around[at]) & (r > around[at + 2])
+        at, pair = at[best], pair[best]
+        use = np.bincount(pair, minlength=len(n)) > 1  # a rule for one place saves nothing
+        at, pair = at[use[pair]], (np.cumsum(use) - 1)[pair[use[pair]]]
+        new = np.stack([pairs[use] >> np.uint64(32), pairs[use] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
+        size = np.concatenate([np.ones(1, dtype=np.int64), lengths])
+        whole = size[np.maximum(new.astype(np.int64) - base + 1, 0)].sum(axis=1)
+        seq[at] = base + len(rules) + pair
+        keep = np.ones(len(seq), dtype=bool)
+        keep[at + 1] = False
+        seq = seq[keep]
+        lengths, rules = np.append(lengths, whole), np.concatenate([rules, new])
         made.append(len(new))
     return seq, rules, lengths, made
 
@@ -148,7 +151,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard in batch.to_pylist():
+            for shard in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
                 whole = read_range(shard, 0, shard["n_ids"])
                 n = np.array(shard["lengths"], dtype=np.int64)
                 end = np.cumsum(n)

@@ -13,16 +13,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-#: Chunks kept by a worker (about 50 bytes each) and slots of their table; memory, not results, depends on them.
-MAX_CHUNKS, SLOTS = 2_500_000, 1 << 22
-#: Bytes of a chunk that can be kept.
-WIDTH = 24
+#: Chunks kept by a worker and slots of their table; memory (about 60 MB), not results, depends on them.
+MAX_CHUNKS, SLOTS = 1_000_000, 1 << 21
+#: Bytes of a chunk that can be kept, and of new chunks that are encoded together.
+WIDTH, CHAIN = 24, 1 << 14
 _ENCODERS: dict[str, Encoder] = {}
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 _MASK = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
 #: Bytes that can end and begin a white space character in UTF-8 (some others end and begin with them too).
 _ENDS, _BEGINS = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
 _ENDS[[*range(9, 14), *range(28, 33), 0x80, 0x85, 0x9F, 0xA0, *range(0x81, 0x8B), 0xA8, 0xA9, 0xAF]] = True
+_LAST = _ENDS.tolist()
 _BEGINS[[*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
@@ -54,6 +55,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.sizes = np.zeros(max(vocabulary.values(), default=-1) + 1, dtype=np.int64)  # bytes of each id: a sign of its name is a byte
+        self.sizes[list(vocabulary.values())] = [len(x) for x in vocabulary]
         self.slots = np.full(SLOTS, -1, dtype=np.int32)
         self.keys = np.zeros((1024, 3), dtype=np.uint64)
         self.first = np.zeros(1025, dtype=np.int64)  # of each chunk's ids
@@ -63,6 +67,36 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, dtype=np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def separate(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all chunks, and each chunk's first place and number of ids in them.
+
+        Chunks from a space to a non-space are set one after the other and encoded in long texts; the ids' sizes in
+        bytes show where each chunk ends. Others, and texts whose ids do not end where a chunk ends, go one by one.
+        """
+        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        chained = np.fromiter((c[0] == 32 and not _LAST[c[-1]] for c in chunks), bool, len(chunks)) & (size > 1)
+        chain = np.flatnonzero(chained)
+        ends = np.cumsum(size[chain])
+        cuts = np.flatnonzero(np.diff(ends // CHAIN)) + 1
+        groups = [g for g in np.split(chain, cuts) if len(g)]
+        first, counts, out, used = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64), [np.zeros(0, np.uint32)], 0
+        for group, ids in zip(groups, self.whole([b"".join([chunks[i] for i in g]).decode("utf-8") for g in groups]), strict=True):
+            of = np.cumsum(self.sizes[ids]) if len(ids) and ids.max() < len(self.sizes) else np.zeros(0, np.int64)
+            want = np.cumsum(size[group])
+            at = np.searchsorted(of, want)
+            if len(of) and at[-1] == len(of) - 1 and (of[at] == want).all():
+                counts[group] = np.diff(at, prepend=-1)
+                first[group] = used + at + 1 - counts[group]
+                out.append(ids)
+                used += len(ids)
+            else:
+                chained[group] = False
+        for i, ids in zip(left := np.flatnonzero(~chained).tolist(), self.whole([chunks[i].decode("utf-8") for i in left]), strict=True):
+            first[i], counts[i] = used, len(ids)
+            out.append(ids)
+            used += len(ids)
+        return np.concatenate(out), first, counts
+
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         h = (keys * _MIX).sum(axis=1, dtype=np.uint64)
         h ^= h >> np.uint64(29)
@@ -117,9 +151,7 @@ class Encoder:
         raw = data.tobytes()
         chunks = [raw[a:b] for a, b in zip(starts[miss].tolist(), ends[miss].tolist(), strict=True)]
         index = {c: i for i, c in enumerate(dict.fromkeys(chunks))}
-        fresh = self.whole([c.decode("utf-8") for c in index])
-        fresh_counts = np.array([len(x) for x in fresh], dtype=np.int64)
-        fresh_ids = np.concatenate([np.zeros(0, dtype=np.uint32), *fresh])
+        fresh_ids, fresh_first, fresh_counts = self.separate(list(index))
         which = np.array([index[c] for c in chunks], dtype=np.int64)
         counts[miss] = fresh_counts[which]
         totals = np.bincount(owner, weights=counts, minlength=len(lengths)).astype(np.int64)
@@ -132,14 +164,14 @@ class Encoder:
         place = within - (np.cumsum(each) - each)[owner] + first[owner]  # of each chunk's ids
         out = np.empty(int(totals.sum()), dtype=np.uint32)
         out[ragged(place[hit], counts[hit])] = self.ids[ragged(self.first[at[hit]], counts[hit])]
-        out[ragged(place[miss], counts[miss])] = fresh_ids[ragged((np.cumsum(fresh_counts) - fresh_counts)[which], counts[miss])]
+        out[ragged(place[miss], counts[miss])] = fresh_ids[ragged(fresh_first[which], counts[miss])]
         for i, x in zip(np.flatnonzero(odd), whole, strict=True):
             out[first[i] : first[i] + totals[i]] = x
         if len(miss):
             keep = np.unique(which[n[miss] <= WIDTH], return_index=True)
             rows = miss[n[miss] <= WIDTH][keep[1]]
             order = keep[0]
-            self._keep(keys[rows], fresh_ids[ragged((np.cumsum(fresh_counts) - fresh_counts)[order], fresh_counts[order])], fresh_counts[order])
+            self._keep(keys[rows], fresh_ids[ragged(fresh_first[order], fresh_counts[order])], fresh_counts[order])
         return out, totals
 
 
