@@ -4,14 +4,18 @@ A rolling hash picks trigger bytes: a place is a trigger if its hash is the leas
 Between triggers lie phrases. Every string of `length` bytes has a trigger at least span - 1 bytes after its start
 that depends on the string's own bytes only, so equal strings start equally far before their first such trigger.
 A phrase with its look-ahead (all bytes of the strings that start in it) is a word of the dictionary; the parse
-is the sequence of those words. Suffixes are put in order only as far as `length` bytes:
+is the sequence of those words. The full method sorts the suffixes of dictionary and parse into the corpus order; only
+the equality of strings of `length` bytes is asked for here, so hash grouping takes the place of both suffix arrays:
 
 1. Words are grouped by their core, the bytes that all strings starting in the phrase contain. A core that occurs
    once has no repeated string; a core whose words are all equal has only repeated strings.
 2. In other groups equal words repeat wholly, and of every distinct word one occurrence is opened into its strings,
    which are grouped by hash. Copies are never opened or paired, so the work follows the distinct words.
 
-Defined cases: null and empty texts, and texts shorter than `length`, keep all bytes. Equal rows repeat each
+Words and strings are told apart by two 64-bit hashes, that of their core and their own, so two different ones are
+taken for equal only if both agree.
+
+Defined cases: null and empty texts, and texts shorter than `length`, keep all bytes. Very long texts are taken whole. Equal rows repeat each
 other wholly. A text that repeats within itself counts too. An empty table gives an empty result. Other columns
 are not read.
 """
@@ -26,11 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import materialize, read_documents, settle, small_batches, texts
+from ._base import discard, materialize, read_documents, small_batches, texts
 from .tokens import column_bytes, ragged
 from .words import _BYTE, _powers, mix
 
-LENGTH, GRAM = 400, 12
+#: Bytes of a removed string and of a reported passage (about 50 words), and of the rolling hash.
+LENGTH, PASSAGE, GRAM = 400, 300, 12
 
 
 def window_span(length: int) -> int:
@@ -117,13 +122,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spark, keyed = docs.sparkSession, _keyed(docs)
     cores = _words(keyed, length).groupBy("core").agg(F.count("*").alias("c"), F.min("word").alias("a"), F.max("word").alias("b"))
     cores = materialize(cores.where("c > 1").select("core", (F.col("a") != F.col("b")).alias("mixed")), "cores")
-    settle(spark)
-    again = materialize(_words(keyed, length).join(cores.hint("merge"), "core"), "words")
-    settle(spark)
+    again = materialize(_words(keyed, length).join(cores, "core"), "words")
     whole = again.where("not mixed").select("u", "start", "n")
     mixed = again.where("mixed")
     distinct = materialize(mixed.groupBy("core", "word").agg(F.count("*").alias("c"), F.min(F.struct("u", "start", "n")).alias("at")), "distinct-words")
-    copied = mixed.join(distinct.where("c > 1").select("core", "word").hint("merge"), ["core", "word"]).select("u", "start", "n")
+    copied = mixed.join(distinct.where("c > 1").select("core", "word"), ["core", "word"]).select("u", "start", "n")
     opened = distinct.select("at.u", F.struct("at.start", "at.n", "core", (F.col("c") == 1).alias("single")).alias("w"))
     opened = opened.groupBy("u").agg(F.collect_list("w").alias("w"))
 
@@ -139,16 +142,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 yield pa.record_batch([pa.array(np.full(len(at), u)), pa.array(at.astype(np.int32)), pa.array(core), pa.array(h.view(np.int64)), pa.array(single)], names=["u", "start", "core", "string", "single"])
 
     texts_once = keyed.select("u", "text")
-    found = opened.hint("merge").join(texts_once, "u")
+    found = opened.join(texts_once, "u")
     strings_of = materialize(found.select("u", "text", "w").mapInArrow(strings, "u long, start int, core long, string long, single boolean"), "strings")
-    settle(spark)
     # an equal row's strings appear twice at one place: counted once
     shared = strings_of.groupBy("core", "string").agg(F.min(F.struct("u", "start")).alias("a"), F.max(F.struct("u", "start")).alias("b"))
     shared = materialize(shared.where("a != b").select("core", "string"), "shared-strings")
-    alone = strings_of.where("single").join(shared.hint("merge"), ["core", "string"]).select("u", "start", F.lit(1).alias("n"))
+    alone = strings_of.where("single").join(shared, ["core", "string"]).select("u", "start", F.lit(1).alias("n"))
     spans = whole.unionByName(copied).unionByName(alone)
     out = materialize(spans.select("u", F.col("start").alias("first"), (F.col("start") + F.col("n") - 1).alias("last")), "repeats")
-    settle(spark)
+    discard(cores, again, distinct, strings_of, shared)
     return out
 
 
@@ -160,9 +162,16 @@ def merged(first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray
     return start[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """A row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the kept bytes."""
-    spans = repeated_spans(docs, length).groupBy("u").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+def remove_repeats(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
+    """A row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeats_passage.
+
+    Only strings of `length` bytes are removed; repeats_passage also tells of shorter ones, of `passage` bytes, that
+    start elsewhere too. A string that is removed has such a passage, so strings are looked for in those texts only.
+    """
+    marked = materialize(repeated_spans(docs, passage).select("u").distinct(), "passages")
+    some = materialize(_keyed(docs).join(marked, "u").select("doc_id", "text"), "passage-texts")
+    spans = repeated_spans(some, length).groupBy("u").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    discard(some)
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
@@ -176,10 +185,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 kept = b"".join(data[a:b] for a, b in zip([0, *end.tolist()], [*start.tolist(), len(data)], strict=True))
                 rows.append((doc, len(data), len(data) - len(kept), len(start), hashlib.sha256(kept).hexdigest()))
             cols = list(zip(*rows, strict=True))
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()], strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()], strict=True)] + [batch.column("marked")], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "repeats_passage"])
 
-    joined = _keyed(docs).join(spans.hint("merge"), "u", "left").select("doc_id", "text", "runs")
-    return joined.mapInArrow(take, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    told = marked.join(spans, "u", "left").withColumn("marked", F.lit(True))
+    joined = _keyed(docs).join(told, "u", "left").select("doc_id", "text", "runs", F.col("marked").isNotNull().alias("marked"))
+    return joined.mapInArrow(take, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeats_passage boolean")
 
 
 def op6_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
