@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op5_latent_decontamination
 from .html_extraction import op2_crf_html_extraction
-from .line_dedup import OP9_EVERY_SQL, OP9_SQL, op9_every_line_dedup, op9_line_dedup
+from .line_dedup import OP9_EVERY_SQL, OP9_LONG_SQL, OP9_SQL, op9_every_line_dedup, op9_line_dedup, op9_long_line_dedup
 from .media import op3_interleaved_media
 from .near_dedup import op8_tensored_minhash
 from .packing import op10_power_of_two_packing
@@ -17,7 +17,7 @@ from .substring_dedup import op6_prefix_free_parsing
 from .token_files import op4_repair_token_files
 from .toxicity import op1_noisy_channel_toxicity
 
-_QUERIES = [op1_noisy_channel_toxicity, op2_crf_html_extraction, op3_interleaved_media, op4_repair_token_files, op5_latent_decontamination, op6_prefix_free_parsing, op7_bilstm_crf_pii, op8_tensored_minhash, op9_line_dedup, op9_every_line_dedup, op10_power_of_two_packing]
+_QUERIES = [op1_noisy_channel_toxicity, op2_crf_html_extraction, op3_interleaved_media, op4_repair_token_files, op5_latent_decontamination, op6_prefix_free_parsing, op7_bilstm_crf_pii, op8_tensored_minhash, op9_line_dedup, op9_every_line_dedup, op9_long_line_dedup, op10_power_of_two_packing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": OP9_SQL, "op9_every_line_dedup": OP9_EVERY_SQL}
+    return {"op9_line_dedup": OP9_SQL, "op9_every_line_dedup": OP9_EVERY_SQL, "op9_long_line_dedup": OP9_LONG_SQL}
