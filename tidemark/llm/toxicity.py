@@ -3,11 +3,13 @@
 A character trigram model is counted over the letters of all documents. Tokens that mix letters with look-alike
 signs, repeat a letter three times or more, or stand as single characters in a row become a lattice: each
 written character may be one of several letters, or nothing if it repeats or separates. Viterbi decoding under
-the character model and the channel's costs restores a word, and the restored text is scored by a logistic
+the character model and the channel's costs restores a word. Plain tokens that make up a telling word when set
+together (two tokens, or a row of short ones) are that word if the channel's space is likelier than words of their own,
+so only such joins are weighed. The restored text is scored by a logistic
 model of word presence, learnt from labelled rows that are not held out.
 
 Defined cases: null and empty texts have no words and get the model's base score. Without labelled rows of both
-kinds the score is the labels' smoothed rate for every text. Repeated rows give repeated results, ties in the
+kinds the score is the labels' smoothed rate for every text. Very long texts are taken whole. Repeated rows give repeated results, ties in the
 choice of words go by the word. An empty table gives an empty result. Labels, lang, source and doc_id are not
 inputs of a score; other columns are not read.
 """
@@ -22,13 +24,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._base import column_texts, read_documents, small_batches, texts
 
-#: Labelled rows of each kind that are fitted at most, words kept, and the least log-likelihood ratio of a kept word.
-TRAIN_ROWS, FEATURES, LEAST_LLR = 3000, 300, 25.0
+#: Labelled rows of each kind that are fitted at most, the least log-likelihood ratio of a kept word, letters of a short piece.
+TRAIN_ROWS, LEAST_LLR, PIECE = 3000, 25.0, 2
 HELD_OUT = 5
 
 # Letters that a written sign may stand for
@@ -80,6 +82,7 @@ class Model:
     costs: np.ndarray  # of a letter after two letters
     weights: dict[str, float] = field(default_factory=dict)
     bias: float = 0.0
+    lexicon: frozenset[str] = frozenset()  # words that are known to count, looked for in pieces too
     memo: dict[str, str] = field(default_factory=dict)
 
     def __getstate__(self) -> dict:
@@ -107,7 +110,7 @@ def language_costs(counts: np.ndarray, words: list[str] = (), share: float = 0.0
     return -np.log(three)
 
 
-def decode(written: str, costs: np.ndarray, beam: int = 24) -> str:
+def decode(written: str, costs: np.ndarray) -> str:
     """The most likely word behind what is written: Viterbi over states of the last two letters and the last written sign."""
     states: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
     for at, c in enumerate(written):
@@ -127,15 +130,37 @@ def decode(written: str, costs: np.ndarray, beam: int = 24) -> str:
                 put((a, b, c), cost + repeat, text)
             if c in SEPARATORS or not letters:
                 put((a, b, last), cost + SEPARATOR, text)
-        states = dict(sorted(new.items(), key=lambda s: s[1])[:beam])
+        states = new
     return min((cost + float(costs[a, b, 0]), text) for (a, b, _), (cost, text) in states.items())[1] if states else ""
 
 
+def word_cost(word: str, costs: np.ndarray) -> float:
+    c = [0, 0, *letter_codes(word).tolist(), 0]
+    return float(sum(costs[a, b, d] for a, b, d in zip(c, c[1:], c[2:], strict=False)))
+
+
+def joined_words(tokens: list[str], model: Model) -> set[str]:
+    """Known words that stand in pieces: two tokens, or a row of short ones, that the channel's space divides more likely than words of their own."""
+    out, n = set(), len(tokens)
+    for i in range(n - 1):
+        piece = tokens[i]
+        for k in range(i + 1, n):
+            piece += tokens[k]
+            if piece in model.lexicon:
+                apart = sum(word_cost(t, model.costs) for t in tokens[i : k + 1])
+                if word_cost(piece, model.costs) + SEPARATOR * (k - i) < apart:
+                    out.add(piece)
+            if len(tokens[k]) > PIECE or len(tokens[i]) > PIECE:
+                break
+    return out
+
+
 def restored_words(text: str, model: Model) -> set[str]:
     """The distinct words of a text, with those that the channel restores."""
     low = text.lower()
-    out: set[str] = set()
-    for token in set(low.split()):
+    tokens = low.split()
+    out: set[str] = joined_words(tokens, model) if model.lexicon else set()
+    for token in set(tokens):
         if token.isalpha():
             out.add(token)
             if _LONG.search(token):
@@ -157,15 +182,14 @@ def restored_words(text: str, model: Model) -> set[str]:
     return out
 
 
-def _llr(tox: int, clean: int, n_tox: int, n_clean: int) -> float:
-    """The log-likelihood ratio of a word's presence and the label, signed."""
-    out, n = 0.0, n_tox + n_clean
-    for seen, of in ((tox, n_tox), (clean, n_clean)):
-        p, q = seen / max(1, of), (tox + clean) / n
-        for k, a, b in ((seen, p, q), (of - seen, 1 - p, 1 - q)):
-            if k:
-                out += 2 * k * math.log(a / b)
-    return out if tox * n_clean > clean * n_tox else -out
+def _llr(n_tox: int, n_clean: int) -> Column:
+    """The log-likelihood ratio of a word's presence (n_toxic, n_clean texts) and the label."""
+    n, total = F.col("n_toxic") + F.col("n_clean"), float(n_tox + n_clean)
+
+    def term(seen: Column, of: int, every: Column) -> Column:
+        return F.when(seen > 0, 2 * seen * F.log(seen * total / (of * every))).otherwise(0.0)
+
+    return sum((term(F.col(c), of, n) + term(of - F.col(c), of, total - n) for c, of in (("n_toxic", n_tox), ("n_clean", n_clean))), F.lit(0.0))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 60) -> np.ndarray:
@@ -213,13 +237,14 @@ def fit(docs: DataFrame, labels: DataFrame, corpus_counts: np.ndarray | None = N
         yield pa.record_batch([pa.array(every, pa.string()), pa.array([seen[True][w] for w in every], pa.int64()), pa.array([seen[False][w] for w in every], pa.int64())], names=["word", "n_toxic", "n_clean"])
 
     counted = sample.mapInArrow(words, "word string, n_toxic long, n_clean long").groupBy("word").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_clean").alias("n_clean"))
-    counts = {r.word: (r.n_toxic, r.n_clean) for r in counted.where("n_toxic >= 5 or word = ''").orderBy(F.desc("n_toxic"), "word").limit(20 * FEATURES + 1).collect()}
-    n_tox, n_clean = counts.pop("", (0, 0))
-    if not n_tox or not n_clean:
+    whole = counted.where("word = ''").first()
+    if whole is None or not whole.n_toxic or not whole.n_clean:
         return model
-    ranked = sorted(((_llr(a, b, n_tox, n_clean), w) for w, (a, b) in counts.items()), key=lambda x: (-x[0], x[1]))
-    chosen = [w for value, w in ranked if value >= LEAST_LLR][:FEATURES]
-    model.costs = language_costs(corpus_counts, chosen)
+    n_tox, n_clean = whole.n_toxic, whole.n_clean
+    told = counted.where("word <> ''").where(_llr(n_tox, n_clean) >= LEAST_LLR)  # far fewer than the words of the sample
+    chosen = {r.word: r.n_toxic * n_clean > r.n_clean * n_tox for r in told.orderBy("word").collect()}
+    toxic_words = [w for w, t in chosen.items() if t]
+    model.costs, model.lexicon, chosen = language_costs(corpus_counts, toxic_words), frozenset(toxic_words), list(chosen)
     index = {w: i for i, w in enumerate(chosen)}
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +282,7 @@ def keep_clean(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The rows of docs, with all their columns, whose score is under `least`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, "text"):
             yield batch.filter(pa.array([score(t or "", model) < least for t in batch.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
