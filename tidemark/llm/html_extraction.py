@@ -7,7 +7,8 @@ elements mark the article, and pages laid out from templates whose labels are kn
 are decoded by Viterbi; the text of a page is its main blocks in page order.
 
 Defined cases: null or empty html gives an empty text, and so does a page without blocks. Unclosed, unopened and
-unknown tags are tolerated. Repeated rows give repeated results. An empty table gives an empty result. Columns
+unknown tags are tolerated: flow content ends an open head, title or control. Very long pages are parsed whole. Pages
+with equal hashes train together; of equally likely labellings that with the earlier "other" is taken. Repeated rows give repeated results. An empty table gives an empty result. Columns
 other than page_id, url and html are not read.
 """
 
@@ -32,6 +33,10 @@ TRAIN_PAGES, TEMPLATES, FEATURES = 150, 350, 1 << 13
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "dfn", "em", "font", "i", "ins", "del", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 HIDDEN = {"script", "style", "template", "noscript", "title", "head", "svg", "math", "iframe", "object", "select", "option", "textarea", "button"}
+#: Elements that show nothing and interrupt no word; those that end, if left open, where flow content begins.
+UNSEEN, OPEN = {"script", "style", "template", "noscript"}, {"head", "title", "button", "select", "option", "optgroup"}
+#: Words of classes and ids that name what is not the article, where a page's landmarks label its blocks.
+BESIDE = {"ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner", "comment", "comments", "responses", "discussion", "notice", "cookie", "consent", "alert", "related", "share", "social", "subscribe", "newsletter", "widget", "sidebar", "menu", "nav", "navbar", "breadcrumb", "footer", "form"}
 LANDMARKS, ASIDE = {"article", "main"}, {"nav", "header", "footer", "aside", "form", "dialog", "menu"}
 
 
@@ -56,11 +61,16 @@ class _Blocks(HTMLParser):
         self.linked = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in UNSEEN:
+            self.stack.append((tag, ()))
+            self.hidden += 1
+            return
         if tag not in INLINE:
             self.flush()
             if tag in VOID:
                 return
-            while self.stack and (self.stack[-1][0] in INLINE or self.stack[-1][0] == "p" or self.stack[-1][0] == tag == "li"):
+            ends = () if tag in HIDDEN else OPEN  # flow content is in no head and no unclosed control
+            while self.stack and ((top := self.stack[-1][0]) in INLINE or top == "p" or top in ends or top == tag and tag in ("li", "option", "button", "title")):
                 self._pop()
         elif tag in VOID:
             return
@@ -75,7 +85,7 @@ class _Blocks(HTMLParser):
         self.links -= tag == "a"
 
     def handle_endtag(self, tag: str) -> None:
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in UNSEEN:
             self.flush()
         if any(n == tag for n, _ in self.stack):
             while self.stack[-1][0] != tag:
@@ -159,8 +169,8 @@ def train(pages: list[tuple[list[np.ndarray], np.ndarray]], epochs: int = 12, ra
 
 
 def landmark_labels(blocks: list) -> np.ndarray | None:
-    """1 for blocks inside an article or main element and no side element, if the page has any."""
-    y = np.array([int(bool(LANDMARKS & set(n)) and not ASIDE & set(n)) for _, n, _, _ in blocks])
+    """1 for blocks inside an article or main element and in nothing beside it, by element or by name, if the page has any."""
+    y = np.array([int(bool(LANDMARKS & set(n)) and not ASIDE & set(n) and not BESIDE & set(m)) for _, n, m, _ in blocks])
     return y if y.any() else None
 
 
@@ -213,7 +223,7 @@ def fit(pages: DataFrame, train_pages: int = TRAIN_PAGES, templates: int = TEMPL
     """Train on at most train_pages pages of the table, those of the smallest hash, and on template pages."""
     keyed = pages.where(F.length("html") > 0).select(F.xxhash64("html").alias("h"), "html")
     bound = [r.h for r in keyed.select("h").orderBy("h").limit(train_pages).collect()]
-    rows = sorted(r.html for r in keyed.where(F.col("h") <= bound[-1]).limit(2 * train_pages).collect()) if bound else []
+    rows = sorted(r.html for r in keyed.where(F.col("h") <= bound[-1]).distinct().collect()) if bound else []
     found, texts = [], []
     for html in rows:
         blocks = leaf_blocks(html)
