@@ -84,6 +84,8 @@ def test_grammar_round_trip(ids):
     ids = ids.astype(np.uint32)
     seq, rules, lengths, made = token_files.grammar(ids, 60000)
     assert (token_files.expand(seq, 60000, rules, made) == ids).all()
+    left = Counter(zip(seq.tolist(), seq[1:].tolist(), strict=False))  # only runs of one symbol count an occurrence twice
+    assert all(n < token_files.LEAST for pair, n in left.items() if pair[0] != pair[1]) and len(seq) <= len(ids)
     shard = {"sequence": seq.astype("<u4").tobytes(), "width": 4, "rules": rules.astype("<u4").tobytes(), "expansion": lengths.astype("<u4").tobytes(), "base": 60000, "rounds": made}
     for a, b in ((0, len(ids)), (7, 40), (len(ids) // 2, len(ids) - 3)):
         if 0 <= a < b <= len(ids):
@@ -140,7 +142,10 @@ def test_substring_dedup(spark):
             x[r.randrange(len(x))] = r.choice("xyz")
         texts.append("".join(x))
     got = sorted(tuple(x) for x in substring_dedup.remove_repeats(docs_of(spark, texts, extra=True)).collect())
-    assert got == brute_removal([(i, (t or "").encode()) for i, t in enumerate(texts)], 400)
+    rows = [(i, (t or "").encode()) for i, t in enumerate(texts)]
+    passages = {r[0] for r in brute_removal(rows, substring_dedup.PASSAGE) if r[2]}
+    assert got == [(*r, r[0] in passages) for r in brute_removal(rows, 400)]
+    assert {r[0] for r in got if r[2]} < passages
     assert substring_dedup.remove_repeats(empty(spark)).count() == 0
 
 
@@ -172,10 +177,58 @@ def test_near_dedup(spark, k):
     assert got == brute_components(texts, k)
 
 
+@pytest.mark.parametrize(("k", "large"), [(2, 3), (5, 1024)])
+def test_near_dedup_divides_large_groups(spark, monkeypatch, k, large):
+    """Families of copies of copies, in groups that are all large."""
+    monkeypatch.setattr(near_dedup, "SMALL", 2)
+    monkeypatch.setattr(near_dedup, "LARGE", large)
+    monkeypatch.setattr(near_dedup, "PART", 4)
+    r = random.Random(k)
+    texts = prose(3, seed=k, words=60)
+    for t in list(texts[:2]):
+        for _ in range(20):
+            w = r.choice([t, r.choice(texts)]).split()
+            for _ in range(r.randint(0, 5 if k == 2 else 3)):
+                at, how = r.randrange(len(w)), r.random()
+                if how < 0.4:
+                    w[at] = r.choice(["of", "and", f"x{r.randint(0, 9)}"])
+                elif how < 0.7 and len(w) > 5:
+                    del w[at]
+                else:
+                    w.insert(at, f"new{r.randint(0, 20)}")
+            texts.append(" ".join(w))
+    got = sorted(tuple(x) for x in near_dedup.near_duplicates(docs_of(spark, texts), k).collect())
+    assert got == brute_components(texts, k)
+
+
+def test_near_dedup_repeats_and_missing_ids(spark):
+    text = " ".join(prose(1, seed=1))
+    rows = [(5, text), (5, text), (7, text), (None, text), (None, "alone here"), (9, None), (9, "")]
+    got = {(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS), 2).collect()}
+    assert got == {(5, 5, True), (7, 5, False), (None, 5, False), (None, None, True), (9, 9, True)}
+
+
 def test_near_dedup_empty(spark):
     assert near_dedup.near_duplicates(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["op9_line_dedup", "op9_long_line_dedup"])
+def test_line_reports_equal_their_sql(spark, tmp_path, name):
+    import duckdb
+
+    from tidemark.llm import queries
+
+    texts = ["Les.\nown words\none two three four five\nsix", "les. \n\n\u3000\nOWN\u00a0 words", None, "", "one two three four five\nsix\nseven", "a\x1cb\na b\nA  B", "same text here", "same text here"]
+    docs_of(spark, texts, extra=True).write.parquet(f"{tmp_path}/documents.parquet")
+    for path in (f"{tmp_path}/documents.parquet/*.parquet", "/root/testdata/sf0.001/documents.parquet"):
+        duck = duckdb.connect()
+        duck.sql(f"CREATE VIEW documents AS SELECT doc_id, text FROM '{path}'")
+        df = queries.queries()[name](spark, path.split("/documents")[0])
+        want = duck.sql(f"SELECT {', '.join(f'"{c}"' for c in df.columns)} FROM ({queries.oracle_sql()[name]})").fetchall()
+        key = lambda r: tuple(str(x) for x in r)
+        assert sorted(map(tuple, df.collect()), key=key) == sorted(want, key=key) and want
+
+
 def test_every_line_dedup_equals_its_sql(spark, tmp_path):
     import duckdb
 
@@ -303,6 +356,13 @@ def test_pii(spark):
         base = plain_spans(t or "")
         assert got[i].base_sha256 == hashlib.sha256(pii.joined(base).encode()).hexdigest() and set(filter(None, pii.joined(base).split(","))) <= set(got[i].spans.split(","))
         assert [got[i].n_email, got[i].n_ip, got[i].n_card, got[i].n_phone] == [sum(k == n for _, k, _ in base) for n in range(4)]
+    counts = {k: [0, 0] for k in range(4)}  # found of written variants with another seed, set into plain text
+    for (v, kind), p in zip(pii.variants(160, seed=77), prose(160, seed=33), strict=True):
+        at, t = len(p) + 1, f"{p} {v} {p}"
+        spans = set(pii.base_spans(t)) | set(pii.added_spans(t, pii.model_labels(params, t), pii.base_spans(t)))
+        counts[kind][0] += any(k == kind and s < at + len(v) and e > at for s, k, e in spans)
+        counts[kind][1] += sum(not (k == kind and s < at + len(v) and e > at) for s, k, e in spans)
+    assert all(found >= 30 and other <= 8 for found, other in counts.values()), counts
     held = [(f"{p} {value()} {p}", len(p) + 1) for p in prose(40, seed=33)]
     found = sum(pii.model_labels(params, t)[at + 4] > 0 for t, at in held)
     assert found >= 32  # held-out accuracy of the model alone
@@ -333,10 +393,57 @@ def test_toxicity(spark):
     assert toxicity.score("3rd 1st 2nd x100 of 10 a1b2", model) < 0.5
     kept = {x.doc_id for x in toxicity.keep_clean(docs, model).collect()}
     assert kept == {i for i, s in got.items() if s < 0.5}
+    a, b = "idi", "ot"
+    assert toxicity.joined_words([a, b], model) <= {"idiot"} and toxicity.joined_words(["id", "io", "t"], model) <= {"idiot"}
     none = toxicity.fit(empty(spark), spark.createDataFrame([], "doc_id long, toxic int"))
     assert 0 <= toxicity.score("anything", none) <= 1 and toxicity.score_documents(empty(spark), none).count() == 0
 
 
+def test_decoding_equals_a_search_of_all_paths():
+    """Every path through the lattice of a written word, against Viterbi."""
+    rng = np.random.default_rng(3)
+    costs = toxicity.language_costs(rng.integers(0, 200, toxicity.LETTERS**3))
+
+    def paths(written, at, text, last, cost):
+        if at == len(written):
+            yield cost, text
+            return
+        c = written[at]
+        repeat = toxicity.REPEAT if c * 3 in written[max(0, at - 2) : at + 3] else toxicity.DOUBLE
+        letters = [(c, 0.0)] if c.isalpha() else [(x, toxicity.SIGN) for x in toxicity.LOOKALIKES.get(c, "")]
+        for x, extra in letters:
+            yield from paths(written, at + 1, text + x, c, cost + extra)
+        if last == c and text:
+            yield from paths(written, at + 1, text, c, cost + repeat)
+        if c in toxicity.SEPARATORS or not letters:
+            yield from paths(written, at + 1, text, last, cost + toxicity.SEPARATOR)
+
+    for written in ("1d10t", "m0r0nnn", "$.c.u.m", "a**b", "!!!", "l33t$", "_-_", "xx@@66"):
+        found = [(cost + toxicity.word_cost(text, costs), text) for cost, text in paths(written, 0, "", "", 0.0)]
+        got = toxicity.decode(written, costs)
+        assert abs(min(c for c, t in found if t == got) - min(found)[0]) < 1e-9, written
+
+
+def test_field_decoding_equals_a_search_of_all_labellings():
+    rng = np.random.default_rng(1)
+    for n in range(1, 9):
+        u, t = rng.standard_normal((n, 2)), rng.standard_normal((2, 2))
+        value = lambda q: sum(u[i, k] for i, k in enumerate(q)) + sum(t[a, b] for a, b in zip(q, q[1:], strict=False))  # noqa: B023, E731
+        assert html_extraction.viterbi(u, t).tolist() == list(max(np.ndindex(*[2] * n), key=value))
+
+
+def test_html_blocks_of_open_elements():
+    texts = lambda page: [b[0] for b in html_extraction.leaf_blocks(page)]
+    assert texts("<html><head><title>t</title><body><article><p>Hello there") == ["Hello there"]
+    assert texts("<html><head><meta charset=x><script>x</script><p>Hello") == ["Hello"]
+    assert texts("<body><button>b<p>para</p></body>") == ["para"]
+    assert texts("<select><option>a<option>b<div>text</div>") == ["text"]
+    assert texts("<p>a<script>var x</script>b <style>y</style>c</p>") == ["ab c"]
+    assert texts("<button>ok</button><p>x</p><select><option>a</select>y") == ["x", "y"]
+    page = '<article><h1>T</h1><p>main</p><div class="comments"><p>mine</p></div><div class="ad">buy</div></article>'
+    assert html_extraction.landmark_labels(html_extraction.leaf_blocks(page)).tolist() == [1, 1, 0, 0]
+
+
 def test_html(spark):
     body = " ".join(prose(3, seed=8))
     page = f'<html><head><title>t</title><script>var a="</p>";</script></head><body><nav><ul><li><a href=/>home page</a></li></ul></nav><article><h1>Some title</h1><p>{body}<p>A &amp; B  <b>x</b>y</article><footer>&copy; me</footer></body></html>'
