@@ -7,21 +7,23 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import f1, r4, share, stats
 from ..schemas import SECOND
-from .intervals import Keys, best_overlap, covered_us, intersection_duration, nearest_within, overlap_join, overlap_us, total_duration
+from .intervals import Keys, best_overlap, covered_us, merge_intervals, nearest_within, overlap_join, overlap_us
 
 TOLERANCES = [0, SECOND // 2, SECOND, 2 * SECOND]
 
 
 def overlap_metrics(ai: DataFrame, human: DataFrame, by: Keys, tolerances: list[int] = TOLERANCES) -> DataFrame:
     """Precision, recall and F1 of each key at each tolerance; only the human side is widened."""
-    out = None
-    ai_total = total_duration(ai, by).withColumnRenamed("duration_us", "ai_us")
-    human_total = total_duration(human, by).withColumnRenamed("duration_us", "human_us")
-    for tol in tolerances:
-        inter = intersection_duration(ai, human, by, tol).select(*by, "inter_us")
-        one = ai_total.join(human_total, by, "full").join(inter, by, "left").fillna(0, ["ai_us", "human_us", "inter_us"]).withColumn("tol_us", F.lit(tol).cast("long"))
-        out = one if out is None else out.unionByName(one)
-    out = out.withColumn("precision", share("inter_us", "ai_us")).withColumn("recall", share("inter_us", "human_us"))
+    kept = merge_intervals(ai, by)
+    # one merge for all tolerances; null: not widened, for the human total
+    wide = F.array(*[F.struct(F.lit(t).cast("long").alias("tol_us"), *(F.col(c).cast("long").alias(c) for c in ("start_us", "end_us"))) if t is None else F.struct(F.lit(t).cast("long").alias("tol_us"), F.greatest(F.lit(0), F.col("start_us") - t).cast("long").alias("start_us"), (F.col("end_us") + t).cast("long").alias("end_us")) for t in (None, *tolerances)])
+    widened = merge_intervals(human.select(*by, F.explode(wide).alias("w")).select(*by, "w.*"), [*by, "tol_us"])
+    length = F.sum(F.col("end_us") - F.col("start_us"))
+    human_total = widened.where("tol_us is null").groupBy(*by).agg(length.alias("human_us"))
+    inter = overlap_join(kept, widened.where("tol_us is not null"), by).groupBy(*by, F.col("r_tol_us").alias("tol_us")).agg(F.sum(overlap_us()).alias("inter_us"))
+    every = F.explode(F.array(*[F.lit(t).cast("long") for t in tolerances])).alias("tol_us")
+    out = kept.groupBy(*by).agg(length.alias("ai_us")).join(human_total, by, "full").select("*", every).join(inter, [*by, "tol_us"], "left").fillna(0, ["ai_us", "human_us", "inter_us"])
+    out = out.withColumn("inter_us", F.least("inter_us", "ai_us")).withColumn("precision", share("inter_us", "ai_us")).withColumn("recall", share("inter_us", "human_us"))
     return out.withColumn("f1", f1("precision", "recall"))
 
 
