@@ -9,6 +9,7 @@ from .. import fixtures as fx
 from ..fixtures import AI, BLOCKS, HUMAN, SEGMENTS, TE
 from ..functions.scalar import f1, r4, share
 from ..functions.udf import score_with
+from ..operators import candidates as ca
 from ..operators import intervals as iv
 from ..operators import metrics as mt
 from ..operators import planning as pl
@@ -21,7 +22,7 @@ from ..streaming import jobs
 from .intervals import METRICS
 from .intervals import SQL as INTERVALS_SQL
 from .planning import FEEDBACK, feedback
-from .rules import CATEGORY, _rank_sql
+from .rules import CATEGORY, _rank_sql, _scored_sql
 from .sequence import SQL as SEQUENCE_SQL
 from .sequence import expand_ctes, expanded
 
@@ -304,21 +305,23 @@ def effect_critique(spark, sf):
 _SAME = "2 * (least(f.e, m.end_us) - m.start_us) > least(f.e - f.s, m.end_us - m.start_us)"
 
 
-@query(f"""WITH RECURSIVE {TE}, {expand_ctes(False)}, m AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY start_us, end_us, cluster) AS rn FROM expanded),
+#: The largest cosine of each candidate's text with an earlier one's of its recording.
+_REPEATED = r"""tw AS (SELECT asset_id, start_us, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM jt), tc AS (SELECT asset_id, start_us, term, count(*) AS n FROM tw GROUP BY ALL), td AS (SELECT asset_id, term, count(*) AS df FROM tc GROUP BY ALL), ti AS (SELECT asset_id, count(*) AS items FROM jt GROUP BY 1),
+ t0 AS (SELECT tc.*, n * (ln((items + 1.0::DOUBLE) / (df + 1.0::DOUBLE)) + 1) AS v FROM tc JOIN td USING (asset_id, term) JOIN ti USING (asset_id)), tv AS (SELECT asset_id, start_us, term, v / sqrt(sum(v * v) OVER (PARTITION BY asset_id, start_us)) AS v FROM t0),
+ sim AS (SELECT a.asset_id, a.start_us, b.start_us AS e, sum(a.v * b.v) AS s FROM tv a JOIN tv b ON a.asset_id = b.asset_id AND a.term = b.term AND b.start_us < a.start_us GROUP BY 1, 2, 3), top AS (SELECT asset_id, start_us, max(s) AS s FROM sim GROUP BY 1, 2)"""
+
+
+@query(f"""WITH RECURSIVE {TE}, {SEGMENTS}, {expand_ctes(False)}, m AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY start_us, end_us, cluster) AS rn FROM expanded),
  f AS (SELECT asset_id, rn, start_us AS s, end_us AS e, 1 AS grp FROM m WHERE rn = 1 UNION ALL SELECT m.asset_id, m.rn, CASE WHEN {_SAME} THEN f.s ELSE m.start_us END, CASE WHEN {_SAME} THEN greatest(f.e, m.end_us) ELSE m.end_us END, f.grp + CASE WHEN {_SAME} THEN 0 ELSE 1 END FROM f JOIN m ON m.asset_id = f.asset_id AND m.rn = f.rn + 1),
- c AS MATERIALIZED (SELECT asset_id, min(s) AS start_us, max(e) AS end_us FROM f GROUP BY asset_id, grp), j AS (SELECT c.asset_id, c.start_us, c.end_us, coalesce(sum(least(c.end_us, t.end_us) - greatest(c.start_us, t.start_us)) FILTER (t.event_type = 'speech'), 0) AS speech, count_if(t.event_type = 'face_reaction')::BIGINT AS reactions FROM c LEFT JOIN te t ON t.asset_id = c.asset_id AND c.start_us < t.end_us AND t.start_us < c.end_us GROUP BY ALL),
- s AS (SELECT *, 0.5::DOUBLE AS importance, 0.5::DOUBLE AS novelty, 0.5::DOUBLE AS emotional_intensity, 0.5::DOUBLE AS story_value, 0.5::DOUBLE AS repetition, CASE WHEN reactions > 0 THEN 0.75 ELSE 0.5 END::DOUBLE AS humor, CASE WHEN reactions > 0 THEN 0.75 ELSE 0.5 END::DOUBLE AS reaction, CASE WHEN reactions > 0 THEN least(1, greatest(0.5, 0.60::DOUBLE + 0.15::DOUBLE * reactions)) ELSE 0.5 END::DOUBLE AS visual_interest FROM j), k AS (SELECT *, {_rank_sql('balanced')} AS rank FROM s)
- SELECT asset_id, start_us, end_us, round(speech / greatest(end_us - start_us, 100000), 4) AS speech_density, reactions, rank, CASE WHEN rank >= 0.7 THEN 'interesting' WHEN rank >= 0.4 THEN 'uncertain' ELSE 'low_signal' END AS label, sha256(concat_ws('|', CAST(asset_id AS VARCHAR), CAST(start_us AS VARCHAR), CAST(end_us AS VARCHAR))) AS signature FROM k""")
+ cand AS MATERIALIZED (SELECT asset_id, min(s) AS start_us, max(e) AS end_us FROM f GROUP BY asset_id, grp), j AS (SELECT c.asset_id, c.start_us, c.end_us, coalesce(sum(least(c.end_us, t.end_us) - greatest(c.start_us, t.start_us)) FILTER (t.event_type = 'speech'), 0) AS speech, count_if(t.event_type = 'face_reaction')::BIGINT AS reactions FROM cand c LEFT JOIN te t ON t.asset_id = c.asset_id AND c.start_us < t.end_us AND t.start_us < c.end_us GROUP BY ALL),
+ tx AS (SELECT c.asset_id, c.start_us, string_agg(g.text, ' ' ORDER BY g.start_us, g.sequence) AS text FROM cand c JOIN segments g ON g.asset_id = c.asset_id AND c.start_us < g.end_us AND g.start_us < c.end_us GROUP BY 1, 2), jt AS MATERIALIZED (SELECT j.*, coalesce(text, '') AS text FROM j LEFT JOIN tx USING (asset_id, start_us)),
+ {_REPEATED}, {_scored_sql('jt').replace("r AS (", "ruled AS (").replace(", s AS (", ", scored AS (").replace("FROM r)", "FROM ruled)")}, x AS (SELECT * REPLACE (CASE WHEN reactions > 0 THEN least(1, greatest(visual_interest, 0.60::DOUBLE + 0.15::DOUBLE * reactions)) ELSE visual_interest END AS visual_interest, CASE WHEN reactions > 0 THEN greatest(reaction, 0.75::DOUBLE) ELSE reaction END AS reaction, CASE WHEN reactions > 0 AND humor < 0.6 THEN 0.75::DOUBLE ELSE humor END AS humor) FROM scored), k AS (SELECT *, {_rank_sql('balanced')} AS rank FROM x)
+ SELECT asset_id, start_us, end_us, round(speech / greatest(end_us - start_us, 100000), 4) AS speech_density, reactions, length(text) AS n_chars, rule, round(coalesce(top.s, 0), 4) AS text_repetition, rank, CASE WHEN score_confidence >= 0.7 THEN 'interesting' WHEN score_confidence >= 0.4 THEN 'uncertain' ELSE 'low_signal' END AS label, CASE WHEN score_confidence < 0.55 THEN 'eligible' ELSE 'none' END AS escalation, sha256(concat_ws('|', CAST(asset_id AS VARCHAR), CAST(start_us AS VARCHAR), CAST(end_us AS VARCHAR))) AS signature FROM k LEFT JOIN top USING (asset_id, start_us)""")
 def generate_candidates(spark, sf):
-    """Events to relational clusters, windows, expanded and merged candidates, features, elevated scores, rank, label and signature, in one plan."""
-    e = fx.timeline_events(spark, sf)
-    w = sq.merge_overlapping(expanded(spark, sf, False), BY, order="cluster")
-    f = sq.window_features(w.withColumn("candidate", F.col("start_us")), e, BY, ["candidate"]).withColumn("reaction_n", F.col("reactions"))
-    for name in ru.SCORES:
-        f = f.withColumn(name, F.lit(0.5) if name != "chat_relevance" else F.lit(None).cast("double"))
-    f = ru.elevate_scores(f).withColumn("rank", ru.weighted_rank()).withColumn("rule_confidence", F.lit(0.5))
-    f = ru.triage(f, "rank", "rule_confidence")
-    return f.select("asset_id", "start_us", "end_us", "speech_density", "reactions", "rank", "label", ru.signature(F.col("asset_id"), F.col("start_us"), F.col("end_us")).alias("signature"))
+    """Events to relational clusters, windows, expanded and merged candidates, features, transcript, rule scores, repetition, rank, label and signature, in one plan."""
+    windows = sq.merge_overlapping(expanded(spark, sf, False), BY, order="cluster")
+    f = ca.score_candidates(windows, fx.timeline_events(spark, sf), fx.transcript_segments(spark, sf), BY)
+    return f.select("asset_id", "start_us", "end_us", "speech_density", "reactions", F.length("text").alias("n_chars"), "rule", "text_repetition", "rank", "label", "escalation", "signature")
 
 
 @query(f"""WITH {TE}, {BLOCKS}, d AS (SELECT *, edit_start_us - lag(edit_start_us) OVER w AS de, source_start_us - lag(source_start_us) OVER w AS ds FROM blocks WHERE block_id % 3 <> 0 WINDOW w AS (PARTITION BY asset_id ORDER BY edit_start_us, block_id)), q AS (SELECT *, sum(CASE WHEN de > 0 AND 2 * ds >= de AND 2 * ds <= 3 * de THEN 0 ELSE 1 END) OVER (PARTITION BY asset_id ORDER BY edit_start_us, block_id ROWS UNBOUNDED PRECEDING) AS sq FROM d), a AS (SELECT * FROM q QUALIFY count(*) OVER (PARTITION BY asset_id, sq) >= 2),
