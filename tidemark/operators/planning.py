@@ -125,6 +125,36 @@ def resolve_dependencies(clips: DataFrame, catalogue: DataFrame, deps: DataFrame
     return cur.join(missing, "clip_id", "left_anti")
 
 
+def link_continuity(clips: DataFrame, plan: Keys, limit: int = 8 * SECOND) -> DataFrame:
+    """Chains of clips, by start, while 0 <= start - previous end <= limit, as one clip: the first one's, up to the last one's end, essential if any is."""
+    w = Window.partitionBy(*plan).orderBy("start_us", "clip_id")
+    c = clips.withColumn("_new", F.when((F.col("start_us") - F.lag("end_us").over(w)).between(0, limit), 0).otherwise(1))
+    c = c.withColumn("_chain", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    at = F.struct("start_us", "clip_id")
+    first = lambda x: F.min_by(x, at)
+    g = c.groupBy(*plan, "_chain").agg(F.max_by("end_us", at).alias("end_us"), first("start_us").alias("start_us"), first("clip_id").alias("clip_id"), F.when(F.min("level") == 1, 1).otherwise(first("level")).alias("level"), first("locked").alias("locked"), first("confidence").alias("confidence"), F.count("*").alias("n"))
+    return g.drop("_chain").withColumn("duration_us", F.col("end_us") - F.col("start_us")).withColumn("position", F.row_number().over(w))
+
+
+def build_plan(selected: DataFrame, catalogue: DataFrame, deps: DataFrame, plan: Keys, budget: DataFrame) -> DataFrame:
+    """A plan's clips on the output clock, with the plan's totals.
+
+    selected and catalogue (all candidates): plan, clip_id, start_us, end_us, importance, story_value, locked; deps:
+    dependent, prerequisite. Clips are high, anchors essential; prerequisites are added, tight clips bridged, the plan
+    pruned to its budget by confidence (importance and story value), and packed.
+    """
+    score = (F.coalesce("importance", F.lit(0.0)) + F.coalesce("story_value", F.lit(0.0))).alias("confidence")
+    c = tag_anchors(selected, plan).withColumn("priority", F.when(F.col("anchor").isNotNull(), "essential").otherwise("high"))
+    r = resolve_dependencies(c, catalogue, deps).join(catalogue.select(*plan, "clip_id", score), "clip_id")
+    r = r.withColumn("level", F.when(F.col("priority") == "essential", 1).when(F.col("priority") == "high", 2).otherwise(5))
+    packed = repack_output(prune_to_budget(link_continuity(r, plan), plan, budget), plan)
+    length = F.col("end_us") - F.col("start_us")
+    original = catalogue.groupBy(*plan).agg(F.sum(length).alias("original_us"))
+    totals = packed.groupBy(*plan).agg(F.sum("duration_us").alias("selected_us"), F.count("*").alias("clip_count")).join(original, plan)
+    totals = totals.withColumn("compression", F.when(F.col("original_us") > 0, r4(F.col("selected_us") / F.col("original_us"))).otherwise(1.0))
+    return packed.join(totals, plan).select(*plan, "clip_id", "level", "start_us", "end_us", "output_start_us", "output_end_us", "original_us", "selected_us", "clip_count", "compression")
+
+
 def human_timeline(blocks: DataFrame, by: Keys) -> DataFrame:
     """Blocks as retained, transformed (another speed) or external (before the recording), clamped at 0."""
     kind = F.when(F.col("source_start_us") < 0, "external").when(F.col("speed") != 1, "transformed").otherwise("retained")

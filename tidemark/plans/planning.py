@@ -190,11 +190,24 @@ def resolve_dependencies(spark, sf):
     return pl.resolve_dependencies(c.where("clip_id % 2 = 0"), c, deps)
 
 
-@query(f"""WITH {CLIPS}, {ANCHORS}, cl2 AS (SELECT plan_id, clip_id, position, duration_us, confidence, locked, start_us, end_us, CASE WHEN anchor IS NOT NULL THEN 1 ELSE level END AS level FROM anchored), {PRUNED.replace('FROM clips', 'FROM cl2')} SELECT plan_id, clip_id, coalesce(sum(duration_us) OVER w, 0)::BIGINT AS output_start_us, (coalesce(sum(duration_us) OVER w, 0) + duration_us)::BIGINT AS output_end_us FROM pruned WINDOW w AS (PARTITION BY plan_id ORDER BY position, clip_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+_AT = "(start_us, clip_id)"
+
+
+@query(f"""WITH {CLIPS}, sc AS (SELECT *, confidence / 100.0::DOUBLE + clip_id % 7 / 10.0::DOUBLE AS score FROM clips), sel AS (SELECT * FROM clips WHERE clip_id % 2 = 0), {ANCHORS.replace("FROM clips", "FROM sel")}, {DEPS},
+ r0 AS (SELECT clip_id, start_us, end_us, CASE WHEN anchor IS NOT NULL THEN 'essential' ELSE 'high' END AS priority, locked, 0 AS round FROM anchored), {_round(1)}, {_round(2)}, {_round(3)}, res AS (SELECT * FROM r3 WHERE clip_id NOT IN (SELECT dependent FROM deps WHERE prerequisite NOT IN (SELECT clip_id FROM clips))),
+ whole AS (SELECT s.plan_id, res.clip_id, res.start_us, res.end_us, CASE res.priority WHEN 'essential' THEN 1 WHEN 'high' THEN 2 ELSE 5 END AS level, res.locked, score FROM res JOIN sc s USING (clip_id)),
+ f AS (SELECT *, CASE WHEN start_us - lag(end_us) OVER w BETWEEN 0 AND 8000000 THEN 0 ELSE 1 END AS new FROM whole WINDOW w AS (PARTITION BY plan_id ORDER BY start_us, clip_id)), g AS (SELECT *, sum(new) OVER (PARTITION BY plan_id ORDER BY start_us, clip_id ROWS UNBOUNDED PRECEDING) AS chain FROM f),
+ ch AS (SELECT plan_id, arg_max(end_us, {_AT}) AS end_us, min(start_us) AS start_us, arg_min(clip_id, {_AT}) AS clip_id, CASE WHEN min(level) = 1 THEN 1 ELSE arg_min(level, {_AT}) END AS level, arg_min(locked, {_AT}) AS locked, arg_min(score, {_AT}) AS confidence FROM g GROUP BY plan_id, chain),
+ cl2 AS (SELECT *, end_us - start_us AS duration_us, row_number() OVER (PARTITION BY plan_id ORDER BY start_us, clip_id) AS position FROM ch), {PRUNED.replace("FROM clips JOIN bud", "FROM cl2 JOIN bud")},
+ pk AS (SELECT *, coalesce(sum(duration_us) OVER w, 0)::BIGINT AS output_start_us, (coalesce(sum(duration_us) OVER w, 0) + duration_us)::BIGINT AS output_end_us FROM pruned WINDOW w AS (PARTITION BY plan_id ORDER BY position, clip_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ tt AS (SELECT plan_id, sum(duration_us)::BIGINT AS selected_us, count(*) AS clip_count FROM pk GROUP BY 1), og AS (SELECT plan_id, sum(end_us - start_us)::BIGINT AS original_us FROM clips GROUP BY 1)
+ SELECT plan_id, clip_id, level, start_us, end_us, output_start_us, output_end_us, original_us, selected_us, clip_count, CASE WHEN original_us > 0 THEN round(selected_us / original_us, 4) ELSE 1 END AS compression FROM pk JOIN tt USING (plan_id) JOIN og USING (plan_id)""")
 def build_plan(spark, sf):
-    """Anchors become essential, the plan is pruned to its budget and laid out on the output clock."""
-    c = pl.tag_anchors(fx.clips(spark, sf), PLAN).withColumn("level", F.when(F.col("anchor").isNotNull(), 1).otherwise(F.col("level")))
-    return pl.repack_output(pl.prune_to_budget(c, PLAN, budget(c)), PLAN).select("plan_id", "clip_id", "output_start_us", "output_end_us")
+    """Scores, anchors, prerequisites, bridges, pruning and the output clock of plans of every second candidate, with totals."""
+    c = fx.clips(spark, sf)
+    scored = c.withColumn("importance", F.col("confidence") / 100.0).withColumn("story_value", F.col("clip_id") % 7 / 10.0)
+    deps = c.where("clip_id % 5 = 0").selectExpr("clip_id as dependent", "case when clip_id % 41 = 0 then -clip_id else clip_id + 3 end as prerequisite")
+    return pl.build_plan(scored.where("clip_id % 2 = 0"), scored, deps, PLAN, budget(c))
 
 
 @query(f"WITH {TE}, {BLOCKS}, b AS (SELECT *, source_start_us - CASE WHEN block_id % 7 = 0 THEN 900000000 ELSE 0 END AS s, source_end_us - CASE WHEN block_id % 7 = 0 THEN 900000000 ELSE 0 END AS e FROM blocks) SELECT asset_id, block_id, CASE WHEN s < 0 THEN 'external' WHEN speed <> 1 THEN 'transformed' ELSE 'retained' END AS kind, greatest(0, s) AS source_start_us, greatest(0, e) AS source_end_us FROM b")
