@@ -10,6 +10,7 @@ from ..fixtures import AI, BLOCKS, HUMAN, SEGMENTS, TE
 from ..functions.scalar import f1, r4, share
 from ..functions.udf import score_with
 from ..operators import candidates as ca
+from ..operators import evaluation as ev
 from ..operators import intervals as iv
 from ..operators import metrics as mt
 from ..operators import planning as pl
@@ -171,18 +172,41 @@ def fingerprint_match(spark, sf):
 
 # Evaluation over cases and experiments
 
-SUPPORT = """su AS (SELECT h.asset_id, h.event_id, h.end_us - h.start_us AS len, coalesce(sum(CASE WHEN a.event_id IS NOT NULL THEN least(h.end_us, a.end_us) - greatest(h.start_us, a.start_us) END), 0)::BIGINT AS s FROM human h LEFT JOIN ai a ON h.asset_id = a.asset_id AND h.start_us < a.end_us AND a.start_us < h.end_us GROUP BY ALL),
- sg AS (SELECT asset_id, count_if(s * 10 >= len * 7 OR len - s <= 1000000)::BIGINT AS matched, count_if(s = 0 AND len > 1000000)::BIGINT AS missed FROM su GROUP BY 1)"""
+LAYERS = ["speech", "gameplay_clutch", "silence"]
+_SUPPORTED = """hs AS (SELECT h.asset_id, h.event_id, h.end_us - h.start_us AS len, coalesce(sum(CASE WHEN a.event_id IS NOT NULL THEN least(h.end_us, a.end_us) - greatest(h.start_us, a.start_us) END), 0)::BIGINT AS s FROM human h LEFT JOIN ai a ON h.asset_id = a.asset_id AND h.start_us < a.end_us AND a.start_us < h.end_us GROUP BY ALL),
+ ais AS (SELECT a.asset_id, a.event_id, a.end_us - a.start_us AS len, coalesce(sum(CASE WHEN h.event_id IS NOT NULL THEN least(h.end_us, a.end_us) - greatest(h.start_us, a.start_us) END), 0)::BIGINT AS s FROM ai a LEFT JOIN human h ON h.asset_id = a.asset_id AND h.start_us < a.end_us AND a.start_us < h.end_us GROUP BY ALL),
+ hv AS (SELECT *, CASE WHEN s * 10 >= len * 7 OR len - s <= 1000000 THEN 'matched' WHEN s > 0 THEN 'partial' ELSE 'missed' END AS verdict FROM hs), av AS (SELECT *, CASE WHEN s * 10 >= len * 7 OR len - s <= 1000000 THEN 'matched' WHEN s > 0 THEN 'partial' ELSE 'missed' END AS verdict FROM ais)"""
+_FAILED = f"""{_SUPPORTED}, fl AS (SELECT hv.asset_id, hv.event_id, 'human' AS side, rc.reason FROM hv JOIN ({INTERVALS_SQL["trace_root_cause"]}) rc USING (asset_id, event_id) WHERE verdict = 'missed' UNION ALL SELECT asset_id, event_id, 'ai', 'FALSE_POSITIVE' FROM av WHERE verdict = 'missed')"""
 
 
-@query(f"WITH {TE}, {AI}, {HUMAN}, {METRICS}, {SUPPORT} SELECT asset_id, list_extract(['REFERENCE', 'VALIDATION', 'TEST'], CAST(asset_id % 3 + 1 AS INTEGER)) AS split, precision, recall, f1, coalesce(matched, 0) AS matched, coalesce(missed, 0) AS missed FROM om LEFT JOIN sg USING (asset_id) WHERE tol_us = 1000000 AND asset_id % 3 <> 0")
+def _layers(spark, sf):
+    e = fx.timeline_events(spark, sf)
+    return [(reason, fx.of_types(e, kind)) for reason, kind in zip(("MISSED_IMPORTANT_EVENT", "LOW_SCORE", "DEPENDENCY_FAILURE"), LAYERS, strict=True)]
+
+
+@query(f"WITH {TE}, {AI}, {HUMAN}, {_FAILED} SELECT * FROM fl")
+def failure_table(spark, sf):
+    """Every human interval without support and why, and every AI interval without."""
+    return ev.failures(fx.ai_intervals(spark, sf), fx.human_intervals(spark, sf), _layers(spark, sf), BY)
+
+
+_TOLS = ", ".join(f"max(CASE WHEN tol_us = {t} THEN {c} END) AS {c}_{n}" for c in ("precision", "recall", "f1") for t, n in ((500000, "500ms"), (1000000, "1s"), (2000000, "2s")))
+
+
+@query(f"""WITH {TE}, {AI}, {HUMAN}, {METRICS}, {_FAILED}, o AS (SELECT asset_id, {_TOLS} FROM om GROUP BY 1), hc AS (SELECT asset_id, count_if(verdict = 'matched')::BIGINT AS matched, count_if(verdict = 'partial')::BIGINT AS partial, count_if(verdict = 'missed')::BIGINT AS missed FROM hv GROUP BY 1),
+ ac AS (SELECT asset_id, count_if(verdict = 'missed')::BIGINT AS ai_only FROM av GROUP BY 1), rs AS (SELECT asset_id, reason || ':' || count(*) AS x FROM fl GROUP BY asset_id, reason), cs AS (SELECT asset_id, string_agg(x, ',' ORDER BY x) AS causes FROM rs GROUP BY 1),
+ qs AS (SELECT a.asset_id, sum(s.end_us - s.start_us)::BIGINT AS q FROM ai a JOIN te s ON s.event_type = 'silence' AND s.asset_id = a.asset_id AND s.start_us >= a.start_us AND s.end_us <= a.end_us GROUP BY 1), qt AS (SELECT asset_id, sum(end_us - start_us)::BIGINT AS total FROM ai GROUP BY 1), qa AS (SELECT asset_id, coalesce(q, 0) AS quiet_us, CASE WHEN total > 0 THEN round(least(coalesce(q, 0) / total, 1), 4) ELSE 0 END AS quiet_share FROM qt LEFT JOIN qs USING (asset_id))
+ SELECT o.*, list_extract(['REFERENCE', 'VALIDATION', 'TEST'], CAST(asset_id % 3 + 1 AS INTEGER)) AS split, coalesce(matched, 0) AS matched, coalesce(partial, 0) AS partial, coalesce(missed, 0) AS missed, coalesce(ai_only, 0) AS ai_only, coalesce(too_short, 0) AS too_short, coalesce(too_long, 0) AS too_long, coalesce(good, 0) AS good, mean_pre_s, mean_post_s, cuts_per_min, mean_clip_s, mean_gap_s, quiet_us, quiet_share, effects_matched, human_only, ai_effects_only, agreement, coalesce(causes, '') AS causes
+ FROM o LEFT JOIN hc USING (asset_id) LEFT JOIN ac USING (asset_id) LEFT JOIN (SELECT asset_id, too_short, too_long, good, mean_pre_s, mean_post_s FROM ({INTERVALS_SQL["context_metrics"]})) USING (asset_id) LEFT JOIN (SELECT asset_id, cuts_per_min, mean_clip_s, mean_gap_s FROM ({INTERVALS_SQL["pacing_metrics"]})) USING (asset_id)
+ LEFT JOIN qa USING (asset_id) LEFT JOIN (SELECT asset_id, matched AS effects_matched, human_only, ai_only AS ai_effects_only, agreement FROM ({INTERVALS_SQL["effect_metrics"]})) USING (asset_id) LEFT JOIN cs USING (asset_id) WHERE asset_id % 3 <> 0""")
 def evaluate_cases(spark, sf):
-    """One row for each case that may be evaluated: overlap at 1 s, matched and missed human intervals."""
-    ai, human = fx.ai_intervals(spark, sf), fx.human_intervals(spark, sf)
-    m = mt.overlap_metrics(ai, human, BY, [1_000_000])
-    s = mt.segment_support(human, ai, BY).groupBy("asset_id").agg(F.count_if(F.col("verdict") == "matched").alias("matched"), F.count_if(F.col("verdict") == "missed").alias("missed"))
-    cases = m.join(s, "asset_id", "left").fillna(0, ["matched", "missed"]).withColumn("split", F.expr("element_at(array('REFERENCE', 'VALIDATION', 'TEST'), cast(asset_id % 3 + 1 as int))")).withColumn("consumed", F.lit(False))
-    return pl.eval_split(cases).select("asset_id", "split", "precision", "recall", "f1", "matched", "missed")
+    """One row for each case that may be evaluated: overlap at three tolerances, context, pacing, dead air, effects, support both ways and root causes."""
+    from .intervals import effects
+
+    e, fx_e = fx.timeline_events(spark, sf), effects(spark, sf)
+    cases = ev.evaluate_cases(fx.ai_intervals(spark, sf), fx.human_intervals(spark, sf), e, _layers(spark, sf), fx_e.where("event_id % 2 = 1"), fx_e.where("event_id % 2 = 0"), BY)
+    cases = cases.withColumn("split", F.expr("element_at(array('REFERENCE', 'VALIDATION', 'TEST'), cast(asset_id % 3 + 1 as int))")).withColumn("consumed", F.lit(False))
+    return pl.eval_split(cases).drop("consumed")
 
 
 @query(f"WITH {TE}, {AI}, {HUMAN}, {METRICS}, c AS (SELECT b.asset_id, round(v.f1 - b.f1, 4) AS f1_delta, round(v.recall - b.recall, 4) AS recall_delta FROM om b JOIN om v USING (asset_id) WHERE b.tol_us = 0 AND v.tol_us = 2000000) SELECT *, f1_delta >= 0 AND recall_delta >= -0.02 AS passed FROM c")
