@@ -148,10 +148,11 @@ def _tables(classes: DataFrame) -> DataFrame:
 def _grouped(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """key, c, node, n, bits and the group's smallest member p of the groups of two members and more.
 
-    Nearly all keys occur once, so only keys and nodes are shuffled before those are gone.
+    Nearly all keys occur once, so only keys and nodes are shuffled before those are gone. The join is a merge at any
+    size, as both sides grow with the input.
     """
     groups = materialize(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "groups")
-    members = materialize(rows.join(groups, "key").join(classes.select("node", "n", F.col("parity")[0].alias("bits")), "node"), "members")
+    members = materialize(rows.join(groups.hint("merge"), "key").join(classes.select("node", "n", F.col("parity")[0].alias("bits")), "node"), "members")
     pivots = materialize(members.groupBy("key").agg(F.min(F.struct("node", "n", "bits")).alias("p")), "pivots")
     out = materialize(members.join(pivots, "key"), "members")
     discard(groups, members)
