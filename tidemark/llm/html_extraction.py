@@ -228,7 +228,7 @@ def fit(pages: DataFrame, train_pages: int = TRAIN_PAGES, templates: int = TEMPL
     for html in rows:
         blocks = leaf_blocks(html)
         y = landmark_labels(blocks) if blocks else None
-        texts += [b[0] for b in blocks if len(b[0]) > 40]
+        texts += [" ".join(b[0].split(None, 130)[:130]) for b in blocks if len(b[0]) > 40]  # templates take fewer words
         if y is not None:
             found.append((block_features(blocks), y))
     rng = np.random.default_rng(seed)
