@@ -77,6 +77,12 @@ def partition_offsets(totals: DataFrame, part: str, size: str, out: str, by: lis
     return totals.withColumn(out, F.coalesce(F.sum(size).over(window), F.lit(0)).cast("long")).drop(size)
 
 
+def sized_join(rows: DataFrame, small: DataFrame, on: list[str], most: int = 1_000_000) -> DataFrame:
+    """An inner join that broadcasts `small` if it has at most `most` (narrow) rows, and shuffles both sides beyond."""
+    held = materialize(small, "offsets")
+    return rows.join(F.broadcast(held) if held.count() <= most else held, on)
+
+
 def utf8_length(text: Column) -> Column:
     return F.octet_length(text).cast("long")
 

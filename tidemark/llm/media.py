@@ -5,7 +5,8 @@ elements of its document, and a figure's caption stays with its reference. Refer
 the payload store is joined by that digest. Payloads are kept losslessly as 8-bit mono WAV samples.
 
 Defined cases: a null or empty text has a payload of 64 zero bytes. Equal texts share a digest and so all
-values. Repeated rows give repeated results. References without a payload keep their row, with nulls. An empty
+values; equal digests meet once, so there are no ties. Very long texts are one payload. Repeated rows give repeated
+results. References without a payload keep their row, with nulls. An empty
 table gives an empty result. Other columns are not read.
 """
 
@@ -158,6 +159,7 @@ def op3_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     store_payloads(docs, path)
     values = materialize(payload_features(spark.read.schema("digest string, media binary").parquet(path)), "media-values")
     text = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    text = F.replace(text, F.lit("\n"), F.lit("</p><p>"))  # each line is a text element before the reference
     page = F.concat(F.lit("<p>"), text, F.lit(f'</p><figure><img src="{SCHEME}'), F.col("digest"), F.lit('"><figcaption>'), F.octet_length("text").cast("string"), F.lit("</figcaption></figure>"))
     found = resolve(interleave(docs.select("doc_id", page.alias("html"))), values)
     return found.select("doc_id", F.col("caption").cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position")

@@ -4,7 +4,8 @@ A document of n ids gives n // 1024 pieces of 1024 ids and one piece for each bi
 first. Pieces of one length form one bucket, and each piece is a sequence of its own: no sequence crosses
 documents, and none needs padding.
 
-Defined cases: a null or empty text has only the end id, one piece of length 1. Repeated rows, equal doc_ids
+Defined cases: a null or empty text has only the end id, one piece of length 1. Very long texts are encoded whole.
+Pieces of one length are numbered in the order of their partition and row. Repeated rows, equal doc_ids
 included, are packed one by one. An empty table gives an empty result. Other columns are not read.
 """
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import materialize, partition_id, partition_offsets, read_documents, small_batches, texts
+from ._base import materialize, partition_id, partition_offsets, read_documents, sized_join, small_batches, texts
 from .tokens import default_tokenizer, encoder, ragged
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket int, part int, nth long"
@@ -72,9 +73,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, longest
     totals = cut.groupBy("bucket", "part").agg(F.count("*").alias("n"))
     within = partition_offsets(totals, "part", "n", "before_part", by=["bucket"])
     below = partition_offsets(totals.groupBy("bucket").agg(F.sum("n").alias("n")), "bucket", "n", "before_bucket")
-    base = within.join(F.broadcast(below), "bucket").select("bucket", "part", (F.col("before_part") + F.col("before_bucket")).alias("base"))
-    # base has a row for each bucket and partition: bounded by the number of tasks
-    return cut.join(F.broadcast(base), ["bucket", "part"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("nth")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), "bucket")
+    base = within.join(below, "bucket").select("bucket", "part", (F.col("before_part") + F.col("before_bucket")).alias("base"))
+    return sized_join(cut, base, ["bucket", "part"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("nth")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), "bucket")
 
 
 def op10_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import new_table, partition_id, partition_offsets, read_documents, small_batches, texts
+from ._base import new_table, partition_id, partition_offsets, read_documents, sized_join, small_batches, texts
 from .tokens import default_tokenizer, encoder, ragged
 
 #: Ids in a shard at most (one longer document is a shard of its own), least count of a replaced pair, bits of a bucket.
@@ -161,9 +161,9 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
     shards = spark.read.schema(_SHARDS).parquet(path)
     totals = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    base = partition_offsets(totals, "part", "n", "base")  # a row for each partition that was written
+    base = partition_offsets(totals, "part", "n", "base")
     rows = shards.mapInArrow(decode, "doc_id long, part int, within long, n_tokens long, ids_crc32 long")
-    return rows.join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
+    return sized_join(rows, base, ["part"]).select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op4_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
