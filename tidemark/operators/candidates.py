@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import rules as ru
 from .intervals import Keys, overlap_join
-from .sequence import window_features
+from .sequence import FEATURE_TYPES, window_features
 from .similarity import repetition_global
 
 
@@ -18,14 +18,14 @@ def window_texts(windows: DataFrame, segments: DataFrame, by: Keys) -> DataFrame
     return said.groupBy(*by, "candidate").agg(F.array_join(F.transform(parts, lambda x: x["r_text"]), " ").alias("text"))
 
 
-def score_candidates(windows: DataFrame, events: DataFrame, segments: DataFrame, by: Keys, profile: str = "balanced") -> DataFrame:
+def score_candidates(windows: DataFrame, events: DataFrame, segments: DataFrame, by: Keys, profile: str = "balanced", types: dict[str, list[str]] = FEATURE_TYPES) -> DataFrame:
     """Windows of different starts with features, text, the scores of the first keyword rule that the text meets,
     repetition (the rule's, or else of the text with those of earlier windows), reaction boosts, rank, label and signature.
 
     Label and escalation go by the rule's confidence, rank by the profile's weights.
     """
     w = windows.withColumn("candidate", F.col("start_us"))
-    f = window_features(w, events, by, ["candidate"]).withColumn("reaction_n", F.col("reactions"))
+    f = window_features(w, events, by, ["candidate"], types).withColumn("reaction_n", F.col("reactions"))
     f = f.join(window_texts(w, segments, by), [*by, "candidate"], "left").withColumn("text", F.coalesce("text", F.lit("")))
     f = ru.keyword_score(f).withColumnRenamed("repetition", "_rule")
     again = repetition_global(f.select(*by, "candidate", "text"), by, "candidate").withColumnRenamed("repetition", "text_repetition")

@@ -37,6 +37,30 @@ def context_metrics(ai: DataFrame, human: DataFrame, by: Keys, tol: int = SECOND
     return m.groupBy(*by).agg(F.count("*").alias("matched"), count("short").alias("too_short"), count("long").alias("too_long"), count("good").alias("good"), r4(F.avg(F.col("pre") / SECOND)).alias("mean_pre_s"), r4(F.avg(F.col("post") / SECOND)).alias("mean_post_s"), r4(F.percentile(F.col("pre") / SECOND, 0.5)).alias("median_pre_s"))
 
 
+def context_offsets(ai: DataFrame, human: DataFrame, by: Keys) -> DataFrame:
+    """Per key and edge (pre, post): quantiles, mean and deviation of the matches' offsets in seconds."""
+    m = best_overlap(human, ai, by)
+    edges = F.explode(F.array(F.struct(F.lit("pre").alias("edge"), (F.col("r_start_us") - F.col("start_us")).alias("us")), F.struct(F.lit("post").alias("edge"), (F.col("r_end_us") - F.col("end_us")).alias("us"))))
+    return m.select(*by, edges.alias("e")).groupBy(*by, F.col("e.edge").alias("edge")).agg(F.count("*").alias("n"), *stats(F.col("e.us") / SECOND))
+
+
+def content_density(clips: DataFrame, events: DataFrame, by: Keys, horizon: DataFrame) -> DataFrame:
+    """Per key: the clips' share of the recording (horizon_us), and events wholly inside a clip, in all and by clip minute."""
+    total = clips.groupBy(*by).agg(F.sum(F.col("end_us") - F.col("start_us")).alias("total_us")).join(horizon, by)
+    inside = overlap_join(clips.select(*by, "start_us", "end_us"), events.select(*by, "event_id", "start_us", "end_us"), by, kind="contained").select(*by, "r_event_id").distinct().groupBy(*by).agg(F.count("*").alias("contained"))
+    out = total.join(inside, by, "left").fillna(0, ["contained"])
+    ratio = lambda a, b: F.when(b > 0, r4(a / b)).otherwise(F.lit(0.0))
+    return out.withColumn("compression", ratio(F.col("total_us"), F.col("horizon_us"))).withColumn("contained_per_min", ratio(F.col("contained"), F.col("total_us") / (60.0 * SECOND)))
+
+
+def effect_rate(ai_effects: DataFrame, human_effects: DataFrame, clips: DataFrame, by: Keys, over: float = 12.0, under: float = 0.5, least: int = 3) -> DataFrame:
+    """Per key of clips: AI effects a minute, whether they are too many, or too few where humans set more than `least`."""
+    n = lambda df, c: df.groupBy(*by).agg(F.count("*").alias(c))
+    out = clips.groupBy(*by).agg(F.sum(F.col("end_us") - F.col("start_us")).alias("total_us")).join(n(ai_effects, "ai_n"), by, "left").join(n(human_effects, "human_n"), by, "left").fillna(0, ["ai_n", "human_n"])
+    rate = F.when(F.col("total_us") > 0, F.col("ai_n") / (F.col("total_us") / (60.0 * SECOND))).otherwise(F.lit(0.0))
+    return out.withColumn("per_min", r4(rate)).withColumn("over_effected", rate > over).withColumn("under_effected", (rate < under) & (F.col("human_n") > least))
+
+
 def pacing_metrics(clips: DataFrame, by: Keys) -> DataFrame:
     """Clips, cuts a minute (over 10 s only), clip lengths and the gaps between clips (from 0 on)."""
     w = Window.partitionBy(*by).orderBy("start_us", "end_us", "event_id")

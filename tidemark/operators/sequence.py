@@ -168,13 +168,17 @@ def speaker_turns(segments: DataFrame, by: Keys) -> DataFrame:
     return g.withColumn("turns_per_min", r4(F.col("turns") / (F.greatest(F.col("span_us"), F.lit(SECOND // 10)) / (60.0 * SECOND))))
 
 
-def window_features(windows: DataFrame, events: DataFrame, by: Keys, key: Keys) -> DataFrame:
-    """Of each window: speech density, silence share, peaks, scene rate and reaction count, from overlapping events."""
+#: Event types of the window features, by what they count as; a caller names its own.
+FEATURE_TYPES = {"speech": ["speech"], "silence": ["silence"], "peak": ["gameplay_clutch"], "scene": ["silence"], "reaction": ["face_reaction"]}
+
+
+def window_features(windows: DataFrame, events: DataFrame, by: Keys, key: Keys, types: dict[str, list[str]] = FEATURE_TYPES) -> DataFrame:
+    """Of each window: speech density, silence share, peaks, scene rate and reaction count, from overlapping events of the given types."""
     j = overlap_join(windows.select(*by, *key, "start_us", "end_us"), events.select(*by, "start_us", "end_us", "event_type"), by)
     part = F.least("end_us", "r_end_us") - F.greatest("start_us", "r_start_us")
-    of = lambda k: F.col("r_event_type") == k
+    of = lambda k: F.col("r_event_type").isin(types[k])
     total = lambda k: F.coalesce(F.sum(F.when(of(k), part)), F.lit(0))
-    g = j.groupBy(*by, *key).agg(total("speech").alias("speech_us"), total("silence").alias("silence_us"), F.count_if(of("gameplay_clutch")).alias("peaks"), F.count_if(of("silence")).alias("scenes"), F.count_if(of("face_reaction")).alias("reactions"))
+    g = j.groupBy(*by, *key).agg(total("speech").alias("speech_us"), total("silence").alias("silence_us"), F.count_if(of("peak")).alias("peaks"), F.count_if(of("scene")).alias("scenes"), F.count_if(of("reaction")).alias("reactions"))
     x = windows.join(g, [*by, *key], "left").fillna(0, ["speech_us", "silence_us", "peaks", "scenes", "reactions"])
     length = F.greatest(F.col("end_us") - F.col("start_us"), F.lit(SECOND // 10))
     return x.withColumn("speech_density", r4(F.col("speech_us") / length)).withColumn("silence_ratio", r4(F.col("silence_us") / length)).withColumn("scene_rate", r4(F.col("scenes") / (length / (60.0 * SECOND))))

@@ -216,6 +216,25 @@ def context_metrics(spark, sf):
     return mt.context_metrics(fx.ai_intervals(spark, sf), fx.human_intervals(spark, sf), BY)
 
 
+@query(f"WITH {TE}, {AI}, {HUMAN}, {BEST}, o AS (SELECT asset_id, 'pre' AS edge, (r_start_us - start_us) / 1000000 AS x FROM best UNION ALL SELECT asset_id, 'post', (r_end_us - end_us) / 1000000 FROM best) SELECT asset_id, edge, count(*) AS n, {STATS_SQL} FROM o GROUP BY 1, 2")
+def context_offsets(spark, sf):
+    return mt.context_offsets(fx.ai_intervals(spark, sf), fx.human_intervals(spark, sf), BY)
+
+
+@query(f"""WITH {TE}, {AI}, h AS (SELECT asset_id, max(end_us) AS horizon_us FROM te GROUP BY 1), t AS (SELECT asset_id, sum(end_us - start_us)::BIGINT AS total_us FROM ai GROUP BY 1), i AS (SELECT asset_id, count(*) AS contained FROM te e WHERE EXISTS (SELECT 1 FROM ai a WHERE a.asset_id = e.asset_id AND a.start_us <= e.start_us AND e.end_us <= a.end_us) GROUP BY 1)
+ SELECT asset_id, total_us, horizon_us, coalesce(contained, 0) AS contained, CASE WHEN horizon_us > 0 THEN round(total_us / horizon_us, 4) ELSE 0 END AS compression, CASE WHEN total_us > 0 THEN round(coalesce(contained, 0) / (total_us / 60000000.0::DOUBLE), 4) ELSE 0 END AS contained_per_min FROM t JOIN h USING (asset_id) LEFT JOIN i USING (asset_id)""")
+def content_density(spark, sf):
+    e = fx.timeline_events(spark, sf)
+    return mt.content_density(fx.ai_intervals(spark, sf), e, BY, e.groupBy("asset_id").agg(F.max("end_us").alias("horizon_us")))
+
+
+@query(f"""WITH {TE}, {AI}, {EFFECTS}, t AS (SELECT asset_id, sum(end_us - start_us)::BIGINT AS total_us FROM ai GROUP BY 1), a AS (SELECT asset_id, count(*) AS ai_n FROM aeff GROUP BY 1), h AS (SELECT asset_id, count(*) AS human_n FROM heff GROUP BY 1),
+ r AS (SELECT asset_id, total_us, coalesce(ai_n, 0) AS ai_n, coalesce(human_n, 0) AS human_n, CASE WHEN total_us > 0 THEN coalesce(ai_n, 0) / (total_us / 60000000.0::DOUBLE) ELSE 0 END AS rate FROM t LEFT JOIN a USING (asset_id) LEFT JOIN h USING (asset_id)) SELECT asset_id, total_us, ai_n, human_n, round(rate, 4) AS per_min, rate > 12 AS over_effected, rate < 0.5 AND human_n > 3 AS under_effected FROM r""")
+def effect_rate(spark, sf):
+    e = effects(spark, sf)
+    return mt.effect_rate(e.where("event_id % 2 = 1"), e.where("event_id % 2 = 0"), fx.ai_intervals(spark, sf), BY)
+
+
 @query(f"""WITH {TE}, {AI}, c AS (SELECT *, end_us - start_us AS len_us, greatest(0, start_us - lag(end_us) OVER (PARTITION BY asset_id ORDER BY start_us, end_us, event_id)) AS g, lag(end_us) OVER (PARTITION BY asset_id ORDER BY start_us, end_us, event_id) AS p FROM ai),
  a AS (SELECT asset_id, count(*) AS n, sum(len_us)::BIGINT AS total_us, round(avg(len_us) / 1000000, 4) AS mean_clip_s, round(quantile_cont(len_us, 0.5) / 1000000, 4) AS median_clip_s, round(avg(g) / 1000000, 4) AS mean_gap_s FROM (SELECT * REPLACE (CASE WHEN p IS NULL AND n_row = 1 THEN 0 ELSE g END AS g) FROM (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY start_us, end_us, event_id) AS n_row FROM c)) GROUP BY asset_id)
  SELECT *, CASE WHEN total_us > 10000000 THEN round((n - 1) / (total_us / 60000000.0), 4) ELSE 0 END AS cuts_per_min FROM a""")
