@@ -14,6 +14,7 @@ lines are told apart by their start. An empty table gives an empty result. Other
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,20 +27,24 @@ MIN_WORDS = 5
 _UNITS = "doc_id long, nth long, start long, end long, n_words long, digest binary"
 
 
-def line_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, nth (among these), start, end, n_words, digest of each line of at least min_words words."""
+#: The units of a text: its lines, or the sentences of its lines.
+LINES, SENTENCES = r"[^\n]+", r"[^.!?\n]+[.!?]*"
+
+
+def line_units(docs: DataFrame, min_words: int = MIN_WORDS, unit: str = LINES) -> DataFrame:
+    """doc_id, nth (among these), start, end, n_words, digest of each line (or other unit) of at least min_words words."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = re.compile(unit).finditer
         for batch in small_batches(batches, "text"):
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                at = nth = 0
-                for line in text.split("\n"):
-                    words = line.lower().split()
+                nth = 0
+                for m in find(text):
+                    words = m.group().lower().split()
                     if len(words) >= min_words:
-                        rows.append((doc, nth, at, at + len(line), len(words), hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest()))
+                        rows.append((doc, nth, m.start(), m.end(), len(words), hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest()))
                         nth += 1
-                    at += len(line) + 1
             kinds = [*[pa.int64()] * 5, pa.binary()]
             yield pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["doc_id", "nth", "start", "end", "n_words", "digest"])
 
@@ -60,19 +65,26 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return found.where("removed").select("doc_id", "start", "end", "first_doc_id", "first_start")
 
 
-def line_report(docs: DataFrame, min_words: int = 1) -> DataFrame:
-    """A row for each document: its lines, those that occur elsewhere too, those to remove with their offsets, and its longest repeated paragraph in words."""
-    units = materialize(line_units(docs, min_words), "lines")
-    found = occurrences(units).dropDuplicates(["doc_id", "start", "digest"])
+def _runs(found: DataFrame) -> DataFrame:
+    """Repeated units that follow one another, as one paragraph: doc_id, n, words, first_doc_id, spans to remove."""
+    found = found.dropDuplicates(["doc_id", "start", "digest"])
     island = F.col("nth") - F.row_number().over(Window.partitionBy("doc_id").orderBy("nth", "start"))
     spans = F.collect_list(F.when(F.col("removed"), F.struct("start", "end")))
-    runs = found.withColumn("island", island).groupBy("doc_id", "island").agg(F.count("*").alias("n"), F.sum("n_words").alias("words"), F.min("first_doc_id").alias("first_doc_id"), spans.alias("spans"))
+    return found.withColumn("island", island).groupBy("doc_id", "island").agg(F.count("*").alias("n"), F.sum("n_words").alias("words"), F.min("first_doc_id").alias("first_doc_id"), spans.alias("spans"))
+
+
+def line_report(docs: DataFrame, min_words: int = 1) -> DataFrame:
+    """A row for each document: its lines, those that occur elsewhere too, those to remove with their offsets, and in words
+    its longest paragraph of repeated lines and its longest passage of repeated sentences (which need not be whole lines)."""
+    units = materialize(line_units(docs, min_words), "lines")
+    runs = _runs(occurrences(units))
     told = runs.groupBy("doc_id").agg(F.sum("n").alias("n_repeated"), F.max("words").alias("longest_repeat"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.min("first_doc_id").alias("first_doc_id"))
+    passages = _runs(occurrences(materialize(line_units(docs, 1, SENTENCES), "sentences"))).groupBy("doc_id").agg(F.max("words").alias("longest_passage"))
     lines = units.select("doc_id", "start", "digest").distinct().groupBy("doc_id").agg(F.count("*").alias("n_lines"))
-    out = texts(docs).select("doc_id").join(lines, "doc_id", "left").join(told, "doc_id", "left")
+    out = texts(docs).select("doc_id").join(lines, "doc_id", "left").join(told, "doc_id", "left").join(passages, "doc_id", "left")
     count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     shown = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
-    return out.select("doc_id", count(F.col("n_lines")).alias("n_lines"), count(F.col("n_repeated")).alias("n_repeated"), count(F.size(F.coalesce("spans", F.array()))).alias("n_removed"), count(F.col("longest_repeat")).alias("longest_repeat"), F.coalesce(shown, F.lit("")).alias("removed_spans"), "first_doc_id")
+    return out.select("doc_id", count(F.col("n_lines")).alias("n_lines"), count(F.col("n_repeated")).alias("n_repeated"), count(F.size(F.coalesce("spans", F.array()))).alias("n_removed"), count(F.col("longest_repeat")).alias("longest_repeat"), count(F.col("longest_passage")).alias("longest_passage"), F.coalesce(shown, F.lit("")).alias("removed_spans"), "first_doc_id")
 
 
 def remove_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -159,8 +171,22 @@ OP9_SQL = OP9_EVERY_SQL.split(", ranked AS (")[0] + r"""
   FROM again GROUP BY doc_id
 ), counted AS (
   SELECT doc_id, count(*) AS n_lines FROM ranked GROUP BY doc_id
+), sentences AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?\n]+[.!?]*') AS xs FROM documents
+), said AS (
+  SELECT doc_id, unnest(xs) AS x, unnest(range(len(xs))) AS k FROM sentences
+), spoken AS (
+  SELECT doc_id, k, trim(regexp_replace(lower(x), '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+', ' ', 'g')) AS unit FROM said
+), twice AS (
+  SELECT *, count(*) OVER (PARTITION BY unit) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS nth, length(unit) - length(replace(unit, ' ', '')) + 1 AS n_words FROM spoken WHERE unit <> ''
+), parts AS (
+  SELECT *, nth - row_number() OVER (PARTITION BY doc_id ORDER BY nth) AS island FROM twice WHERE n > 1
+), stretches AS (
+  SELECT doc_id, sum(n_words) AS words FROM parts GROUP BY doc_id, island
+), passages AS (
+  SELECT doc_id, max(words) AS passage FROM stretches GROUP BY doc_id
 )
 SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_repeated, 0)::BIGINT AS n_repeated, coalesce(n_removed, 0)::BIGINT AS n_removed,
-       coalesce(l.words, 0)::BIGINT AS longest_repeat, coalesce(removed_spans, '') AS removed_spans, first_doc_id
-FROM documents d LEFT JOIN counted c USING (doc_id) LEFT JOIN told t USING (doc_id) LEFT JOIN longest l USING (doc_id)
+       coalesce(l.words, 0)::BIGINT AS longest_repeat, coalesce(passage, 0)::BIGINT AS longest_passage, coalesce(removed_spans, '') AS removed_spans, first_doc_id
+FROM documents d LEFT JOIN counted c USING (doc_id) LEFT JOIN told t USING (doc_id) LEFT JOIN longest l USING (doc_id) LEFT JOIN passages USING (doc_id)
 """
