@@ -30,6 +30,7 @@ none. An empty table gives an empty result. Other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +42,8 @@ from .tokens import ragged
 from .words import SOLID, mix, words
 
 #: Tuples and hashes in a tuple of both collections; parity words; members of a small table group and of a new group
-#: that are paired within; seconds of a first in a part.
-GROUPS, ROWS, PARITY, SMALL, LARGE, PART = (12, 10), (3, 2), 16, 16, 1024, 256
+#: that are paired within; seconds of a first in a part; tuples of the first collection whose tables are made at a time.
+GROUPS, ROWS, PARITY, SMALL, LARGE, PART, TUPLES = (12, 10), (3, 2), 16, 16, 1024, 256, 4
 HASHES = GROUPS[0] * ROWS[0] + GROUPS[1] * ROWS[1]
 _SEEDS = np.random.default_rng(99).integers(1, 1 << 62, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SIGNED = "doc_id long, n long, s1 long, s2 long, left array<long>, right array<long>, parity array<long>"
@@ -139,9 +140,9 @@ def _relabelled(label: DataFrame | None, links: DataFrame) -> DataFrame | None:
     return materialize(moved.unionByName(new), "labels")
 
 
-def _tables(classes: DataFrame) -> DataFrame:
-    """key, node: a row for each table of each class."""
-    keys = F.array(*[F.xxhash64(F.col("left")[i], F.col("right")[j], F.lit(i * GROUPS[1] + j)) for i in range(GROUPS[0]) for j in range(GROUPS[1])])
+def _tables(classes: DataFrame, lefts: range) -> DataFrame:
+    """key, node: a row for each class and table of the given tuples of the first collection."""
+    keys = F.array(*[F.xxhash64(F.col("left")[i], F.col("right")[j], F.lit(i * GROUPS[1] + j)) for i in lefts for j in range(GROUPS[1])])
     return classes.select(F.explode(keys).alias("key"), "node")
 
 
@@ -284,15 +285,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
     spark = docs.sparkSession
     signs = materialize(signed(docs, shingle), "signatures")
     best = signs.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "left", "right", "parity")).alias("m"))
-    classes = materialize(best.select("n", "s1", "s2", F.col("m.doc_id").alias("node"), "m.left", "m.right", "m.parity"), "classes")
-    slim = materialize(signs.select("doc_id", "n", "s1", "s2"), "sets")
-    discard(signs)
     # each class becomes many rows: dealt out, a task sorts few of them
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    members = _grouped(_tables(classes.repartition(n, "node")), classes)
+    classes = materialize(best.select("n", "s1", "s2", F.col("m.doc_id").alias("node"), "m.left", "m.right", "m.parity").repartition(n, "node"), "classes")
+    slim = materialize(signs.select("doc_id", "n", "s1", "s2"), "sets")
+    discard(signs)
+    # some tables at a time, so that few keys are on disk at once; no group has keys of two tables
+    parts = [_grouped(_tables(classes, range(at, at + TUPLES)), classes) for at in range(0, GROUPS[0], TUPLES)]
+    members = reduce(DataFrame.unionByName, parts)
     found = materialize(candidates(members, classes), "candidates")
     large = materialize(members.where(F.col("c") > SMALL).select("key", "node"), "large-groups")
-    discard(members)
+    discard(*parts)
     nodes = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).unionByName(large.select("node")).distinct()
     partners = materialize(texts(docs).withColumnRenamed("doc_id", "node").join(nodes, "node"), "partners")
     # first each document's nearest candidate: the links found make most of the others needless
