@@ -41,9 +41,19 @@ def discard(*tables: DataFrame) -> None:
             table.sparkSession.createDataFrame([], table.schema).write.mode("overwrite").parquet(path)
 
 
+#: Bytes of the Arrow batches that tasks exchange with their Python workers.
+BATCH = "4m"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, whose session sends Arrow batches of bounded size from now on: a task's memory follows them, in the executor and in its worker."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+    return df
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text (null: empty); other columns, whatever their names, are left out."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

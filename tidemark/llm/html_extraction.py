@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import small_batches
+from ._base import bounded, small_batches
 
 #: Pages of the table and template pages that are fitted at most; hashed features.
 TRAIN_PAGES, TEMPLATES, FEATURES = 150, 350, 1 << 13
@@ -255,7 +255,7 @@ def extract(pages: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame
             found = [main_text(x, model) for x in batch.column("html").to_pylist()]
             yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).alias("html"))
+    rows = bounded(pages).select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).alias("html"))
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import column_texts, read_documents, small_batches, texts
+from ._base import bounded, column_texts, read_documents, small_batches, texts
 
 #: Labelled rows of each kind that are fitted at most, the least log-likelihood ratio of a kept word, letters of a short piece.
 TRAIN_ROWS, LEAST_LLR, PIECE = 3000, 25.0, 2
@@ -285,7 +285,7 @@ def keep_clean(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
         for batch in small_batches(batches, "text"):
             yield batch.filter(pa.array([score(t or "", model) < least for t in batch.column("text").to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)
 
 
 def op1_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
