@@ -43,6 +43,10 @@ def test_odd_rows(spark, tables, name):
         assert {(r.doc_id, r.item_id) for r in rows} == {(1, 1), (2, 1)}
     elif n == 10:
         assert sorted(r.sequence_id for r in rows) == list(range(len(rows))) and {r.doc_id for r in rows} == {i for i, _ in ROWS}
+    elif n == 12:  # no term is in 30 documents
+        assert {(r.lang, r.source, r.part, r["item"], r["value"], r["rank"]) for r in rows} == set()
+    elif n == 13:
+        assert {(r.word, r.form, r.root, r.n_near, r.form_n) for r in rows if r.word == "example"} == {("example", None, "example", 0, None)} or not rows
     elif name in ("op9_every_line_dedup", "op9_long_line_dedup"):
         assert (2, 0) in {(r.doc_id, r.start) for r in rows}
     else:
