@@ -210,3 +210,16 @@ def test_prior_of_known_mixtures():
         u = np.where(rng.random(20_000) < prior, rng.beta(6, 2, 20_000), n)
         h = lambda x: np.histogram(x, quality.BINS, (0, 1))[0]
         assert abs(quality.best_bin(h(u), h(p)) - prior) < 0.05
+
+
+def test_rows_among_ids(spark):
+    from tidemark.llm import _base
+
+    ids = [i * 7919 - 5000 for i in range(3000)]
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(-6000, 6000)] + [(None, "no id")], "node long, text string")
+    got = {r.node for r in _base.among(rows, spark.createDataFrame([(i,) for i in ids], "node long"), "node").collect()}
+    assert got == {i for i in ids if -6000 <= i < 6000}
+    words, hashes = _base.id_filter(spark.createDataFrame([(i,) for i in ids], "node long"))
+    at = _base._places(pa.array(range(10**6, 10**6 + 50_000)), len(words) << 6, hashes)
+    assert ((words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=1).mean() < 0.02
+    assert _base.among(rows, spark.createDataFrame([], "node long"), "node").count() == 0

@@ -93,6 +93,54 @@ def sized_join(rows: DataFrame, small: DataFrame, on: list[str], most: int = 1_0
     return rows.join(F.broadcast(held) if held.count() <= most else held, on)
 
 
+#: Bits of a filter of ids for each id, and at most.
+FILTER_BITS, MOST_BITS = 12, 1 << 28
+
+
+def id_filter(ids: DataFrame) -> tuple[np.ndarray, int]:
+    """A Bloom filter of a column of ids (longs) as 64-bit words, and its number of hashes: FILTER_BITS for each id, 32 MB at most.
+
+    More ids than that holds only let more rows through. Words are put together in Spark.
+    """
+    n = max(1, ids.count())
+    size = min(MOST_BITS, max(1 << 16, 1 << (FILTER_BITS * n - 1).bit_length()))
+    hashes = int(np.clip(round(0.7 * size / n), 1, 4))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _places(batch.column(0), size, hashes).ravel()
+            yield pa.record_batch([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["word", "bits"])
+
+    words = ids.mapInArrow(places, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(size >> 6, np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out, hashes
+
+
+def _places(ids: pa.Array, size: int, hashes: int) -> np.ndarray:
+    """Places of each id's bits in a filter."""
+    x = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    with np.errstate(over="ignore"):
+        h = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        step = (h >> np.uint64(32)) | np.uint64(1)
+        return (h[:, None] + np.arange(hashes, dtype=np.uint64) * step[:, None]) & np.uint64(size - 1)
+
+
+def among(rows: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """Rows whose `on` is one of `ids` (a table of that column, each once). A filter of the ids leaves out nearly all other rows before both sides meet by a shuffle, at every size."""
+    words, hashes = id_filter(ids)
+    held = rows.sparkSession.sparkContext.broadcast(words)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = held.value
+        for batch in batches:
+            at = _places(batch.column(on), len(table) << 6, hashes)
+            yield batch.filter(pa.array(((table[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=1)))
+
+    return rows.mapInArrow(keep, rows.schema).join(ids.hint("merge"), on)
+
+
 def utf8_length(text: Column) -> Column:
     return F.octet_length(text).cast("long")
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._base import discard, materialize, read_documents, sized_join, small_batches, texts
+from ._base import among, discard, materialize, read_documents, small_batches, texts
 from .tokens import ragged
 from .words import SOLID, mix, words
 
@@ -297,7 +297,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
     large = materialize(members.where(F.col("c") > SMALL).select("key", "node"), "large-groups")
     discard(*parts)
     nodes = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).unionByName(large.select("node")).distinct()
-    partners = materialize(sized_join(texts(docs).withColumnRenamed("doc_id", "node"), nodes, ["node"]), "partners")
+    partners = materialize(among(texts(docs).withColumnRenamed("doc_id", "node"), materialize(nodes, "nodes"), "node"), "partners")
     # first each document's nearest candidate: the links found make most of the others needless
     first = materialize(found.groupBy("b").agg(F.min(F.struct("far", "a")).alias("m")).select("b", F.col("m.a").alias("first")), "nearest")
     label = _relabelled(None, _links(first.select(F.col("first").alias("a"), "b"), partners, shingle))
