@@ -126,24 +126,57 @@ def test_similar_earlier_golden(spark):
     assert [(r.earlier, r.turn) for r in sm.similar_earlier(t, ["conv_id"], "turn", 2, 0.1).collect()] == [(1, 3)]
 
 
-def test_reject_cycles_matches_a_loop(spark):
-    r = random.Random(8)
-    edges = [(i, "setup_for", r.randint(0, 30), r.randint(31, 60) if i % 3 else r.randint(0, 30)) for i in range(120)]
-    edges = [e for e in edges if e[2] != e[3]] + [(200 + i, "setup_for", e[3], e[2]) for i, e in enumerate(edges[::7]) if e[2] != e[3]]
-    got = {x.edge_id for x in gr.reject_cycles(spark.createDataFrame(edges, "edge_id long, relation string, source long, target long")).collect()}
+def loop_rejects(edges):
     ahead, want = {}, set()
-    for k, _, s, t in sorted(edges):
+    for k, rel, s, t in sorted(edges):
         seen, todo = {t}, [t]
         while todo:
-            for n in ahead.get(todo.pop(), ()):
+            for n in ahead.get((rel, todo.pop()), ()):
                 if n not in seen:
                     seen.add(n)
                     todo.append(n)
         if s in seen:
             want.add(k)
         else:
-            ahead.setdefault(s, []).append(t)
-    assert got == want and want
+            ahead.setdefault((rel, s), []).append(t)
+    return want
+
+
+@pytest.mark.parametrize(("most", "step"), [(100_000, 60), (5, 60), (5, 7)])
+def test_reject_cycles_matches_a_loop(spark, most, step):
+    r = random.Random(8)
+    edges = [(i, "setup_for", r.randint(0, 30), r.randint(31, 60) if i % 3 else r.randint(0, 30)) for i in range(60)]
+    edges = edges + [(200 + i, "setup_for", e[3], e[2]) for i, e in enumerate(edges[::5])]
+    edges += [(300 + i, "introduces_objective", 100 + 2 * i, 102 + 2 * i) for i in range(30)] + [(350 + i, "introduces_objective", 100 + 6 * i + 4, 100 + 6 * i) for i in range(5)] + [(360, "introduces_objective", 7, 7), (361, "setup_for", 104, 100), (362, "same_thread", 1, 1)]
+    got = [x.edge_id for x in gr.reject_cycles(spark.createDataFrame(edges, "edge_id long, relation string, source long, target long"), most, step).collect()]
+    want = loop_rejects([e for e in edges if e[1] in gr.UNDIRECTED_ACYCLIC])
+    assert set(got) == want and len(got) == len(want) > 10
+
+
+def test_cycle_groups_cut_a_chain(spark):
+    """A long chain with short links backwards falls into groups that are as long as those."""
+    edges = [(4 * i, "setup_for", i, i + 1) for i in range(3000)] + [(4 * i + 1, "setup_for", i + 2, i) for i in range(0, 3000, 10)]
+    groups = gr.cycle_groups(spark.createDataFrame(edges, "edge_id long, relation string, source long, target long"), nodes_by=64)
+    sizes = [x["count"] for x in groups.groupBy("group").count().collect()]
+    assert len(sizes) == 300 and set(sizes) == {3}
+
+
+@pytest.mark.parametrize("chunk", [7, 1000, 10**9])
+def test_carry_last_over_chunks(spark, chunk):
+    r = random.Random(chunk)
+    rows = [(r.randint(0, 1), r.randint(0, 100), i, r.choice([None, None, i])) for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, t long, i long, v long")
+    for before in (False, True):
+        for back in (False, True):
+            got = {(x.k, x.i): x.out for x in iv.carry_last(df, ["k"], "t", ["i"], F.col("v"), "out", before=before, back=back, chunk=chunk).collect()}
+            seen, want = {}, {}
+            for k, t, i, v in sorted(rows, key=lambda x: (-x[1] if back else x[1], x[2])):
+                if before:
+                    want[k, i] = seen.get(k)
+                seen[k] = v if v is not None else seen.get(k)
+                if not before:
+                    want[k, i] = seen[k]
+            assert got == want
 
 
 def test_align_words_keeps_order(spark):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import settled
 from . import rules as ru
 from .intervals import Keys, overlap_join
 from .sequence import FEATURE_TYPES, window_features
@@ -24,10 +25,10 @@ def score_candidates(windows: DataFrame, events: DataFrame, segments: DataFrame,
 
     Label and escalation go by the rule's confidence, rank by the profile's weights.
     """
-    w = windows.withColumn("candidate", F.col("start_us"))
+    w = settled(windows.withColumn("candidate", F.col("start_us")), "windows")
     f = window_features(w, events, by, ["candidate"], types).withColumn("reaction_n", F.col("reactions"))
     f = f.join(window_texts(w, segments, by), [*by, "candidate"], "left").withColumn("text", F.coalesce("text", F.lit("")))
-    f = ru.keyword_score(f).withColumnRenamed("repetition", "_rule")
+    f = settled(ru.keyword_score(f).withColumnRenamed("repetition", "_rule"), "scored")
     again = repetition_global(f.select(*by, "candidate", "text"), by, "candidate").withColumnRenamed("repetition", "text_repetition")
     f = f.join(again, [*by, "candidate"]).withColumn("repetition", F.coalesce("_rule", "text_repetition")).drop("_rule")
     f = ru.elevate_scores(f).withColumn("rank", ru.weighted_rank(profile))

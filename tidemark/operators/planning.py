@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import r4
 from ..schemas import SECOND
-from .intervals import Keys, overlap_join
+from ..sources.shared import settled
+from .intervals import Keys, chain_starts, overlap_join
 
 
 def repack_output(clips: DataFrame, plan: Keys, keep: Column | None = None) -> DataFrame:
@@ -116,11 +117,11 @@ def resolve_dependencies(clips: DataFrame, catalogue: DataFrame, deps: DataFrame
     deps: dependent, prerequisite. A prerequisite is essential if a dependent is, and locked if one is; the dependent
     of the smallest (round, start, id) decides.
     """
-    cur = clips.select("clip_id", "start_us", "end_us", "priority", "locked", F.lit(0).alias("round"))
+    cur = settled(clips.select("clip_id", "start_us", "end_us", "priority", "locked", F.lit(0).alias("round")), "resolved")
     for k in range(1, rounds + 1):
         need = cur.join(deps, cur.clip_id == deps.dependent).select(F.col("prerequisite").alias("clip_id"), F.struct("round", "start_us", cur.clip_id.alias("id"), "priority", "locked").alias("d"))
         new = need.join(cur.select("clip_id"), "clip_id", "left_anti").groupBy("clip_id").agg(F.min("d").alias("d")).join(catalogue.select("clip_id", "start_us", "end_us"), "clip_id")
-        cur = cur.unionByName(new.select("clip_id", "start_us", "end_us", F.when(F.col("d.priority") == "essential", "essential").otherwise("context_only").alias("priority"), F.col("d.locked").alias("locked"), F.lit(k).alias("round")))
+        cur = settled(cur.unionByName(new.select("clip_id", "start_us", "end_us", F.when(F.col("d.priority") == "essential", "essential").otherwise("context_only").alias("priority"), F.col("d.locked").alias("locked"), F.lit(k).alias("round"))), "resolved")
     missing = deps.join(catalogue.select(F.col("clip_id").alias("prerequisite")), "prerequisite", "left_anti").select(F.col("dependent").alias("clip_id")).distinct()
     return cur.join(missing, "clip_id", "left_anti")
 
@@ -128,8 +129,7 @@ def resolve_dependencies(clips: DataFrame, catalogue: DataFrame, deps: DataFrame
 def link_continuity(clips: DataFrame, plan: Keys, limit: int = 8 * SECOND) -> DataFrame:
     """Chains of clips, by start, while 0 <= start - previous end <= limit, as one clip: the first one's, up to the last one's end, essential if any is."""
     w = Window.partitionBy(*plan).orderBy("start_us", "clip_id")
-    c = clips.withColumn("_new", F.when((F.col("start_us") - F.lag("end_us").over(w)).between(0, limit), 0).otherwise(1))
-    c = c.withColumn("_chain", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    c = chain_starts(clips, plan, limit)
     at = F.struct("start_us", "clip_id")
     first = lambda x: F.min_by(x, at)
     g = c.groupBy(*plan, "_chain").agg(F.max_by("end_us", at).alias("end_us"), first("start_us").alias("start_us"), first("clip_id").alias("clip_id"), F.when(F.min("level") == 1, 1).otherwise(first("level")).alias("level"), first("locked").alias("locked"), first("confidence").alias("confidence"), F.count("*").alias("n"))
@@ -147,7 +147,7 @@ def build_plan(selected: DataFrame, catalogue: DataFrame, deps: DataFrame, plan:
     c = tag_anchors(selected, plan).withColumn("priority", F.when(F.col("anchor").isNotNull(), "essential").otherwise("high"))
     r = resolve_dependencies(c, catalogue, deps).join(catalogue.select(*plan, "clip_id", score), "clip_id")
     r = r.withColumn("level", F.when(F.col("priority") == "essential", 1).when(F.col("priority") == "high", 2).otherwise(5))
-    packed = repack_output(prune_to_budget(link_continuity(r, plan), plan, budget), plan)
+    packed = settled(repack_output(prune_to_budget(link_continuity(r, plan), plan, budget), plan), "packed")
     length = F.col("end_us") - F.col("start_us")
     original = catalogue.groupBy(*plan).agg(F.sum(length).alias("original_us"))
     totals = packed.groupBy(*plan).agg(F.sum("duration_us").alias("selected_us"), F.count("*").alias("clip_count")).join(original, plan)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import r4
 from ..functions.text import exclamation_density, tokens
 from ..schemas import SECOND
-from .intervals import Keys, islands, member_islands, overlap_join
+from .intervals import Keys, carry_last, islands, member_islands, overlap_join
 
 
 def cluster_by_gap(events: DataFrame, by: Keys, gap: int = 3 * SECOND) -> DataFrame:
@@ -36,9 +36,7 @@ def build_windows(clustered: DataFrame, by: Keys, least: int = 8 * SECOND, most:
 def _asof_scene(windows: DataFrame, scenes: DataFrame, by: Keys, at: str, out: str, back: bool) -> DataFrame:
     """The last scene start by `at`, or with back=False the first from `at` on."""
     marks = windows.withColumn("_t", F.col(at)).withColumn("_w", F.lit(1)).unionByName(scenes.select(*by, F.col("start_us").alias("_t"), F.col("start_us").alias("_s"), F.lit(0).alias("_w")), allowMissingColumns=True)
-    order = [F.col("_t"), F.col("_w")] if back else [F.col("_t").desc(), F.col("_w")]
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return marks.withColumn(out, F.last("_s", ignorenulls=True).over(w)).where("_w = 1").drop("_t", "_w", "_s")
+    return carry_last(marks, by, "_t", ["_w"], F.col("_s"), out, back=not back).where("_w = 1").drop("_t", "_w", "_s")
 
 
 def expand_context(windows: DataFrame, segments: DataFrame, scenes: DataFrame, by: Keys, key: Keys, reach: int = 3 * SECOND, roll: int = 5 * SECOND, legacy: bool = False, setup: int = 3 * SECOND // 2) -> DataFrame:

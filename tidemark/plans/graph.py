@@ -58,12 +58,24 @@ def validate_edges(spark, sf):
     return gr.validate_edges(edges(spark, sf), nodes(spark, sf).select("node", "start_us"))
 
 
-@query()
-def reject_cycles(spark, sf):
-    """Setup links that run both ways between neighbours, and around three events."""
+#: Islands of ids under links that run backwards, and inside each the edges in order, with all pairs that the accepted ones connect.
+_CYCLES = f"""{TE}, ed AS (SELECT event_id * 4 AS edge_id, event_id AS s, event_id + 3 AS t FROM te WHERE event_id % 3 = 0 UNION ALL SELECT event_id * 4 + 1, event_id + 3, event_id FROM te WHERE event_id % 9 = 0 UNION ALL SELECT event_id * 4 + 2, event_id + 6, event_id FROM te WHERE event_id % 15 = 0),
+ bk AS (SELECT *, max(s) OVER (ORDER BY t, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ed WHERE s >= t), sp AS (SELECT *, sum(CASE WHEN reach >= t THEN 0 ELSE 1 END) OVER (ORDER BY t, s ROWS UNBOUNDED PRECEDING) AS grp FROM bk), isl AS (SELECT grp, min(t) AS lo, max(s) AS hi FROM sp GROUP BY grp),
+ g AS MATERIALIZED (SELECT grp, edge_id, s, t, row_number() OVER (PARTITION BY grp ORDER BY edge_id) AS rn FROM ed JOIN isl ON least(s, t) >= lo AND greatest(s, t) <= hi),
+ r AS (SELECT DISTINCT grp, 0::BIGINT AS rn, []::STRUCT(a BIGINT, b BIGINT)[] AS cl, -1::BIGINT AS edge_id, FALSE AS bad FROM g UNION ALL SELECT g.grp, g.rn, CASE WHEN list_contains(cl, {{'a': g.t, 'b': g.s}}) THEN cl ELSE list_distinct(list_concat(cl, flatten(list_transform(list_append(list_transform(list_filter(cl, lambda x: x.b = g.s), lambda x: x.a), g.s), lambda p: list_transform(list_append(list_transform(list_filter(cl, lambda x: x.a = g.t), lambda x: x.b), g.t), lambda q: {{'a': p, 'b': q}}))))) END,
+  g.edge_id, list_contains(cl, {{'a': g.t, 'b': g.s}}) FROM r JOIN g ON g.grp = r.grp AND g.rn = r.rn + 1)"""
+
+
+def _cyclic_links(spark, sf):
+    """Setup links that run both ways between neighbours, and around three events, along one chain of all events."""
     e = fx.timeline_events(spark, sf).where("event_id % 3 = 0")
     parts = [e.selectExpr("event_id * 4 as edge_id", "'setup_for' as relation", "event_id as source", "event_id + 3 as target"), e.where("event_id % 9 = 0").selectExpr("event_id * 4 + 1 as edge_id", "'setup_for' as relation", "event_id + 3 as source", "event_id as target"), e.where("event_id % 15 = 0").selectExpr("event_id * 4 + 2 as edge_id", "'setup_for' as relation", "event_id + 6 as source", "event_id as target")]
-    return gr.reject_cycles(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(f"WITH RECURSIVE {_CYCLES} SELECT edge_id FROM r WHERE bad")
+def reject_cycles(spark, sf):
+    return gr.reject_cycles(_cyclic_links(spark, sf))
 
 
 MEMBERS = f"""te2 AS (SELECT source AS a, target AS b FROM good WHERE relation IN ({_THR}) UNION SELECT target, source FROM good WHERE relation IN ({_THR})), reach AS (SELECT a, b FROM te2 UNION SELECT reach.a, te2.b FROM reach JOIN te2 ON reach.b = te2.a), mem AS (SELECT a AS node, least(a, min(b)) AS thread FROM reach GROUP BY a)"""
