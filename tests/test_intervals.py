@@ -168,7 +168,7 @@ def test_carry_last_over_chunks(spark, chunk):
     df = spark.createDataFrame(rows, "k long, t long, i long, v long")
     for before in (False, True):
         for back in (False, True):
-            got = {(x.k, x.i): x.out for x in iv.carry_last(df, ["k"], "t", ["i"], F.col("v"), "out", before=before, back=back, chunk=chunk).collect()}
+            got = {(x.k, x.i): x.out for x in iv.carry_last(df, ["k"], "t", ["i"], back=back, chunk=chunk, out=(F.col("v"), "before" if before else "")).collect()}
             seen, want = {}, {}
             for k, t, i, v in sorted(rows, key=lambda x: (-x[1] if back else x[1], x[2])):
                 if before:

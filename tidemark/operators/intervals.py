@@ -38,31 +38,32 @@ def total_duration(df: DataFrame, by: Keys) -> DataFrame:
     return merge_intervals(df, by).groupBy(*by).agg(F.sum(F.col("end_us") - F.col("start_us")).alias("duration_us"))
 
 
-def carry_last(df: DataFrame, by: Keys, at: str, ties: Keys, value: Column, out: str, before: bool = False, back: bool = False, chunk: int = CHUNK) -> DataFrame:
-    """df with `out`: the last value that is not null up to each row (with before=True: up to the row before it), in order of `at` and `ties`.
+def carry_last(df: DataFrame, by: Keys, at: str, ties: Keys, back: bool = False, chunk: int = CHUNK, **values: Column | tuple[Column, str]) -> DataFrame:
+    """df with a column for each of `values`: the last value that is not null up to each row, in order of `at` and `ties`; of a pair (value, "before") up to the row before it.
 
-    Two levels: windows inside chunks of `at`, and the last value of each chunk, carried over by a table with a row
+    Two levels: windows inside chunks of `at`, and the last values of each chunk, carried over by a table with a row
     for each chunk; so a key with all rows is the work of many tasks. back: the order of `at` runs backwards (ties do
-    not).
+    not). df is read twice.
     """
-    c = df.withColumn("_chunk", F.floor(F.col(at) / chunk)).withColumn("_value", value)
+    pairs = {k: v if isinstance(v, tuple) else (v, "") for k, v in values.items()}
+    c = df.withColumn("_chunk", F.floor(F.col(at) / chunk)).select("*", *[v.alias(f"_{k}") for k, (v, _) in pairs.items()])
     turn = (lambda x: F.desc(x)) if back else F.asc
     w = Window.partitionBy(*by, "_chunk").orderBy(turn(at), *ties)
-    inside = F.last("_value", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1 if before else 0))
-    c = c.withColumn("_inside", inside)
+    place = F.struct((-F.col(at) if back else F.col(at)).alias("at"), *ties)
     # max_by passes over rows whose order is null
-    place = F.when(F.col("_value").isNotNull(), F.struct((-F.col(at) if back else F.col(at)).alias("at"), *ties))
-    chunks = c.groupBy(*by, "_chunk").agg(F.max_by("_value", place).alias("_value"))
-    carried = F.last("_value", ignorenulls=True).over(Window.partitionBy(*by).orderBy(turn("_chunk")).rowsBetween(Window.unboundedPreceding, -1))
-    chunks = chunks.select(*by, "_chunk", carried.alias("_carried")).where(F.col("_carried").isNotNull())
-    return c.join(chunks, [*by, "_chunk"], "left").withColumn(out, F.coalesce("_inside", "_carried")).drop("_chunk", "_value", "_inside", "_carried")
+    chunks = c.groupBy(*by, "_chunk").agg(*[F.max_by(f"_{k}", F.when(F.col(f"_{k}").isNotNull(), place)).alias(f"_{k}") for k in pairs])
+    earlier = Window.partitionBy(*by).orderBy(turn("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.select(*by, "_chunk", *[F.last(f"_{k}", ignorenulls=True).over(earlier).alias(f"_{k}_c") for k in pairs])
+    inside = {k: F.last(f"_{k}", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1 if when else 0)) for k, (_, when) in pairs.items()}
+    c = c.select("*", *[v.alias(f"_{k}_i") for k, v in inside.items()]).join(chunks, [*by, "_chunk"], "left")
+    return c.select(*df.columns, *[F.coalesce(f"_{k}_i", f"_{k}_c").alias(k) for k in pairs])
 
 
 def member_islands(df: DataFrame, by: Keys, gap: int) -> DataFrame:
     """Every row with the start of its island as `island`: islands do not overlap, so a row's is the last that starts by then."""
     marks = islands(df, by, gap).select(*by, "start_us", F.lit(0).alias("_row"))
     every = df.withColumn("_row", F.lit(1)).unionByName(marks, allowMissingColumns=True)
-    return carry_last(every, by, "start_us", ["_row"], F.when(F.col("_row") == 0, F.col("start_us")), "island").where("_row = 1").drop("_row")
+    return carry_last(every, by, "start_us", ["_row"], island=F.when(F.col("_row") == 0, F.col("start_us"))).where("_row = 1").drop("_row")
 
 
 def gaps(df: DataFrame, by: Keys, horizon: DataFrame, min_gap: int = 100_000, eps: int = TOUCH) -> DataFrame:
@@ -141,7 +142,7 @@ def asof_block(times: DataFrame, blocks: DataFrame, by: Keys) -> DataFrame:
     """Source time of edit times t_us: inside a block by its speed; else the source end of the last block that ended before."""
     b = blocks.select(*by, F.col("edit_start_us").alias("t_us"), F.struct("edit_start_us", "edit_end_us", "source_start_us", "source_end_us", "speed").alias("_block"))
     marks = b.withColumn("_t", F.lit(0)).unionByName(times.withColumn("_t", F.lit(1)), allowMissingColumns=True)
-    seen = carry_last(marks, by, "t_us", ["_t", "_block"], F.col("_block"), "_at").where("_t = 1")
+    seen = carry_last(marks, by, "t_us", ["_t", "_block"], _at=F.col("_block")).where("_t = 1")
     inside = F.expr("_at.source_start_us + (t_us - _at.edit_start_us) * _at.speed")
     return seen.withColumn("source_us", F.when(F.expr("t_us <= _at.edit_end_us"), inside).otherwise(F.col("_at.source_end_us"))).drop("_at", "_block", "_t")
 
@@ -150,8 +151,8 @@ def cut_between(events: DataFrame, scenes: DataFrame, by: Keys) -> DataFrame:
     """Events with `cut`: whether a scene starts after the previous event's end and by this event's start."""
     scene = scenes.select(*by, F.col("start_us").alias("_scene"), F.col("start_us").alias("start_us"))
     every = events.withColumn("_e", F.lit(1)).unionByName(scene.withColumn("_e", F.lit(0)), allowMissingColumns=True)
-    last = carry_last(every, by, "start_us", ["_e"], F.col("_scene"), "_last").where("_e = 1").drop("_e", "_scene")
-    last = carry_last(last, by, "start_us", ["event_id"], F.col("end_us"), "prev_end_us", before=True)
+    last = carry_last(every, by, "start_us", ["_e", "event_id"], _last=F.col("_scene"), prev_end_us=(F.col("end_us"), "before"))
+    last = last.where("_e = 1").drop("_e", "_scene")
     return last.withColumn("cut", F.coalesce(F.col("_last") > F.col("prev_end_us"), F.lit(False))).drop("_last")
 
 
@@ -163,7 +164,7 @@ def bridge_gaps(clips: DataFrame, by: Keys, limit: int = 8 * SECOND) -> DataFram
 
 def chain_starts(clips: DataFrame, by: Keys, limit: int) -> DataFrame:
     """clips with `_chain`, the (start, id) of the clip that its chain begins with: one goes on while 0 <= start - previous end <= limit."""
-    c = carry_last(clips, by, "start_us", ["clip_id"], F.col("end_us"), "_before", before=True)
+    c = carry_last(clips, by, "start_us", ["clip_id"], _before=(F.col("end_us"), "before"))
     gap = F.col("start_us") - F.col("_before")
     begins = F.when(gap.between(0, limit), None).otherwise(F.struct("start_us", "clip_id"))
-    return carry_last(c, by, "start_us", ["clip_id"], begins, "_chain").drop("_before")
+    return carry_last(c, by, "start_us", ["clip_id"], _chain=begins).drop("_before")

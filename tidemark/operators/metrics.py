@@ -154,3 +154,32 @@ def confusion(predicted: DataFrame, labels: DataFrame, by: Keys) -> DataFrame:
 def covered_majority(nodes: DataFrame, intervals: DataFrame, by: Keys, key: Keys) -> DataFrame:
     """Nodes of which merged intervals cover more than half."""
     return covered_us(nodes, intervals, by, key).where(F.col("covered_us") * 2 > F.col("end_us") - F.col("start_us"))
+
+
+def narrative_metrics(ai: DataFrame, human: DataFrame, nodes: DataFrame, by: Keys) -> DataFrame:
+    """Per key: setups and payoffs intact, callbacks kept, threads of both sides and of one, time of the AI's threads.
+
+    ai, human: intervals, of which the AI's have a `thread`; nodes: node, start_us, end_us, thread, is_setup, payoff (a
+    node), is_callback. A node is kept if a side's merged intervals cover more than half of it. A pair is intact if the
+    AI keeps both of it, and the human keeps both or not the setup. Shares of nothing are 1.
+    """
+    own = covered_us(nodes, ai, by, ["node"]).where("2 * covered_us > end_us - start_us").select(*by, "node", F.lit(True).alias("_ai"))
+    hum = covered_us(nodes, human, by, ["node"]).where("2 * covered_us > end_us - start_us").select(*by, "node", F.lit(True).alias("_hu"))
+    n = nodes.join(own, [*by, "node"], "left").join(hum, [*by, "node"], "left").fillna(False, ["_ai", "_hu"])
+    pay = n.select(*by, F.col("node").alias("payoff"), F.col("_ai").alias("_pay_ai"), F.col("_hu").alias("_pay_hu")).dropDuplicates([*by, "payoff"])
+    n = n.join(pay, [*by, "payoff"], "left").fillna(False, ["_pay_ai", "_pay_hu"])
+    pair = F.col("is_setup") & F.col("payoff").isNotNull()
+    intact = pair & F.expr("_ai and _pay_ai and (not _hu or _pay_hu)")
+    listed = lambda c: F.array_sort(F.collect_set(c))
+    g = n.groupBy(*by).agg(F.count("*").alias("story_nodes"), F.count_if(pair).alias("pairs"), F.count_if(intact).alias("pairs_intact"), F.count_if("is_callback").alias("callbacks"), F.count_if(F.expr("is_callback and _ai")).alias("callbacks_kept"), listed(F.when(F.col("_hu"), F.col("thread"))).alias("_h"))
+    time = ai.where("thread is not null").groupBy(*by, "thread").agg(F.sum(F.col("end_us") - F.col("start_us")).alias("us"))
+    time = time.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("thread", "us"))).alias("_t"))
+    out = g.join(time, by, "full").join(ai.select(*by).distinct().unionByName(human.select(*by).distinct()).distinct(), by, "full").fillna(0, ["story_nodes", "pairs", "pairs_intact", "callbacks", "callbacks_kept"])
+    a, h = F.coalesce(F.expr("transform(_t, x -> x.thread)"), F.array()), F.coalesce("_h", F.array())
+    ratio = lambda x, y: F.when(F.col(y) > 0, r4(F.col(x) / F.col(y))).otherwise(F.lit(1.0))
+    text = lambda x: F.array_join(x, ",")
+    return out.select(
+        *by, "story_nodes", "pairs", "pairs_intact", ratio("pairs_intact", "pairs").alias("completeness"), "callbacks", "callbacks_kept", ratio("callbacks_kept", "callbacks").alias("callback_rate"),
+        text(F.array_intersect(a, h)).alias("shared_threads"), text(F.array_except(a, h)).alias("ai_threads"), text(F.array_except(h, a)).alias("human_threads"),
+        F.coalesce(F.array_join(F.expr("transform(_t, x -> concat(x.thread, ':', x.us))"), ","), F.lit("")).alias("thread_time"),
+    )

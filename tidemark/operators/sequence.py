@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import r4
 from ..functions.text import exclamation_density, tokens
 from ..schemas import SECOND
+from ..sources.shared import settled
 from .intervals import Keys, carry_last, islands, member_islands, overlap_join
 
 
@@ -36,7 +37,7 @@ def build_windows(clustered: DataFrame, by: Keys, least: int = 8 * SECOND, most:
 def _asof_scene(windows: DataFrame, scenes: DataFrame, by: Keys, at: str, out: str, back: bool) -> DataFrame:
     """The last scene start by `at`, or with back=False the first from `at` on."""
     marks = windows.withColumn("_t", F.col(at)).withColumn("_w", F.lit(1)).unionByName(scenes.select(*by, F.col("start_us").alias("_t"), F.col("start_us").alias("_s"), F.lit(0).alias("_w")), allowMissingColumns=True)
-    return carry_last(marks, by, "_t", ["_w"], F.col("_s"), out, back=not back).where("_w = 1").drop("_t", "_w", "_s")
+    return carry_last(marks, by, "_t", ["_w"], back=not back, **{out: F.col("_s")}).where("_w = 1").drop("_t", "_w", "_s")
 
 
 def expand_context(windows: DataFrame, segments: DataFrame, scenes: DataFrame, by: Keys, key: Keys, reach: int = 3 * SECOND, roll: int = 5 * SECOND, legacy: bool = False, setup: int = 3 * SECOND // 2) -> DataFrame:
@@ -44,7 +45,7 @@ def expand_context(windows: DataFrame, segments: DataFrame, scenes: DataFrame, b
 
     legacy: no clamp and no forward side, and a shorter setup window.
     """
-    pad = setup if legacy else reach
+    pad, windows = setup if legacy else reach, settled(windows, "windows")
     j = overlap_join(windows.select(*by, *key, "start_us", "end_us"), segments.select(*by, "start_us", "end_us"), by, pad=pad, kind="touch")
     cs, ce, ss, se = F.col("start_us"), F.col("end_us"), F.col("r_start_us"), F.col("r_end_us")
     first = lambda cond, value: F.min(F.when(cond, F.struct(ss.alias("k"), value.alias("v"))))["v"]
@@ -59,7 +60,7 @@ def expand_context(windows: DataFrame, segments: DataFrame, scenes: DataFrame, b
         x = x.withColumn("n0", F.greatest("n0", F.greatest(F.lit(0), F.col("c0") - reach)))
         x = x.withColumn("n1", F.coalesce(F.expr("try_element_at(filter(ahead, a -> a.v > n1), 1).v"), F.col("n1")))
         x = x.withColumn("n1", F.least("n1", F.col("c1") + reach))
-    x = _asof_scene(x.drop("ahead", "snap_s", "snap_e", "back"), scenes, by, "c0", "s0", True)
+    x = _asof_scene(settled(x.drop("ahead", "snap_s", "snap_e", "back"), "expanded"), scenes, by, "c0", "s0", True)
     x = x.withColumn("n0", F.when(F.col("s0") > F.col("n0"), F.col("s0")).otherwise(F.col("n0")))
     if not legacy:
         x = _asof_scene(x, scenes, by, "c1", "s1", False)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
-from ..fixtures import AI, BLOCKS, HUMAN, SEGMENTS, TE
+from ..fixtures import AI, BLOCKS, HUMAN, SEGMENTS, TE, merged_sql
 from ..functions.scalar import f1, r4, share
 from ..functions.udf import score_with
 from ..operators import candidates as ca
@@ -19,6 +19,7 @@ from ..operators import sequence as sq
 from ..operators import series as se
 from ..sources import io
 from ..sources.shared import new_table as scratch
+from ..sources.shared import settled
 from ..streaming import jobs
 from .intervals import METRICS
 from .intervals import SQL as INTERVALS_SQL
@@ -176,35 +177,74 @@ LAYERS = ["speech", "gameplay_clutch", "silence"]
 _SUPPORTED = """hs AS (SELECT h.asset_id, h.event_id, h.end_us - h.start_us AS len, coalesce(sum(CASE WHEN a.event_id IS NOT NULL THEN least(h.end_us, a.end_us) - greatest(h.start_us, a.start_us) END), 0)::BIGINT AS s FROM human h LEFT JOIN ai a ON h.asset_id = a.asset_id AND h.start_us < a.end_us AND a.start_us < h.end_us GROUP BY ALL),
  ais AS (SELECT a.asset_id, a.event_id, a.end_us - a.start_us AS len, coalesce(sum(CASE WHEN h.event_id IS NOT NULL THEN least(h.end_us, a.end_us) - greatest(h.start_us, a.start_us) END), 0)::BIGINT AS s FROM ai a LEFT JOIN human h ON h.asset_id = a.asset_id AND h.start_us < a.end_us AND a.start_us < h.end_us GROUP BY ALL),
  hv AS (SELECT *, CASE WHEN s * 10 >= len * 7 OR len - s <= 1000000 THEN 'matched' WHEN s > 0 THEN 'partial' ELSE 'missed' END AS verdict FROM hs), av AS (SELECT *, CASE WHEN s * 10 >= len * 7 OR len - s <= 1000000 THEN 'matched' WHEN s > 0 THEN 'partial' ELSE 'missed' END AS verdict FROM ais)"""
-_FAILED = f"""{_SUPPORTED}, fl AS (SELECT hv.asset_id, hv.event_id, 'human' AS side, rc.reason FROM hv JOIN ({INTERVALS_SQL["trace_root_cause"]}) rc USING (asset_id, event_id) WHERE verdict = 'missed' UNION ALL SELECT asset_id, event_id, 'ai', 'FALSE_POSITIVE' FROM av WHERE verdict = 'missed')"""
+_SEEN = "visual AS (SELECT * FROM te WHERE event_type = 'face_reaction' AND confidence >= 0.5), said AS (SELECT *, CASE event_id % 5 WHEN 0 THEN 'only Silence' WHEN 1 THEN 'a repetitive beat' WHEN 2 THEN 'dead_air' END AS why FROM ai), vd AS (SELECT asset_id, event_id, end_us - start_us >= 500000 AND event_id % 5 > 1 AND NOT contains(lower(coalesce(why, '')), 'silence') AS valid, why FROM said WHERE event_id % 7 <> 0)"
+
+
+def _at(layer: str) -> str:
+    return f"EXISTS (SELECT 1 FROM {layer} b WHERE b.asset_id = h.asset_id AND h.start_us < b.end_us AND b.start_us < h.end_us)"
+
+
+_FAILED = f"""{_SUPPORTED}, {_SEEN}, es AS (SELECT * FROM te WHERE event_type = 'speech'), cs0 AS (SELECT * FROM te WHERE event_type = 'gameplay_clutch'), ns AS (SELECT * FROM te WHERE event_type = 'silence'),
+ fl AS (SELECT h.asset_id, h.event_id, 'human' AS side, CASE WHEN NOT {_at('es')} THEN 'M2:MISSED_IMPORTANT_EVENT' WHEN NOT {_at('cs0')} AND {_at('visual')} THEN 'M3:MISSING_VISUAL_EVENT' WHEN NOT {_at('cs0')} THEN 'M3:LOW_SCORE' WHEN NOT {_at('ns')} THEN 'M4:DEPENDENCY_FAILURE' ELSE 'M5:BUDGET_EXCLUSION' END AS cause FROM human h JOIN hv USING (asset_id, event_id) WHERE verdict = 'missed'
+ UNION ALL SELECT asset_id, event_id, 'ai', CASE WHEN coalesce(valid, FALSE) THEN 'M5:VALID_ALTERNATIVE' WHEN contains(upper(why), 'DEAD_AIR') OR contains(upper(why), 'SILENCE') THEN 'M5:DEAD_AIR' WHEN contains(upper(why), 'REPETITIVE') THEN 'M5:REPETITIVE' ELSE 'M5:LOW_INFORMATION' END FROM av LEFT JOIN vd USING (asset_id, event_id) WHERE verdict = 'missed')"""
 
 
 def _layers(spark, sf):
     e = fx.timeline_events(spark, sf)
-    return [(reason, fx.of_types(e, kind)) for reason, kind in zip(("MISSED_IMPORTANT_EVENT", "LOW_SCORE", "DEPENDENCY_FAILURE"), LAYERS, strict=True)]
+    said = fx.ai_intervals(spark, sf).withColumn("reason", F.expr("case event_id % 5 when 0 then 'only Silence' when 1 then 'a repetitive beat' when 2 then 'dead_air' end"))
+    verdicts = ev.rule_verdicts(said, BY).withColumn("valid", F.col("valid") & F.expr("event_id % 5 > 1")).where("event_id % 7 <> 0")
+    return ev.Layers(*[fx.of_types(e, kind) for kind in LAYERS], fx.of_types(e, "face_reaction").where("confidence >= 0.5"), verdicts)
 
 
-@query(f"WITH {TE}, {AI}, {HUMAN}, {_FAILED} SELECT * FROM fl")
+@query(f"WITH {TE}, {AI}, {HUMAN}, {_FAILED} SELECT asset_id, event_id, side, split_part(cause, ':', 1) AS stage, split_part(cause, ':', 2) AS reason FROM fl")
 def failure_table(spark, sf):
-    """Every human interval without support and why, and every AI interval without."""
+    """Every human interval without support and the step at fault, and every AI interval without and what is wrong with it."""
     return ev.failures(fx.ai_intervals(spark, sf), fx.human_intervals(spark, sf), _layers(spark, sf), BY)
 
 
+_STORY = f"""story AS (SELECT asset_id, event_id AS node, start_us, end_us, CASE WHEN event_id % 4 < 3 THEN 't' || (event_id % 7) END AS thread, event_id % 3 = 0 AS is_setup, CASE WHEN event_id % 25 = 0 THEN -1 ELSE lead(event_id) OVER (PARTITION BY asset_id ORDER BY start_us, event_id) END AS payoff, event_id % 6 = 0 AS is_callback FROM te WHERE asset_id % 5 <> 0),
+ ath AS (SELECT *, CASE WHEN event_id % 3 > 0 THEN 't' || (event_id % 7) END AS thread FROM ai), {merged_sql('ai', 'nam')}, {merged_sql('human', 'nhm')},
+ na AS (SELECT node FROM story n JOIN nam m ON n.asset_id = m.asset_id AND n.start_us < m.end_us AND m.start_us < n.end_us GROUP BY node, n.start_us, n.end_us HAVING 2 * sum(least(n.end_us, m.end_us) - greatest(n.start_us, m.start_us)) > n.end_us - n.start_us),
+ nh AS (SELECT node FROM story n JOIN nhm m ON n.asset_id = m.asset_id AND n.start_us < m.end_us AND m.start_us < n.end_us GROUP BY node, n.start_us, n.end_us HAVING 2 * sum(least(n.end_us, m.end_us) - greatest(n.start_us, m.start_us)) > n.end_us - n.start_us),
+ nk AS (SELECT s.*, s.node IN (SELECT node FROM na) AS a, s.node IN (SELECT node FROM nh) AS h, p.node IS NOT NULL AND p.node IN (SELECT node FROM na) AS pa, p.node IS NOT NULL AND p.node IN (SELECT node FROM nh) AS ph FROM story s LEFT JOIN story p ON p.asset_id = s.asset_id AND p.node = s.payoff),
+ ng AS (SELECT asset_id, count(*) AS story_nodes, count_if(is_setup AND payoff IS NOT NULL)::BIGINT AS pairs, count_if(is_setup AND payoff IS NOT NULL AND a AND pa AND (NOT h OR ph))::BIGINT AS pairs_intact, count_if(is_callback)::BIGINT AS callbacks, count_if(is_callback AND a)::BIGINT AS callbacks_kept, coalesce(list_sort(list(DISTINCT thread) FILTER (h AND thread IS NOT NULL)), []) AS hl FROM nk GROUP BY 1),
+ nt AS (SELECT asset_id, list_sort(list(thread)) AS al, string_agg(thread || ':' || us, ',' ORDER BY thread) AS thread_time FROM (SELECT asset_id, thread, sum(end_us - start_us)::BIGINT AS us FROM ath WHERE thread IS NOT NULL GROUP BY 1, 2) GROUP BY 1), nc AS (SELECT asset_id FROM ai UNION SELECT asset_id FROM human UNION SELECT asset_id FROM story),
+ nf AS (SELECT asset_id, coalesce(story_nodes, 0) AS story_nodes, coalesce(pairs, 0) AS pairs, coalesce(pairs_intact, 0) AS pairs_intact, coalesce(callbacks, 0) AS callbacks, coalesce(callbacks_kept, 0) AS callbacks_kept, coalesce(al, []) AS al, coalesce(hl, []) AS hl, coalesce(thread_time, '') AS thread_time FROM nc LEFT JOIN ng USING (asset_id) LEFT JOIN nt USING (asset_id)),
+ nm AS (SELECT asset_id, story_nodes, pairs, pairs_intact, CASE WHEN pairs > 0 THEN round(pairs_intact / pairs, 4) ELSE 1 END AS completeness, callbacks, callbacks_kept, CASE WHEN callbacks > 0 THEN round(callbacks_kept / callbacks, 4) ELSE 1 END AS callback_rate,
+  array_to_string(list_filter(al, lambda x: list_contains(hl, x)), ',') AS shared_threads, array_to_string(list_filter(al, lambda x: NOT list_contains(hl, x)), ',') AS ai_threads, array_to_string(list_filter(hl, lambda x: NOT list_contains(al, x)), ',') AS human_threads, thread_time FROM nf)"""
+
+
+def _story(spark, sf):
+    e = fx.timeline_events(spark, sf).where("asset_id % 5 <> 0")
+    after = F.lead("event_id").over(Window.partitionBy("asset_id").orderBy("start_us", "event_id"))
+    return e.select("asset_id", F.col("event_id").alias("node"), "start_us", "end_us", F.expr("case when event_id % 4 < 3 then concat('t', event_id % 7) end").alias("thread"), F.expr("event_id % 3 = 0").alias("is_setup"), F.when(F.expr("event_id % 25 = 0"), -1).otherwise(after).alias("payoff"), F.expr("event_id % 6 = 0").alias("is_callback"))
+
+
+def _threaded(spark, sf):
+    return fx.ai_intervals(spark, sf).withColumn("thread", F.expr("case when event_id % 3 > 0 then concat('t', event_id % 7) end"))
+
+
+@query(f"WITH {TE}, {AI}, {HUMAN}, {_STORY} SELECT * FROM nm")
+def narrative_metrics(spark, sf):
+    """Setups and payoffs, callbacks and threads of each case."""
+    return mt.narrative_metrics(_threaded(spark, sf), fx.human_intervals(spark, sf), _story(spark, sf), BY)
+
+
 _TOLS = ", ".join(f"max(CASE WHEN tol_us = {t} THEN {c} END) AS {c}_{n}" for c in ("precision", "recall", "f1") for t, n in ((500000, "500ms"), (1000000, "1s"), (2000000, "2s")))
 
 
-@query(f"""WITH {TE}, {AI}, {HUMAN}, {METRICS}, {_FAILED}, o AS (SELECT asset_id, {_TOLS} FROM om GROUP BY 1), hc AS (SELECT asset_id, count_if(verdict = 'matched')::BIGINT AS matched, count_if(verdict = 'partial')::BIGINT AS partial, count_if(verdict = 'missed')::BIGINT AS missed FROM hv GROUP BY 1),
- ac AS (SELECT asset_id, count_if(verdict = 'missed')::BIGINT AS ai_only FROM av GROUP BY 1), rs AS (SELECT asset_id, reason || ':' || count(*) AS x FROM fl GROUP BY asset_id, reason), cs AS (SELECT asset_id, string_agg(x, ',' ORDER BY x) AS causes FROM rs GROUP BY 1),
+@query(f"""WITH {TE}, {AI}, {HUMAN}, {METRICS}, {_FAILED}, {_STORY}, o AS (SELECT asset_id, {_TOLS} FROM om GROUP BY 1), hc AS (SELECT asset_id, count_if(verdict = 'matched')::BIGINT AS matched, count_if(verdict = 'partial')::BIGINT AS partial, count_if(verdict = 'missed')::BIGINT AS missed FROM hv GROUP BY 1),
+ ac AS (SELECT asset_id, count_if(verdict = 'missed')::BIGINT AS ai_only FROM av GROUP BY 1), rs AS (SELECT asset_id, cause || ':' || count(*) AS x, CASE WHEN cause = 'M5:VALID_ALTERNATIVE' THEN count(*) ELSE 0 END AS ok FROM fl GROUP BY asset_id, cause), cs AS (SELECT asset_id, string_agg(x, ',' ORDER BY x) AS causes, sum(ok)::BIGINT AS valid_alternatives FROM rs GROUP BY 1),
  qs AS (SELECT a.asset_id, sum(s.end_us - s.start_us)::BIGINT AS q FROM ai a JOIN te s ON s.event_type = 'silence' AND s.asset_id = a.asset_id AND s.start_us >= a.start_us AND s.end_us <= a.end_us GROUP BY 1), qt AS (SELECT asset_id, sum(end_us - start_us)::BIGINT AS total FROM ai GROUP BY 1), qa AS (SELECT asset_id, coalesce(q, 0) AS quiet_us, CASE WHEN total > 0 THEN round(least(coalesce(q, 0) / total, 1), 4) ELSE 0 END AS quiet_share FROM qt LEFT JOIN qs USING (asset_id))
- SELECT o.*, list_extract(['REFERENCE', 'VALIDATION', 'TEST'], CAST(asset_id % 3 + 1 AS INTEGER)) AS split, coalesce(matched, 0) AS matched, coalesce(partial, 0) AS partial, coalesce(missed, 0) AS missed, coalesce(ai_only, 0) AS ai_only, coalesce(too_short, 0) AS too_short, coalesce(too_long, 0) AS too_long, coalesce(good, 0) AS good, mean_pre_s, mean_post_s, cuts_per_min, mean_clip_s, mean_gap_s, quiet_us, quiet_share, effects_matched, human_only, ai_effects_only, agreement, coalesce(causes, '') AS causes
+ SELECT o.*, list_extract(['REFERENCE', 'VALIDATION', 'TEST'], CAST(asset_id % 3 + 1 AS INTEGER)) AS split, coalesce(matched, 0) AS matched, coalesce(partial, 0) AS partial, coalesce(missed, 0) AS missed, coalesce(ai_only, 0) AS ai_only, coalesce(too_short, 0) AS too_short, coalesce(too_long, 0) AS too_long, coalesce(good, 0) AS good, mean_pre_s, mean_post_s, cuts_per_min, mean_clip_s, mean_gap_s, quiet_us, quiet_share, effects_matched, human_only, ai_effects_only, agreement, coalesce(causes, '') AS causes, coalesce(valid_alternatives, 0) AS valid_alternatives, story_nodes, pairs, pairs_intact, completeness, callbacks, callbacks_kept, callback_rate, shared_threads, ai_threads, human_threads, thread_time
  FROM o LEFT JOIN hc USING (asset_id) LEFT JOIN ac USING (asset_id) LEFT JOIN (SELECT asset_id, too_short, too_long, good, mean_pre_s, mean_post_s FROM ({INTERVALS_SQL["context_metrics"]})) USING (asset_id) LEFT JOIN (SELECT asset_id, cuts_per_min, mean_clip_s, mean_gap_s FROM ({INTERVALS_SQL["pacing_metrics"]})) USING (asset_id)
- LEFT JOIN qa USING (asset_id) LEFT JOIN (SELECT asset_id, matched AS effects_matched, human_only, ai_only AS ai_effects_only, agreement FROM ({INTERVALS_SQL["effect_metrics"]})) USING (asset_id) LEFT JOIN cs USING (asset_id) WHERE asset_id % 3 <> 0""")
+ LEFT JOIN qa USING (asset_id) LEFT JOIN (SELECT asset_id, matched AS effects_matched, human_only, ai_only AS ai_effects_only, agreement FROM ({INTERVALS_SQL["effect_metrics"]})) USING (asset_id) LEFT JOIN cs USING (asset_id) LEFT JOIN nm USING (asset_id) WHERE asset_id % 3 <> 0""")
 def evaluate_cases(spark, sf):
-    """One row for each case that may be evaluated: overlap at three tolerances, context, pacing, dead air, effects, support both ways and root causes."""
+    """One row for each case that may be evaluated: overlap at three tolerances, context, narrative, pacing, dead air, effects, support both ways and root causes."""
     from .intervals import effects
 
     e, fx_e = fx.timeline_events(spark, sf), effects(spark, sf)
-    cases = ev.evaluate_cases(fx.ai_intervals(spark, sf), fx.human_intervals(spark, sf), e, _layers(spark, sf), fx_e.where("event_id % 2 = 1"), fx_e.where("event_id % 2 = 0"), BY)
+    cases = ev.evaluate_cases(_threaded(spark, sf), fx.human_intervals(spark, sf), e, _layers(spark, sf), fx_e.where("event_id % 2 = 1"), fx_e.where("event_id % 2 = 0"), BY, _story(spark, sf))
     cases = cases.withColumn("split", F.expr("element_at(array('REFERENCE', 'VALIDATION', 'TEST'), cast(asset_id % 3 + 1 as int))")).withColumn("consumed", F.lit(False))
     return pl.eval_split(cases).drop("consumed")
 
@@ -343,7 +383,7 @@ _REPEATED = r"""tw AS (SELECT asset_id, start_us, unnest(regexp_extract_all(lowe
  SELECT asset_id, start_us, end_us, round(speech / greatest(end_us - start_us, 100000), 4) AS speech_density, reactions, length(text) AS n_chars, rule, round(coalesce(top.s, 0), 4) AS text_repetition, rank, CASE WHEN score_confidence >= 0.7 THEN 'interesting' WHEN score_confidence >= 0.4 THEN 'uncertain' ELSE 'low_signal' END AS label, CASE WHEN score_confidence < 0.55 THEN 'eligible' ELSE 'none' END AS escalation, sha256(concat_ws('|', CAST(asset_id AS VARCHAR), CAST(start_us AS VARCHAR), CAST(end_us AS VARCHAR))) AS signature FROM k LEFT JOIN top USING (asset_id, start_us)""")
 def generate_candidates(spark, sf):
     """Events to relational clusters, windows, expanded and merged candidates, features, transcript, rule scores, repetition, rank, label and signature, in one plan."""
-    windows = sq.merge_overlapping(expanded(spark, sf, False), BY, order="cluster")
+    windows = sq.merge_overlapping(settled(expanded(spark, sf, False), "windows"), BY, order="cluster")
     f = ca.score_candidates(windows, fx.timeline_events(spark, sf), fx.transcript_segments(spark, sf), BY)
     return f.select("asset_id", "start_us", "end_us", "speech_density", "reactions", F.length("text").alias("n_chars"), "rule", "text_repetition", "rank", "label", "escalation", "signature")
 
