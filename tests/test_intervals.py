@@ -232,3 +232,40 @@ def test_readers_keep_every_record(spark, tmp_path):
         (tmp_path / "t" / f"{k}.json").write_text(json.dumps(record, indent=1))
     rows = io.truth_blocks(io.read_truth(spark, f"file://{tmp_path}/t")).collect()
     assert sorted((r.source_start or 0, r.edit_end or 0) for r in rows) == [(0, 0), (1, 2), (1, 2), (1, 2), (4, 0)]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_chunks_equal_a_loop(spark, seed):
+    """Segments that overlap, repeat a start, last longer than the limit and leave long pauses."""
+    r = random.Random(seed)
+    rows, t = [], 0
+    for i in range(200):
+        t += r.choice([0, 0, 1, 5, 20, 90 if i % 17 == 0 else 3])
+        rows.append((i % 2, t * S, i, (t + r.choice([1, 4, 10, 60 if i % 13 == 0 else 2])) * S, f"w{i}"))
+    want = []
+    for k in (0, 1):
+        block = -1
+        for key, start, _, end, text in sorted(x for x in rows if x[0] == k):
+            if block < 0 or end - want[-1][2] > 45 * S:
+                block += 1
+                want.append([key, block, start, end, 1, text])
+            else:
+                want[-1][3:] = [end, want[-1][4] + 1, want[-1][5] + " " + text]
+    got = sq.chunk_utterances(spark.createDataFrame(rows, "asset_id long, start_us long, sequence long, end_us long, text string"), ["asset_id"])
+    assert sorted(map(tuple, got.select("asset_id", "block", "start_us", "end_us", "n", "text").collect())) == sorted(map(tuple, want)) and len(want) > 20
+
+
+def test_merge_overlapping_unites_arrays(spark):
+    r = random.Random(5)
+    rows = [(1, i, r.randint(0, 900), 0, r.random(), [r.choice("abc")], [i, i + 1]) for i in range(150)]
+    rows = [(k, i, s, s + r.randint(1, 30), c, a, e) for k, i, s, _, c, a, e in rows]
+    df = spark.createDataFrame(rows, "asset_id long, event_id long, start_us long, end_us long, confidence double, kinds array<string>, ids array<long>")
+    want = []
+    for _, i, s, e, c, a, d in sorted(rows, key=lambda x: (x[2], x[3], x[1])):
+        w = want[-1] if want else None
+        if w and 2 * (min(w[1], e) - s) > min(w[1] - w[0], e - s):
+            want[-1] = (w[0], max(w[1], e), min(w[2], c), w[3] + 1, w[4] | set(a), w[5] | set(d), min(w[6], i))
+        else:
+            want.append((s, e, c, 1, set(a), set(d), i))
+    got = sq.merge_overlapping(df, ["asset_id"], unite=["kinds", "ids"], least=["event_id"]).select("start_us", "end_us", "confidence", "n", "kinds", "ids", "event_id").collect()
+    assert sorted(map(tuple, got)) == sorted((s, e, c, n, sorted(a), sorted(d), i) for s, e, c, n, a, d, i in want) and max(w[3] for w in want) > 2

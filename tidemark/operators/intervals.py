@@ -46,17 +46,17 @@ def carry_last(df: DataFrame, by: Keys, at: str, ties: Keys, back: bool = False,
     not). df is read twice.
     """
     pairs = {k: v if isinstance(v, tuple) else (v, "") for k, v in values.items()}
-    c = df.withColumn("_chunk", F.floor(F.col(at) / chunk)).select("*", *[v.alias(f"_{k}") for k, (v, _) in pairs.items()])
+    c = df.withColumn("_chunk", F.floor(F.col(at) / chunk)).select("*", *[v.alias(f"_value_{k}") for k, (v, _) in pairs.items()])
     turn = (lambda x: F.desc(x)) if back else F.asc
     w = Window.partitionBy(*by, "_chunk").orderBy(turn(at), *ties)
     place = F.struct((-F.col(at) if back else F.col(at)).alias("at"), *ties)
     # max_by passes over rows whose order is null
-    chunks = c.groupBy(*by, "_chunk").agg(*[F.max_by(f"_{k}", F.when(F.col(f"_{k}").isNotNull(), place)).alias(f"_{k}") for k in pairs])
+    chunks = c.groupBy(*by, "_chunk").agg(*[F.max_by(f"_value_{k}", F.when(F.col(f"_value_{k}").isNotNull(), place)).alias(f"_value_{k}") for k in pairs])
     earlier = Window.partitionBy(*by).orderBy(turn("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
-    chunks = chunks.select(*by, "_chunk", *[F.last(f"_{k}", ignorenulls=True).over(earlier).alias(f"_{k}_c") for k in pairs])
-    inside = {k: F.last(f"_{k}", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1 if when else 0)) for k, (_, when) in pairs.items()}
-    c = c.select("*", *[v.alias(f"_{k}_i") for k, v in inside.items()]).join(chunks, [*by, "_chunk"], "left")
-    return c.select(*df.columns, *[F.coalesce(f"_{k}_i", f"_{k}_c").alias(k) for k in pairs])
+    chunks = chunks.select(*by, "_chunk", *[F.last(f"_value_{k}", ignorenulls=True).over(earlier).alias(f"_carried_{k}") for k in pairs])
+    inside = {k: F.last(f"_value_{k}", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1 if when else 0)) for k, (_, when) in pairs.items()}
+    c = c.select("*", *[v.alias(f"_inside_{k}") for k, v in inside.items()]).join(chunks, [*by, "_chunk"], "left")
+    return c.select(*df.columns, *[F.coalesce(f"_inside_{k}", f"_carried_{k}").alias(k) for k in pairs])
 
 
 def member_islands(df: DataFrame, by: Keys, gap: int) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions.scalar import r4
 from ..functions.text import exclamation_density, tokens
 from ..schemas import SECOND
 from ..sources.shared import settled
+from .fold import fold_heads
 from .intervals import Keys, carry_last, islands, member_islands, overlap_join
 
 
@@ -25,9 +26,9 @@ def cluster_by_relation(related: DataFrame, events: DataFrame, by: Keys, least:
 
 
 def build_windows(clustered: DataFrame, by: Keys, least: int = 8 * SECOND, most: int = 120 * SECOND) -> DataFrame:
-    """A window for each cluster: short ones padded half on each side, long ones cut at the end."""
-    joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    g = clustered.groupBy(*by, "cluster").agg(F.min("start_us").alias("s"), F.max("end_us").alias("e"), F.count("*").alias("n"), joined("event_type").alias("signals"), joined("relation").alias("relations"), F.coalesce(F.round(F.avg("relation_confidence") * 1000) / 1000, F.lit(1.0)).alias("confidence"))
+    """A window for each cluster, with arrays of its signals (event types), evidence (event ids) and relations: short ones padded half on each side, long ones cut at the end."""
+    sets = lambda c: F.array_sort(F.collect_set(c))
+    g = clustered.groupBy(*by, "cluster").agg(F.min("start_us").alias("s"), F.max("end_us").alias("e"), F.count("*").alias("n"), sets("event_type").alias("signals"), sets("event_id").alias("evidence"), sets("relation").alias("relations"), F.coalesce(F.round(F.avg("relation_confidence") * 1000) / 1000, F.lit(1.0)).alias("confidence"))
     short, long_ = F.expr(f"e - s < {least}"), F.expr(f"e - s > {most}")
     g = g.withColumn("start_us", F.when(short, F.expr(f"greatest(0, s - ({least} - (e - s)) div 2)")).otherwise(F.col("s")))
     g = g.withColumn("end_us", F.when(short, F.col("start_us") + least).when(long_, F.col("s") + most).otherwise(F.col("e")))
@@ -69,18 +70,23 @@ def expand_context(windows: DataFrame, segments: DataFrame, scenes: DataFrame, b
     return x.withColumn("start_us", F.greatest(F.lit(0), F.col("core_start_us") - roll)).withColumn("end_us", F.col("core_end_us") + roll).drop("c0", "c1", "n0", "n1", "s0")
 
 
-def merge_overlapping(windows: DataFrame, by: Keys, order: str = "event_id") -> DataFrame:
+def merge_overlapping(windows: DataFrame, by: Keys, order: str = "event_id", unite: Keys = (), least: Keys = (), most: Keys = ()) -> DataFrame:
     """Windows that overlap the accumulated one by more than half of the shorter are joined; the others start anew.
 
-    A fold inside islands of touching windows, so that an array is as long as an island.
+    start_us, end_us, confidence (the least) and n of each; `unite`: columns of arrays that are united, sorted and
+    without repeats; `least`, `most`: columns whose least and largest value stays. Rows run in order inside islands of
+    touching windows.
     """
-    w = member_islands(windows, by, 0).withColumn("w", F.struct("start_us", "end_us", F.col(order).alias("o"), "confidence", F.lit(1).alias("n")))
-    g = w.groupBy(*by, "island").agg(F.array_sort(F.collect_list("w")).alias("ws"))
-    fold = F.expr("""aggregate(slice(ws, 2, size(ws)), array(ws[0]), (acc, x) -> if(
-      2 * (least(element_at(acc, -1).end_us, x.end_us) - x.start_us) > least(element_at(acc, -1).end_us - element_at(acc, -1).start_us, x.end_us - x.start_us),
-      concat(slice(acc, 1, size(acc) - 1), array(named_struct('start_us', element_at(acc, -1).start_us, 'end_us', greatest(element_at(acc, -1).end_us, x.end_us), 'o', element_at(acc, -1).o, 'confidence', least(element_at(acc, -1).confidence, x.confidence), 'n', element_at(acc, -1).n + 1))),
-      concat(acc, array(x))))""")
-    return g.select(*by, F.explode(fold).alias("m")).select(*by, "m.start_us", "m.end_us", "m.confidence", F.col("m.n").cast("long").alias("n"))
+
+    def step(state: tuple, x: tuple) -> tuple | None:
+        (s, e), (a, b) = state, x
+        return (s, max(e, b)) if 2 * (min(e, b) - a) > min(e - s, b - a) else None
+
+    w = member_islands(windows.select(*dict.fromkeys([*by, "start_us", "end_us", order, "confidence", *unite, *least, *most])), by, 0)
+    g = fold_heads(w, [*by, "island"], ["start_us", "end_us", order], ["start_us", "end_us"], step).groupBy(*by, "island", "run")
+    sets = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in unite]
+    out = g.agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.min("confidence").alias("confidence"), F.count("*").alias("n"), *sets, *[F.min(c).alias(c) for c in least], *[F.max(c).alias(c) for c in most])
+    return out.drop("island", "run")
 
 
 def continuity_filter(blocks: DataFrame, by: Keys) -> DataFrame:
@@ -97,37 +103,68 @@ def contiguous_runs(blocks: DataFrame, by: Keys) -> DataFrame:
     w = Window.partitionBy(*by).orderBy("edit_start_us", "block_id")
     reach = F.max("edit_end_us").over(w.rowsBetween(Window.unboundedPreceding, -1))
     cut = blocks.withColumn("_i", F.sum(F.when(reach.isNull() | (F.col("edit_start_us") - reach >= 1_500_000), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    g = cut.groupBy(*by, "_i").agg(F.array_sort(F.collect_list(F.struct("edit_start_us", "block_id", "edit_end_us", "source_start_us", "source_end_us", F.lit(1).alias("n")))).alias("bs"))
-    fold = F.expr("""aggregate(slice(bs, 2, size(bs)), array(bs[0]), (acc, x) -> if(
-      abs(x.edit_start_us - element_at(acc, -1).edit_end_us) < 1500000 and x.source_start_us - element_at(acc, -1).source_end_us >= -500000 and x.source_start_us - element_at(acc, -1).source_end_us < 3000000,
-      concat(slice(acc, 1, size(acc) - 1), array(named_struct('edit_start_us', element_at(acc, -1).edit_start_us, 'block_id', element_at(acc, -1).block_id, 'edit_end_us', greatest(element_at(acc, -1).edit_end_us, x.edit_end_us), 'source_start_us', element_at(acc, -1).source_start_us, 'source_end_us', greatest(element_at(acc, -1).source_end_us, x.source_end_us), 'n', element_at(acc, -1).n + 1))),
-      concat(acc, array(x))))""")
-    return g.select(*by, F.explode(fold).alias("m")).select(*by, "m.edit_start_us", "m.edit_end_us", "m.source_start_us", "m.source_end_us", F.col("m.n").cast("long").alias("n"))
+
+    def step(state: tuple, x: tuple) -> tuple | None:
+        (edit_end, source_end), (edit, edit_to, source, source_to) = state, x
+        return (max(edit_end, edit_to), max(source_end, source_to)) if abs(edit - edit_end) < 1_500_000 and -500_000 <= source - source_end < 3_000_000 else None
+
+    order = ["edit_start_us", "block_id"]
+    runs = fold_heads(cut, [*by, "_i"], order, ["edit_start_us", "edit_end_us", "source_start_us", "source_end_us"], step, first=lambda x: (x[1], x[3]))
+    out = runs.groupBy(*by, "_i", "run").agg(F.min("edit_start_us").alias("edit_start_us"), F.max("edit_end_us").alias("edit_end_us"), F.min_by("source_start_us", F.struct(*order)).alias("source_start_us"), F.max("source_end_us").alias("source_end_us"), F.count("*").alias("n"))
+    return out.drop("_i", "run")
+
+
+def _next_blocks(segments: DataFrame, by: Keys, limit: int) -> DataFrame:
+    """by, at, next of each segment (start_us, sequence): where a block that begins there ends, the first later segment that ends more than `limit` after its start."""
+    at = F.struct("start_us", "sequence")
+    s = segments.select(*by, "start_us", "end_us", "sequence", at.alias("at"))
+    reach = s.select(*by, "at", F.col("end_us").alias("_own"), "start_us", (F.col("start_us") + limit).alias("end_us"))
+    points = s.select(*by, "start_us", F.col("start_us").alias("end_us"), F.col("at").alias("next"), F.col("end_us").alias("until"))
+    near = overlap_join(reach, points, by, kind="touch").where((F.col("r_next") > F.col("at")) & (F.col("r_until") > F.col("end_us"))).groupBy(*by, "at").agg(F.min("r_next").alias("near"))
+    # beyond the reach: the first segment that starts after it
+    marks = reach.select(*by, "at", F.col("end_us").alias("_t"), F.lit(0).alias("_kind"), F.lit(0).cast("long").alias("_tie"))
+    marks = marks.unionByName(s.select(*by, F.col("start_us").alias("_t"), F.lit(1).alias("_kind"), (-F.col("sequence")).cast("long").alias("_tie"), F.col("at").alias("_seg")), allowMissingColumns=True)
+    far = carry_last(marks, by, "_t", ["_kind", "_tie"], back=True, far=F.col("_seg")).where("_kind = 0").select(*by, "at", "far")
+    return s.select(*by, "at").join(near, [*by, "at"], "left").join(far, [*by, "at"], "left").select(*by, "at", F.coalesce("near", "far").alias("next"))
 
 
 def chunk_utterances(segments: DataFrame, by: Keys, limit: int = 45 * SECOND) -> DataFrame:
-    """Greedy blocks: a new one when a segment ends more than `limit` after the block's start; texts joined by spaces."""
-    g = segments.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("start_us", "sequence", "end_us", "text"))).alias("ss"))
-    fold = F.expr(f"""aggregate(ss, cast(array() as array<struct<start_us:bigint,end_us:bigint,n:bigint,texts:array<string>>>), (acc, x) -> if(
-      size(acc) > 0 and x.end_us - try_element_at(acc, -1).start_us <= {limit},
-      concat(slice(acc, 1, greatest(size(acc) - 1, 0)), array(named_struct('start_us', try_element_at(acc, -1).start_us, 'end_us', x.end_us, 'n', try_element_at(acc, -1).n + 1, 'texts', concat(try_element_at(acc, -1).texts, array(x.text))))),
-      concat(acc, array(named_struct('start_us', x.start_us, 'end_us', x.end_us, 'n', 1L, 'texts', array(x.text))))))""")
-    return g.select(*by, F.posexplode(fold).alias("block", "m")).select(*by, "block", "m.start_us", "m.end_us", "m.n", F.array_join("m.texts", " ").alias("text"))
+    """Greedy blocks: a new one when a segment ends more than `limit` after the block's start; texts joined by spaces.
+
+    Every segment knows where a block that began with it would end; the blocks are what the first segment leads to.
+    Each round doubles the reach of these pointers, so a recording of any length takes few rounds, and no task holds
+    more of it than a block's texts.
+    """
+    segments = settled(segments.select(*by, "start_us", "end_us", "sequence", "text"), "segments")
+    jump = settled(_next_blocks(segments, by, limit).where("next is not null"), "jump")
+    heads = settled(segments.groupBy(*by).agg(F.min(F.struct("start_us", "sequence")).alias("at")), "heads")
+    while jump.limit(1).count():
+        heads = settled(heads.unionByName(heads.join(jump, [*by, "at"]).select(*by, F.col("next").alias("at"))), "heads")
+        ahead = jump.select(*by, F.col("at").alias("next"), F.col("next").alias("after"))
+        jump = settled(jump.join(ahead, [*by, "next"]).select(*by, "at", F.col("after").alias("next")), "jump")
+    number = F.row_number().over(Window.partitionBy(*by).orderBy("at")) - 1
+    heads = heads.select(*by, F.col("at.start_us").alias("start_us"), F.col("at.sequence").alias("sequence"), number.alias("_block"))
+    x = carry_last(segments.join(heads, [*by, "start_us", "sequence"], "left"), by, "start_us", ["sequence"], block=F.col("_block"))
+    order = F.struct("start_us", "sequence")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_us", "sequence", "text"))), lambda t: t["text"]), " ")
+    return x.groupBy(*by, "block").agg(F.min("start_us").alias("start_us"), F.max_by("end_us", order).alias("end_us"), F.count("*").alias("n"), text.alias("text"))
 
 
 def fold_matches(matches: DataFrame, by: Keys, max_gap: int = SECOND // 2, max_speed: float = 0.2) -> DataFrame:
     """Blocks of matches (source_us, edit_us): one goes on while the step's source gap is under max_gap and its speed near the block's."""
     w = Window.partitionBy(*by).orderBy("edit_us", "source_us")
-    step = F.col("source_us") - F.lag("source_us").over(w)
-    cut = matches.withColumn("_i", F.sum(F.when((step >= 0) & (step < max_gap), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    g = cut.groupBy(*by, "_i").agg(F.array_sort(F.collect_list(F.struct("edit_us", "source_us"))).alias("ms"))
-    fold = F.expr(f"""aggregate(slice(ms, 2, size(ms)), array(named_struct('e0', ms[0].edit_us, 's0', ms[0].source_us, 'e1', ms[0].edit_us, 's1', ms[0].source_us, 'n', 1L)), (acc, x) -> if(
-      x.edit_us > element_at(acc, -1).e1 and (element_at(acc, -1).e1 = element_at(acc, -1).e0 or
-        abs((element_at(acc, -1).s1 - element_at(acc, -1).s0) / (element_at(acc, -1).e1 - element_at(acc, -1).e0) - (x.source_us - element_at(acc, -1).s1) / (x.edit_us - element_at(acc, -1).e1)) < {max_speed}D),
-      concat(slice(acc, 1, size(acc) - 1), array(named_struct('e0', element_at(acc, -1).e0, 's0', element_at(acc, -1).s0, 'e1', x.edit_us, 's1', x.source_us, 'n', element_at(acc, -1).n + 1))),
-      concat(acc, array(named_struct('e0', x.edit_us, 's0', x.source_us, 'e1', x.edit_us, 's1', x.source_us, 'n', 1L)))))""")
-    b = g.select(*by, F.explode(fold).alias("m")).where("m.n >= 2")
-    return b.select(*by, F.col("m.e0").alias("edit_start_us"), F.col("m.e1").alias("edit_end_us"), F.col("m.s0").alias("source_start_us"), F.col("m.s1").alias("source_end_us"), "m.n", r4(F.expr("(m.s1 - m.s0) / (m.e1 - m.e0)")).alias("speed_ratio"))
+    gap = F.col("source_us") - F.lag("source_us").over(w)
+    cut = matches.withColumn("_i", F.sum(F.when((gap >= 0) & (gap < max_gap), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def step(state: tuple, x: tuple) -> tuple | None:
+        (e0, s0, e1, s1), (edit, source) = state, x
+        if edit <= e1 or (e1 != e0 and abs((s1 - s0) / (e1 - e0) - (source - s1) / (edit - e1)) >= max_speed):
+            return None
+        return e0, s0, edit, source
+
+    runs = fold_heads(cut, [*by, "_i"], ["edit_us", "source_us"], ["edit_us", "source_us"], step, first=lambda x: (*x, *x))
+    b = runs.groupBy(*by, "_i", "run").agg(F.min("edit_us").alias("edit_start_us"), F.max("edit_us").alias("edit_end_us"), F.min_by("source_us", "edit_us").alias("source_start_us"), F.max_by("source_us", "edit_us").alias("source_end_us"), F.count("*").alias("n")).where("n >= 2")
+    return b.drop("_i", "run").withColumn("speed_ratio", r4(F.expr("(source_end_us - source_start_us) / (edit_end_us - edit_start_us)")))
 
 
 def chapters(candidates: DataFrame, by: Keys, width: int = 600 * SECOND) -> DataFrame:

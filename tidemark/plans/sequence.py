@@ -41,14 +41,15 @@ def cluster_by_relation(spark, sf):
     return clusters(spark, sf).select("asset_id", "event_id", "cluster")
 
 
-WINDOWS = f"""{CLUSTERS}, w0 AS (SELECT asset_id, cluster, min(start_us) AS s, max(end_us) AS e, count(*) AS n, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS signals, coalesce(array_to_string(list_sort(list(DISTINCT relation) FILTER (relation IS NOT NULL)), ','), '') AS relations, coalesce(round(avg(relation_confidence), 3), 1) AS confidence FROM cl GROUP BY 1, 2),
+WINDOWS = f"""{CLUSTERS}, w0 AS (SELECT asset_id, cluster, min(start_us) AS s, max(end_us) AS e, count(*) AS n, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS signals, array_to_string(list_sort(list(DISTINCT event_id)), ',') AS evidence, coalesce(array_to_string(list_sort(list(DISTINCT relation) FILTER (relation IS NOT NULL)), ','), '') AS relations, coalesce(round(avg(relation_confidence), 3), 1) AS confidence FROM cl GROUP BY 1, 2),
  w1 AS (SELECT *, CASE WHEN e - s < 8000000 THEN greatest(0, s - (8000000 - (e - s)) // 2) ELSE s END AS start_us FROM w0),
- win AS (SELECT asset_id, cluster, n, signals, relations, confidence, start_us, CASE WHEN e - s < 8000000 THEN start_us + 8000000 WHEN e - s > 120000000 THEN s + 120000000 ELSE e END AS end_us FROM w1)"""
+ win AS (SELECT asset_id, cluster, n, signals, evidence, relations, confidence, start_us, CASE WHEN e - s < 8000000 THEN start_us + 8000000 WHEN e - s > 120000000 THEN s + 120000000 ELSE e END AS end_us FROM w1)"""
 
 
 @query(f"WITH {TE}, {WINDOWS} SELECT * FROM win")
 def build_windows(spark, sf):
-    return sq.build_windows(clusters(spark, sf), BY)
+    w = sq.build_windows(clusters(spark, sf), BY)
+    return w.withColumns({c: F.array_join(c, ",") for c in ("signals", "evidence", "relations")})
 
 
 def expand_ctes(legacy: bool) -> str:
@@ -90,14 +91,15 @@ def expand_context_legacy(spark, sf):
     return _expand(spark, sf, True)
 
 
-@query(f"""WITH RECURSIVE {TE}, w AS MATERIALIZED (SELECT asset_id, start_us, greatest(end_us, start_us + 8000000) AS end_us, confidence, row_number() OVER (PARTITION BY asset_id ORDER BY start_us, greatest(end_us, start_us + 8000000), event_id) AS rn FROM te),
- f AS (SELECT asset_id, rn, start_us AS s, end_us AS e, confidence AS c, 1 AS grp FROM w WHERE rn = 1 UNION ALL
+@query(f"""WITH RECURSIVE {TE}, w AS MATERIALIZED (SELECT asset_id, start_us, greatest(end_us, start_us + 8000000) AS end_us, confidence, event_type, event_id, row_number() OVER (PARTITION BY asset_id ORDER BY start_us, greatest(end_us, start_us + 8000000), event_id) AS rn FROM te),
+ f AS (SELECT asset_id, rn, start_us AS s, end_us AS e, confidence AS c, 1 AS grp, event_type AS kind, event_id AS id FROM w WHERE rn = 1 UNION ALL
   SELECT w.asset_id, w.rn, CASE WHEN 2 * (least(f.e, w.end_us) - w.start_us) > least(f.e - f.s, w.end_us - w.start_us) THEN f.s ELSE w.start_us END, CASE WHEN 2 * (least(f.e, w.end_us) - w.start_us) > least(f.e - f.s, w.end_us - w.start_us) THEN greatest(f.e, w.end_us) ELSE w.end_us END,
-   CASE WHEN 2 * (least(f.e, w.end_us) - w.start_us) > least(f.e - f.s, w.end_us - w.start_us) THEN least(f.c, w.confidence) ELSE w.confidence END, f.grp + CASE WHEN 2 * (least(f.e, w.end_us) - w.start_us) > least(f.e - f.s, w.end_us - w.start_us) THEN 0 ELSE 1 END FROM f JOIN w ON w.asset_id = f.asset_id AND w.rn = f.rn + 1)
- SELECT asset_id, min(s) AS start_us, max(e) AS end_us, min(c) AS confidence, count(*) AS n FROM f GROUP BY asset_id, grp""")
+   CASE WHEN 2 * (least(f.e, w.end_us) - w.start_us) > least(f.e - f.s, w.end_us - w.start_us) THEN least(f.c, w.confidence) ELSE w.confidence END, f.grp + CASE WHEN 2 * (least(f.e, w.end_us) - w.start_us) > least(f.e - f.s, w.end_us - w.start_us) THEN 0 ELSE 1 END, w.event_type, w.event_id FROM f JOIN w ON w.asset_id = f.asset_id AND w.rn = f.rn + 1)
+ SELECT asset_id, min(s) AS start_us, max(e) AS end_us, min(c) AS confidence, count(*) AS n, array_to_string(list_sort(list(DISTINCT kind)), ',') AS signals, array_to_string(list_sort(list(id)), ',') AS evidence FROM f GROUP BY asset_id, grp""")
 def merge_overlapping(spark, sf):
     w = fx.timeline_events(spark, sf).withColumn("end_us", F.greatest("end_us", F.col("start_us") + 8_000_000))
-    return sq.merge_overlapping(w, BY)
+    w = w.withColumns({"signals": F.array("event_type"), "evidence": F.array("event_id")})
+    return sq.merge_overlapping(w, BY, unite=["signals", "evidence"]).withColumns({c: F.array_join(c, ",") for c in ("signals", "evidence")})
 
 
 @query(f"""WITH {TE}, {BLOCKS}, d AS (SELECT *, edit_start_us - lag(edit_start_us) OVER w AS de, source_start_us - lag(source_start_us) OVER w AS ds FROM blocks WINDOW w AS (PARTITION BY asset_id ORDER BY edit_start_us, block_id)),
