@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import r4
 from ..schemas import SECOND
 from ..sources.shared import settled
-from .intervals import Keys, chain_starts, overlap_join
+from .intervals import Keys, chain_starts, gaps, overlap_join
 
 
 def repack_output(clips: DataFrame, plan: Keys, keep: Column | None = None) -> DataFrame:
@@ -91,8 +91,12 @@ def fold_feedback(log: DataFrame, key: str = "clip_id") -> DataFrame:
 
 
 def feedback_stats(log: DataFrame, by: Keys) -> DataFrame:
+    """Per key: distinct clips, counts of kinds of feedback (feedback_type), the mean shift of starts (value, 0 without any), and a map of reasons with their counts."""
     k = F.col("feedback_type")
-    return log.groupBy(*by).agg(F.count_distinct("clip_id").alias("clips"), F.count_if(k == "accept").alias("accepted"), F.count_if(k == "reject").alias("rejected"), F.count_if(k.startswith("modify_")).alias("modified"), r4(F.sum(F.when(k == "modify_start", F.round(F.col("value") * 100).cast("long"))) / (100 * F.count_if(k == "modify_start"))).alias("mean_start_shift"))
+    shift = r4(F.sum(F.when(k == "modify_start", F.round(F.col("value") * 100).cast("long"))) / (100 * F.count_if(k == "modify_start")))
+    g = log.groupBy(*by).agg(F.count_distinct("clip_id").alias("clips"), F.count_if(k == "accept").alias("accepted"), F.count_if(k == "reject").alias("rejected"), F.count_if(k.startswith("modify_")).alias("modified"), F.coalesce(shift, F.lit(0.0)).alias("mean_start_shift"))
+    reasons = log.where("reason is not null").groupBy(*by, "reason").agg(F.count("*").alias("n")).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("reason", "n"))).alias("reasons"))
+    return g.join(reasons, by, "left").withColumn("reasons", F.coalesce("reasons", F.create_map().cast("map<string,bigint>")))
 
 
 def transition_audit(clips: DataFrame, plan: Keys) -> DataFrame:
@@ -104,10 +108,11 @@ def transition_audit(clips: DataFrame, plan: Keys) -> DataFrame:
 
 
 def plan_breadth(clips: DataFrame, plan: Keys, width: int = 900 * SECOND) -> DataFrame:
-    """Distinct bins of clip starts, their sorted list, the span in hours, and anchors that are there."""
+    """Distinct bins of clip starts, their sorted list, the span in hours, anchors that are there, and the share of setups (is_setup) that are not rejected (1 without any)."""
     b = F.expr(f"start_us div {width}")
     has = lambda a: F.max(F.coalesce((F.col("anchor") == a), F.lit(False)))
-    g = clips.groupBy(*plan).agg(F.count_distinct(b).alias("bins"), F.array_join(F.array_sort(F.collect_set(b)), ",").alias("bin_list"), (F.max("end_us") - F.min("start_us")).alias("span_us"), has("greeting").alias("greeting"), has("game_start").alias("game_start"), has("outro").alias("outro"))
+    g = clips.groupBy(*plan).agg(F.count_distinct(b).alias("bins"), F.array_join(F.array_sort(F.collect_set(b)), ",").alias("bin_list"), (F.max("end_us") - F.min("start_us")).alias("span_us"), has("greeting").alias("greeting"), has("game_start").alias("game_start"), has("outro").alias("outro"), F.count_if("is_setup").alias("_s"), F.count_if(F.expr("is_setup and not rejected")).alias("_k"))
+    g = g.withColumn("setup_share", F.when(F.col("_s") > 0, r4(F.col("_k") / F.col("_s"))).otherwise(1.0)).drop("_s", "_k")
     return g.withColumn("span_h", r4(F.col("span_us") / (3600.0 * SECOND))).drop("span_us")
 
 
@@ -155,10 +160,22 @@ def build_plan(selected: DataFrame, catalogue: DataFrame, deps: DataFrame, plan:
     return packed.join(totals, plan).select(*plan, "clip_id", "level", "start_us", "end_us", "output_start_us", "output_end_us", "original_us", "selected_us", "clip_count", "compression")
 
 
-def human_timeline(blocks: DataFrame, by: Keys) -> DataFrame:
-    """Blocks as retained, transformed (another speed) or external (before the recording), clamped at 0."""
-    kind = F.when(F.col("source_start_us") < 0, "external").when(F.col("speed") != 1, "transformed").otherwise("retained")
-    return blocks.withColumn("kind", kind).withColumn("source_start_us", F.greatest(F.lit(0), F.col("source_start_us"))).withColumn("source_end_us", F.greatest(F.lit(0), F.col("source_end_us")))
+def human_timeline(blocks: DataFrame, by: Keys, horizon: DataFrame) -> DataFrame:
+    """block_id, kind, source_start_us, source_end_us, confidence of each block and each removed interval, with mean_confidence of the key.
+
+    Blocks (source_start_us, source_end_us, speed; is_external, is_transformed, combined_confidence, confidence) are
+    external (before the recording or marked), transformed (another speed or marked) or retained, clamped at 0; a
+    confidence that is null or 0 gives way to the next, and to 1. Removed (no block_id, confidence 1): gaps of over
+    0.1 s in what is not external, up to horizon_us. The mean is over all blocks that are not external, 1 without any.
+    """
+    kind = F.when((F.col("source_start_us") < 0) | F.col("is_external"), "external").when((F.col("speed") != 1) | F.col("is_transformed"), "transformed").otherwise("retained")
+    some = lambda c: F.when(F.col(c) != 0, F.col(c))
+    b = blocks.select(*by, "block_id", kind.alias("kind"), F.greatest(F.lit(0), F.col("source_start_us")).cast("long").alias("source_start_us"), F.greatest(F.lit(0), F.col("source_end_us")).cast("long").alias("source_end_us"), F.coalesce(some("combined_confidence"), some("confidence"), F.lit(1.0)).alias("confidence"))
+    kept = b.where("kind <> 'external'").select(*by, F.col("source_start_us").alias("start_us"), F.col("source_end_us").alias("end_us"))
+    known = horizon.join(kept.select(*by).distinct(), by, "left_semi")
+    removed = gaps(kept, by, known).select(*by, F.lit("removed").alias("kind"), F.col("start_us").alias("source_start_us"), F.col("end_us").alias("source_end_us"), F.lit(1.0).alias("confidence"))
+    mean = b.groupBy(*by).agg(F.coalesce(r4(F.avg(F.when(F.col("kind") != "external", F.col("confidence")))), F.lit(1.0)).alias("mean_confidence"))
+    return b.unionByName(removed, allowMissingColumns=True).join(mean, by)
 
 
 def blind_assign(pairs: DataFrame, key: str, seed: int) -> DataFrame:

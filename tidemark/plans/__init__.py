@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["intervals", "rules", "sequence", "planning", "graph", "data"]
+_MODULES = ["intervals", "rules", "sequence", "planning", "graph", "data", "experiments"]
 
 
 def queries() -> dict:

@@ -249,29 +249,6 @@ def evaluate_cases(spark, sf):
     return pl.eval_split(cases).drop("consumed")
 
 
-@query(f"WITH {TE}, {AI}, {HUMAN}, {METRICS}, c AS (SELECT b.asset_id, round(v.f1 - b.f1, 4) AS f1_delta, round(v.recall - b.recall, 4) AS recall_delta FROM om b JOIN om v USING (asset_id) WHERE b.tol_us = 0 AND v.tol_us = 2000000) SELECT *, f1_delta >= 0 AND recall_delta >= -0.02 AS passed FROM c")
-def compare_runs(spark, sf):
-    """Two runs joined by case: deltas and a gate."""
-    m = mt.overlap_metrics(fx.ai_intervals(spark, sf), fx.human_intervals(spark, sf), BY, [0, 2_000_000])
-    b = m.where("tol_us = 0").select("asset_id", F.col("f1").alias("b1"), F.col("recall").alias("br"))
-    j = m.where("tol_us = 2000000").join(b, "asset_id").select("asset_id", r4(F.col("f1") - F.col("b1")).alias("f1_delta"), r4(F.col("recall") - F.col("br")).alias("recall_delta"))
-    return j.withColumn("passed", F.expr("f1_delta >= 0 and recall_delta >= -0.02"))
-
-
-@query(f"""WITH {TE}, {HUMAN}, {AI}, b AS (SELECT *, CASE WHEN start_us - lag(end_us) OVER w BETWEEN 0 AND 4000000 THEN 0 ELSE 1 END AS new FROM human WINDOW w AS (PARTITION BY asset_id ORDER BY start_us, event_id)), k AS (SELECT *, sum(new) OVER (PARTITION BY asset_id ORDER BY start_us, event_id ROWS UNBOUNDED PRECEDING) AS beat FROM b),
- g AS (SELECT asset_id, beat, min(start_us) AS start_us, max(end_us) AS end_us, count(*) AS n FROM k GROUP BY 1, 2 HAVING count(*) > 1), c AS (SELECT g.asset_id, g.beat, g.n, count(a.event_id) AS clips FROM g LEFT JOIN ai a ON a.asset_id = g.asset_id AND a.start_us < g.end_us AND g.start_us < a.end_us GROUP BY ALL)
- SELECT asset_id, count(*) AS beats, sum(n - 1)::BIGINT AS merges, count_if(clips > 1)::BIGINT AS fragmented FROM c GROUP BY 1""")
-def fragmentation(spark, sf):
-    """Beats of several reference blocks with gaps in 0-4 s: merges that they need, and those cut into more than one clip."""
-    w = Window.partitionBy("asset_id").orderBy("start_us", "event_id")
-    h = fx.human_intervals(spark, sf)
-    gap = F.col("start_us") - F.lag("end_us").over(w)
-    h = h.withColumn("new", F.when(gap.between(0, 4_000_000), 0).otherwise(1)).withColumn("beat", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    g = h.groupBy("asset_id", "beat").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.count("*").alias("n")).where("n > 1")
-    c = iv.overlap_join(g, fx.ai_intervals(spark, sf).select("asset_id", "start_us", "end_us"), BY).groupBy("asset_id", "beat").agg(F.count("*").alias("clips"))
-    return g.join(c, ["asset_id", "beat"], "left").groupBy("asset_id").agg(F.count("*").alias("beats"), F.sum(F.col("n") - 1).alias("merges"), F.count_if(F.coalesce("clips", F.lit(0)) > 1).alias("fragmented"))
-
-
 @query(f"WITH {TE}, {BLOCKS}, c AS (SELECT *, source_start_us * 20 / 1000000 AS s, (edit_end_us - edit_start_us) / 1000000 AS e FROM blocks), k AS (SELECT *, {CATEGORY} AS category FROM c), g AS (SELECT category, count(*) AS n, sum(source_end_us - source_start_us)::BIGINT AS source_us, sum(edit_end_us - edit_start_us)::BIGINT AS edit_us FROM k GROUP BY 1) SELECT *, round(edit_us / sum(edit_us) OVER (), 4) AS edit_share FROM g")
 def decision_map(spark, sf):
     """Source and edit time of each decision category, and its share of the edit."""
@@ -289,33 +266,6 @@ def retention_by_region(spark, sf):
     return g.withColumn("kept_share", share("kept_us", "all_us")).drop("all_us")
 
 
-@query(f"""WITH {TE}, {BLOCKS}, tr AS (SELECT * FROM blocks), pr AS (SELECT * REPLACE (source_start_us + CASE WHEN block_id % 9 = 0 THEN 700000 ELSE 100000 END AS source_start_us) FROM blocks WHERE block_id % 10 <> 0), t AS (SELECT asset_id, unnest(range((edit_start_us + 499999) // 500000 * 500000, edit_end_us, 500000)) AS t_us, edit_start_us, source_start_us, speed FROM tr),
- x AS (SELECT t.asset_id, t.t_us, t.source_start_us + (t.t_us - t.edit_start_us) * t.speed AS truth, p.source_start_us + (t.t_us - p.edit_start_us) * p.speed AS pred FROM t LEFT JOIN pr p ON p.asset_id = t.asset_id AND p.edit_start_us <= t.t_us AND t.t_us < p.edit_end_us),
- g AS (SELECT asset_id, count(*) AS samples, count_if(abs(truth - pred) < 500000)::BIGINT AS hits, count_if(pred IS NOT NULL AND abs(truth - pred) >= 500000)::BIGINT AS wrong, sum(abs(truth - pred))::BIGINT AS error_us FROM x GROUP BY 1) SELECT *, round(hits / samples, 4) AS recall FROM g""")
-def alignment_accuracy(spark, sf):
-    """The edit clock sampled every half second: where the predicted source time is within 0.5 s of the true one."""
-    return _accuracy(spark, sf, 500_000)
-
-
-@query(SQL["alignment_accuracy"].replace("(edit_start_us + 499999) // 500000 * 500000, edit_end_us, 500000)", "(edit_start_us + 9999) // 10000 * 10000, edit_end_us, 10000)"))
-def alignment_accuracy_10ms(spark, sf):
-    """The same sampled every 10 ms, so that short blocks count too."""
-    return _accuracy(spark, sf, 10_000)
-
-
-def _accuracy(spark, sf, step):
-    b = fx.blocks(spark, sf)
-    pred = b.where("block_id % 10 <> 0").withColumn("source_start_us", F.col("source_start_us") + F.expr("case when block_id % 9 = 0 then 700000 else 100000 end"))
-    at = F.expr(f"(edit_start_us + {step - 1}) div {step} * {step}")
-    t = b.where(at < F.col("edit_end_us")).withColumn("t_us", F.explode(F.sequence(at, F.col("edit_end_us") - 1, F.lit(step))))
-    t = t.withColumn("truth", F.expr("source_start_us + (t_us - edit_start_us) * speed")).select("asset_id", "t_us", "truth", F.col("t_us").alias("start_us"), F.col("t_us").alias("end_us"))
-    p = pred.select("asset_id", F.col("edit_start_us").alias("start_us"), F.col("edit_end_us").alias("end_us"), "source_start_us", "speed")
-    hit = iv.overlap_join(t, p, BY, kind="touch").where("t_us < r_end_us").select("asset_id", "t_us", F.expr("r_source_start_us + (t_us - r_start_us) * r_speed").alias("pred"))
-    x = t.join(hit, ["asset_id", "t_us"], "left").withColumn("e", F.abs(F.col("truth") - F.col("pred")))
-    g = x.groupBy("asset_id").agg(F.count("*").alias("samples"), F.count_if(F.col("e") < 500_000).alias("hits"), F.count_if(F.col("e") >= 500_000).alias("wrong"), F.sum("e").alias("error_us"))
-    return g.withColumn("recall", share("hits", "samples"))
-
-
 @query(f"""WITH {TE}, e AS (SELECT *, list_extract(['zoom_face', 'zoom_region', 'speed_up', 'grayscale'], CAST(event_id // 2 % 4 + 1 AS INTEGER)) AS k FROM te), t AS (SELECT * FROM e WHERE event_id % 2 = 0), p AS (SELECT asset_id, event_id, k, start_us, end_us FROM e WHERE event_id % 2 = 1 UNION ALL SELECT asset_id, event_id, k, start_us + 300000, end_us FROM t WHERE event_id % 6 <> 0),
  m AS (SELECT t.event_id, t.k, p.event_id AS pid, row_number() OVER (PARTITION BY t.event_id ORDER BY abs(t.start_us - p.start_us) + abs(t.end_us - p.end_us), p.event_id) AS n FROM t JOIN p ON t.asset_id = p.asset_id AND t.k = p.k AND abs(t.start_us - p.start_us) + abs(t.end_us - p.end_us) < 1000000),
  c AS (SELECT k, count(*) AS tp, count(DISTINCT pid) AS used FROM m WHERE n = 1 GROUP BY 1), a AS (SELECT k, count(*) AS truths FROM t GROUP BY 1), b AS (SELECT k, count(*) AS preds FROM p GROUP BY 1), r AS (SELECT k AS effect_type, tp, truths - tp AS fn, preds - used AS fp, round(least(tp / (tp + preds - used), 1), 4) AS precision, round(least(tp / truths, 1), 4) AS recall FROM c JOIN a USING (k) JOIN b USING (k)) SELECT *, CASE WHEN precision + recall > 0 THEN round(2 * precision * recall / (precision + recall), 4) ELSE 0 END AS f1 FROM r""")
@@ -336,36 +286,6 @@ def effect_detection_score(spark, sf):
     return g.withColumn("f1", f1("precision", "recall")).select("effect_type", "tp", "fn", "fp", "precision", "recall", "f1")
 
 
-PROFILE = f"""{BLOCKS}, prf AS (SELECT asset_id, count(*) AS decisions, round(avg(edit_end_us - edit_start_us) / 1000000, 4) AS mean_kept_s, count_if(speed > 1)::BIGINT AS speed_up, round(sum(edit_end_us - edit_start_us) / max(source_end_us), 4) AS retention FROM blocks GROUP BY 1)"""
-
-
-def profile(spark, sf):
-    b = fx.blocks(spark, sf).withColumn("len", F.col("edit_end_us") - F.col("edit_start_us"))
-    return b.groupBy("asset_id").agg(F.count("*").alias("decisions"), r4(F.avg("len") / 1_000_000).alias("mean_kept_s"), F.count_if(F.col("speed") > 1).alias("speed_up"), r4(F.sum("len") / F.max("source_end_us")).alias("retention"))
-
-
-@query(f"WITH {TE}, {PROFILE} SELECT * FROM prf")
-def style_profile(spark, sf):
-    """Mean kept length, effects and the retained share of each recording's edit."""
-    return profile(spark, sf)
-
-
-@query(f"""WITH {TE}, {PROFILE}, w AS (SELECT *, CASE WHEN decisions < 5 THEN 0 WHEN decisions >= 50 THEN 0.8 ELSE 0.8 * (decisions - 5) / 45 END::DOUBLE AS wt FROM prf), s AS (SELECT asset_id, 'reaction_retention' AS signal, 0.5 * wt AS strength FROM w WHERE wt > 0.3 UNION ALL SELECT asset_id, 'rapid_cut_affinity', 0.4 * wt FROM w WHERE wt > 0.4 UNION ALL SELECT asset_id, 'effect_density', 0.3 * wt FROM w WHERE speed_up // 2 > 5 AND wt > 0.4) SELECT asset_id, signal, round(strength, 4) AS strength FROM s""")
-def compile_policy(spark, sf):
-    """Signals that a profile's evidence supports, as rows."""
-    wt = ru.confidence_ramp(F.col("decisions"), F.lit(0.8))
-    p = profile(spark, sf).withColumn("w", wt)
-    signal = lambda name, s, cond: F.when(cond, F.struct(F.lit(name).alias("signal"), r4(s * F.col("w")).alias("strength")))
-    every = F.array_compact(F.array(signal("reaction_retention", 0.5, F.col("w") > 0.3), signal("rapid_cut_affinity", 0.4, F.col("w") > 0.4), signal("effect_density", 0.3, F.expr("speed_up div 2 > 5 and w > 0.4"))))
-    return p.select("asset_id", F.explode(every).alias("s")).select("asset_id", "s.*")
-
-
-@query(f"WITH {TE}, {BLOCKS} SELECT asset_id, count(*) AS zooms FROM blocks WHERE speed = 2 GROUP BY 1 HAVING count(*) > 10")
-def effect_critique(spark, sf):
-    """Plans with more than ten effects of one kind."""
-    return fx.blocks(spark, sf).where("speed = 2").groupBy("asset_id").agg(F.count("*").alias("zooms")).where("zooms > 10")
-
-
 _SAME = "2 * (least(f.e, m.end_us) - m.start_us) > least(f.e - f.s, m.end_us - m.start_us)"
 
 
@@ -388,18 +308,6 @@ def generate_candidates(spark, sf):
     return f.select("asset_id", "start_us", "end_us", "speech_density", "reactions", F.length("text").alias("n_chars"), "rule", "text_repetition", "rank", "label", "escalation", "signature")
 
 
-@query(f"""WITH {TE}, {BLOCKS}, d AS (SELECT *, edit_start_us - lag(edit_start_us) OVER w AS de, source_start_us - lag(source_start_us) OVER w AS ds FROM blocks WHERE block_id % 3 <> 0 WINDOW w AS (PARTITION BY asset_id ORDER BY edit_start_us, block_id)), q AS (SELECT *, sum(CASE WHEN de > 0 AND 2 * ds >= de AND 2 * ds <= 3 * de THEN 0 ELSE 1 END) OVER (PARTITION BY asset_id ORDER BY edit_start_us, block_id ROWS UNBOUNDED PRECEDING) AS sq FROM d), a AS (SELECT * FROM q QUALIFY count(*) OVER (PARTITION BY asset_id, sq) >= 2),
- v AS (SELECT b.asset_id, b.block_id FROM blocks b WHERE block_id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM a WHERE a.asset_id = b.asset_id AND a.edit_start_us < b.edit_end_us AND b.edit_start_us < a.edit_end_us)) SELECT asset_id, block_id, 'audio' AS method FROM a UNION ALL SELECT asset_id, block_id, 'visual' FROM v""")
-def alignment_build(spark, sf):
-    """Audio blocks that run on, and visual blocks only where no audio block is."""
-    b = fx.blocks(spark, sf)
-    audio = sq.continuity_filter(b.where("block_id % 3 <> 0"), BY).select("asset_id", "block_id", "edit_start_us", "edit_end_us")
-    edit = lambda df: df.select("asset_id", "block_id", F.col("edit_start_us").alias("start_us"), F.col("edit_end_us").alias("end_us"))
-    visual = edit(b.where("block_id % 3 = 0"))
-    taken = iv.overlap_join(visual, edit(audio), BY).select("block_id").distinct()
-    return audio.select("asset_id", "block_id", F.lit("audio").alias("method")).unionByName(visual.join(taken, "block_id", "left_anti").select("asset_id", "block_id", F.lit("visual").alias("method")))
-
-
 # Streams
 
 

@@ -85,22 +85,18 @@ def locate_point(spark, sf):
     return iv.locate_point(p, fx.of_types(e, "speech"), BY, "t", ["event_id"], ["event_id"])
 
 
-@query(f"""WITH {TE}, {BLOCKS}, t AS (SELECT asset_id, block_id, edit_start_us + 700000 AS t_us FROM blocks WHERE block_id % 5 = 0)
+@query(f"""WITH {TE}, {BLOCKS}, t AS (SELECT asset_id, block_id, edit_start_us + 700000 AS t_us FROM blocks)
  SELECT t.asset_id, t.block_id AS time_id, t.t_us, CASE WHEN t.t_us <= b.edit_end_us THEN b.source_start_us + (t.t_us - b.edit_start_us) * b.speed ELSE b.source_end_us END AS source_us
  FROM t ASOF JOIN blocks b ON t.asset_id = b.asset_id AND t.t_us >= b.edit_start_us""")
 def asof_block(spark, sf):
-    b = fx.blocks(spark, sf)
-    t = b.where("block_id % 5 = 0").select("asset_id", F.col("block_id").alias("time_id"), (F.col("edit_start_us") + 700_000).alias("t_us"))
-    return iv.asof_block(t, b, BY)
-
-
-@query(SQL["asof_block"].replace(" FROM blocks WHERE block_id % 5 = 0)", " FROM blocks)"))
-def asof_every_block(spark, sf):
     """A time of every block."""
     b = fx.blocks(spark, sf)
     return iv.asof_block(b.select("asset_id", F.col("block_id").alias("time_id"), (F.col("edit_start_us") + 700_000).alias("t_us")), b, BY)
 
 
+QUERIES["asof_every_block"], SQL["asof_every_block"] = asof_block, SQL["asof_block"]  # its name before
+
+
 BEST = """best AS (SELECT * FROM (SELECT h.asset_id, h.event_id, h.start_us, h.end_us, a.event_id AS r_event_id, a.start_us AS r_start_us, a.end_us AS r_end_us,
  least(h.end_us, a.end_us) - greatest(h.start_us, a.start_us) AS overlap_us,
  row_number() OVER (PARTITION BY h.asset_id, h.event_id ORDER BY least(h.end_us, a.end_us) - greatest(h.start_us, a.start_us) DESC, a.start_us, a.event_id) AS k

@@ -123,20 +123,15 @@ def apply_feedback(spark, sf):
     return pl.fold_feedback(feedback(spark, sf))
 
 
-@query(f"WITH {FEEDBACK} SELECT user_id, count(DISTINCT clip_id) AS clips, count_if(feedback_type = 'accept')::BIGINT AS accepted, count_if(feedback_type = 'reject')::BIGINT AS rejected, count_if(starts_with(feedback_type, 'modify_'))::BIGINT AS modified, round(sum(CAST(round(value * 100) AS BIGINT)) FILTER (feedback_type = 'modify_start') / (100 * count_if(feedback_type = 'modify_start')), 4) AS mean_start_shift FROM fb GROUP BY user_id")
-def feedback_stats(spark, sf):
-    return pl.feedback_stats(feedback(spark, sf), ["user_id"])
-
-
-@query(f"WITH {FEEDBACK} SELECT event_id, clip_id, feedback_type FROM fb WHERE user_id % 2 = 0 AND feedback_type <> 'lock' ORDER BY ts DESC, event_id DESC LIMIT 100")
+@query(f"WITH {FEEDBACK} SELECT event_id, clip_id, feedback_type FROM fb WHERE feedback_type = 'reject' ORDER BY ts DESC, event_id DESC LIMIT 100")
 def recent_feedback(spark, sf):
-    """The newest 100 rows under filters."""
-    return feedback(spark, sf).where("user_id % 2 = 0 and feedback_type <> 'lock'").orderBy(F.desc("ts"), F.desc("event_id")).limit(100).select("event_id", "clip_id", "feedback_type")
+    """The newest 100 rows of one kind."""
+    return feedback(spark, sf).where("feedback_type = 'reject'").orderBy(F.desc("ts"), F.desc("event_id")).limit(100).select("event_id", "clip_id", "feedback_type")
 
 
-@query(SQL["recent_feedback"].replace("user_id % 2 = 0 AND ", ""))
+@query(SQL["recent_feedback"].replace("= 'reject'", "<> 'lock'"))
 def recent_feedback_all(spark, sf):
-    """The newest 100 rows of all users."""
+    """The newest 100 rows of all kinds but one."""
     return feedback(spark, sf).where("feedback_type <> 'lock'").orderBy(F.desc("ts"), F.desc("event_id")).limit(100).select("event_id", "clip_id", "feedback_type")
 
 
@@ -162,9 +157,10 @@ def budget_pressure(spark, sf):
     return g.select("plan_id", "selected_us", (F.col("n") - F.col("k")).alias("dropped"), F.when(F.col("budget_us") > 0, r4(F.col("selected_us") / F.col("budget_us"))).otherwise(0.0).alias("pressure"))
 
 
-@query(f"WITH {CLIPS}, {ANCHORS} SELECT plan_id, count(DISTINCT start_us // 900000000) AS bins, array_to_string(list_sort(list(DISTINCT start_us // 900000000)), ',') AS bin_list, bool_or(coalesce(anchor = 'greeting', false)) AS greeting, bool_or(coalesce(anchor = 'game_start', false)) AS game_start, bool_or(coalesce(anchor = 'outro', false)) AS outro, round((max(end_us) - min(start_us)) / 3600000000, 4) AS span_h FROM anchored GROUP BY 1")
+@query(f"WITH {CLIPS}, {ANCHORS} SELECT plan_id, count(DISTINCT start_us // 900000000) AS bins, array_to_string(list_sort(list(DISTINCT start_us // 900000000)), ',') AS bin_list, bool_or(coalesce(anchor = 'greeting', false)) AS greeting, bool_or(coalesce(anchor = 'game_start', false)) AS game_start, bool_or(coalesce(anchor = 'outro', false)) AS outro, CASE WHEN count_if(clip_id % 4 = 0) > 0 THEN round(count_if(clip_id % 4 = 0 AND clip_id % 6 <> 0) / count_if(clip_id % 4 = 0), 4) ELSE 1 END AS setup_share, round((max(end_us) - min(start_us)) / 3600000000, 4) AS span_h FROM anchored GROUP BY 1")
 def plan_breadth(spark, sf):
-    return pl.plan_breadth(pl.tag_anchors(fx.clips(spark, sf), PLAN), PLAN)
+    c = fx.clips(spark, sf).withColumns({"is_setup": F.expr("clip_id % 4 = 0"), "rejected": F.expr("clip_id % 6 = 0")})
+    return pl.plan_breadth(pl.tag_anchors(c, PLAN), PLAN)
 
 
 @query(f"WITH {TE}, g AS (SELECT asset_id, count(*) AS n, sum(end_us - start_us)::BIGINT AS us, max(end_us) AS d FROM te GROUP BY 1), h AS (SELECT asset_id, round(n * 3600000000 / d, 4) AS per_hour, round(us * 3600.0::DOUBLE / d, 4) AS seconds_per_hour FROM g WHERE d > 0) SELECT count(*) AS n, round(avg(per_hour), 4) AS mean_per_hour, round(quantile_cont(per_hour, 0.95), 4) AS p95_per_hour, round(avg(seconds_per_hour), 4) AS mean_seconds FROM h")
@@ -210,13 +206,6 @@ def build_plan(spark, sf):
     return pl.build_plan(scored.where("clip_id % 2 = 0"), scored, deps, PLAN, budget(c))
 
 
-@query(f"WITH {TE}, {BLOCKS}, b AS (SELECT *, source_start_us - CASE WHEN block_id % 7 = 0 THEN 900000000 ELSE 0 END AS s, source_end_us - CASE WHEN block_id % 7 = 0 THEN 900000000 ELSE 0 END AS e FROM blocks) SELECT asset_id, block_id, CASE WHEN s < 0 THEN 'external' WHEN speed <> 1 THEN 'transformed' ELSE 'retained' END AS kind, greatest(0, s) AS source_start_us, greatest(0, e) AS source_end_us FROM b")
-def human_timeline(spark, sf):
-    back = F.when(F.expr("block_id % 7 = 0"), 900_000_000).otherwise(0)
-    b = fx.blocks(spark, sf).withColumn("source_start_us", F.col("source_start_us") - back).withColumn("source_end_us", F.col("source_end_us") - back)
-    return pl.human_timeline(b, BY).select("asset_id", "block_id", "kind", "source_start_us", "source_end_us")
-
-
 @query(f"WITH {TE}, {AI}, {merged_sql('ai', 'm')}, t AS (SELECT asset_id, sum(end_us - start_us)::BIGINT AS total_us FROM m GROUP BY 1) SELECT asset_id, event_id, row_number() OVER (PARTITION BY asset_id ORDER BY start_us, event_id) AS position, total_us FROM ai JOIN t USING (asset_id)")
 def ai_timeline(spark, sf):
     """Clips in source order with the merged total of their recording."""
@@ -253,11 +242,3 @@ def verdict_rule(spark, sf):
     return fx.table(spark, sf, "conversations").select("conv_id", "turn", F.when((F.length("text") * 0.06 < 2) | F.lower("text").contains("silence"), "invalid").otherwise("valid").alias("verdict"))
 
 
-@query(f"WITH {CLIPS}, a AS (SELECT plan_id, sum(duration_us)::BIGINT AS us, count(*) AS n, count_if(confidence > 50)::BIGINT AS r FROM clips GROUP BY 1), {PRUNED}, b AS (SELECT plan_id, sum(duration_us)::BIGINT AS us, count(*) AS n, count_if(confidence > 50)::BIGINT AS r FROM pruned GROUP BY 1) SELECT plan_id, a.us AS base_us, b.us AS styled_us, round(a.us / a.n / 1000000, 4) AS base_mean_s, round(b.us / b.n / 1000000, 4) AS styled_mean_s, CASE WHEN a.r > 0 THEN round(least(b.r / a.r, 1), 4) ELSE 0 END AS reaction_retention FROM a JOIN b USING (plan_id)")
-def style_impact(spark, sf):
-    """Selected time, mean clip and kept reactions of two runs."""
-    c = fx.clips(spark, sf)
-    agg = lambda df, p: df.groupBy("plan_id").agg(F.sum("duration_us").alias(f"{p}_us"), F.count("*").alias(f"{p}_n"), F.count_if(F.col("confidence") > 50).alias(f"{p}_r"))
-    j = agg(c, "base").join(agg(pl.prune_to_budget(c, PLAN, budget(c)), "styled"), "plan_id")
-    mean = lambda p: r4(F.col(f"{p}_us") / F.col(f"{p}_n") / 1_000_000).alias(f"{p}_mean_s")
-    return j.select("plan_id", "base_us", "styled_us", mean("base"), mean("styled"), share("styled_r", "base_r").alias("reaction_retention"))
