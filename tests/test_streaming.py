@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
 from tidemark.operators.series import best_lag, chunks_of
 from tidemark.plans.data import QUERIES, _run, _stream
-from tidemark.sources import io, shared
+from tidemark.sources import io, shared, versions
 from tidemark.streaming import jobs
 
 SCHEMA = "asset_id long, t_us long, value double"
@@ -93,3 +94,70 @@ def test_best_lag_tries_ambiguous_chunks_with_context(spark):
     assert len(alone) == 3 and all(0.35 < x.score < 0.45 and x.lag == 700 for x in alone)
     got = {x.chunk_id: (x.lag, round(x.score, 2)) for x in best_lag(chunks, source, ["k"], (1.0,)).collect()}
     assert got == {0: (700, 1.0), 2: (700, round(alone[0].score, 2))}  # confirmed, refused, too little context
+
+
+def test_bursts_of_late_and_shuffled_samples(spark):
+    """Samples that come in any order over many batches give the runs of the whole series."""
+    r = random.Random(9)
+    rows = [(a, (t + 1) * 100_000, round(r.random(), 2)) for a in range(4) for t in range(80)]
+    shuffled = r.sample(rows, len(rows))
+    path = shared.new_table(spark, "late")
+    parts = [shuffled[k::6] for k in range(6)] + [[(-1, 10**13, 0.0)]]
+    for part in parts:
+        spark.createDataFrame(part, SCHEMA).withColumn("t", F.timestamp_micros("t_us")).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
+    stream = spark.readStream.schema(SCHEMA + ", t timestamp").option("maxFilesPerTrigger", 1).parquet(path)
+    got = sorted(tuple(x) for x in _run(jobs.stream_bursts(stream, 0.6), spark, "late-runs").collect())
+    want = []
+    for a in range(4):
+        own, run = [x for x in rows if x[0] == a], []
+        for i, (_, t, v) in enumerate(own):
+            if v >= 0.6:
+                run.append(i)
+            elif run:
+                want.append((a, own[max(0, run[0] - 1)][1], t, len(run), max(own[k][2] for k in run)))
+                run = []
+        if run:
+            want.append((a, own[max(0, run[0] - 1)][1], own[-1][1], len(run), max(own[k][2] for k in run)))
+    assert got == sorted(want)
+
+
+def test_compaction_keeps_one_version(spark):
+    path, kind = shared.new_table(spark, "v"), "clip_id long, event_id long, feedback_type string"
+    want = {}
+    for number in range(9):
+        rows = [(number % 4, number, "lock"), (10 + number, number, "accept")]
+        want |= {k: (k, v, t) for k, v, t in rows}
+        versions.write_delta(spark.createDataFrame(rows, kind), path, number)
+        if number % 3 == 2:
+            before = jobs.read_feedback(spark, path)  # a reader that began with the version before
+            assert versions.compact(spark, path, jobs._newest) == number
+            assert sorted(map(tuple, before.collect())) == sorted(want.values())
+        assert sorted(map(tuple, jobs.read_feedback(spark, path).collect())) == sorted(want.values())
+    assert versions.compact(spark, path, jobs._newest) is None
+    assert [c["upto"] for c in versions.commits(spark, path)] == [5, 8]
+    assert sorted(versions._numbers(spark, path, "snapshot")) == [5, 8] and versions._numbers(spark, path, "delta") == [6, 7, 8]
+    versions.write_delta(spark.createDataFrame([(1, 0, "old")], kind), path, 3)  # a batch that runs again
+    assert versions._numbers(spark, path, "delta") == [6, 7, 8] and versions.next_number(spark, path) == 9
+
+
+def test_appends_are_compacted(spark):
+    path = shared.new_table(spark, "a")
+    for k in range(5):
+        out = io.write_idempotent(spark.createDataFrame([(k, "x"), (k + 1, "x")], "k long, v string"), path, "k", compact_after=2)
+        assert sorted(r.k for r in out.collect()) == list(range(k + 2))
+
+
+def test_sync_writes_only_changed_parts(spark):
+    path, keys, parents = shared.new_table(spark, "s"), {"a": ["k"], "b": ["x", "y"]}, {"b": [("a", ["k"])]}
+    a = spark.createDataFrame([(k, 1, "one") for k in range(200)], "k long, v long, t string")
+    b = spark.createDataFrame([(k, k % 3, k % 250, 1) for k in range(400)], "x long, y long, k long, v long")
+    out = io.sync_tables({"b": b, "a": a}, path, keys, parents, "v", buckets=16)
+    assert out["a"].count() == 200 and out["b"].count() == 350  # 50 rows of b have no parent
+    files = {x for x in out["a"].inputFiles()}
+    change = spark.createDataFrame([(7, 2, "two"), (8, 1, "same version"), (7, 3, "three"), (999, 1, "new")], "k long, v long, t string")
+    out = io.sync_tables({"a": change}, path, keys, parents, "v", buckets=16)
+    got = {r.k: (r.v, r.t) for r in out["a"].collect()}
+    assert len(got) == 201 and got[7] == (3, "three") and got[8] == (1, "one") and got[999] == (1, "new")
+    kept = files & set(out["a"].inputFiles())
+    assert len(files) - 2 <= len(kept) < len(files)

@@ -88,8 +88,17 @@ def signature(*parts: Column) -> Column:
 
 
 def upstream_signature(rows: DataFrame, by: Keys, part: Column) -> DataFrame:
-    """One signature for all rows of a key, whatever their order."""
-    return rows.groupBy(*by).agg(F.sha2(F.concat_ws(",", F.array_sort(F.collect_list(part))), 256).alias("signature"))
+    """One signature for all rows of a key, whatever their order and partitions.
+
+    A tree of digests: rows go to leaves by the first four digits of their own sha256, leaves to nodes by the first
+    two. A leaf's digest is that of its rows' sorted digests, a node's that of its leaves', the key's that of its
+    nodes'. So no task sorts all rows of a key, and a changed row changes one leaf.
+    """
+    digest = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), ","), 256)
+    x = rows.select(*by, F.sha2(part, 256).alias("_d"))
+    x = x.groupBy(*by, F.left("_d", F.lit(4)).alias("_leaf")).agg(digest("_d").alias("_d"))
+    x = x.groupBy(*by, F.left("_leaf", F.lit(2)).alias("_node")).agg(digest(F.concat_ws(":", "_leaf", "_d")).alias("_d"))
+    return x.groupBy(*by).agg(digest(F.concat_ws(":", "_node", "_d")).alias("signature"))
 
 
 def classified_relations(events: DataFrame, by: Keys) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -105,6 +107,21 @@ def upsert_latest(spark, sf):
     return io.upsert_latest(old, new, ["k"], "v")
 
 
+_SYNC = """c AS (SELECT c_custkey AS k, c_custkey % 5 AS v FROM customer WHERE c_custkey % 7 <> 0), o AS (SELECT o_orderkey AS k, o_custkey AS p, o_orderkey % 3 + 1 AS v FROM orders), held AS (SELECT k FROM c UNION SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)"""
+
+
+@query(f"""WITH {_SYNC}, cs AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 AND (c_custkey % 7 = 0 OR c_custkey % 5 <= 2) THEN 2 ELSE c_custkey % 5 END AS v FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 7 <> 0), os AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 AND o_custkey % 2 = 0 THEN CASE WHEN o_custkey IN (SELECT k FROM cs) AND o_orderkey % 3 + 1 > 2 THEN 3 ELSE 2 END ELSE o_orderkey % 3 + 1 END AS v FROM orders WHERE o_custkey IN (SELECT k FROM cs)) SELECT 'customers' AS name, k, v FROM cs UNION ALL SELECT 'orders', k, v FROM os""")
+def sync_tables(spark, sf):
+    """Customers and their orders brought into a store that holds a part of both; orders of missing customers stay out."""
+    c, o, path = fx.table(spark, sf, "customer"), fx.table(spark, sf, "orders"), scratch(spark, "store")
+    keys, parents = {"customers": ["k"], "orders": ["k"]}, {"orders": [("customers", ["p"])]}
+    first = {"customers": c.where("c_custkey % 2 = 0").selectExpr("c_custkey as k", "2L as v"), "orders": o.where("o_orderkey % 2 = 0").selectExpr("o_orderkey as k", "o_custkey as p", "2L as v")}
+    io.sync_tables(first, path, keys, parents, "v")
+    then = {"orders": o.selectExpr("o_orderkey as k", "o_custkey as p", "o_orderkey % 3 + 1 as v"), "customers": c.where("c_custkey % 7 <> 0").selectExpr("c_custkey as k", "c_custkey % 5 as v")}
+    out = io.sync_tables(then, path, keys, parents, "v")
+    return out["customers"].selectExpr("'customers' as name", "k", "v").unionByName(out["orders"].selectExpr("'orders' as name", "k", "v"))
+
+
 @query(f"SELECT asset_id, n, cuts_per_min FROM ({INTERVALS_SQL['pacing_metrics']})")
 def report_json(spark, sf):
     """A nested report for each recording, written as JSON and read back."""
@@ -311,10 +328,13 @@ def generate_candidates(spark, sf):
 # Streams
 
 
-def _stream(spark, df, name, files=1000):
-    """df written to the shared folder and read as a stream of so many files at a time."""
+def _stream(spark, df, name, files=1000, then=None):
+    """df, and `then` after it, written to the shared folder and read as a stream of so many files at a time."""
     path = scratch(spark, name)
     df.write.parquet(path)
+    if then is not None:
+        time.sleep(1.1)  # files come in order of the second in which they were written
+        then.coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
@@ -336,10 +356,11 @@ def stream_clusters(spark, sf):
  c AS (SELECT *, CASE WHEN lag(hot) OVER (PARTITION BY asset_id ORDER BY t_us, value) = hot THEN 0 ELSE 1 END AS ch FROM s), r AS (SELECT *, sum(ch) OVER (PARTITION BY asset_id ORDER BY t_us, value ROWS UNBOUNDED PRECEDING) AS run FROM c)
  SELECT asset_id, min(before) AS start_us, max(after) AS end_us, count(*) AS n, max(value) AS peak FROM r WHERE hot GROUP BY asset_id, run""")
 def stream_bursts(spark, sf):
-    """Runs of a live series; a late marker of its own key ends the open ones."""
+    """Runs of a live series whose samples come out of order, a file a batch; a late marker of its own key ends the open ones."""
     s = series(spark, sf).withColumn("t", F.timestamp_micros("t_us"))
     end = spark.range(1).select(F.lit(-1).cast("long").alias("asset_id"), F.lit(10**13).cast("long").alias("t_us"), F.lit(0.0).alias("value"), F.timestamp_micros(F.lit(10**13)).alias("t"))
-    return _run(jobs.stream_bursts(_stream(spark, s.unionByName(end), "series"), 0.6), spark, "bursts").where("asset_id >= 0")
+    stream = _stream(spark, s.repartition(4, F.xxhash64("t_us")), "series", files=2, then=end)
+    return _run(jobs.stream_bursts(stream, 0.6), spark, "bursts").where("asset_id >= 0")
 
 
 @query(f"WITH {FEEDBACK} SELECT clip_id, max(event_id) AS event_id, arg_max(feedback_type, event_id) AS feedback_type FROM fb GROUP BY clip_id")

@@ -79,7 +79,10 @@ def row_signature(spark, sf):
     return fx.timeline_events(spark, sf).select("event_id", ru.signature(F.col("asset_id"), F.col("start_us"), F.col("end_us"), F.col("event_type"), F.lit("v1")).alias("signature"))
 
 
-@query(f"WITH {TE} SELECT asset_id, sha256(array_to_string(list_sort(list(event_id || ':' || start_us || ':' || end_us)), ',')) AS signature FROM te GROUP BY asset_id")
+_TREE = "sha256(array_to_string(list_sort(list({})), ','))"
+
+
+@query(f"WITH {TE}, r AS (SELECT asset_id, sha256(event_id || ':' || start_us || ':' || end_us) AS d FROM te), lf AS (SELECT asset_id, d[1:4] AS l, {_TREE.format('d')} AS d FROM r GROUP BY 1, 2), nd AS (SELECT asset_id, l[1:2] AS n, {_TREE.format("l || ':' || d")} AS d FROM lf GROUP BY 1, 2) SELECT asset_id, {_TREE.format("n || ':' || d")} AS signature FROM nd GROUP BY 1")
 def upstream_signature(spark, sf):
     return ru.upstream_signature(fx.timeline_events(spark, sf), BY, F.concat_ws(":", "event_id", "start_us", "end_us"))
 

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import BLOCK, TRUTH, WORD
+from . import versions
+from .shared import settled
 
 Keys = list[str]
 
@@ -37,22 +39,20 @@ def truth_blocks(truth: DataFrame) -> DataFrame:
     return truth.select("file", F.explode_outer(F.coalesce("blocks", kept)).alias("b")).select("file", "b.*")
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path).schema  # noqa: B018
-        return True
-    except AnalysisException:
-        return False
+def write_idempotent(df: DataFrame, path: str, key: str, compact_after: int = 16) -> DataFrame:
+    """Append the rows whose key is not stored yet, as one delta; returns what is stored then.
 
-
-def write_idempotent(df: DataFrame, path: str, key: str) -> DataFrame:
-    """Append the rows whose key is not stored yet; returns what is stored then."""
+    Appends leave a folder each; every `compact_after` of them become one snapshot (see versions).
+    """
     spark = df.sparkSession
-    new = df.dropDuplicates([key])
-    if exists(spark, path):
-        new = new.join(spark.read.parquet(path).select(key), key, "left_anti")
-    new.write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    new, old = df.dropDuplicates([key]), versions.read_current(spark, path)
+    if old is not None:
+        new = new.join(old.select(key), key, "left_anti")
+    number = versions.next_number(spark, path)
+    versions.write_delta(new, path, number)
+    if number % compact_after == compact_after - 1:
+        versions.compact(spark, path, lambda rows: rows)
+    return versions.read_current(spark, path)
 
 
 def replace_asset(df: DataFrame, path: str, by: str) -> DataFrame:
@@ -68,6 +68,42 @@ def upsert_latest(old: DataFrame, new: DataFrame, keys: Keys, version: str) -> D
     return every.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k", "_n")
 
 
+def sync_tables(source: dict[str, DataFrame], path: str, keys: dict[str, Keys], parents: dict[str, list[tuple[str, Keys]]], version: str, buckets: int = 64) -> dict[str, DataFrame]:
+    """Bring the tables under `path` up to date with `source`, parents first; returns all tables as they are then.
+
+    keys: of each table; parents: (parent table, columns here that hold its key, in the order of its key). A row goes in
+    if its key is new or its version higher, and if all its parents are there by then; rows without a parent stay
+    out. Tables are parted by a hash of their key, and only parts with changed keys are written again.
+    """
+    spark = next(iter(source.values())).sparkSession
+    out: dict[str, DataFrame] = {}
+    todo = list(source)
+    while todo:
+        ready = [t for t in todo if all(p in out or p not in source for p, _ in parents.get(t, []))]
+        if not ready:
+            raise ValueError(f"tables that depend on each other: {todo}")
+        for name in ready:
+            new, key, at = source[name], keys[name], f"{path}/{name}"
+            for parent, columns in parents.get(name, []):
+                held = out[parent] if parent in out else spark.read.parquet(f"{path}/{parent}")
+                new = new.join(held.select(*[F.col(k).alias(c) for k, c in zip(keys[parent], columns, strict=True)]).distinct(), columns, "left_semi")
+            new = upsert_latest(new.limit(0), new, key, version).withColumn("part", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
+            try:
+                old = spark.read.parquet(at).select(*new.columns)
+            except AnalysisException:
+                old = None
+            if old is not None:
+                known = old.select(*key, F.col(version).alias("_v"))
+                new = new.join(known, key, "left").where(F.col("_v").isNull() | (F.col(version) > F.col("_v"))).drop("_v")
+                new = settled(new, f"{name}-changed")
+                same = old.join(new.select("part").distinct(), "part", "left_semi").join(new.select(*key), key, "left_anti")
+                new = settled(new.unionByName(same.select(*new.columns)), f"{name}-parts")  # a table is not read while it is written
+            new.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(at)
+            out[name] = spark.read.parquet(at)
+            todo.remove(name)
+    return {name: df.drop("part") for name, df in out.items()}
+
+
 def cached_results(keys: DataFrame, cache: DataFrame, key: str) -> DataFrame:
     """Every key with its cached result and whether there was one."""
     return keys.join(cache.withColumn("hit", F.lit(True)), key, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))

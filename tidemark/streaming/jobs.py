@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources import versions
 from ..sources.io import upsert_latest
 
 
@@ -23,52 +26,66 @@ def stream_clusters(events: DataFrame, gap_s: int = 3, watermark: str = "1 hour"
     return events.withWatermark("start", watermark).groupBy("asset_id", F.session_window("start", gap).alias("w")).agg(F.count("*").alias("n"), F.min("start").alias("first"), F.max("end").alias("last")).drop("w")
 
 
-def stream_bursts(series: DataFrame, threshold: float, by: str = "asset_id", watermark: str = "1 hour") -> DataFrame:
-    """Runs of samples at or over a fixed threshold; the state is the open run and the sample before it.
+def stream_bursts(series: DataFrame, threshold: float, by: str = "asset_id", watermark: str = "1 hour", idle_s: int = 3600) -> DataFrame:
+    """Runs of samples at or over a fixed threshold, whatever the order in which samples arrive.
 
-    series: by, t (timestamp), t_us, value, with samples of a key in time order. A key that the watermark has passed
-    gives its open run, ending at its last sample, and its state goes.
+    series: by, t (timestamp), t_us, value. Samples are held until the watermark has passed them, and then taken in
+    order of time; so what comes up to `watermark` late is in its place, and what comes later is dropped by Spark as
+    late. The state of a key is what it holds, the open run and the sample before it. A key whose last sample lies
+    `idle_s` behind the watermark gives its open run, ending at that sample, and its state goes.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before, start, n, peak = state.get if state.exists else (None, None, 0, 0.0)
-        rows = []
-        if state.hasTimedOut:
+        before, start, n, peak, times, values = state.get if state.exists else (None, None, 0, 0.0, [], [])
+        held, rows, passed = list(zip(times, values, strict=True)), [], state.getCurrentWatermarkMs() * 1000
+        for pdf in batches:
+            held += list(zip(pdf["t_us"].tolist(), pdf["value"].tolist(), strict=True))
+        held.sort()
+        due = bisect_right(held, (passed, math.inf))
+        for t, v in held[:due]:
+            if v >= threshold:
+                if not n:
+                    start = t if before is None else before
+                n, peak = n + 1, max(peak, v)
+            elif n:
+                rows.append((key[0], start, t, n, peak))
+                n, peak = 0, 0.0
+            before = t
+        held = held[due:]
+        if not held and before is not None and before + idle_s * 1_000_000 <= passed:
             if n:
                 rows.append((key[0], start, before, n, peak))
-            state.remove()
+            if state.exists:
+                state.remove()
         else:
-            for t, v in pd.concat(list(batches)).sort_values(["t_us", "value"])[["t_us", "value"]].itertuples(index=False):
-                if v >= threshold:
-                    if not n:
-                        start = t if before is None else before
-                    n, peak = n + 1, max(peak, v)
-                elif n:
-                    rows.append((key[0], start, t, n, peak))
-                    n, peak = 0, 0.0
-                before = int(t)
-            state.update((before, None if start is None else int(start), n, float(peak)))
-            state.setTimeoutTimestamp(max(before // 1000, state.getCurrentWatermarkMs()) + 1)
+            state.update((before, start, n, float(peak), [int(t) for t, _ in held], [float(v) for _, v in held]))
+            state.setTimeoutTimestamp(max((held[0][0] if held else before + idle_s * 1_000_000) // 1000, passed // 1000) + 1)
         yield pd.DataFrame(rows, columns=[by, "start_us", "end_us", "n", "peak"])
 
     keyed = series.withWatermark("t", watermark).groupBy(by)
-    return keyed.applyInPandasWithState(step, f"{by} long, start_us long, end_us long, n long, peak double", "before long, start long, n long, peak double", "append", GroupStateTimeout.EventTimeTimeout)
+    return keyed.applyInPandasWithState(step, f"{by} long, start_us long, end_us long, n long, peak double", "before long, start long, n long, peak double, times array<long>, values array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_feedback(log: DataFrame, path: str, checkpoint: str) -> None:
+def _newest(rows: DataFrame) -> DataFrame:
+    return upsert_latest(rows.limit(0), rows, ["clip_id"], "event_id")
+
+
+def stream_feedback(log: DataFrame, path: str, checkpoint: str, compact_after: int = 16) -> None:
     """Keep the newest change of each clip, micro-batch by micro-batch.
 
-    Each batch writes only its own newest rows, into its own folder; a batch that runs again writes the same again.
+    Each batch writes its own newest rows as a delta; a batch that runs again writes the same again, or nothing if a
+    snapshot holds it. Every `compact_after` batches become one snapshot, so what readers take and what lies on disk
+    follows the clips, not the batches.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        rows = batch.select("clip_id", "event_id", "feedback_type")
-        upsert_latest(rows.limit(0), rows, ["clip_id"], "event_id").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        versions.write_delta(_newest(batch.select("clip_id", "event_id", "feedback_type")), path, number)
+        if number % compact_after == compact_after - 1:
+            versions.compact(batch.sparkSession, path, _newest)
 
     log.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def read_feedback(spark: SparkSession, path: str) -> DataFrame:
-    """The newest change of each clip over all batches."""
-    rows = spark.read.parquet(path).select("clip_id", "event_id", "feedback_type")
-    return upsert_latest(rows.limit(0), rows, ["clip_id"], "event_id")
+    """The newest change of each clip over the snapshot and the batches after it."""
+    return _newest(versions.read_current(spark, path))
