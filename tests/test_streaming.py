@@ -5,8 +5,11 @@ from __future__ import annotations
 import random
 import time
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import series
 from tidemark.operators.series import best_lag, chunks_of
 from tidemark.plans.data import QUERIES, _run, _stream
 from tidemark.sources import io, shared, versions
@@ -161,3 +164,36 @@ def test_sync_writes_only_changed_parts(spark):
     assert len(got) == 201 and got[7] == (3, "three") and got[8] == (1, "one") and got[999] == (1, "new")
     kept = files & set(out["a"].inputFiles())
     assert len(files) - 2 <= len(kept) < len(files)
+
+
+def slide(x, y, speed):
+    """The highest normalised correlation of x, stretched, and its first place, by a plain loop."""
+    n = max(2, round(len(x) * speed))
+    if n > len(y):
+        return None
+    z = np.interp(np.linspace(0, len(x) - 1, n), np.arange(len(x)), x)
+    z = z - z.mean()
+    best = (-2.0, 0)
+    for at in range(len(y) - n + 1):
+        w = np.asarray(y[at : at + n])
+        c = round(float(((w - w.mean()) * z).sum() / np.sqrt(max(((w - w.mean()) ** 2).sum(), 1e-12) * max((z * z).sum(), 1e-12))), 9)
+        best = max(best, (c, -at))
+    return round(best[0], 4), best[1], speed
+
+
+@pytest.mark.parametrize("places", [4096, 50])
+def test_best_lag_equals_a_loop(spark, monkeypatch, places):
+    monkeypatch.setattr(series, "PLACES", places)
+    r = random.Random(12)
+    ys = {k: [r.random() for _ in range(n)] for k, n in ((1, 300), (2, 40), (3, 5), (4, 1))}
+    chunks = [(k, c, [r.random() for _ in range(n)] if c % 2 else y[c * 3 : c * 3 + n]) for k, y in ys.items() for c, n in enumerate((12, 9, 70, 12, 5, 3))]
+    chunks = [x for x in chunks if x[2]]
+    speeds = (0.5, 1.0, 1.5, 2.0)
+    want = {}
+    for k, c, x in chunks:
+        tried = [t for t in (slide(x, ys[k], s) for s in speeds) if t]
+        if tried and max(tried)[0] > 0.35:
+            want[k, c] = (max(tried)[0], -max(tried)[1], max(tried)[2])
+    df = spark.createDataFrame(chunks, "k long, chunk_id long, levels array<double>")
+    got = {(x.k, x.chunk_id): (x.score, x.lag, x.speed) for x in best_lag(df, spark.createDataFrame(list(ys.items()), "k long, levels array<double>"), ["k"], speeds).collect()}
+    assert got == want and len(want) > 8

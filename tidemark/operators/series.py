@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import r4
 from ..schemas import SECOND
+from ..sources.shared import settled
 from .intervals import Keys
 from .sequence import flag_runs
 
@@ -52,20 +54,6 @@ def envelope(samples: DataFrame, by: Keys, rate_us: int = SECOND // 10, width: i
     return b.select(*by, "bin", r4("level").alias("level"), r4(F.avg("level").over(w)).alias("smooth"))
 
 
-def _slide(x: np.ndarray, y: np.ndarray, speed: float) -> tuple[float, int]:
-    """The highest normalised correlation of x, stretched by speed, with a part of y, and where; (-1, 0) if it is too long."""
-    n = max(2, round(len(x) * speed))
-    if n > len(y):
-        return -1.0, 0
-    z = np.interp(np.linspace(0, len(x) - 1, n), np.arange(len(x)), x)
-    z = z - z.mean()
-    windows = np.lib.stride_tricks.sliding_window_view(y, n)
-    dev = np.sqrt(np.maximum(windows.var(axis=1) * n, 1e-12) * max((z * z).sum(), 1e-12))
-    score = (windows @ z) / dev
-    at = int(score.argmax())
-    return round(float(score[at]), 4), at
-
-
 def chunks_of(series: DataFrame, by: Keys, size: int = 12, stride: int = 6) -> DataFrame:
     """Chunks (chunk_id, levels) of each series (levels) from start to end, with ten times as much around them (context, context_at).
 
@@ -76,40 +64,94 @@ def chunks_of(series: DataFrame, by: Keys, size: int = 12, stride: int = 6) -> D
     return c.select(*by, F.col("chunk_id").cast("long").alias("chunk_id"), F.expr(f"slice(levels, _at + 1, {size})").alias("levels"), F.expr(f"slice(levels, _from + 1, {10 * size})").alias("context"), (F.col("_at") - F.col("_from")).alias("context_at"))
 
 
+#: Places of a block of a series that are searched in a task, and chunks that are searched for together.
+PLACES, TOGETHER = 4096, 256
+
+
+def _correlations(y: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Normalised correlation of each row of z (mean 0) with every part of y as long."""
+    n = z.shape[1]
+    if n > 64:
+        size = 1 << (len(y) + n).bit_length()
+        dots = np.fft.irfft(np.fft.rfft(y, size)[None] * np.conj(np.fft.rfft(z, size, axis=1)), size, axis=1)[:, : len(y) - n + 1]
+    else:
+        dots = z @ np.lib.stride_tricks.sliding_window_view(y, n).T
+    y = y - y.mean()
+    total, square = np.cumsum(np.append(0.0, y)), np.cumsum(np.append(0.0, y * y))
+    dev = (square[n:] - square[:-n]) - (total[n:] - total[:-n]) ** 2 / n
+    return dots / np.sqrt(np.maximum(dev, 1e-12)[None] * np.maximum((z * z).sum(axis=1), 1e-12)[:, None])
+
+
+def _stretched(x: np.ndarray, speed: float) -> np.ndarray:
+    n = max(2, round(len(x) * speed))
+    z = np.interp(np.linspace(0, len(x) - 1, n), np.arange(len(x)), x)
+    return z - z.mean()
+
+
 def best_lag(chunks: DataFrame, source: DataFrame, by: Keys, speeds: tuple[float, ...] = (0.5, 1.0, 1.5, 2.0), accept: float = 0.35, ambiguous: tuple[float, float] = (0.25, 0.45)) -> DataFrame:
     """For each chunk (chunk_id, levels) the place and speed in its key's source (levels) of highest normalised correlation.
 
-    The join brings a key's source envelope, at 10 values a second, to its chunks; numpy slides over it. Where chunks
-    have a context (see chunks_of), an ambiguous score is tried again with the context near the first place, if it has
-    over five times the chunk's length: the context's score and place count if it is accepted, else there is no match.
+    A source, at 10 values a second, is cut into blocks that overlap by the longest stretched chunk. A task meets one
+    block with many chunks at once, by Fourier transform where chunks are long; the best places of all blocks are
+    compared after it, the first on ties. Where chunks have a context (see chunks_of), an ambiguous score is tried
+    again with the context near the first place, if it has over five times the chunk's length: the context's score
+    and place count if it is accepted, else there is no match.
     """
-    wide = ["context", "context_at"] if "context" in chunks.columns else []
-    pairs = chunks.join(source.withColumnRenamed("levels", "long"), by)
+    longest = chunks.agg(F.coalesce(F.max(F.size("levels")), F.lit(0))).first()[0]
+    lap = max(2, round(longest * max(speeds)))
+    at = F.posexplode(F.expr(f"sequence(0, greatest(0, size(levels) - 1), {PLACES})"))
+    blocks = source.where("size(levels) > 0").select(*by, "levels", at.alias("_n", "_from")).select(*by, "_from", F.expr(f"slice(levels, _from + 1, {PLACES} + {lap} - 1)").alias("_block"))
+    groups = chunks.where("size(levels) > 0").groupBy(*by, F.expr(f"chunk_id div {TOGETHER}").alias("_group"), F.size("levels").alias("_size")).agg(F.collect_list(F.struct("chunk_id", "levels")).alias("_chunks"))
+    pairs = groups.join(blocks, by).select(*by, "_from", "_block", F.col("_chunks.chunk_id").alias("_ids"), F.flatten("_chunks.levels").alias("_levels"))
     kinds = dict(pairs.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", chunk_id long, lag long, speed double, score double"
 
-    def slide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                x, y = np.asarray(r.levels, float), np.asarray(r.long, float)
-                best = (-1.0, 0, 1.0)
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                value = lambda c: batch.column(c)[row].values.to_numpy(zero_copy_only=False)  # noqa: B023, E731
+                ids, y, first = value("_ids"), value("_block").astype(float), batch.column("_from")[row].as_py()
+                x = value("_levels").astype(float).reshape(len(ids), -1)
                 for speed in speeds:
-                    score, at = _slide(x, y, speed)
-                    best = max(best, (score, -at, speed))
-                if wide and ambiguous[0] <= best[0] < ambiguous[1] and len(r.context) > 5 * len(x):
-                    speed, before = best[2], round(r.context_at * best[2])
-                    low = max(0, -best[1] - before - 5 * len(x))
-                    score, at = _slide(np.asarray(r.context, float), y[low : low + round(len(r.context) * speed) + 10 * len(x)], speed)
-                    if score >= accept:
-                        best = (score, -(low + at + before), speed)
-                    elif score > -1.0:  # the source holds so much
-                        best = (0.0, 0, speed)
-                if best[0] > accept:
-                    rows.append([*(getattr(r, c) for c in by), r.chunk_id, -best[1], best[2], best[0]])
-            yield pd.DataFrame(rows, columns=[*by, "chunk_id", "lag", "speed", "score"])
-
-    return pairs.select(*by, "chunk_id", "levels", *wide, "long").mapInPandas(slide, schema)
+                    z = np.stack([_stretched(c, speed) for c in x])
+                    if z.shape[1] > len(y):
+                        continue
+                    found = np.round(_correlations(y, z)[:, :PLACES], 9)
+                    place = found.argmax(axis=1)
+                    keys = [batch.column(c).slice(row, 1).take(pa.array(np.zeros(len(ids), np.int64))) for c in by]
+                    yield pa.record_batch([*keys, pa.array(ids), pa.array(np.full(len(ids), speed)), pa.array(found[np.arange(len(ids)), place]), pa.array(place + first, pa.int64())], names=[*by, "chunk_id", "speed", "raw", "at"])
+
+    keyed = ", ".join(f"{c} {kinds[c]}" for c in by)
+    tried = pairs.mapInArrow(search, f"{keyed}, chunk_id long, speed double, raw double, at long")
+    tried = tried.groupBy(*by, "chunk_id", "speed").agg(F.max(F.struct("raw", (-F.col("at")).alias("at"))).alias("m"))
+    best = tried.groupBy(*by, "chunk_id").agg(F.max(F.struct(r4("m.raw").alias("score"), F.col("m.at").alias("at"), "speed")).alias("m"))
+    best = settled(best.select(*by, "chunk_id", (-F.col("m.at")).alias("lag"), "m.speed", "m.score"), "lags")
+    sure = best.where(F.col("score") > accept)
+    if "context" not in chunks.columns:
+        return sure
+    doubtful = best.where((F.col("score") >= ambiguous[0]) & (F.col("score") < ambiguous[1])).join(chunks, [*by, "chunk_id"]).where(F.size("context") > 5 * F.size("levels"))
+    again = doubtful.withColumn("_before", F.round(F.col("context_at") * F.col("speed")).cast("long")).withColumn("_size", F.size("levels"))
+    again = again.withColumn("_low", F.greatest(F.lit(0), F.col("lag") - F.col("_before") - 5 * F.col("_size"))).drop("levels")
+    again = again.join(source.withColumnRenamed("levels", "_all"), by)
+    again = again.select(*by, "chunk_id", "lag", "speed", "score", "context", "_before", "_low", F.expr("slice(_all, cast(_low + 1 as int), cast(round(size(context) * speed) as int) + 10 * _size)").alias("_near"))
+
+    def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                z, y = _stretched(np.asarray(r["context"], float), r["speed"])[None], np.asarray(r["_near"], float)
+                score, at = -1.0, 0
+                if z.shape[1] <= len(y):
+                    found = np.round(_correlations(y, z)[0], 9)
+                    at = int(found.argmax())
+                    score = round(float(found[at]), 4)
+                if score >= accept:
+                    out.append([*(r[c] for c in by), r["chunk_id"], r["_low"] + at + r["_before"], r["speed"], score])
+                elif score == -1.0 and r["score"] > accept:  # the source holds less than the context
+                    out.append([*(r[c] for c in by), r["chunk_id"], r["lag"], r["speed"], r["score"]])
+            yield pd.DataFrame(out, columns=[*by, "chunk_id", "lag", "speed", "score"])
+
+    confirmed = again.mapInPandas(confirm, f"{keyed}, chunk_id long, lag long, speed double, score double").where(F.col("score") > accept)
+    return sure.join(again.select(*by, "chunk_id"), [*by, "chunk_id"], "left_anti").unionByName(confirmed)
 
 
 def fingerprint_match(edit: DataFrame, source: DataFrame, by: Keys, limit: float = 40.0) -> DataFrame:

@@ -314,15 +314,16 @@ _REPEATED = r"""tw AS (SELECT asset_id, start_us, unnest(regexp_extract_all(lowe
 
 @query(f"""WITH RECURSIVE {TE}, {SEGMENTS}, {expand_ctes(False)}, m AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY start_us, end_us, cluster) AS rn FROM expanded),
  f AS (SELECT asset_id, rn, start_us AS s, end_us AS e, 1 AS grp FROM m WHERE rn = 1 UNION ALL SELECT m.asset_id, m.rn, CASE WHEN {_SAME} THEN f.s ELSE m.start_us END, CASE WHEN {_SAME} THEN greatest(f.e, m.end_us) ELSE m.end_us END, f.grp + CASE WHEN {_SAME} THEN 0 ELSE 1 END FROM f JOIN m ON m.asset_id = f.asset_id AND m.rn = f.rn + 1),
- cand AS MATERIALIZED (SELECT asset_id, min(s) AS start_us, max(e) AS end_us FROM f GROUP BY asset_id, grp), j AS (SELECT c.asset_id, c.start_us, c.end_us, coalesce(sum(least(c.end_us, t.end_us) - greatest(c.start_us, t.start_us)) FILTER (t.event_type = 'speech'), 0) AS speech, count_if(t.event_type = 'face_reaction')::BIGINT AS reactions FROM cand c LEFT JOIN te t ON t.asset_id = c.asset_id AND c.start_us < t.end_us AND t.start_us < c.end_us GROUP BY ALL),
- tx AS (SELECT c.asset_id, c.start_us, string_agg(g.text, ' ' ORDER BY g.start_us, g.sequence) AS text FROM cand c JOIN segments g ON g.asset_id = c.asset_id AND c.start_us < g.end_us AND g.start_us < c.end_us GROUP BY 1, 2), jt AS MATERIALIZED (SELECT j.*, coalesce(text, '') AS text FROM j LEFT JOIN tx USING (asset_id, start_us)),
+ cand AS MATERIALIZED (SELECT f.asset_id, min(s) AS start_us, max(e) AS end_us, array_to_string(list_sort(list(DISTINCT cl.event_id)), ',') AS evidence, array_to_string(list_sort(list(DISTINCT cl.event_type)), ',') AS signals FROM f JOIN m ON m.asset_id = f.asset_id AND m.rn = f.rn JOIN cl ON cl.asset_id = m.asset_id AND cl.cluster = m.cluster GROUP BY f.asset_id, f.grp), j AS (SELECT c.asset_id, c.start_us, c.end_us, c.evidence, c.signals, coalesce(sum(least(c.end_us, t.end_us) - greatest(c.start_us, t.start_us)) FILTER (t.event_type = 'speech'), 0) AS speech, count_if(t.event_type = 'face_reaction')::BIGINT AS reactions FROM cand c LEFT JOIN te t ON t.asset_id = c.asset_id AND c.start_us < t.end_us AND t.start_us < c.end_us GROUP BY ALL),
+ sg AS (SELECT c.asset_id, c.start_us, g.text, g.start_us AS gs, g.sequence AS gq, CASE WHEN lag(g.speaker) OVER (PARTITION BY c.asset_id, c.start_us ORDER BY g.start_us, g.sequence) IS DISTINCT FROM g.speaker THEN 1 ELSE 0 END AS turn FROM cand c JOIN segments g ON g.asset_id = c.asset_id AND c.start_us < g.end_us AND g.start_us < c.end_us),
+ tx AS (SELECT asset_id, start_us, string_agg(text, ' ' ORDER BY gs, gq) AS text, sum(turn)::BIGINT AS turns FROM sg GROUP BY 1, 2), jt AS MATERIALIZED (SELECT j.*, coalesce(text, '') AS text, round(coalesce(turns, 0) / (greatest(end_us - start_us, 100000) / 60000000.0::DOUBLE), 4) AS turns_per_min FROM j LEFT JOIN tx USING (asset_id, start_us)),
  {_REPEATED}, {_scored_sql('jt').replace("r AS (", "ruled AS (").replace(", s AS (", ", scored AS (").replace("FROM r)", "FROM ruled)")}, x AS (SELECT * REPLACE (CASE WHEN reactions > 0 THEN least(1, greatest(visual_interest, 0.60::DOUBLE + 0.15::DOUBLE * reactions)) ELSE visual_interest END AS visual_interest, CASE WHEN reactions > 0 THEN greatest(reaction, 0.75::DOUBLE) ELSE reaction END AS reaction, CASE WHEN reactions > 0 AND humor < 0.6 THEN 0.75::DOUBLE ELSE humor END AS humor) FROM scored), k AS (SELECT *, {_rank_sql('balanced')} AS rank FROM x)
- SELECT asset_id, start_us, end_us, round(speech / greatest(end_us - start_us, 100000), 4) AS speech_density, reactions, length(text) AS n_chars, rule, round(coalesce(top.s, 0), 4) AS text_repetition, rank, CASE WHEN score_confidence >= 0.7 THEN 'interesting' WHEN score_confidence >= 0.4 THEN 'uncertain' ELSE 'low_signal' END AS label, CASE WHEN score_confidence < 0.55 THEN 'eligible' ELSE 'none' END AS escalation, sha256(concat_ws('|', CAST(asset_id AS VARCHAR), CAST(start_us AS VARCHAR), CAST(end_us AS VARCHAR))) AS signature FROM k LEFT JOIN top USING (asset_id, start_us)""")
+ SELECT asset_id, start_us, end_us, round(speech / greatest(end_us - start_us, 100000), 4) AS speech_density, reactions, evidence, signals, turns_per_min, length(text) AS n_chars, coalesce(round((length(text) - length(replace(text, '!', ''))) / nullif(len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda x: trim(x) <> '')), 0), 4), 0) AS exclamations, coalesce(round(len(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'))) / nullif(len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')), 0), 4), 0) AS unique_ratio, rule, round(coalesce(top.s, 0), 4) AS text_repetition, rank, CASE WHEN score_confidence >= 0.7 THEN 'interesting' WHEN score_confidence >= 0.4 THEN 'uncertain' ELSE 'low_signal' END AS label, CASE WHEN score_confidence < 0.55 THEN 'eligible' ELSE 'none' END AS escalation, sha256(concat_ws('|', CAST(asset_id AS VARCHAR), CAST(start_us AS VARCHAR), CAST(end_us AS VARCHAR), evidence)) AS signature FROM k LEFT JOIN top USING (asset_id, start_us)""")
 def generate_candidates(spark, sf):
     """Events to relational clusters, windows, expanded and merged candidates, features, transcript, rule scores, repetition, rank, label and signature, in one plan."""
-    windows = sq.merge_overlapping(settled(expanded(spark, sf, False), "windows"), BY, order="cluster")
+    windows = sq.merge_overlapping(settled(expanded(spark, sf, False), "windows"), BY, order="cluster", unite=["signals", "evidence", "relations"])
     f = ca.score_candidates(windows, fx.timeline_events(spark, sf), fx.transcript_segments(spark, sf), BY)
-    return f.select("asset_id", "start_us", "end_us", "speech_density", "reactions", F.length("text").alias("n_chars"), "rule", "text_repetition", "rank", "label", "escalation", "signature")
+    return f.select("asset_id", "start_us", "end_us", "speech_density", "reactions", F.array_join("evidence", ",").alias("evidence"), F.array_join("signals", ",").alias("signals"), "turns_per_min", F.col("text_length").alias("n_chars"), "exclamations", "unique_ratio", "rule", "text_repetition", "rank", "label", "escalation", "signature")
 
 
 # Streams
