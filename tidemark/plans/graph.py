@@ -10,6 +10,7 @@ from ..functions.scalar import share
 from ..operators import graph as gr
 from ..operators import similarity as sm
 from ..operators.intervals import covered_us
+from ..sources.shared import settled
 from .rules import REL, relations
 
 BY = ["asset_id"]
@@ -93,7 +94,7 @@ SUMMARY = f"""tn AS (SELECT thread, count(*) AS size, min(start_us) AS first_us,
 
 @query(f"WITH RECURSIVE {TE}, {EDGES}, {MEMBERS}, {SUMMARY} SELECT * FROM ts")
 def thread_summary(spark, sf):
-    e = gr.cut_lineage(good_edges(spark, sf))
+    e = settled(good_edges(spark, sf), "edges")
     return gr.thread_summary(gr.thread_members(e), e, nodes(spark, sf))
 
 
@@ -113,7 +114,7 @@ def edge_dependencies(spark, sf):
 
 @query(f"WITH {TE}, {EDGES} SELECT count(*) AS edges, count_if(relation = 'callback_to')::BIGINT AS callbacks, count_if(relation IN ('payoff_of', 'setup_for'))::BIGINT AS setup_payoff, (SELECT count(*) FROM te) AS nodes, (SELECT count(*) FROM te WHERE event_id NOT IN (SELECT source FROM good UNION SELECT target FROM good)) AS orphans FROM good")
 def graph_summary(spark, sf):
-    return gr.graph_summary(nodes(spark, sf), gr.cut_lineage(good_edges(spark, sf)))
+    return gr.graph_summary(nodes(spark, sf), settled(good_edges(spark, sf), "edges"))
 
 
 @query("WITH m AS (SELECT conv_id, turn AS node, unnest(string_split(text, ' ')) AS label, unnest(range(len(string_split(text, ' ')))) AS position FROM conversations), n AS (SELECT *, lower(trim(label)) AS entity FROM m) SELECT conv_id, entity, min(node) AS first_node, max(node) AS last_node, count(DISTINCT node) AS nodes, arg_min(label, (node, position)) AS label FROM n WHERE entity <> '' GROUP BY 1, 2")
@@ -156,7 +157,7 @@ def story_graph(spark, sf):
     """Chapters, links, checks and threads in one job: its summary."""
     from ..operators.sequence import chapters
 
-    every = gr.cut_lineage(gr.validate_edges(edges(spark, sf), nodes(spark, sf).select("node", "start_us")))
+    every = settled(gr.validate_edges(edges(spark, sf), nodes(spark, sf).select("node", "start_us")), "checked")
     good = every.where("reason = 'ok'")
     t = gr.thread_summary(gr.thread_members(good), good, nodes(spark, sf))
     c = chapters(fx.timeline_events(spark, sf), BY, width=60_000_000).agg(F.count("*").alias("chapters"))
@@ -176,6 +177,30 @@ def similar_earlier(spark, sf):
     return sm.similar_earlier(fx.table(spark, sf, "conversations"), ["conv_id"], "turn", k=3)
 
 
+_MARK = "list_extract(['setup_', 'payoff_', 'joke_', 'callback_', 'false_sim_'], CAST(turn % 5 + 1 AS INTEGER)) || (turn // 5 % 2)"
+_KIND5 = ["setup_", "payoff_", "joke_", "callback_", "false_sim_"]
+
+
+@query(f"""WITH RECURSIVE {fx.SEGMENTS}, nd AS MATERIALIZED (SELECT asset_id AS key, asset_id * 1000 + sequence AS node, sequence AS turn, start_us, end_us, string_split(text, ' ')[1] AS label, (start_us - min(start_us) OVER (PARTITION BY asset_id)) // 60000000 AS chapter FROM segments), mk AS (SELECT *, {_MARK} AS marker FROM nd),
+ {_tfidf_sql(2, True)}, sp AS MATERIALIZED (SELECT conv_id * 1000 + turn AS node, conv_id * 1000 + e AS earlier FROM (SELECT a.conv_id, a.turn, b.turn AS e, round(sum(a.w * b.w), 4) AS s FROM v a JOIN v b ON a.conv_id = b.conv_id AND a.term = b.term AND b.turn < a.turn GROUP BY 1, 2, 3) WHERE s >= 0.15 QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY s DESC, e) <= 10),
+ ml AS (SELECT DISTINCT a.node AS source, b.node AS target, CASE WHEN starts_with(a.marker, 'payoff') THEN 'payoff_of' ELSE 'callback_to' END AS relation, a.start_us AS ss, b.start_us AS ts FROM mk a JOIN mk b ON a.key = b.key AND ((starts_with(a.marker, 'payoff_') AND b.marker = replace(a.marker, 'payoff_', 'setup_')) OR (starts_with(a.marker, 'callback_') AND b.marker = replace(a.marker, 'callback_', 'joke_'))) WHERE a.chapter = b.chapter OR (a.node, b.node) IN (SELECT (node, earlier) FROM sp)),
+ gv AS (SELECT node * 4 AS edge_id, node AS source, node + 1 AS target, 'setup_for' AS relation FROM nd WHERE turn % 4 = 0 UNION ALL SELECT node * 4 + 1, node + 1, node, 'setup_for' FROM nd WHERE turn % 8 = 0 UNION ALL SELECT node * 4 + 2, node, node + 2, 'continues' FROM nd WHERE turn % 3 = 0), gk AS (SELECT g.* FROM gv g JOIN nd a ON a.node = g.source JOIN nd b ON b.node = g.target),
+ ok AS MATERIALIZED (SELECT source, target, relation FROM gk WHERE NOT (edge_id % 4 = 1) UNION ALL SELECT source, target, relation FROM ml WHERE ss > ts), te2 AS (SELECT source AS a, target AS b FROM ok UNION SELECT target, source FROM ok), reach AS (SELECT a, b FROM te2 UNION SELECT reach.a, te2.b FROM reach JOIN te2 ON reach.b = te2.a), mem AS (SELECT a AS node, least(a, min(b)) AS thread FROM reach GROUP BY a),
+ th AS (SELECT thread, count_if(relation = 'setup_for') AS s, count_if(relation = 'payoff_of') AS p FROM ok JOIN mem ON mem.node = ok.source GROUP BY 1)
+ SELECT (SELECT count(*) FROM ok) AS edges, (SELECT count_if(relation = 'callback_to') FROM ok)::BIGINT AS callbacks, (SELECT count_if(relation IN ('payoff_of', 'setup_for')) FROM ok)::BIGINT AS setup_payoff, (SELECT count(*) FROM nd) AS nodes, (SELECT count(*) FROM nd WHERE node NOT IN (SELECT node FROM mem)) AS orphans, (SELECT count_if(edge_id % 4 = 1) FROM gk)::BIGINT AS cycles, (SELECT count(*) FROM gv) - (SELECT count(*) FROM gk) + (SELECT count_if(ss <= ts) FROM ml)::BIGINT AS invalid,
+  (SELECT count(*) FROM th) AS threads, (SELECT count_if(s > 0 AND p = 0) FROM th)::BIGINT AS unresolved, (SELECT count(DISTINCT (key, chapter)) FROM nd) AS chapters, (SELECT count(*) FROM sp) AS similar, (SELECT count(DISTINCT (key, lower(trim(label)))) FROM nd WHERE trim(label) <> '') AS entities""")
+def build_graph(spark, sf):
+    """Turns of conversations with links by marks, likeness and given edges: the summary of their graph."""
+    from ..operators import story
+
+    s = fx.transcript_segments(spark, sf).withColumnRenamed("asset_id", "conv_id")
+    mark = F.concat(F.element_at(F.array(*[F.lit(x) for x in _KIND5]), F.expr("cast(sequence % 5 + 1 as int)")), F.expr("cast(sequence div 5 % 2 as string)"))
+    n = s.select("conv_id", F.expr("conv_id * 1000 + sequence").alias("node"), mark.alias("marker"), "text", F.split("text", " ")[0].alias("label"), F.lit("speech").alias("event_type"), "start_us", "end_us", "sequence")
+    link = lambda add, a, b, rel, where: n.where(where).selectExpr(f"node * 4 + {add} as edge_id", f"{a} as source", f"{b} as target", f"'{rel}' as relation", "0.9d as confidence", "0.8d as strength")
+    e = link(0, "node", "node + 1", "setup_for", "sequence % 4 = 0").unionByName(link(1, "node + 1", "node", "setup_for", "sequence % 8 = 0")).unionByName(link(2, "node", "node + 2", "continues", "sequence % 3 = 0"))
+    return story.build_graph(n.drop("sequence"), e, ["conv_id"], width=60_000_000).summary()
+
+
 @query(f"WITH {_tfidf_sql(1, False)}, p AS (SELECT a.conv_id, a.turn, b.turn AS e, sum(a.w * b.w) AS s FROM v a JOIN v b ON a.conv_id = b.conv_id AND a.term = b.term AND b.turn < a.turn GROUP BY 1, 2, 3), m AS (SELECT conv_id, turn, max(s) AS s FROM p GROUP BY 1, 2) SELECT c.conv_id, c.turn, round(coalesce(s, 0), 4) AS repetition FROM conversations c LEFT JOIN m USING (conv_id, turn)")
 def repetition_global(spark, sf):
     return sm.repetition_global(fx.table(spark, sf, "conversations"), ["conv_id"], "turn")

@@ -64,3 +64,12 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     path = new_table(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that settled() has written; nothing may read them afterwards."""
+    for table in tables:
+        spark = table.sparkSession
+        names = {f.rpartition("/")[0].rpartition("/")[2] for f in table.inputFiles()}
+        for path in [p for p in _TABLES.get(spark.sparkContext.applicationId, []) if p.rpartition("/")[2] in names]:
+            drop_table(spark, path)
