@@ -16,6 +16,7 @@ from ..operators import evaluation as ev
 from ..operators import intervals as iv
 from ..operators import metrics as mt
 from ..operators import planning as pl
+from ..operators import reports as rp
 from ..operators import rules as ru
 from ..operators import sequence as sq
 from ..operators import series as se
@@ -76,7 +77,7 @@ def src_blocks(spark, sf):
 @query(f"WITH {TE} SELECT event_id, event_type, start_us, end_us FROM te WHERE asset_id = 7")
 def scan_asset(spark, sf):
     """One recording's rows in time order; the filter reaches the scan."""
-    return fx.timeline_events(spark, sf).where("asset_id = 7").orderBy("start_us", "event_id").select("event_id", "event_type", "start_us", "end_us")
+    return rp.scan_asset(fx.timeline_events(spark, sf), "asset_id", 7).select("event_id", "event_type", "start_us", "end_us")
 
 
 @query(f"WITH {TE} SELECT DISTINCT sha256(concat_ws('|', CAST(asset_id AS VARCHAR), event_type)) AS signature, asset_id, event_type FROM te")
@@ -269,18 +270,14 @@ def evaluate_cases(spark, sf):
 @query(f"WITH {TE}, {BLOCKS}, c AS (SELECT *, source_start_us * 20 / 1000000 AS s, (edit_end_us - edit_start_us) / 1000000 AS e FROM blocks), k AS (SELECT *, {CATEGORY} AS category FROM c), g AS (SELECT category, count(*) AS n, sum(source_end_us - source_start_us)::BIGINT AS source_us, sum(edit_end_us - edit_start_us)::BIGINT AS edit_us FROM k GROUP BY 1) SELECT *, round(edit_us / sum(edit_us) OVER (), 4) AS edit_share FROM g")
 def decision_map(spark, sf):
     """Source and edit time of each decision category, and its share of the edit."""
-    b = fx.blocks(spark, sf).withColumn("category", ru.decision_category(F.col("source_start_us") * 20 / 1_000_000, (F.col("edit_end_us") - F.col("edit_start_us")) / 1_000_000))
-    g = b.groupBy("category").agg(F.count("*").alias("n"), F.sum(F.col("source_end_us") - F.col("source_start_us")).alias("source_us"), F.sum(F.col("edit_end_us") - F.col("edit_start_us")).alias("edit_us"))
-    return g.crossJoin(F.broadcast(g.agg(F.sum("edit_us").alias("all_us")))).withColumn("edit_share", r4(F.col("edit_us") / F.col("all_us"))).drop("all_us")
+    return rp.decision_map(fx.blocks(spark, sf), F.col("source_start_us") * 20 / 1_000_000, (F.col("edit_end_us") - F.col("edit_start_us")) / 1_000_000)
 
 
 @query(f"WITH {TE}, d AS (SELECT asset_id, start_us // 60000000 AS region, end_us - start_us AS us, CASE event_type WHEN 'speech' THEN 'KEEP' WHEN 'face_reaction' THEN 'KEEP_AS_PAYOFF' WHEN 'gameplay_clutch' THEN 'KEEP_AS_CONTEXT' ELSE 'DROP' END AS decision FROM te), g AS (SELECT asset_id, region, sum(CASE WHEN starts_with(decision, 'KEEP') THEN us ELSE 0 END)::BIGINT AS kept_us, sum(us)::BIGINT AS all_us FROM d GROUP BY 1, 2) SELECT asset_id, region, kept_us, CASE WHEN all_us > 0 THEN round(least(kept_us / all_us, 1), 4) ELSE 0 END AS kept_share FROM g")
 def retention_by_region(spark, sf):
     """Kept time of each region by its decisions."""
     kind = F.expr("case event_type when 'speech' then 'KEEP' when 'face_reaction' then 'KEEP_AS_PAYOFF' when 'gameplay_clutch' then 'KEEP_AS_CONTEXT' else 'DROP' end")
-    d = fx.timeline_events(spark, sf).withColumn("us", F.col("end_us") - F.col("start_us")).groupBy("asset_id", F.expr("start_us div 60000000").alias("region"))
-    g = d.agg(F.sum(F.when(kind.startswith("KEEP"), F.col("us")).otherwise(0)).alias("kept_us"), F.sum("us").alias("all_us"))
-    return g.withColumn("kept_share", share("kept_us", "all_us")).drop("all_us")
+    return rp.retention_by_region(fx.timeline_events(spark, sf).withColumn("decision", kind), BY)
 
 
 @query(f"""WITH {TE}, e AS (SELECT *, list_extract(['zoom_face', 'zoom_region', 'speed_up', 'grayscale'], CAST(event_id // 2 % 4 + 1 AS INTEGER)) AS k FROM te), t AS (SELECT * FROM e WHERE event_id % 2 = 0), p AS (SELECT asset_id, event_id, k, start_us, end_us FROM e WHERE event_id % 2 = 1 UNION ALL SELECT asset_id, event_id, k, start_us + 300000, end_us FROM t WHERE event_id % 6 <> 0),
@@ -292,15 +289,8 @@ def effect_detection_score(spark, sf):
 
     e = effects(spark, sf)
     t = e.where("event_id % 2 = 0")
-    p = e.where("event_id % 2 = 1").unionByName(t.where("event_id % 6 <> 0").withColumn("start_us", F.col("start_us") + 300_000)).select("asset_id", "effect_type", F.col("event_id").alias("pid"), F.col("start_us").alias("ps"), F.col("end_us").alias("pe"))
-    near = lambda c: F.explode(F.array(*[F.expr(f"{c} div 1000000 + {k}") for k in (-1, 0, 1)]))
-    d = F.abs(F.col("start_us") - F.col("ps")) + F.abs(F.col("end_us") - F.col("pe"))
-    j = t.withColumn("b", near("start_us")).join(p.withColumn("b", F.expr("ps div 1000000")), ["asset_id", "effect_type", "b"]).withColumn("d", d).where("d < 1000000")
-    m = j.groupBy("effect_type", "event_id").agg(F.min(F.struct("d", "pid")).alias("m"))
-    c = m.groupBy("effect_type").agg(F.count("*").alias("tp"), F.count_distinct("m.pid").alias("used"))
-    g = c.join(t.groupBy("effect_type").agg(F.count("*").alias("truths")), "effect_type").join(p.groupBy("effect_type").agg(F.count("*").alias("preds")), "effect_type")
-    g = g.withColumn("fn", F.col("truths") - F.col("tp")).withColumn("fp", F.col("preds") - F.col("used")).withColumn("precision", share("tp", F.col("tp") + F.col("fp"))).withColumn("recall", share("tp", "truths"))
-    return g.withColumn("f1", f1("precision", "recall")).select("effect_type", "tp", "fn", "fp", "precision", "recall", "f1")
+    p = e.where("event_id % 2 = 1").unionByName(t.where("event_id % 6 <> 0").withColumn("start_us", F.col("start_us") + 300_000))
+    return rp.effect_detection_score(t, p.withColumnRenamed("event_id", "found_id"), BY)
 
 
 _SAME = "2 * (least(f.e, m.end_us) - m.start_us) > least(f.e - f.s, m.end_us - m.start_us)"

@@ -8,6 +8,7 @@ from .. import fixtures as fx
 from ..fixtures import AI, HUMAN, TE, merged_sql
 from ..functions.scalar import share
 from ..operators import graph as gr
+from ..operators import reports as rp
 from ..operators import similarity as sm
 from ..operators.intervals import covered_us
 from ..sources.shared import settled
@@ -102,7 +103,7 @@ def thread_summary(spark, sf):
 def node_threads(spark, sf):
     """Threads with their sorted nodes, by recording."""
     m = gr.thread_members(good_edges(spark, sf)).join(nodes(spark, sf).select("node", "asset_id"), "node")
-    return m.groupBy("asset_id", "thread").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("node")), ",").alias("nodes"))
+    return rp.thread_nodes(m, BY).withColumn("nodes", F.array_join("nodes", ","))
 
 
 @query(f"""WITH {TE}, {EDGES}, n AS (SELECT event_id AS node, asset_id * 100000 + start_us // 20000000 AS clip FROM te), j AS (SELECT relation, s.clip AS sc, t.clip AS tc FROM good JOIN n s ON s.node = source JOIN n t ON t.node = target WHERE s.clip <> t.clip)

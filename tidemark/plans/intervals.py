@@ -9,6 +9,7 @@ from ..fixtures import AI, BLOCKS, HUMAN, TE, merged_sql
 from ..functions.scalar import STATS_SQL, r4
 from ..operators import intervals as iv
 from ..operators import metrics as mt
+from ..operators import reports as rp
 
 BY = ["asset_id"]
 QUERIES, SQL = {}, {}
@@ -202,8 +203,7 @@ def macro_micro(spark, sf):
 
 @query(f"""WITH {TE}, {AI}, {HUMAN}, {METRICS} SELECT asset_id, (ai_us - inter_us)::BIGINT AS ai_only_us, greatest(human_us - inter_us, 0)::BIGINT AS human_only_us, CASE WHEN human_us > 0 THEN round(ai_us / human_us, 4) ELSE 0 END AS ratio FROM om WHERE tol_us = 0""")
 def over_selection(spark, sf):
-    m = mt.overlap_metrics(fx.ai_intervals(spark, sf), fx.human_intervals(spark, sf), BY, [0])
-    return m.select("asset_id", (F.col("ai_us") - F.col("inter_us")).alias("ai_only_us"), F.greatest(F.col("human_us") - F.col("inter_us"), F.lit(0)).alias("human_only_us"), F.when(F.col("human_us") > 0, r4(F.col("ai_us") / F.col("human_us"))).otherwise(0.0).alias("ratio"))
+    return rp.over_selection(fx.ai_intervals(spark, sf), fx.human_intervals(spark, sf), BY)
 
 
 @query(f"""WITH {TE}, {AI}, {HUMAN}, {BEST}, m AS (SELECT asset_id, r_start_us - start_us AS pre, r_end_us - end_us AS post FROM best), v AS (SELECT *, CASE WHEN pre > 1000000 OR post < -1000000 THEN 'short' WHEN pre < -2000000 OR post > 2000000 THEN 'long' ELSE 'good' END AS verdict FROM m)

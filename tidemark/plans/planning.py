@@ -9,6 +9,7 @@ from ..fixtures import AI, BLOCKS, CLIPS, TE, merged_sql
 from ..functions.scalar import r4, share
 from ..operators import intervals as iv
 from ..operators import planning as pl
+from ..operators import reports as rp
 
 BY, PLAN = ["asset_id"], ["plan_id"]
 QUERIES, SQL = {}, {}
@@ -77,9 +78,8 @@ def latest_completed(spark, sf):
 def nest_words(spark, sf):
     """Segments with their words as an ordered array; segments without words keep an empty one."""
     c = fx.table(spark, sf, "conversations")
-    words = c.where("turn % 2 = 0").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("n", "word"))
-    nested = words.groupBy("conv_id", "turn").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "word"))), lambda x: x["word"]).alias("words"))
-    full = c.select("conv_id", "turn").join(nested, ["conv_id", "turn"], "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
+    words = c.where("turn % 2 = 0").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("position", "word"))
+    full = rp.nest_words(c.select("conv_id", "turn"), words, ["conv_id", "turn"])
     return full.select("conv_id", "turn", F.size("words").cast("long").alias("n_words"), F.array_join("words", "/").alias("words"))
 
 
@@ -93,8 +93,8 @@ def active_rows(spark, sf):
 def evidence_links(spark, sf):
     """A row for each evidence id of each candidate, joined back to its event."""
     e = fx.timeline_events(spark, sf)
-    c = iv.member_islands(e, BY, 3_000_000).groupBy("asset_id", F.col("island").alias("candidate_us")).agg(F.collect_set("event_id").alias("ids"))
-    return c.select("asset_id", "candidate_us", F.explode("ids").alias("event_id")).join(e.select("event_id", "event_type"), "event_id")
+    c = iv.member_islands(e, BY, 3_000_000).groupBy("asset_id", F.col("island").alias("candidate_us")).agg(F.collect_set("event_id").alias("evidence"))
+    return rp.evidence_links(c, e.select("asset_id", "event_id", "event_type"), BY, ["candidate_us"])
 
 
 @query(f"""WITH {CLIPS}, {PRUNED}, rp AS (SELECT plan_id, clip_id, start_us, end_us, coalesce(sum(duration_us) OVER (PARTITION BY plan_id ORDER BY position, clip_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o FROM pruned WHERE start_us < end_us),
@@ -126,20 +126,21 @@ def apply_feedback(spark, sf):
 @query(f"WITH {FEEDBACK} SELECT event_id, clip_id, feedback_type FROM fb WHERE feedback_type = 'reject' ORDER BY ts DESC, event_id DESC LIMIT 100")
 def recent_feedback(spark, sf):
     """The newest 100 rows of one kind."""
-    return feedback(spark, sf).where("feedback_type = 'reject'").orderBy(F.desc("ts"), F.desc("event_id")).limit(100).select("event_id", "clip_id", "feedback_type")
+    return rp.page(feedback(spark, sf), [F.desc("ts"), F.desc("event_id")], 0, 100, F.col("feedback_type") == "reject").select("event_id", "clip_id", "feedback_type")
 
 
 @query(SQL["recent_feedback"].replace("= 'reject'", "<> 'lock'"))
 def recent_feedback_all(spark, sf):
     """The newest 100 rows of all kinds but one."""
-    return feedback(spark, sf).where("feedback_type <> 'lock'").orderBy(F.desc("ts"), F.desc("event_id")).limit(100).select("event_id", "clip_id", "feedback_type")
+    return rp.page(feedback(spark, sf), [F.desc("ts"), F.desc("event_id")], 0, 100, F.col("feedback_type") != "lock").select("event_id", "clip_id", "feedback_type")
 
 
 @query(f"WITH {TE} SELECT asset_id, event_id, confidence FROM te WHERE confidence >= 0.5 AND event_type = 'speech' ORDER BY confidence DESC, event_id LIMIT 50 OFFSET 100")
 def list_candidates(spark, sf):
     """One page of a filtered and sorted listing."""
-    e = fx.timeline_events(spark, sf).where("confidence >= 0.5 and event_type = 'speech'")
-    return e.orderBy(F.desc("confidence"), "event_id").offset(100).limit(50).select("asset_id", "event_id", "confidence")
+    e = fx.timeline_events(spark, sf)
+    wanted = (F.col("confidence") >= 0.5) & (F.col("event_type") == "speech")
+    return rp.page(e, [F.desc("confidence"), F.col("event_id")], 2, 50, wanted).select("asset_id", "event_id", "confidence")
 
 
 @query(f"WITH {CLIPS}, t AS (SELECT *, lead(start_us) OVER (PARTITION BY plan_id ORDER BY position, clip_id) - end_us AS s FROM clips) SELECT plan_id, count(*) AS n, count_if(s > 0)::BIGINT AS forward, coalesce(sum(s) FILTER (s > 0), 0)::BIGINT AS total_us, coalesce(max(s) FILTER (s > 0), 0) AS max_us, round(coalesce(avg(s) FILTER (s > 0), 0) / 1000000, 4) AS mean_s FROM t WHERE s IS NOT NULL GROUP BY 1")
@@ -151,10 +152,7 @@ def transition_audit(spark, sf):
 def budget_pressure(spark, sf):
     """Selected time over the target, and candidates that were not selected."""
     c = fx.clips(spark, sf)
-    b = budget(c)
-    kept = pl.prune_to_budget(c, PLAN, b).groupBy("plan_id").agg(F.count("*").alias("k"), F.sum("duration_us").alias("selected_us"))
-    g = c.groupBy("plan_id").agg(F.count("*").alias("n")).join(b, "plan_id").join(kept, "plan_id", "left").fillna(0, ["k", "selected_us"])
-    return g.select("plan_id", "selected_us", (F.col("n") - F.col("k")).alias("dropped"), F.when(F.col("budget_us") > 0, r4(F.col("selected_us") / F.col("budget_us"))).otherwise(0.0).alias("pressure"))
+    return rp.budget_pressure(c, PLAN, budget(c))
 
 
 @query(f"WITH {CLIPS}, {ANCHORS} SELECT plan_id, count(DISTINCT start_us // 900000000) AS bins, array_to_string(list_sort(list(DISTINCT start_us // 900000000)), ',') AS bin_list, bool_or(coalesce(anchor = 'greeting', false)) AS greeting, bool_or(coalesce(anchor = 'game_start', false)) AS game_start, bool_or(coalesce(anchor = 'outro', false)) AS outro, CASE WHEN count_if(clip_id % 4 = 0) > 0 THEN round(count_if(clip_id % 4 = 0 AND clip_id % 6 <> 0) / count_if(clip_id % 4 = 0), 4) ELSE 1 END AS setup_share, round((max(end_us) - min(start_us)) / 3600000000, 4) AS span_h FROM anchored GROUP BY 1")
@@ -166,9 +164,8 @@ def plan_breadth(spark, sf):
 @query(f"WITH {TE}, g AS (SELECT asset_id, count(*) AS n, sum(end_us - start_us)::BIGINT AS us, max(end_us) AS d FROM te GROUP BY 1), h AS (SELECT asset_id, round(n * 3600000000 / d, 4) AS per_hour, round(us * 3600.0::DOUBLE / d, 4) AS seconds_per_hour FROM g WHERE d > 0) SELECT count(*) AS n, round(avg(per_hour), 4) AS mean_per_hour, round(quantile_cont(per_hour, 0.95), 4) AS p95_per_hour, round(avg(seconds_per_hour), 4) AS mean_seconds FROM h")
 def density_per_hour(spark, sf):
     """Events and event seconds by hour of recording: mean and 95th percentile over recordings."""
-    g = fx.timeline_events(spark, sf).groupBy("asset_id").agg(F.count("*").alias("n"), F.sum(F.col("end_us") - F.col("start_us")).alias("us"), F.max("end_us").alias("d")).where("d > 0")
-    h = g.select(r4(F.expr("n * 3600000000L / d")).alias("per_hour"), r4(F.expr("us * 3600.0d / d")).alias("s"))
-    return h.agg(F.count("*").alias("n"), r4(F.avg("per_hour")).alias("mean_per_hour"), r4(F.percentile("per_hour", 0.95)).alias("p95_per_hour"), r4(F.avg("s")).alias("mean_seconds"))
+    e = fx.timeline_events(spark, sf)
+    return rp.density_per_hour(e, BY, e.groupBy("asset_id").agg(F.max("end_us").alias("horizon_us")))
 
 
 DEPS = "deps AS (SELECT o_orderkey AS dependent, CASE WHEN o_orderkey % 41 = 0 THEN -o_orderkey ELSE o_orderkey + 3 END AS prerequisite FROM orders WHERE o_orderkey % 5 = 0)"
@@ -209,11 +206,7 @@ def build_plan(spark, sf):
 @query(f"WITH {TE}, {AI}, {merged_sql('ai', 'm')}, t AS (SELECT asset_id, sum(end_us - start_us)::BIGINT AS total_us FROM m GROUP BY 1) SELECT asset_id, event_id, row_number() OVER (PARTITION BY asset_id ORDER BY start_us, event_id) AS position, total_us FROM ai JOIN t USING (asset_id)")
 def ai_timeline(spark, sf):
     """Clips in source order with the merged total of their recording."""
-    from pyspark.sql import Window
-
-    a = fx.ai_intervals(spark, sf)
-    total = iv.total_duration(a, BY).withColumnRenamed("duration_us", "total_us")
-    return a.withColumn("position", F.row_number().over(Window.partitionBy("asset_id").orderBy("start_us", "event_id"))).join(total, BY).select("asset_id", "event_id", "position", "total_us")
+    return rp.ai_timeline(fx.ai_intervals(spark, sf), BY).select("asset_id", "event_id", "position", "total_us")
 
 
 @query(f"WITH {CLIPS} SELECT plan_id, clip_id, substr(md5(concat_ws('|', CAST(clip_id AS VARCHAR), '7')), 1, 1) >= '8' AS swapped FROM clips")
@@ -231,9 +224,7 @@ def eval_split(spark, sf):
  SELECT * FROM r UNION ALL SELECT asset_id, 'OMITTED', g0, g1 FROM g WHERE g1 - g0 > 100000""")
 def infer_decisions(spark, sf):
     """A RETAINED decision for each block, an OMITTED one for each gap up to the last block."""
-    r = fx.blocks(spark, sf).select("asset_id", F.lit("RETAINED").alias("decision"), F.col("source_start_us").alias("start_us"), F.col("source_end_us").alias("end_us"))
-    omitted = iv.gaps(r, BY, r.groupBy("asset_id").agg(F.max("end_us").alias("horizon_us")))
-    return r.unionByName(omitted.withColumn("decision", F.lit("OMITTED")))
+    return rp.infer_decisions(fx.blocks(spark, sf), BY)
 
 
 @query("SELECT conv_id, turn, CASE WHEN length(text) * 0.06 < 2 OR contains(lower(text), 'silence') THEN 'invalid' ELSE 'valid' END AS verdict FROM conversations")
