@@ -152,6 +152,7 @@ def build_plan(selected: DataFrame, catalogue: DataFrame, deps: DataFrame, plan:
     c = tag_anchors(selected, plan).withColumn("priority", F.when(F.col("anchor").isNotNull(), "essential").otherwise("high"))
     r = resolve_dependencies(c, catalogue, deps).join(catalogue.select(*plan, "clip_id", score), "clip_id")
     r = r.withColumn("level", F.when(F.col("priority") == "essential", 1).when(F.col("priority") == "high", 2).otherwise(5))
+    r = settled(r, "resolved")
     packed = settled(repack_output(prune_to_budget(link_continuity(r, plan), plan, budget), plan), "packed")
     length = F.col("end_us") - F.col("start_us")
     original = catalogue.groupBy(*plan).agg(F.sum(length).alias("original_us"))

@@ -227,3 +227,11 @@ def align_words(spark, sf):
     c = fx.table(spark, sf, "conversations")
     w = c.select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("n", "word")).withColumn("position", F.col("turn") * 100_000 + F.col("n"))
     return sm.align_words(w, w.where("turn % 5 <> 2"), ["conv_id"])
+
+
+@query()
+def align_all_words(spark, sf):
+    """The same with every equal word, repeated ones too, by alignment between the anchors."""
+    c = fx.table(spark, sf, "conversations")
+    w = c.select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("n", "word")).withColumn("position", F.col("turn") * 100_000 + F.col("n"))
+    return sm.align_all_words(w, w.where("turn % 5 <> 2"), ["conv_id"])
