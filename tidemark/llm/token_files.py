@@ -8,7 +8,8 @@ that a reader finds any range of ids by its running expansion lengths and expand
 A round replaces many pairs that do not overlap (the counts are taken anew in each round) where Re-Pair in its first
 form replaces one; the grammar and what it decodes to are of the same kind.
 
-Defined cases: a null or empty text has only the end id. Rows with equal doc_ids are kept, in the order of their
+Defined cases: a null or empty text has only the end id. A very long text goes over as many shards as it needs; of
+equally frequent pairs that overlap the one of the higher bucket of hashes is replaced first. Rows with equal doc_ids are kept, in the order of their
 texts. An empty table gives no shards and an empty result. Other columns are not read.
 """
 

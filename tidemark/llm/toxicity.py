@@ -6,7 +6,8 @@ written character may be one of several letters, or nothing if it repeats or sep
 the character model and the channel's costs restores a word. Plain tokens that make up a telling word when set
 together (two tokens, or a row of short ones) are that word if the channel's space is likelier than words of their own,
 so only such joins are weighed. The restored text is scored by a logistic
-model of word presence, learnt from labelled rows that are not held out.
+model of the presence of words and of their beginnings of 3 to 7 letters (so that other forms of a telling word count),
+learnt from labelled rows that are not held out.
 
 Defined cases: null and empty texts have no words and get the model's base score. Without labelled rows of both
 kinds the score is the labels' smoothed rate for every text. Very long texts are taken whole. Repeated rows give repeated results, ties in the
@@ -31,6 +32,8 @@ from ._base import bounded, column_texts, read_documents, small_batches, texts
 
 #: Labelled rows of each kind that are fitted at most, the least log-likelihood ratio of a kept word, letters of a short piece.
 TRAIN_ROWS, LEAST_LLR, PIECE = 3000, 25.0, 2
+#: Letters of the beginnings of words that count as signs of their own, and the mark after one.
+BEGINNINGS, MARK = (3, 4, 5, 6, 7), "*"
 HELD_OUT = 5
 
 # Letters that a written sign may stand for
@@ -182,6 +185,11 @@ def restored_words(text: str, model: Model) -> set[str]:
     return out
 
 
+def signs(words: set[str]) -> set[str]:
+    """The words, and their beginnings with a mark after them."""
+    return words | {w[:k] + MARK for w in words for k in BEGINNINGS if len(w) > k}
+
+
 def _llr(n_tox: int, n_clean: int) -> Column:
     """The log-likelihood ratio of a word's presence (n_toxic, n_clean texts) and the label."""
     n, total = F.col("n_toxic") + F.col("n_clean"), float(n_tox + n_clean)
@@ -192,7 +200,7 @@ def _llr(n_tox: int, n_clean: int) -> Column:
     return sum((term(F.col(c), of, n) + term(of - F.col(c), of, total - n) for c, of in (("n_toxic", n_tox), ("n_clean", n_clean))), F.lit(0.0))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 60) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 60) -> np.ndarray:
     """Ridge logistic regression by Newton steps; the last column of x is the constant."""
     w, keep = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
     keep[-1] = 1e-6
@@ -232,7 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, corpus_counts: np.ndarray | None = N
         seen: dict[bool, Counter] = {True: Counter(), False: Counter()}
         for batch in small_batches(batches, "text"):
             for text, toxic in zip(column_texts(batch, "text"), batch.column("toxic").to_pylist(), strict=True):
-                seen[toxic].update(restored_words(text, model) | {""})  # "" counts the texts
+                seen[toxic].update(signs(restored_words(text, model)) | {""})  # "" counts the texts
         every = list(seen[True] | seen[False])
         yield pa.record_batch([pa.array(every, pa.string()), pa.array([seen[True][w] for w in every], pa.int64()), pa.array([seen[False][w] for w in every], pa.int64())], names=["word", "n_toxic", "n_clean"])
 
@@ -243,13 +251,13 @@ def fit(docs: DataFrame, labels: DataFrame, corpus_counts: np.ndarray | None = N
     n_tox, n_clean = whole.n_toxic, whole.n_clean
     told = counted.where("word <> ''").where(_llr(n_tox, n_clean) >= LEAST_LLR)  # far fewer than the words of the sample
     chosen = {r.word: r.n_toxic * n_clean > r.n_clean * n_tox for r in told.orderBy("word").collect()}
-    toxic_words = [w for w, t in chosen.items() if t]
+    toxic_words = [w for w, t in chosen.items() if t and not w.endswith(MARK)]
     model.costs, model.lexicon, chosen = language_costs(corpus_counts, toxic_words), frozenset(toxic_words), list(chosen)
     index = {w: i for i, w in enumerate(chosen)}
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
-            found = [sorted(index[w] for w in restored_words(t, model) if w in index) for t in column_texts(batch, "text")]
+            found = [sorted(index[w] for w in signs(restored_words(t, model)) if w in index) for t in column_texts(batch, "text")]
             yield pa.record_batch([batch.column("toxic"), pa.array(found, pa.list_(pa.int32()))], names=["toxic", "found"])
 
     rows = sample.mapInArrow(vectors, "toxic boolean, found array<int>").collect()  # bounded like picked
@@ -264,7 +272,7 @@ def fit(docs: DataFrame, labels: DataFrame, corpus_counts: np.ndarray | None = N
 
 
 def score(text: str, model: Model) -> float:
-    z = model.bias + sum(sorted(model.weights[w] for w in restored_words(text, model) if w in model.weights))
+    z = model.bias + sum(sorted(model.weights[w] for w in signs(restored_words(text, model)) if w in model.weights))
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
