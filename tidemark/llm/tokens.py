@@ -10,6 +10,8 @@ bytes of an Arrow column, comparing whole chunks and not only their hashes.
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pyarrow as pa
 
@@ -51,6 +53,7 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 class Encoder:
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; the library's threads would take those of others
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
