@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from ._base import new_table, partition_id, partition_offsets, read_documents, sized_join, small_batches, texts
 from .tokens import default_tokenizer, encoder, ragged
 
-#: Ids in a shard at most (one longer document is a shard of its own), least count of a replaced pair, bits of a bucket.
-SHARD_IDS, LEAST, BUCKETS = 1 << 20, 8, 20
+#: Ids in a shard at most (one longer document is a shard of its own), least count of a replaced pair, bits of a bucket (they follow the places counted).
+SHARD_IDS, LEAST, BUCKETS, LEAST_BITS = 1 << 20, 8, 20, 10
 _SHARDS = "part int, shard int, base long, rounds array<int>, rules binary, expansion binary, sequence binary, width int, doc_ids array<long>, lengths array<long>, before long, n_ids long"
 
 
@@ -36,15 +36,20 @@ def grammar(ids: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray,
 
     It ends when no pair of neighbours occurs `least` times. A round replaces every frequent pair wherever no more
     frequent one overlaps it, so the most frequent pair goes wherever it stands (in a run of one id, every second time).
+    A round makes pairs with new ids only and takes others away, so a pair that is rare once stays rare: only `live`
+    places, those of frequent pairs and beside new ids, are counted again.
     """
     seq = ids.astype(np.uint32)
     rules, lengths, made = np.zeros((0, 2), dtype=np.uint32), np.zeros(0, dtype=np.int64), []
-    while len(seq) > 1:
+    live = np.arange(len(seq) - 1)
+    while len(live):
         # a pair in a bucket of too few is too rare itself; a bucket counts for one of its pairs, others are sorted
-        h = (seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA77)) >> np.uint32(32 - BUCKETS)
-        at = np.flatnonzero((np.bincount(h, minlength=1 << BUCKETS) >= least)[h])
-        bucket, value = h[at], seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
-        pairs = np.zeros(1 << BUCKETS, dtype=np.uint64)
+        bits = min(BUCKETS, max(LEAST_BITS, len(live).bit_length()))
+        left, right = seq[live], seq[live + 1]
+        h = (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(32 - bits)
+        some = (np.bincount(h, minlength=1 << bits) >= least)[h]
+        at, bucket, value = live[some], h[some], left[some].astype(np.uint64) << np.uint64(32) | right[some]
+        pairs = np.zeros(1 << bits, dtype=np.uint64)
         pairs[bucket] = value
         same = pairs[bucket] == value
         others, other, n_other = np.unique(value[~same], return_inverse=True, return_counts=True)
@@ -55,6 +60,8 @@ def grammar(ids: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray,
         at, pair = at[often], pair[often]
         if not len(at):
             break
+        again = np.zeros(len(seq), dtype=bool)
+        again[at] = True
         frequent = np.flatnonzero(n >= least)
         rank = np.zeros(len(n), dtype=np.int32)
         rank[frequent[np.argsort(n[frequent], kind="stable")]] = np.arange(1, len(frequent) + 1)
@@ -75,7 +82,9 @@ def grammar(ids: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray,
         seq[at] = base + len(rules) + pair
         keep = np.ones(len(seq), dtype=bool)
         keep[at + 1] = False
-        seq = seq[keep]
+        again[np.maximum(at - 1, 0)] = again[at] = True
+        seq, live = seq[keep], np.flatnonzero(again[keep])
+        live = live[: np.searchsorted(live, len(seq) - 1)]
         lengths, rules = np.append(lengths, whole), np.concatenate([rules, new])
         made.append(len(new))
     return seq, rules, lengths, made
