@@ -46,37 +46,44 @@ def grammar(ids: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray,
         # a pair in a bucket of too few is too rare itself; a bucket counts for one of its pairs, others are sorted
         bits = min(BUCKETS, max(LEAST_BITS, len(live).bit_length()))
         left, right = seq[live], seq[live + 1]
-        h = (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(32 - bits)
-        some = (np.bincount(h, minlength=1 << bits) >= least)[h]
-        at, bucket, value = live[some], h[some], left[some].astype(np.uint64) << np.uint64(32) | right[some]
+        h = ((left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(32 - bits)).astype(np.int64)
+        some = np.flatnonzero((np.bincount(h, minlength=1 << bits) >= least)[h])
+        at, pair, value = live[some], h[some], left[some].astype(np.uint64) << np.uint64(32) | right[some]
         pairs = np.zeros(1 << bits, dtype=np.uint64)
-        pairs[bucket] = value
-        same = pairs[bucket] == value
-        others, other, n_other = np.unique(value[~same], return_inverse=True, return_counts=True)
-        pair = bucket.astype(np.int64)
-        pair[~same] = len(pairs) + other
-        pairs, n = np.append(pairs, others), np.append(np.bincount(bucket[same], minlength=len(pairs)), n_other)
-        often = n[pair] >= least
-        at, pair = at[often], pair[often]
-        if not len(at):
-            break
-        again = np.zeros(len(seq), dtype=bool)
-        again[at] = True
+        pairs[pair] = value
+        other = np.flatnonzero(pairs[pair] != value)
+        others, which = np.unique(value[other], return_inverse=True)
+        pair[other] = len(pairs) + which
+        pairs = np.append(pairs, others)
+        n = np.bincount(pair, minlength=len(pairs))
         frequent = np.flatnonzero(n >= least)
+        if not len(frequent):
+            break
+        frequent = frequent[np.argsort(n[frequent], kind="stable")]
         rank = np.zeros(len(n), dtype=np.int32)
-        rank[frequent[np.argsort(n[frequent], kind="stable")]] = np.arange(1, len(frequent) + 1)
+        rank[frequent] = np.arange(1, len(frequent) + 1)
         r = rank[pair]
-        follows = np.append(False, (np.diff(at) == 1) & (r[1:] == r[:-1]))
-        run = np.flatnonzero(~follows)
-        even = (np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0
-        at, pair, r = at[even], pair[even], r[even]
+        often = np.flatnonzero(r)
+        at, r = at[often], r[often]
+        again = np.zeros(len(seq), dtype=bool)
+        again[at] = True
+        # in a run of one id each second occurrence overlaps the one before it
+        follows = np.flatnonzero((at[1:] - at[:-1] == 1) & (r[1:] == r[:-1])) + 1
+        if len(follows):
+            begins = np.flatnonzero(np.append(True, np.diff(follows) != 1))
+            nth = ragged(np.zeros(len(begins), dtype=np.int64), np.diff(np.append(begins, len(follows))))
+            r[follows[nth % 2 == 0]] = 0
         around = np.zeros(len(seq) + 2, dtype=np.int32)
         around[at + 1] = r
-        best = (r > around[at]) & (r > around[at + 2])
-        at, pair = at[best], pair[best]
-        use = np.bincount(pair, minlength=len(n)) > 1  # a rule for one place saves nothing
-        at, pair = at[use[pair]], (np.cumsum(use) - 1)[pair[use[pair]]]
-        new = np.stack([pairs[use] >> np.uint64(32), pairs[use] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
+        best = np.flatnonzero((r > around[at]) & (r > around[at + 2]))
+        at, r = at[best], r[best]
+        use = np.bincount(r, minlength=len(frequent) + 1) > 1  # a rule for one place saves nothing
+        used = use[r]
+        at, pair = at[used], (np.cumsum(use) - 1)[r[used]]
+        if not len(at):
+            break
+        new = pairs[frequent[use[1:]]]
+        new = np.stack([new >> np.uint64(32), new & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
         size = np.concatenate([np.ones(1, dtype=np.int64), lengths])
         whole = size[np.maximum(new.astype(np.int64) - base + 1, 0)].sum(axis=1)
         seq[at] = base + len(rules) + pair
@@ -91,6 +98,18 @@ def grammar(ids: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray,
 
 
 def expand(seq: np.ndarray, base: int, rules: np.ndarray, made: list[int]) -> np.ndarray:
+    """The ids of a sequence. For one longer than the rules each rule is spelt once and then looked up."""
+    if len(seq) <= len(rules) or not len(rules):
+        return _undo(seq, base, rules, made)
+    spelt = np.concatenate([np.arange(base, dtype=np.uint32), _undo(np.arange(base, base + len(rules), dtype=np.uint32), base, rules, made)])
+    size, end = np.ones(base + len(rules), dtype=np.int64), base
+    for n in made:
+        size[end : end + n] = size[rules[end - base : end - base + n]].sum(axis=1)
+        end += n
+    return spelt[ragged((np.cumsum(size) - size)[seq], size[seq])]
+
+
+def _undo(seq: np.ndarray, base: int, rules: np.ndarray, made: list[int]) -> np.ndarray:
     """The ids of a sequence: the last round's rules are undone first."""
     end = len(rules)
     for n in reversed(made):
