@@ -15,8 +15,8 @@ import os
 import numpy as np
 import pyarrow as pa
 
-#: Chunks kept by a worker and slots of their table; memory (about 30 MB), not results, depends on them.
-MAX_CHUNKS, SLOTS = 500_000, 1 << 20
+#: Chunks kept by a worker and slots of their table; memory (about 70 MB), not results, depends on them.
+MAX_CHUNKS, SLOTS = 1_000_000, 1 << 22
 #: Bytes of a chunk that can be kept, and of new chunks that are encoded together.
 WIDTH, CHAIN = 24, 1 << 14
 _ENCODERS: dict[str, Encoder] = {}
