@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import intervals as iv
 from tidemark.operators import similarity as sm
+from tidemark.sources import io
 
 
 def broadcasts(spark, run) -> list[int]:
@@ -40,3 +41,15 @@ def test_words_are_not_broadcast(spark):
 def test_carried_values_are_not_broadcast(spark):
     e = spark.range(2000).select((F.col("id") % 500).alias("k"), (F.col("id") * iv.CHUNK).alias("start_us"), F.col("id").alias("v"))
     assert not broadcasts(spark, lambda: iv.carry_last(e, ["k"], "start_us", ["v"], seen=F.col("v")).agg(F.sum("seen")).collect())
+
+
+def test_replaced_keys_share_files(spark, tmp_path):
+    """A folder for each key makes as many files as keys; a null key is replaced too, and keys keep their type."""
+    path = str(tmp_path / "assets")
+    old = spark.range(3000).select(F.when(F.col("id") > 0, F.format_string("%04d", "id")).alias("k"), F.lit(1).alias("v"))
+    io.replace_asset(old, path, "k")
+    assert len(list((tmp_path / "assets").rglob("*.parquet"))) <= 64 * 4
+    out = io.replace_asset(old.where("k is null or k < '0011'").withColumn("v", F.lit(2)), path, "k")
+    assert {(r["k"], r["v"]) for r in out.where("k is null or k < '0013'").collect()} == {(None, 2), ("0011", 1), ("0012", 1), *((f"{i:04d}", 2) for i in range(1, 11))}
+    assert out.count() == 3000
+    assert io.replace_asset(old.limit(0), path, "k").count() == 3000

@@ -55,10 +55,26 @@ def write_idempotent(df: DataFrame, path: str, key: str, compact_after: int = 16
     return versions.read_current(spark, path)
 
 
-def replace_asset(df: DataFrame, path: str, by: str) -> DataFrame:
-    """Overwrite only the partitions of the keys in df."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
-    return df.sparkSession.read.parquet(path)
+def replace_asset(df: DataFrame, path: str, by: str, buckets: int = 64) -> DataFrame:
+    """Replace all rows of the keys in df by df's, and leave the others; returns what is stored then.
+
+    The table is parted by a hash of the key, so that its files do not follow the number of keys; only parts that hold
+    keys of df are written again. A null key is a key of its own.
+    """
+    spark = df.sparkSession
+    new = df.withColumn("part", F.pmod(F.xxhash64(by), F.lit(buckets)).cast("int"))
+    try:
+        old = spark.read.schema(new.schema).parquet(path)
+    except AnalysisException:
+        old = None
+    if old is not None:
+        new = settled(new, "incoming")
+        keys = new.select(F.col(by).alias("_key"), F.col("part").alias("_part")).distinct()
+        same = old.join(keys.select("_part").distinct(), F.col("part") == F.col("_part"), "left_semi")
+        same = same.join(keys, F.col(by).eqNullSafe(F.col("_key")), "left_anti")
+        new = settled(new.unionByName(same), "parts")  # a table is not read while it is written
+    new.hint("rebalance", F.col("part")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+    return spark.read.schema(new.schema).parquet(path).select(*df.columns)
 
 
 def upsert_latest(old: DataFrame, new: DataFrame, keys: Keys, version: str) -> DataFrame:
