@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import time
+from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.operators import intervals as iv
+from tidemark.operators import series as se
 from tidemark.operators import similarity as sm
 from tidemark.sources import io
 
@@ -53,3 +56,29 @@ def test_replaced_keys_share_files(spark, tmp_path):
     assert {(r["k"], r["v"]) for r in out.where("k is null or k < '0013'").collect()} == {(None, 2), ("0011", 1), ("0012", 1), *((f"{i:04d}", 2) for i in range(1, 11))}
     assert out.count() == 3000
     assert io.replace_asset(old.limit(0), path, "k").count() == 3000
+
+
+def test_frames_are_compared_in_blocks(spark, monkeypatch):
+    """The nearest of all pairs as by a plain loop, the first on ties after rounding; no row of a plan stands for a pair."""
+    monkeypatch.setattr(se, "EDIT_FRAMES", 16)
+    monkeypatch.setattr(se, "SOURCE_FRAMES", 32)
+    rng = np.random.default_rng(4)
+    f = np.round(rng.random((400, 6)), 2)
+    f[::7] = f[3]
+    f[5::7] += 1e-5 * rng.random((len(f[5::7]), 1))
+    rows = [(i % 2, i, x.tolist()) for i, x in enumerate(f)] + [(0, 400, None), (0, 405, [0.5, None]), (1, 401, [0.5])]
+    v = spark.createDataFrame(rows, "k long, frame_id long, f array<double>")
+    out = se.fingerprint_match(v.where("frame_id % 5 = 0"), v.where("frame_id % 5 <> 0"), ["k"], limit=0.3)
+    got = {(r["k"], r["frame_id"]): (r["difference"], r["source_id"]) for r in out.collect()}
+    want = {}
+    for i in range(0, 400, 5):
+        def difference(j):
+            total = 0.0
+            for x, y in zip(f[i].tolist(), f[j].tolist()):
+                total += abs(x - y)
+            return float(Decimal(repr(total / 6)).quantize(Decimal("0.0001"), ROUND_HALF_UP))
+        best = min((difference(j), j) for j in range(400) if j % 5 and j % 2 == i % 2)
+        if best[0] < 0.3:
+            want[i % 2, i] = best
+    assert got == want
+    assert "zip_with" not in out._jdf.queryExecution().optimizedPlan().toString()
