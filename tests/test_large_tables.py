@@ -82,3 +82,12 @@ def test_frames_are_compared_in_blocks(spark, monkeypatch):
             want[i % 2, i] = best
     assert got == want
     assert "zip_with" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_gaps_in_one_pass(spark):
+    """Merged intervals come once to their gaps, not once for each part of a union; keys without any have one gap."""
+    e = spark.createDataFrame([(1, 5, 10), (1, 8, 20), (1, 30, 40), (2, 0, 7), (4, 1, 2)], "k long, start_us long, end_us long")
+    h = spark.createDataFrame([(1, 50), (2, 7), (3, 9)], "k long, horizon_us long")
+    out = iv.gaps(e, ["k"], h, min_gap=0, eps=1)
+    assert sorted(map(tuple, out.collect())) == [(1, 0, 5), (1, 20, 30), (1, 40, 50), (3, 0, 9)]
+    assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString()
