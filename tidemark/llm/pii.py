@@ -4,7 +4,9 @@ The patterns' spans always stay. The model is trained from labelled spans: the p
 sample of documents, and the same values in written variants that the patterns do not accept. It is decoded over
 overlapping windows of the whole text; where windows overlap, each character takes the label of the window in
 which it lies further inside. A decoded span is added if it overlaps no pattern span and has the digits of its kind,
-or an at and a dot. Every such form has a digit, an @, or a written at or dot, so windows without any are not decoded.
+or an @ or the word at with a host and a dot after it. So every added span holds a digit, or such an at; windows with one
+are decoded, and then each window that a labelled run reaches into, as far as runs go. What is added is the same as if all
+windows were decoded.
 
 Defined cases: null and empty texts have no spans. Very long texts are windows like others. Equal scores of labels
 go to the first label, a character equally far inside two windows to the later one. Repeated rows give
@@ -37,9 +39,11 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _BASE_SIGN = re.compile(r"[0-9@]")
-#: Every form of the four kinds, written out or not, has a digit, an @, or a written at or dot.
-_SIGN = re.compile(r"[0-9@]|[(\[{<] ?(?:at|dot)\b|\bdot\b", re.IGNORECASE)
-_AT = re.compile(r"@|\bat\b", re.IGNORECASE)
+#: An @ or the word at, before a host and a dot (written or not); the group is the dot.
+_AT = r"(?:@|\bat\b)(?=[\s)\]}>]*+[^\s.@()\[\]{}<>]++[\s(\[{<]*+(\.|dot\b))"
+_ADDRESS = re.compile(_AT, re.IGNORECASE)
+#: What every added span holds one of: see added_spans().
+_SIGN = re.compile(rf"[0-9@]|{_AT}", re.IGNORECASE)
 #: Digits of an added span of each kind, at least and at most.
 _DIGITS = [(0, 12), (4, 12), (12, 19), (7, 15)]
 
@@ -149,32 +153,44 @@ def model_labels(params: nn.Params, text: str) -> np.ndarray:
 def _label_texts(params: nn.Params, some: list[str]) -> list[np.ndarray]:
     coded = [nn.codes(t) for t in some]
     out = [np.zeros(len(c), np.int8) for c in coded]
-    jobs = []  # (text, window start, window end, first kept, last kept)
     step = WINDOW - OVERLAP
-    for i, c in enumerate(coded):
-        hot = np.array([m.start() for m in _SIGN.finditer(some[i])], np.int64)
-        if not len(hot):
-            continue
-        count = max(1, -(-(len(c) - OVERLAP) // step))
-        first, last = np.maximum(0, (hot - WINDOW) // step), np.minimum(count - 1, hot // step)
-        for k in np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(first, last, strict=True)])).tolist():
-            low, high = k * step, min(k * step + WINDOW, len(c))
-            jobs.append((i, low, high, low + OVERLAP // 2 if k else 0, low + step + OVERLAP // 2 if k < count - 1 else len(c)))
-    jobs.sort(key=lambda j: j[2] - j[1])
-    for at in range(0, len(jobs), TOGETHER):
-        part = jobs[at : at + TOGETHER]
-        valid = np.array([j[2] - j[1] for j in part])
-        x = np.full((len(part), int(valid.max())), nn.PAD, np.uint8)
-        for r, (i, low, high, _, _) in enumerate(part):
-            x[r, : high - low] = coded[i][low:high]
-        labels = nn.viterbi(nn.unary(params, x), params["trans"], valid)
-        for r, (i, low, _, a, b) in enumerate(part):
-            out[i][a:b] = labels[r, a - low : b - low]
+    counts = [max(1, -(-(len(c) - OVERLAP) // step)) for c in coded]
+    todo = set()  # (text, window)
+    for i, text in enumerate(some):
+        hot = np.array([m.start() for m in _SIGN.finditer(text)], np.int64)
+        first, last = np.maximum(0, (hot - WINDOW) // step), np.minimum(counts[i] - 1, hot // step)
+        todo.update((i, k) for k in {k for a, b in zip(first.tolist(), last.tolist(), strict=True) for k in range(a, b + 1)})
+    done: set[tuple[int, int]] = set()
+    while todo:
+        jobs = []  # (text, window start, window end, first kept, last kept, window)
+        for i, k in sorted(todo):
+            low, n = k * step, len(coded[i])
+            jobs.append((i, low, min(low + WINDOW, n), low + OVERLAP // 2 if k else 0, low + step + OVERLAP // 2 if k < counts[i] - 1 else n, k))
+        done |= todo
+        todo = set()
+        jobs.sort(key=lambda j: j[2] - j[1])
+        for at in range(0, len(jobs), TOGETHER):
+            part = jobs[at : at + TOGETHER]
+            valid = np.array([j[2] - j[1] for j in part])
+            x = np.full((len(part), int(valid.max())), nn.PAD, np.uint8)
+            for r, (i, low, high, *_) in enumerate(part):
+                x[r, : high - low] = coded[i][low:high]
+            labels = nn.viterbi(nn.unary(params, x), params["trans"], valid)
+            for r, (i, low, _, a, b, k) in enumerate(part):
+                out[i][a:b] = labels[r, a - low : b - low]
+                # a run at the edge of what is kept may go on in the next window
+                todo.update(w for w, edge in (((i, k - 1), a), ((i, k + 1), b - 1)) if 0 <= w[1] < counts[i] and out[i][edge])
+        todo -= done
     return out
 
 
+def _address_within(text: str, start: int, end: int) -> bool:
+    """Whether an at, a host and a dot lie in a span; words that the span cuts do not count."""
+    return any(m.end(1) <= end for m in _ADDRESS.finditer(text, start, end + 1))
+
+
 def added_spans(text: str, labels: np.ndarray, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Runs of one label, trimmed, that overlap no pattern span and have what their kind must have: digits, or for addresses an at and a dot."""
+    """Runs of one label, trimmed, that overlap no pattern span and have what their kind must have: digits, or for addresses an at, a host and a dot."""
     if not labels.any():
         return []
     edges = np.flatnonzero(np.diff(labels)) + 1
@@ -185,7 +201,7 @@ def added_spans(text: str, labels: np.ndarray, base: list[tuple[int, int, int]])
             start += len(value) - len(value.lstrip())
             end = start + len(value.strip())
             least, most = _DIGITS[kind - 1]
-            fits = least <= len(_digits(value)) <= most and (kind > 1 or bool(_AT.search(value)) and ("." in value or "dot" in value.lower()))
+            fits = least <= len(_digits(value)) <= most and (kind > 1 or _address_within(text, start, end))
             if fits and not any(s < end and start < e for s, _, e in base):
                 out.append((start, kind - 1, end))
     return out
