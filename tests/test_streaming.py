@@ -125,6 +125,29 @@ def test_bursts_of_late_and_shuffled_samples(spark):
     assert got == sorted(want)
 
 
+def test_keys_of_bursts_share_rows_of_state(spark):
+    """Many keys, also without a name, take no more rows of state than there are parts, and runs stay apart."""
+    r = random.Random(21)
+    own = {a: [((t + 1) * 100_000, r.choice([0.1, 0.6, 0.6, 0.9])) for t in range(r.randint(1, 9))] for a in [None, *range(3000)]}
+    rows = [(a, t, v) for a, x in own.items() for t, v in x]
+    s = spark.createDataFrame(rows, SCHEMA).withColumn("t", F.timestamp_micros("t_us")).repartition(2, "t_us")
+    end = spark.createDataFrame([(-1, 10**13, 0.0)], SCHEMA).withColumn("t", F.timestamp_micros("t_us"))
+    query = jobs.stream_bursts(_stream(spark, s, "many", files=1, then=end), 0.6).writeStream.format("memory").queryName("many_bursts").option("checkpointLocation", shared.new_table(spark, "many-checkpoint")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = sorted(((x.asset_id, x.start_us, x.end_us, x.n, x.peak) for x in spark.table("many_bursts").collect()), key=str)
+    want = []
+    for a, x in own.items():
+        run = []
+        for i, (t, v) in enumerate([*x, (x[-1][0], 0.0)]):
+            if v >= 0.6:
+                run.append(i)
+            elif run:
+                want.append((a, x[max(0, run[0] - 1)][0], t, len(run), max(x[k][1] for k in run)))
+                run = []
+    assert got == sorted(want, key=str) and len(want) > 3000
+    assert 0 < max(p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators) <= jobs.BURST_PARTS + 1
+
+
 def test_compaction_keeps_one_version(spark):
     path, kind = shared.new_table(spark, "v"), "clip_id long, event_id long, feedback_type string"
     want = {}
