@@ -6,6 +6,7 @@ import hashlib
 import json
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -298,6 +299,32 @@ def test_decontamination_at_the_thresholds(spark):
     assert all(decontamination.scales_to(n)[-1] >= n for n in (1, 920, 921, 5000))
 
 
+def test_windows_of_a_long_text():
+    """Cosines of a long text's last windows are exact, whatever stands before, and what is held of it is bounded."""
+    rng = np.random.default_rng(4)
+    space = (rng.standard_normal((decontamination.DIMS, decontamination.RANK)) + 0.1).astype(np.float32)
+    vocabulary = np.array([f"w{i}" for i in range(20000)])
+    item = " ".join(vocabulary[rng.integers(0, 20000, 40)]) + "."
+    items = decontamination.prepare([(7, item), (8, "few words of an item that is not there at all.")], space)
+    long, short = " ".join([*vocabulary[rng.integers(0, 20000, 300_000)], item]), " ".join(item.split()[:33])
+    tracemalloc.start()
+    got = decontamination.matches(pa.array(["", short, long, item]), space, items)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(d, i) for d, i, *_ in got] == [(1, 0), (2, 0), (3, 0)] and peak < 110e6
+    for d, text in ((1, short), (2, long), (3, item)):
+        _, term, _, n = decontamination._terms(pa.array([text]))
+        padded = np.append(term, np.full(-n[0] % 4, decontamination.DIMS))
+        table = np.concatenate([space, np.zeros((1, decontamination.RANK))]).astype(float)
+        tail = padded[-400:]  # quarters of the end, where the item stands
+        exact = []
+        for length in (min(36, len(padded)),):
+            for low in range(0, len(tail) - length + 1, 4):
+                w = table[tail[low : low + length]].sum(axis=0)
+                exact.append(w @ items.vectors[0].astype(float) / np.sqrt(w @ w))
+        assert min(abs(np.array(exact) - next(g[2] for g in got if g[0] == d))) < 1e-6
+
+
 def test_lcs():
     assert decontamination.lcs([1, 2, 3, 4], [9, 2, 3, 9, 4]) == 3 and decontamination.lcs([1, 1, 2], [1, 2, 1]) == 2
 
