@@ -299,6 +299,21 @@ def test_decontamination_at_the_thresholds(spark):
     assert all(decontamination.scales_to(n)[-1] >= n for n in (1, 920, 921, 5000))
 
 
+def test_logistic_in_bounded_memory():
+    """Weights solve the ridge equations of the dense table, equal signs share them, and no dense table of floats is held."""
+    rng = np.random.default_rng(2)
+    base = rng.random((3000, 300)) < 0.03
+    seen = np.concatenate([base, base, base, base], axis=1)  # words and three beginnings
+    y = (base[:, :5].any(axis=1) ^ (rng.random(3000) < 0.05)).astype(float)
+    owner, sign = np.nonzero(seen)
+    tracemalloc.start()
+    w = toxicity._logistic(owner, sign, y, 1200)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    p = 1 / (1 + np.exp(-(seen @ w[:-1] + w[-1])))
+    assert np.abs((y - p) @ seen - 0.5 * w[:-1]).max() < 1e-3 and np.allclose(w[:300], w[900:1200]) and peak < seen.size * 8 / 2
+
+
 def test_windows_of_a_long_text():
     """Cosines of a long text's last windows are exact, whatever stands before, and what is held of it is bounded."""
     rng = np.random.default_rng(4)
