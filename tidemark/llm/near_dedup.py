@@ -103,11 +103,11 @@ def components(links: DataFrame) -> DataFrame:
     """node, component (its smallest node) of all nodes but the smallest ones, of links a, b between different nodes.
 
     Large and small stars in turn: each node's neighbours are tied to the least of them, until all edges lead to a
-    component's smallest node. The edges shrink with each turn.
+    component's smallest node. The edges shrink with each turn. links is read twice.
     """
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     while True:
-        both = materialize(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), "edges")
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = materialize(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-stars")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
@@ -131,7 +131,7 @@ def _relabelled(label: DataFrame | None, links: DataFrame) -> DataFrame | None:
     """The labels after new links: only the links' components are looked at again."""
     ends = _labelled(_labelled(links.select("a", "b"), label, "a", "x"), label, "b", "y").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
     ends = materialize(ends.distinct(), "links")
-    if not ends.limit(1).count():
+    if ends.isEmpty():
         return label
     new = components(ends)
     if label is None:
@@ -150,13 +150,14 @@ def _grouped(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """key, c, node, n, bits and the group's smallest member p of the groups of two members and more.
 
     Nearly all keys occur once, so only keys and nodes are shuffled before those are gone. The join is a merge at any
-    size, as both sides grow with the input.
+    size, as both sides grow with the input. p is joined to the groups, of which there are fewer than members.
     """
-    groups = materialize(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "groups")
-    members = materialize(rows.join(groups.hint("merge"), "key").join(classes.select("node", "n", F.col("parity")[0].alias("bits")), "node"), "members")
-    pivots = materialize(members.groupBy("key").agg(F.min(F.struct("node", "n", "bits")).alias("p")), "pivots")
-    out = materialize(members.join(pivots, "key"), "members")
-    discard(groups, members)
+    side = classes.select("node", "n", F.col("parity")[0].alias("bits"))
+    pivots = side.groupBy("node").agg(F.min(F.struct("node", "n", "bits")).alias("p"))  # several if a doc_id has other texts
+    groups = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c > 1")
+    groups = materialize(groups.join(pivots.hint("merge"), "node").drop("node"), "groups")
+    out = materialize(rows.join(groups.hint("merge"), "key").join(side, "node"), "members")
+    discard(groups)
     return out
 
 
@@ -203,7 +204,7 @@ def compared(pairs: DataFrame, partners: DataFrame, shingle: int, deltas: bool =
     heads = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     seconds = pairs.join(heads, "a").select(F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"))
     firsts = heads.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
-    rows = materialize(seconds.unionByName(firsts), "sides").join(partners, "node")
+    rows = seconds.unionByName(firsts).join(partners, "node")
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n, "a", "part").sortWithinPartitions("a", "part", "role").select("a", "part", "role", "node", "text")
 
@@ -304,7 +305,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
     label = _relabelled(label, _links(_apart(found.join(first, "b").where("a <> first").select("a", "b"), label), partners, shingle))
     # each large group that holds several components, about the root of its largest one
     family = _mixed(_labelled(large, label, "node", "component"))
-    while family.limit(1).count():
+    while not family.isEmpty():
         rows, label = divided(family, classes, partners, label, shingle)
         pairs = _apart(_sketched(shared_pairs(rows), classes).select("a", "b"), label)
         label = _relabelled(label, _links(pairs, partners, shingle))
