@@ -37,53 +37,68 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._base import among, discard, materialize, read_documents, small_batches, texts
+from ._base import among, bounded, discard, materialize, read_documents, small_batches, texts
 from .tokens import ragged
 from .words import SOLID, mix, words
 
 #: Tuples and hashes in a tuple of both collections; parity words; members of a small table group and of a new group
-#: that are paired within; seconds of a first in a part; tuples of the first collection whose tables are made at a time.
-GROUPS, ROWS, PARITY, SMALL, LARGE, PART, TUPLES = (12, 10), (3, 2), 16, 16, 1024, 256, 4
+#: that are paired within; seconds of a first in a part; tuples of the first collection whose tables are made at a time;
+#: buckets of keys for each partition.
+GROUPS, ROWS, PARITY, SMALL, LARGE, PART, TUPLES, BUCKETS = (12, 10), (3, 2), 16, 16, 1024, 256, 4, 8
 HASHES = GROUPS[0] * ROWS[0] + GROUPS[1] * ROWS[1]
 _SEEDS = np.random.default_rng(99).integers(1, 1 << 62, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SIGNED = "doc_id long, n long, s1 long, s2 long, left array<long>, right array<long>, parity array<long>"
+_SIGNED = "doc_id long, n long, s1 long, s2 long, tuples binary, parity array<long>"
 
 
 def shingle_sets(values: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of each value, sorted, one value after the other, and their number."""
-    h, owner, n = words(values, SOLID)
+    h, _, n = words(values, SOLID)
     first = np.cumsum(n) - n
     counts = np.where(n >= shingle, n - shingle + 1, np.minimum(n, 1))
-    at, doc = ragged(first, counts), np.repeat(np.arange(len(n)), counts)
+    end = np.cumsum(counts)
     with np.errstate(over="ignore"):
-        key = np.zeros(len(at), np.uint64)
+        every = np.zeros(max(0, len(h) - shingle + 1), np.uint64)  # also those over the ends of values, which are left out
         for k in range(shingle):
-            inside = k < n[doc]
-            key[inside] = mix(key[inside] * np.uint64(0x9E3779B97F4A7C15) + h[at[inside] + k] + np.uint64(k + 1))
-    order = np.lexsort((key, doc))
-    key, doc = key[order], doc[order]
-    new = np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))[: len(key)]
-    return key[new], np.bincount(doc[new], minlength=len(n))
+            every = mix(every * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(every)] + np.uint64(k + 1))
+        at, short = ragged(first, counts), np.flatnonzero((n > 0) & (n < shingle))
+        if len(short):
+            at[end[short] - 1] = 0
+        key = every[at] if len(every) else np.zeros(len(at), np.uint64)
+        for size in np.unique(n[short]).tolist():
+            of = short[n[short] == size]
+            one = np.zeros(len(of), np.uint64)
+            for k in range(size):
+                one = mix(one * np.uint64(0x9E3779B97F4A7C15) + h[first[of] + k] + np.uint64(k + 1))
+            key[end[of] - 1] = one
+    for lo, hi in zip((end - counts).tolist(), end.tolist(), strict=True):
+        if hi - lo > 1:
+            key[lo:hi].sort()
+    new = np.append(True, key[1:] != key[:-1])[: len(key)]
+    new[(end - counts)[counts > 0]] = True
+    return key[new], np.diff(np.append(0, np.cumsum(new))[np.append(0, end)])
 
 
 def signed(docs: DataFrame, shingle: int) -> DataFrame:
-    """For each document the size of its set, two hashes of the whole set, both collections, and parity bits."""
+    """For each document the size of its set, two hashes of the whole set, the tuples of both collections packed, and parity bits."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text", 1 << 20):
+        for batch in small_batches(batches, "text", 1 << 18):  # whose sets stay in the cache
             key, n = shingle_sets(batch.column("text"), shingle)
             some = n > 0
             rows, doc = (np.cumsum(n) - n)[some], np.repeat(np.arange(len(n)), n)
             sums, mins = np.zeros((2, len(n)), np.uint64), np.zeros((len(_SEEDS), len(n)), np.uint64)
-            parity = np.zeros((len(n), PARITY * 64), np.int64)
+            bit = (mix(key) >> np.uint64(54)).astype(np.int64) % (PARITY * 64)
+            parity = np.bincount(doc * (PARITY * 64) + bit, minlength=len(n) * PARITY * 64).reshape(len(n), PARITY * 64)
             if len(key):
+                v, u = np.empty_like(key), np.empty_like(key)
                 with np.errstate(over="ignore"):
                     for k in range(2):
                         sums[k, some] = np.add.reduceat(mix(key + _SEEDS[k]), rows)
                     for k, seed in enumerate(_SEEDS):
-                        v = key * seed
-                        mins[k, some] = np.minimum.reduceat(v ^ (v >> np.uint64(31)), rows)
-                np.add.at(parity, (doc, (mix(key) >> np.uint64(54)).astype(np.int64) % (PARITY * 64)), 1)
+                        np.multiply(key, seed, out=v)
+                        np.right_shift(v, np.uint64(31), out=u)
+                        np.bitwise_xor(v, u, out=v)
+                        mins[k, some] = np.minimum.reduceat(v, rows)
             with np.errstate(over="ignore"):
                 tuples, at = [], 0
                 for groups, rows_of in zip(GROUPS, ROWS, strict=True):
@@ -93,8 +108,10 @@ def signed(docs: DataFrame, shingle: int) -> DataFrame:
                     tuples.append(t)
                     at += groups * rows_of
             bits = np.packbits((parity & 1).astype(np.uint8), axis=1).view("<i8") if len(n) else np.zeros((0, PARITY), np.int64)
-            listed = lambda x: pa.array(list(np.ascontiguousarray(x.T).view(np.int64)), pa.list_(pa.int64()))
-            yield pa.record_batch([batch.column("doc_id"), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), listed(tuples[0]), listed(tuples[1]), pa.array(list(bits), pa.list_(pa.int64()))], names=["doc_id", "n", "s1", "s2", "left", "right", "parity"])
+            both = np.concatenate(tuples).T.tobytes()
+            packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.arange(0, 8 * sum(GROUPS) * len(n) + 1, 8 * sum(GROUPS), dtype=np.int32)), pa.py_buffer(both)])
+            listed = pa.ListArray.from_arrays(np.arange(0, bits.size + 1, PARITY, dtype=np.int32), bits.ravel())
+            yield pa.record_batch([batch.column("doc_id"), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), packed, listed], names=["doc_id", "n", "s1", "s2", "tuples", "parity"])
 
     return texts(docs).mapInArrow(sign, _SIGNED)
 
@@ -140,17 +157,58 @@ def _relabelled(label: DataFrame | None, links: DataFrame) -> DataFrame | None:
     return materialize(moved.unionByName(new), "labels")
 
 
-def _tables(classes: DataFrame, lefts: range) -> DataFrame:
-    """key, node: a row for each class and table of the given tuples of the first collection."""
-    keys = F.array(*[F.xxhash64(F.col("left")[i], F.col("right")[j], F.lit(i * GROUPS[1] + j)) for i in lefts for j in range(GROUPS[1])])
-    return classes.select(F.explode(keys).alias("key"), "node")
+def _repeated(classes: DataFrame, lefts: range) -> DataFrame:
+    """key, node: a row for each class and table of the given tuples of the first collection, if its key has another row.
+
+    Nearly all keys occur once. They are dealt out packed, a row for all keys of a batch that belong to one bucket, and
+    those of a bucket are sorted in numpy, so that only repeated ones become rows.
+    """
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets, table = min(BUCKETS * parts, 1 << 16), mix(np.arange(1, GROUPS[0] * GROUPS[1] + 1, dtype=np.uint64))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tuples = np.frombuffer(b"".join(batch.column("tuples").to_pylist()), np.uint64).reshape(-1, sum(GROUPS))
+            with np.errstate(over="ignore"):
+                key = np.concatenate([mix(tuples[:, i] * np.uint64(0x9E3779B97F4A7C15) + tuples[:, GROUPS[0] + j] + table[i * GROUPS[1] + j]) for i in lefts for j in range(GROUPS[1])])
+            bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint16)
+            order, counts = np.argsort(bucket, kind="stable"), np.bincount(bucket, minlength=buckets)
+            some = np.flatnonzero(counts)
+            ends = np.append(0, 8 * np.cumsum(counts[some])).astype(np.int32)
+            packed = [pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(ends), pa.py_buffer(x[order])]) for x in (key, np.tile(batch.column("node").to_numpy(), len(key) // batch.num_rows))]
+            yield pa.record_batch([pa.array(some), *packed], names=["bucket", "keys", "nodes"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, held = None, []
+
+        def found() -> pa.RecordBatch:
+            key, node = (np.concatenate([np.frombuffer(x[k], kind) for x in held]) for k, kind in enumerate((np.uint64, np.int64)))
+            order = np.argsort(key)
+            key, node = key[order], node[order]
+            same = key[1:] == key[:-1]
+            some = np.append(same, False) | np.append(False, same)
+            return pa.record_batch([pa.array(key[some].view(np.int64)), pa.array(node[some])], names=["key", "node"])
+
+        for batch in batches:
+            for k, bucket in enumerate(batch.column("bucket").to_pylist()):
+                if bucket != of and held:
+                    yield found()
+                    held = []
+                of = bucket
+                held.append([batch.column(c)[k].as_buffer() for c in ("keys", "nodes")])
+        if held:
+            yield found()
+
+    dealt = bounded(classes).select("node", "tuples").mapInArrow(pack, "bucket long, keys binary, nodes binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    return materialize(dealt.mapInArrow(meet, "key long, node long"), "repeated")
 
 
 def _grouped(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """key, c, node, n, bits and the group's smallest member p of the groups of two members and more.
 
-    Nearly all keys occur once, so only keys and nodes are shuffled before those are gone. The join is a merge at any
-    size, as both sides grow with the input. p is joined to the groups, of which there are fewer than members.
+    The join is a merge at any size, as both sides grow with the input. p is joined to the groups, of which there are fewer than members.
     """
     side = classes.select("node", "n", F.col("parity")[0].alias("bits"))
     pivots = side.groupBy("node").agg(F.min(F.struct("node", "n", "bits")).alias("p"))  # several if a doc_id has other texts
@@ -285,18 +343,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each document."""
     spark = docs.sparkSession
     signs = materialize(signed(docs, shingle), "signatures")
-    best = signs.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "left", "right", "parity")).alias("m"))
+    best = signs.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "tuples", "parity")).alias("m"))
     # each class becomes many rows: dealt out, a task sorts few of them
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    classes = materialize(best.select("n", "s1", "s2", F.col("m.doc_id").alias("node"), "m.left", "m.right", "m.parity").repartition(n, "node"), "classes")
+    classes = materialize(best.select("n", "s1", "s2", F.col("m.doc_id").alias("node"), "m.tuples", "m.parity").repartition(n, "node"), "classes")
     slim = materialize(signs.select("doc_id", "n", "s1", "s2"), "sets")
     discard(signs)
     # some tables at a time, so that few keys are on disk at once; no group has keys of two tables
-    parts = [_grouped(_tables(classes, range(at, at + TUPLES)), classes) for at in range(0, GROUPS[0], TUPLES)]
-    members = reduce(DataFrame.unionByName, parts)
+    parts = [_repeated(classes, range(at, at + TUPLES)) for at in range(0, GROUPS[0], TUPLES)]
+    members = _grouped(reduce(DataFrame.unionByName, parts), classes)
+    discard(*parts)
     found = materialize(candidates(members, classes), "candidates")
     large = materialize(members.where(F.col("c") > SMALL).select("key", "node"), "large-groups")
-    discard(*parts)
+    discard(members)
     nodes = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).unionByName(large.select("node")).distinct()
     partners = materialize(among(texts(docs).withColumnRenamed("doc_id", "node"), materialize(nodes, "nodes"), "node"), "partners")
     # first each document's nearest candidate: the links found make most of the others needless

@@ -22,6 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,7 @@ TRAIN_ROWS, LEAST_LLR, PIECE = 3000, 25.0, 2
 #: Letters of the beginnings of words that count as signs of their own, and the mark after one.
 BEGINNINGS, MARK = (3, 4, 5, 6, 7), "*"
 HELD_OUT = 5
+_NONE: set[str] = set()
 
 # Letters that a written sign may stand for
 LOOKALIKES = {
@@ -51,6 +53,7 @@ _MIXED = re.compile(rf"[^\W\d_][{_SIGNS}._~^'-]+[^\W\d_]|(?:^|[^\w])[{_SIGNS}]+[
 _LONG = re.compile(r"([^\W\d_])\1\1")
 _WORDS = re.compile(r"[^\W\d_]+")
 _ROW = re.compile(r"(?<!\S)(?:\w|[@$!|+*€£])(?:[ ._*-]+(?:\w|[@$!|+*€£])(?!\w)){2,}(?!\S)")
+_STOPS = ".,;:!?\"'"
 _EDGES = ".,;:!?\"'()[]{}<>#%&*-_/\\|$~^+=`…»«“”’"
 
 
@@ -87,9 +90,10 @@ class Model:
     bias: float = 0.0
     lexicon: frozenset[str] = frozenset()  # words that are known to count, looked for in pieces too
     memo: dict[str, str] = field(default_factory=dict)
+    told: dict[str, set[str]] = field(default_factory=dict)  # by token: its signs that have a weight
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"memo": {}}
+        return self.__dict__ | {"memo": {}, "told": {}}
 
     def restore(self, written: str) -> str:
         if written not in self.memo:
@@ -142,13 +146,20 @@ def word_cost(word: str, costs: np.ndarray) -> float:
     return float(sum(costs[a, b, d] for a, b, d in zip(c, c[1:], c[2:], strict=False)))
 
 
+@lru_cache(4)
+def _starts(lexicon: frozenset[str]) -> frozenset[str]:
+    return frozenset(w[:k] for w in lexicon for k in range(1, len(w) + 1))
+
+
 def joined_words(tokens: list[str], model: Model) -> set[str]:
     """Known words that stand in pieces: two tokens, or a row of short ones, that the channel's space divides more likely than words of their own."""
-    out, n = set(), len(tokens)
-    for i in range(n - 1):
+    out, n, starts = set(), len(tokens), _starts(model.lexicon)
+    for i in [i for i, token in enumerate(tokens) if token in starts]:
         piece = tokens[i]
         for k in range(i + 1, n):
             piece += tokens[k]
+            if piece not in starts:
+                break
             if piece in model.lexicon:
                 apart = sum(word_cost(t, model.costs) for t in tokens[i : k + 1])
                 if word_cost(piece, model.costs) + SEPARATOR * (k - i) < apart:
@@ -158,31 +169,41 @@ def joined_words(tokens: list[str], model: Model) -> set[str]:
     return out
 
 
+def token_words(token: str, model: Model) -> set[str]:
+    """The words of a lower-cased token, with those that the channel restores."""
+    out = set()
+    if token.isalpha():
+        out.add(token)
+        if _LONG.search(token):
+            out.add(model.restore(token))
+        return out
+    word = token.strip(_EDGES)
+    if word.isalpha():
+        out.add(word)
+        if word != token and _MIXED.search(token.rstrip(_STOPS)):
+            out.add(model.restore(token.rstrip(_STOPS)))
+    elif word:
+        out.update(_WORDS.findall(word))
+        if _MIXED.search(token):
+            out.add(model.restore(token.rstrip(".,;:?\"'")))
+    if word and _LONG.search(word):
+        out.add(model.restore(word))
+    return out
+
+
+def row_words(low: str, model: Model) -> set[str]:
+    """The restored words of the rows of single signs of a lower-cased text."""
+    return {model.restore(m.group()) for m in _ROW.finditer(low)}
+
+
 def restored_words(text: str, model: Model) -> set[str]:
     """The distinct words of a text, with those that the channel restores."""
     low = text.lower()
     tokens = low.split()
     out: set[str] = joined_words(tokens, model) if model.lexicon else set()
     for token in set(tokens):
-        if token.isalpha():
-            out.add(token)
-            if _LONG.search(token):
-                out.add(model.restore(token))
-            continue
-        word = token.strip(_EDGES)
-        if word.isalpha():
-            out.add(word)
-            if word != token and _MIXED.search(token.rstrip(".,;:!?\"'")):
-                out.add(model.restore(token.rstrip(".,;:!?\"'")))
-        elif word:
-            out.update(_WORDS.findall(word))
-            if _MIXED.search(token):
-                out.add(model.restore(token.rstrip(".,;:?\"'")))
-        if word and _LONG.search(word):
-            out.add(model.restore(word))
-    for m in _ROW.finditer(low):
-        out.add(model.restore(m.group()))
-    return out
+        out |= token_words(token, model)
+    return out | row_words(low, model)
 
 
 def signs(words: set[str]) -> set[str]:
@@ -190,6 +211,42 @@ def signs(words: set[str]) -> set[str]:
     return words | {w[:k] + MARK for w in words for k in BEGINNINGS if len(w) > k}
 
 
+def _tripled(low: str) -> list[str]:
+    """The letters that stand three times in a row, three of each."""
+    x = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    return [c * 3 for c in map(chr, np.unique(x[2:][(x[2:] == x[1:-1]) & (x[2:] == x[:-2])]).tolist()) if _WORDS.match(c)]
+
+
+def told_signs(text: str, model: Model) -> set[str]:
+    """The signs of a text that have a weight: those of restored_words. Plain words that begin like no such sign are passed over, other tokens looked at once while they are remembered."""
+    low, told, weights = text.lower(), model.told, model.weights
+    if not told:  # all signs of a word begin with its first three letters
+        told[""] = {w.removesuffix(MARK)[: BEGINNINGS[0]] for w in weights}
+    heads = told[""]
+
+    def weighed(words: set[str]) -> set[str]:
+        some = {w for w in words if w[: BEGINNINGS[0]] in heads}
+        return signs(some) & weights.keys() if some else some
+
+    tokens, repeats = low.split(), _tripled(low)
+    out = weighed(row_words(low, model) | (joined_words(tokens, model) if model.lexicon else set()))
+    distinct = set(tokens)
+    repeating = {t for t in distinct for r in repeats if r in t} if repeats else ()
+    for token in distinct:
+        plain = token if token.isalpha() else token.rstrip(_STOPS)
+        if plain[: BEGINNINGS[0]] not in heads and plain.isalpha() and token not in repeating:
+            continue  # its one word
+        found = told.get(token)
+        if found is None:
+            if len(told) > 100_000:
+                told.clear()
+                told[""] = heads
+            found = told[token] = weighed(token_words(token, model)) or _NONE
+        if found:
+            out |= found
+    return out
+
+
 def _llr(n_tox: int, n_clean: int) -> Column:
     """The log-likelihood ratio of a word's presence (n_toxic, n_clean texts) and the label."""
     n, total = F.col("n_toxic") + F.col("n_clean"), float(n_tox + n_clean)
@@ -286,7 +343,7 @@ def fit(docs: DataFrame, labels: DataFrame, corpus_counts: np.ndarray | None = N
 
 
 def score(text: str, model: Model) -> float:
-    z = model.bias + sum(sorted(model.weights[w] for w in signs(restored_words(text, model)) if w in model.weights))
+    z = model.bias + sum(sorted(model.weights[w] for w in told_signs(text, model)))
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
