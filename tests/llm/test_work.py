@@ -1,4 +1,4 @@
-"""Work that is passed over because it cannot tell: plain words in toxicity, keys that occur once in near_dedup."""
+"""Work that is passed over because it cannot tell (plain words in toxicity, keys that occur once in near_dedup), and work that is not: the latent space."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from tidemark.llm import near_dedup, toxicity
+from tidemark.llm import decontamination, near_dedup, toxicity
 from tidemark.llm._base import materialize
 
 
@@ -66,3 +66,29 @@ def test_sets_of_short_and_long_values():
         for s, c in zip(sets, cut, strict=True):
             for t, d in zip(sets, cut, strict=True):
                 assert len(set(c.tolist()) & set(d.tolist())) == len(s & t)
+
+
+def test_latent_space_is_of_all_documents(spark):
+    """Its singular values and vectors are those of the passages of 20,000 documents, counted by hand."""
+    count, dims = 20_000, decontamination.DIMS
+    docs = spark.range(count).selectExpr("id as doc_id", "concat('w', id % 41, ' v', id % 7, if(id % 1000 = 0, ' rare', '')) as text")
+    df = decontamination.document_frequencies(docs)
+    assert df[dims] == count
+    values = pa.array([f"w{i % 41} v{i % 7}" + " rare" * (i % 1000 == 0) for i in range(count)])
+    _, term, owner, _ = decontamination._terms(values)
+    assert (df[:dims] == np.bincount(term, minlength=dims)).all()
+    idf = np.log((count + 1) / (df[:dims] + 1)) + 0.05
+    used = np.unique(term)
+    a = np.zeros((count, len(used)))
+    a[owner, np.searchsorted(used, term)] = idf[term]
+    a /= np.sqrt((a * a).sum(axis=1, keepdims=True))
+    values, vectors = np.linalg.eigh(a.T @ a)
+    top = np.zeros(decontamination.RANK)
+    top[: len(used)] = values[::-1]
+    space = decontamination.latent_space(docs, df) / idf[:, None]
+    some = int((values > 1e-4 * values.max()).sum())
+    size = 1 / np.sqrt((space * space).sum(axis=0))
+    assert np.allclose(size[:some] ** 2, (top + 0.05 * top.mean())[:some], rtol=1e-3)
+    unit = (space * size)[:, :some]
+    assert np.allclose((unit[used] * top[:some]) @ unit[used].T, a.T @ a, atol=1e-3 * values.max())
+    assert np.allclose(np.delete(unit, used, axis=0), 0, atol=1e-3)
